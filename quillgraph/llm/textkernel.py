@@ -96,29 +96,33 @@ class Texts:
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         """64-bit hashes of the words; lower: after A-Z became a-z."""
+        return self.hashes(self.start, self.end, lower)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+        """64-bit hashes of byte ranges that follow one another."""
         data = self.data
         if lower:
-            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+            data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * 32
         up, down = _tables()
-        out = np.empty(len(self.start), U64)
-        size = self.end - self.start
+        out = np.zeros(len(starts), U64)
+        size = ends - starts
         long = np.flatnonzero(size > LONG_WORD)
         k, n = 0, len(out)
         while k < n:
-            a = int(self.start[k])
-            j = int(np.searchsorted(self.end, a + _WINDOW, "right"))
+            a = int(starts[k])
+            j = int(np.searchsorted(ends, a + _WINDOW, "right"))
             if j <= k:  # a word longer than the window: below
                 k += 1
                 continue
-            part = np.empty(int(self.end[j - 1]) - a + 1, U64)
+            part = np.empty(int(ends[j - 1]) - a + 1, U64)
             part[0] = 0
             np.cumsum(_BYTE_VALUE[data[a:a + len(part) - 1]] * up[:len(part) - 1], out=part[1:])
-            s, e = self.start[k:j] - a, self.end[k:j] - a
+            s, e = starts[k:j] - a, ends[k:j] - a
             out[k:j] = (part[e] - part[s]) * down[s]
             k = j
         out = mix(out + size.astype(U64) * U64(0xD6E8FEB86659FD93))
         for k in long:
-            digest = hashlib.blake2b(data[self.start[k]:self.end[k]].tobytes(), digest_size=8).digest()
+            digest = hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8).digest()
             out[k] = np.frombuffer(digest, U64)[0]
         return out
 
