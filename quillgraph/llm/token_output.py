@@ -19,6 +19,7 @@ a shard has a shard of its own.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -222,6 +223,12 @@ class LibraryEncoder:
         return ids, np.diff(np.concatenate(([0], ends[last]))).astype(np.int64)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of_worker(path: str) -> LibraryEncoder:
+    """One for all tasks that a Python worker runs, so that words met in one are known in the next."""
+    return LibraryEncoder(path)
+
+
 SHARD_SCHEMA = "part int, seq int, start_in_part long, n_tokens long, doc_ids array<long>, lengths array<long>, wavelet binary"
 
 
@@ -231,7 +238,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = LibraryEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of_worker(tokenizer), TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         keys: list = []
         sizes: list[int] = []
