@@ -14,6 +14,7 @@ documents, and one distinct word is the largest unit of work.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -247,8 +248,14 @@ class TextCodec:
         return known
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of_worker(path: str) -> TextCodec:
+    """One for all tasks that a Python worker runs."""
+    return TextCodec(path)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, texts: bool) -> Iterator[pa.RecordBatch]:
-    codec = TextCodec(path)
+    codec = codec_of_worker(path)
     for batch in slices(batches):
         column = batch.column("text").fill_null("").to_pylist()
         words = [t.encode().split() for t in column]

@@ -24,6 +24,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -351,8 +352,14 @@ class Counter:
         return out.tolist()
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of_worker(path: str) -> Counter:
+    """One for all tasks that a Python worker runs."""
+    return Counter(path)
+
+
 def counted(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
-    counter = Counter(path)
+    counter = counter_of_worker(path)
     for batch in slices(batches):
         column = batch.column("text").fill_null("")
         n_tokens = np.array(counter.counts(column.to_pylist()), np.int64)
