@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op7_bpe_codec
 from .chat_format import op10_chat_format
+from .decontamination import op2_decontamination
 from .jaccard_join import op3_jaccard_join
 from .quality_rules import op9_quality_rules
 from .substring_dedup import op6_substring_dedup
@@ -16,6 +17,7 @@ from .token_output import op1_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_codec": op7_bpe_codec,
