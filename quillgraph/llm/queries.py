@@ -11,14 +11,18 @@ from .chat_format import op10_chat_format
 from .decontamination import op2_decontamination
 from .jaccard_join import op3_jaccard_join
 from .quality_rules import op9_quality_rules
+from .quality_classifier import op4_quality_classifier
 from .substring_dedup import op6_substring_dedup
 from .token_counts import op8_token_counts
 from .token_output import op1_token_output
+from .url_filter import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_counts": op8_token_counts,
