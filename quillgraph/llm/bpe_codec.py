@@ -254,7 +254,7 @@ def codec_of_worker(path: str) -> TextCodec:
     return TextCodec(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, texts: bool) -> Iterator[pa.RecordBatch]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, ids_as_lists: bool, decoded_as_text: bool) -> Iterator[pa.RecordBatch]:
     codec = codec_of_worker(path)
     for batch in slices(batches):
         column = batch.column("text").fill_null("").to_pylist()
@@ -265,26 +265,28 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, texts: bool) -> Iterat
             got = [f for f in map(forms.__getitem__, ws) if f[0]]
             counts.append(sum([f[0] for f in got]))
             a, b = b" ".join([f[1] for f in got]), b" ".join([f[2] for f in got])
-            if not texts:
-                a, b = hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()
-            ids.append(a)
-            decoded.append(b)
-        key = batch.column("doc_id")
-        if texts:
-            ids = pa.array([[int(x) for x in a.split()] for a in ids], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([key, pa.array(counts, pa.int64()), ids, pa.array([b.decode() for b in decoded])], ["doc_id", "n_tokens", "ids", "decoded"])
-        else:
-            yield pa.RecordBatch.from_arrays([key, pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids.append(a if ids_as_lists else hashlib.sha256(a).hexdigest())
+            decoded.append(b.decode() if decoded_as_text else hashlib.sha256(b).hexdigest())
+        if ids_as_lists:
+            flat = np.fromstring(b" ".join([a for a in ids if a]), np.int32, sep=" ")
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
+        names = ["doc_id", "n_tokens", "ids" if ids_as_lists else "ids_sha256", "decoded" if decoded_as_text else "decoded_sha256"]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()) if not ids_as_lists else ids, pa.array(decoded, pa.string())], names)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids array<int>, decoded string. Needs columns doc_id and text."""
-    return pick(docs, "doc_id", "text").mapInArrow(lambda it: encoded(it, path, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return pick(docs, "doc_id", "text").mapInArrow(lambda it: encoded(it, path, True, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_decode_digests(docs: DataFrame, path: str) -> DataFrame:
     """As encode_decode, with sha256 digests in place of ids and decoded text."""
-    return pick(docs, "doc_id", "text").mapInArrow(lambda it: encoded(it, path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return pick(docs, "doc_id", "text").mapInArrow(lambda it: encoded(it, path, False, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def token_lists(docs: DataFrame, path: str) -> DataFrame:
+    """As encode_decode, with a sha256 digest in place of the decoded text."""
+    return pick(docs, "doc_id", "text").mapInArrow(lambda it: encoded(it, path, True, False), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

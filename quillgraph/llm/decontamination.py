@@ -224,26 +224,31 @@ def substring_distance(pattern: str, text: str, most: int) -> int:
     return best if best <= most else most + 1
 
 
+def _found(items: Items, t: Texts) -> dict[tuple[int, int], tuple[int, int]]:
+    """Least distance and first word of each item in each text (row of the slice) that holds it."""
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    done: dict[tuple[int, int], int] = {}
+    for d, item, at in sorted(items.candidates(t)):
+        n, most = int(items.words[item]), items.limit[item]
+        if best.get((d, item), (1,))[0] == 0 or at <= done.get((d, item), -1):
+            continue
+        slack = most // 4 + 2
+        a, b = int(t.first[d]), int(t.first[d + 1])
+        lo, hi = max(a, a + at - slack), min(b, a + at + n + slack)
+        done[d, item] = at + slack // 2  # what begins no later was in this region
+        if hi <= lo:
+            continue
+        region = plain(t.raw[t.start[lo]:t.end[hi - 1]].decode())
+        found = substring_distance(items.texts[item], region, most)
+        if found <= most and found < best.get((d, item), (most + 1,))[0]:
+            best[d, item] = (found, max(0, at))
+    return best
+
+
 def _matches(batches: Iterator[pa.RecordBatch], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     items = Items(rows)
     for batch in slices(batches):
-        t = Texts(batch.column("text")).split()
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        done: dict[tuple[int, int], int] = {}
-        for d, item, at in sorted(items.candidates(t)):
-            n, most = int(items.words[item]), items.limit[item]
-            if best.get((d, item), (1,))[0] == 0 or at <= done.get((d, item), -1):
-                continue
-            slack = most // 4 + 2
-            a, b = int(t.first[d]), int(t.first[d + 1])
-            lo, hi = max(a, a + at - slack), min(b, a + at + n + slack)
-            done[d, item] = at + slack // 2  # what begins no later was in this region
-            if hi <= lo:
-                continue
-            region = plain(t.raw[t.start[lo]:t.end[hi - 1]].decode())
-            found = substring_distance(items.texts[item], region, most)
-            if found <= most and found < best.get((d, item), (most + 1,))[0]:
-                best[d, item] = (found, max(0, at))
+        best = _found(items, Texts(batch.column("text")).split())
         keys = batch.column("doc_id").to_pylist()
         got = [(keys[d], items.ids[i], dist, len(items.texts[i]), at) for (d, i), (dist, at) in sorted(best.items())]
         if got:
@@ -251,19 +256,38 @@ def _matches(batches: Iterator[pa.RecordBatch], rows: list[tuple]) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "distance", "item_chars", "at_word"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document (doc_id, text) and benchmark item (item_id, text) that it holds: doc_id, item_id, distance, item_chars, at_word."""
-    texts = pick(docs, "doc_id", "text")
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The items, BLOCK or so at a time."""
     items = pick(benchmark, "item_id", "text").where("text IS NOT NULL")
     blocks = max(1, math.ceil(items.count() / BLOCK))
-    out = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = [tuple(r) for r in part.collect()]  # BLOCK items or so
+        yield [tuple(r) for r in part.collect()]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document (doc_id, text) and benchmark item (item_id, text) that it holds: doc_id, item_id, distance, item_chars, at_word."""
+    texts, out = pick(docs, "doc_id", "text"), None
+    for rows in _blocks(benchmark):
         found = texts.mapInArrow(lambda it, rows=rows: _matches(it, rows), "doc_id long, item_id long, distance int, item_chars int, at_word int")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.min("item_chars").alias("item_chars"), F.min_by("at_word", F.struct("distance", "at_word")).alias("at_word"))
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns."""
+
+    def clean(batches: Iterator[pa.RecordBatch], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        items = Items(rows)
+        for batch in slices(batches):
+            hit = np.zeros(batch.num_rows, bool)
+            hit[[d for d, _ in _found(items, Texts(batch.column("text")).split())]] = True
+            yield batch.filter(pa.array(~hit))
+
+    for rows in _blocks(benchmark):
+        docs = docs.mapInArrow(lambda it, rows=rows: clean(it, rows), docs.schema)
+    return docs
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
