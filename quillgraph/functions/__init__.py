@@ -1 +1 @@
-
+"""Column functions. All are built from Spark's own expressions and stay in generated code."""

@@ -1,10 +1,455 @@
-"""Queries over the driver's tables by name, with DuckDB SQL for the same rows."""
+"""Queries over the driver's tables by name, with DuckDB SQL for the same rows.
+
+The tables hold no pages, so each query applies an operator to what is most like
+its rows: region, nation and customer are a tree of three levels; orders are the
+dated children of customers; events are revisions or switches of users;
+conversations are bodies of blocks; documents and labels are rows and their seed.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import calendar, motion, text
+from ..operators import bodies, changes, integrity, links, listing, search, tree
+from ..sources.tables import table
+from ..streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(name: str):
+    return F.col(name).cast("long").alias(name)
+
+
+# -- listings and order --------------------------------------------------------
+
+_NEWEST = "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC)"
+
+
+@query(f"SELECT o_custkey, o_orderkey, o_orderdate, place FROM (SELECT o_custkey, o_orderkey, o_orderdate, {_NEWEST} AS place FROM orders) WHERE place <= 3")
+def r_latest_children(spark, sf):
+    """The newest three orders of each customer."""
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return listing.top_per_parent(rows, "o_custkey", listing.newest_first("o_orderdate", "o_orderkey"))
+
+
+@query(f"SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, {_NEWEST} AS place FROM orders WHERE (o_custkey % 2 = 0 AND o_orderstatus = 'O') OR (o_custkey % 2 = 1 AND o_orderstatus = 'F'))")
+def r_index_listing(spark, sf):
+    """Every index page (customer) lists one type (status), newest first."""
+    rows = table(spark, sf, "orders").select("o_custkey", F.col("o_orderstatus").alias("content_type"), "o_orderdate", "o_orderkey")
+    index = rows.select("o_custkey").distinct().withColumn("listed_type", F.when(F.col("o_custkey") % 2 == 0, "O").otherwise("F"))
+    return listing.index_listing(rows, index, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "place")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ASC NULLS LAST, l_partkey) - 1 AS counter0, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ASC NULLS LAST, l_partkey) - 1) * 80 + 120 AS delay FROM lineitem")
+def r_ordinal_stagger(spark, sf):
+    """Places of ordered children, and their staggered delays."""
+    rows = listing.with_place(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber", "l_partkey")
+    return rows.select("l_orderkey", "l_linenumber", "counter0", motion.stagger(F.col("counter0"), 120, 80).cast("long").alias("delay"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2 ORDER BY n_name LIMIT 1")
+def r_first_or_none(spark, sf):
+    return listing.first_or_none(table(spark, sf, "nation").where("n_regionkey = 2").select("n_nationkey", "n_name"), "n_name")
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_name = (SELECT max(r_name) FROM region)")
+def r_exactly_one(spark, sf):
+    regions = table(spark, sf, "region")
+    last = regions.agg(F.max("r_name").alias("r_name"))
+    return listing.exactly_one(regions.join(F.broadcast(last), "r_name")).select("r_regionkey", "r_name")
+
+
+# -- tree ----------------------------------------------------------------------
+
+
+def _tree(spark, sf) -> DataFrame:
+    """region / nation / customer as paths of 4, 8 and 16 characters."""
+    step = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    region = table(spark, sf, "region").select(step("r_regionkey", 4).alias("path"), F.lit(4).alias("step"), F.lit("region").alias("content_type"))
+    nations = table(spark, sf, "nation").select(F.concat(step("n_regionkey", 4), step("n_nationkey", 4)).alias("path"), "n_nationkey")
+    nation = nations.select("path", F.lit(4).alias("step"), F.lit("nation").alias("content_type"))
+    customer = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(nations, "n_nationkey")
+    customer = customer.select(F.concat("path", step("c_custkey", 8)).alias("path"), F.lit(8).alias("step"), F.lit("customer").alias("content_type"))
+    return region.unionByName(nation).unionByName(customer)
+
+
+_TREE = """WITH nodes AS (
+  SELECT lpad(r_regionkey::VARCHAR, 4, '0') AS path, 4 AS step, 'region' AS content_type FROM region
+  UNION ALL SELECT lpad(n_regionkey::VARCHAR, 4, '0') || lpad(n_nationkey::VARCHAR, 4, '0'), 4, 'nation' FROM nation
+  UNION ALL SELECT lpad(n_regionkey::VARCHAR, 4, '0') || lpad(n_nationkey::VARCHAR, 4, '0') || lpad(c_custkey::VARCHAR, 8, '0'), 8, 'customer'
+    FROM customer JOIN nation ON c_nationkey = n_nationkey) """
+
+
+@query(_TREE + "SELECT p.path AS parent_path, c.path AS child_path FROM nodes c JOIN nodes p ON starts_with(c.path, p.path) AND length(c.path) = length(p.path) + c.step")
+def r_tree_children(spark, sf):
+    nodes = _tree(spark, sf)
+    return tree.children(nodes, nodes, "step")
+
+
+@query(_TREE + "SELECT p.path AS ancestor_path, c.path FROM nodes c JOIN nodes p ON starts_with(c.path, p.path) AND c.path <> p.path")
+def r_tree_descendants(spark, sf):
+    nodes = _tree(spark, sf)
+    return tree.descendants(nodes, nodes, (4, 8, 16))
+
+
+@query("SELECT n_nationkey, count(c_custkey) AS numchild FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def r_child_count(spark, sf):
+    return tree.child_counts(table(spark, sf, "nation"), table(spark, sf, "customer"), "n_nationkey", "c_nationkey")
+
+
+@query(_TREE + ", grown AS (SELECT path, row_number() OVER (ORDER BY path) AS k FROM nodes WHERE content_type = 'nation') SELECT path || lpad((1 + coalesce((SELECT max(right(c.path, 4)::INT) FROM nodes c WHERE c.content_type = 'nation' AND c.path[1:length(c.path) - 4] = grown.path), 0))::VARCHAR, 4, '0') AS path, 3 AS depth, 'page ' || path AS title FROM grown")
+def r_add_children(spark, sf):
+    """A new child under every nation, as its last child."""
+    nodes = _tree(spark, sf).where("content_type <> 'customer'").select("path", (F.length("path") / 4).cast("int").alias("depth"), F.lit(0).alias("numchild"), F.lit(None).cast("string").alias("title"))
+    new = nodes.where("depth = 2").select(F.col("path").alias("parent_path"), F.lit(1).alias("order"), F.concat(F.lit("page "), "path").alias("title"))
+    return tree.add_children(nodes, new).where("title IS NOT NULL").select("path", "depth", "title")
+
+
+@query(_TREE + "SELECT c.path, c.content_type, p.content_type AS parent_type FROM nodes c JOIN nodes p ON c.path[1:length(c.path) - 4] = p.path WHERE c.content_type = 'nation' AND p.path <> '0001'")
+def r_type_violations(spark, sf):
+    """Nations may only lie under the region that is called `special`: that of path 0001."""
+    nodes = _tree(spark, sf).where("content_type <> 'customer'").withColumn("content_type", F.when(F.col("path") == "0001", "special").otherwise(F.col("content_type")))
+    rules = spark.createDataFrame([("nation", "special")], "content_type string, parent_type string")
+    return tree.type_violations(nodes.select("path", "content_type"), rules)
+
+
+# -- joins ---------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def r_specific_join(spark, sf):
+    nation = links.specific(table(spark, sf, "nation"), table(spark, sf, "region"), "n_regionkey", "r_regionkey")
+    return links.specific(table(spark, sf, "customer"), nation, "c_nationkey", "n_nationkey").select("c_custkey", "c_name", "n_name", "r_name")
+
+
+@query("SELECT n_nationkey, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AS has_rich FROM nation")
+def r_exists_flag(spark, sf):
+    return links.with_flag(table(spark, sf, "nation").select("n_nationkey"), table(spark, sf, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "has_rich")
+
+
+@query("SELECT p_partkey, p_brand, CASE p_type WHEN '' THEN 'none' ELSE p_type END AS p_type, upper(p_brand) AS label FROM part")
+def r_lookup(spark, sf):
+    """A dictionary lookup in which a missing entry would be an error, and a default for empty text."""
+    parts = table(spark, sf, "part")
+    labels = parts.select("p_brand").distinct().withColumn("label", F.upper("p_brand"))
+    return links.looked_up(parts, labels, "p_brand").select("p_partkey", "p_brand", text.or_default(F.col("p_type"), "none").alias("p_type"), "label")
+
+
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN o_custkey END AS o_custkey FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) ON c_custkey = o_custkey")
+def r_set_null(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return links.set_null(rows, table(spark, sf, "customer").where("c_acctbal < 0"), "o_custkey", "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def r_cascade(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return links.cascade(rows, table(spark, sf, "customer").where("c_acctbal < 0"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 45)")
+def r_orphans(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return links.orphans(rows, table(spark, sf, "part").where("p_size < 45"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT a.doc_id AS page, a.lang AS from_locale, b.doc_id AS translation, b.lang AS to_locale FROM documents a JOIN documents b ON a.doc_id // 4 = b.doc_id // 4 AND a.lang <> b.lang")
+def r_translations(spark, sf):
+    pages = table(spark, sf, "documents").select(F.expr("doc_id div 4").alias("translation_key"), F.col("lang").alias("locale"), F.col("doc_id").alias("page_id"))
+    return links.translations(pages)
+
+
+@query("SELECT page_id, coalesce('/moved/' || p_partkey, '404') AS target FROM pages LEFT JOIN part ON p_partkey = page_id AND p_size > 25")
+def r_redirects(spark, sf):
+    moved = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("old_path"), F.concat(F.lit("/moved/"), F.col("p_partkey").cast("string")).alias("new_path"))
+    requests = table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("path"))
+    return links.redirected(requests, moved).select("page_id", "target")
+
+
+@query("SELECT o_orderkey, array_to_string(list(l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey), ', ') AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def r_nested_children(spark, sf):
+    """Ordered children as an array of each parent, then as text."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    got = links.nested(lines, "l_orderkey", "l_linenumber", ["l_linenumber", "l_partkey"])
+    each = F.transform("items", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["l_partkey"].cast("string")))
+    return got.select(F.col("l_orderkey").alias("o_orderkey"), F.array_join(each, ", ").alias("items"))
+
+
+@query("SELECT o_custkey, min(o_orderpriority) FILTER (o_orderstatus = 'F') AS F, min(o_orderpriority) FILTER (o_orderstatus = 'O') AS O, min(o_orderpriority) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY o_custkey")
+def r_side_by_side(spark, sf):
+    return links.side_by_side(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_orderpriority", ["F", "O", "P"])
+
+
+# -- bodies --------------------------------------------------------------------
+
+
+def _bodies(spark, sf) -> DataFrame:
+    """Conversations as bodies: an array of blocks with the role as type."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("type"), F.col("text").alias("value"))
+    return links.nested(rows, "conv_id", "turn", ["type", "value"], "body")
+
+
+@query("SELECT conv_id, bool_or(role = 'system') AS reseed FROM conversations GROUP BY conv_id")
+def r_needs_reseed(spark, sf):
+    return _bodies(spark, sf).select("conv_id", bodies.needs_reseed(F.col("body"), ("system",)).alias("reseed"))
+
+
+@query("SELECT conv_id, turn, role, CASE role WHEN 'assistant' THEN replace(text, 'a', '@') ELSE text END AS text FROM conversations")
+def r_swap_blocks(spark, sf):
+    """Blocks of one type are given another value; order and the other blocks stay."""
+    got = _bodies(spark, sf).withColumn("body", bodies.swapped(F.col("body"), "assistant", lambda v: F.replace(v, F.lit("a"), F.lit("@"))))
+    rows = got.select("conv_id", F.posexplode("body").alias("turn", "b"))
+    return rows.select("conv_id", _long("turn"), F.col("b.type").alias("role"), F.col("b.value").alias("text"))
+
+
+@query("SELECT conv_id, count(*) AS blocks, min_by(role, turn) AS first_type, max_by(role, turn) AS last_type, max(role) FILTER (turn = 5) AS sixth_type FROM conversations GROUP BY conv_id")
+def r_block_positions(spark, sf):
+    body = F.col("body")
+    at = lambda k: bodies.block_at(body, k)["type"]
+    return _bodies(spark, sf).select("conv_id", F.size(body).cast("long").alias("blocks"), at(0).alias("first_type"), at(-1).alias("last_type"), at(5).alias("sixth_type"))
+
+
+@query("SELECT conv_id, turn AS place, role AS type, length(text) AS chars FROM conversations")
+def r_variant_blocks(spark, sf):
+    """Bodies as JSON text, opened as variants."""
+    raw = _bodies(spark, sf).select("conv_id", F.to_json("body").alias("raw"))
+    rows = bodies.opened_up(raw, "conv_id", "raw")
+    return rows.select("conv_id", "place", "type", F.length(F.try_variant_get("value", "$.value", "string")).cast("long").alias("chars"))
+
+
+@query("SELECT event_id, event_type, (props::JSON->>'k')::BIGINT AS target, c_name FROM events LEFT JOIN customer ON c_custkey = (props::JSON->>'k')::BIGINT")
+def r_block_references(spark, sf):
+    """References inside JSON values, resolved where their target exists."""
+    body = F.array(F.struct(F.col("event_type").alias("type"), F.get_json_object("props", "$.k").alias("value")))
+    kinds = tuple(r[0] for r in table(spark, sf, "events").select("event_type").distinct().limit(100).collect())
+    refs = bodies.references(table(spark, sf, "events").select("event_id", body.alias("body")), "body", "event_id", kinds)
+    return refs.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("target"), "c_name"), "target", "left").select("event_id", F.col("type").alias("event_type"), "target", "c_name")
+
+
+# -- changes -------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'created' WHEN toxic = 1 THEN 'skipped' WHEN quality = 0 OR trim(lang) = '' THEN 'updated' ELSE 'unchanged' END AS action FROM documents LEFT JOIN labels l USING (doc_id)")
+def r_upsert_actions(spark, sf):
+    """Documents as seed, labelled ones as what exists: toxic ones are of another type, poor ones due."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    rows = docs.join(table(spark, sf, "labels").withColumn("there", F.lit(True)), "doc_id", "left")
+    action = changes.seed_action(F.col("there").isNotNull(), F.col("toxic") == 0, False, F.col("quality") == 0, F.col("lang"))
+    return rows.select("doc_id", action.alias("action"))
+
+
+@query("SELECT count(*) FILTER (l.doc_id IS NULL) AS created, count(*) FILTER (quality = 0 AND toxic = 0) AS updated, count(*) FILTER (quality = 1 AND toxic = 0) AS unchanged, count(*) FILTER (toxic = 1) AS skipped FROM documents LEFT JOIN labels l USING (doc_id)")
+def r_seed_counters(spark, sf):
+    return changes.counters(r_upsert_actions(spark, sf), ["created", "updated", "unchanged", "skipped"])
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL OR (quality = 0 AND toxic = 0) THEN upper(lang) ELSE lang END AS description FROM documents LEFT JOIN labels l USING (doc_id)")
+def r_seeded(spark, sf):
+    """All rows after seeding."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    existing = docs.join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") == 0, "webpage").otherwise("form").alias("content_type"), (F.col("quality") == 0).alias("needs_reseed"), F.col("lang").alias("description"))
+    seed = docs.select("doc_id", F.upper("lang").alias("description"))
+    return changes.seeded(existing, seed, "doc_id", ["description"])[0].select("doc_id", "description")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def r_get_or_create_anti(spark, sf):
+    """Customers that a load of those with open orders would create."""
+    have = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return changes.get_or_create(have, table(spark, sf, "customer").select("c_custkey"), "c_custkey")[1].where("created").select("c_custkey")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def r_latest_revision(spark, sf):
+    return changes.current(table(spark, sf, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'OVERDRAWN' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE NOT coalesce(c_mktsegment = 'BUILDING', false)")
+def r_update_and_delete(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    rows = changes.without(rows, F.col("c_mktsegment") == "BUILDING")
+    return changes.updated(rows, F.col("c_acctbal") < 0, c_mktsegment=F.lit("OVERDRAWN")).select("c_custkey", "c_mktsegment")
+
+
+# -- sets ----------------------------------------------------------------------
+
+
+@query("SELECT o_custkey, bool_or(o_orderstatus = 'F') AND bool_or(o_orderstatus = 'O') AS ok FROM orders GROUP BY o_custkey")
+def r_issubset(spark, sf):
+    """Whether {F, O} is among each customer's statuses."""
+    have = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("have"))
+    return have.select("o_custkey", (F.size(F.array_except(F.array(F.lit("F"), F.lit("O")), "have")) == 0).alias("ok"))
+
+
+@query("SELECT lang, list_sort(list(DISTINCT source)) = list_sort(list(DISTINCT source) FILTER (doc_id % 2 = 0)) AS same FROM documents GROUP BY lang")
+def r_set_equality(spark, sf):
+    even = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    got = table(spark, sf, "documents").groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("a"), F.sort_array(F.collect_set(even)).alias("b"))
+    return got.select("lang", (F.col("a") == F.col("b")).alias("same"))
+
+
+# -- scalar functions ----------------------------------------------------------
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest FROM pages")
+def r_html_escape(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(text.html_escape(F.col("html"))).alias("digest"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: w[1:1]), '') AS initials FROM documents")
+def r_acronym(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.initials(F.col("text")).alias("initials"))
+
+
+@query("""WITH e AS (SELECT event_id, value * 10 AS y, 1000.0 AS h FROM events), g AS (SELECT event_id, y, k AS layer, y / (h / 4) AS t FROM e, range(4) r(k))
+SELECT event_id, layer, CASE WHEN t <= 0 THEN (CASE layer WHEN 0 THEN 0.4 ELSE 0 END) WHEN t >= 3 THEN (CASE layer WHEN 3 THEN 0.4 ELSE 0 END)
+  WHEN layer = floor(t) THEN (1.0::DOUBLE - (t - floor(t))) * 0.4::DOUBLE WHEN layer = floor(t) + 1 THEN (t - floor(t)) * 0.4::DOUBLE ELSE 0 END::DOUBLE AS opacity FROM g""")
+def r_crossfade(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", (F.col("value") * 10).alias("y"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("layer"))
+    return rows.select("event_id", "layer", motion.crossfade(F.col("y"), F.lit(1000.0), F.lit(4), F.col("layer"), 0.4).alias("opacity"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^/(fr|de)(/|$)', 1), ''), 'en') AS language FROM pages")
+def r_locale_prefix(spark, sf):
+    """The language prefix of each page's path; fr and de stand for the prefixed languages."""
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    found = text.language_of_path(F.regexp_replace(F.regexp_replace(path, "^/fr(/|$)", "/th$1"), "^/de(/|$)", "/zh$1"))
+    return table(spark, sf, "pages").select("page_id", F.when(found == "th", "fr").when(found == "zh", "de").otherwise(found).alias("language"))
+
+
+@query("SELECT p_partkey, 'archive/' || p_brand || '/' || CASE WHEN length(p_partkey::VARCHAR) < 3 THEN lpad(p_partkey::VARCHAR, 3, '0') ELSE p_partkey::VARCHAR END || '.jpg' AS path, p_brand AS book, p_partkey AS page FROM part")
+def r_scan_path(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", text.scan_path(F.col("p_brand"), F.col("p_partkey")).alias("path"))
+    parts = text.scan_parts(F.col("path"))
+    return rows.select("p_partkey", "path", parts["book"].alias("book"), parts["page"].alias("page"))
+
+
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN source END, ''), 'Button') AS label FROM documents")
+def r_default(spark, sf):
+    some = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("source"))
+    return table(spark, sf, "documents").select("doc_id", text.or_default(some, "Button").alias("label"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN value WHEN 1 THEN value * 1000 WHEN 2 THEN 250 WHEN 3 THEN 250 ELSE CASE WHEN value = 0 THEN 250 ELSE value END END::DOUBLE AS ms FROM (SELECT event_id, (event_id % 900)::DOUBLE AS value FROM events)")
+def r_duration_parse(spark, sf):
+    """CSS times built from event ids: ms, s, blank, no number, bare number."""
+    number = (F.col("event_id") % 900).cast("string")
+    kind = F.col("event_id") % 5
+    raw = F.when(kind == 0, F.concat(number, F.lit("ms"))).when(kind == 1, F.concat(F.lit(" "), number, F.lit("s "))).when(kind == 2, " ").when(kind == 3, "auto").otherwise(number)
+    return table(spark, sf, "events").select("event_id", text.duration_ms(raw, 250).alias("ms"))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS blank, doc_id % 4 IN (0, 1) AS flag, 2 + (doc_id % 3 > 0)::BIGINT AS parts, (doc_id / 4)::DOUBLE AS number FROM documents")
+def r_parsing(spark, sf):
+    """Blank test, flags, comma lists and tolerant numbers over texts made from ids."""
+    k = F.col("doc_id")
+    blank = F.when(k % 4 == 0, "").when(k % 4 == 2, " \n\t").otherwise("x")
+    flag = F.element_at(F.array(F.lit("True"), F.lit("1"), F.lit("t"), F.lit("no")), (k % 4 + 1).cast("int"))
+    items = F.concat(F.lit(" a ,, b "), F.when(k % 3 > 0, ", c").otherwise(", "))
+    number = F.concat(F.lit(" "), (k / 4).cast("string"), F.lit("px"))
+    return table(spark, sf, "documents").select("doc_id", text.is_blank(blank).alias("blank"), text.as_flag(flag).alias("flag"), F.size(text.comma_list(items)).cast("long").alias("parts"), text.float_or(number, 0.2).alias("number"))
+
+
+@query("SELECT o_orderkey, (date_trunc('month', o_orderdate) + to_months(k::INT) + to_days((day(o_orderdate) - 1)::INT))::DATE AS occurs FROM orders, range(7) r(k) WHERE day(o_orderdate) = 31 AND month((date_trunc('month', o_orderdate) + to_months(k::INT) + to_days(30))::DATE) = month(date_trunc('month', o_orderdate) + to_months(k::INT)) AND (date_trunc('month', o_orderdate) + to_months(k::INT) + to_days(30))::DATE <= (o_orderdate + INTERVAL 180 DAY)::DATE")
+def r_recur_monthly(spark, sf):
+    """Monthly recurrence of orders of a 31st for 180 days: months without a 31st are skipped."""
+    rows = table(spark, sf, "orders").where(F.dayofmonth("o_orderdate") == 31)
+    rows = rows.select("o_orderkey", F.to_date("o_orderdate").alias("start"), F.lit("monthly").alias("repeat"), F.date_add(F.to_date("o_orderdate"), 180).alias("repeat_until"))
+    return calendar.occurrences(rows).select("o_orderkey", "occurs")
+
+
+@query("SELECT date_trunc('week', ts)::TIMESTAMP AS bucket, count(*) AS n FROM events GROUP BY 1")
+def r_calendar_buckets(spark, sf):
+    return table(spark, sf, "events").groupBy(calendar.bucket(F.col("ts"), "week").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O' OR o_orderdate <= TIMESTAMP '1996-06-01') AND (o_orderstatus = 'F' OR o_orderdate + INTERVAL 90 DAY > TIMESTAMP '1996-06-01')")
+def r_live_window(spark, sf):
+    day = F.lit("1996-06-01").cast("timestamp_ntz")
+    golive = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate"))
+    expire = F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS"))
+    return table(spark, sf, "orders").where(calendar.is_live(day, golive, expire)).select("o_orderkey")
+
+
+# -- search and reports --------------------------------------------------------
+
+
+@query("WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents) SELECT doc_id, count(DISTINCT term) AS matched, count(*) AS score FROM t WHERE term IN ('the', 'und', 'pas') GROUP BY doc_id")
+def r_token_tf(spark, sf):
+    index = search.postings(table(spark, sf, "documents"), "doc_id", "text")
+    return search.search(index, "doc_id", ["The", "und", "pas"])
+
+
+@query("SELECT 'domain' AS rule, o_orderkey AS id FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'range', l_orderkey * 10 + l_linenumber FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.09 UNION ALL SELECT 'length', doc_id FROM documents WHERE length(text) > 5000")
+def r_integrity(spark, sf):
+    domain = integrity.outside_domain(table(spark, sf, "orders"), "o_orderstatus", ["F", "O"]).select(F.lit("domain").alias("rule"), F.col("o_orderkey").alias("id"))
+    span = integrity.outside_range(table(spark, sf, "lineitem"), "l_discount", 0, 0.09).select(F.lit("range").alias("rule"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    size = integrity.too_long(table(spark, sf, "documents"), "text", 5000).select(F.lit("length").alias("rule"), F.col("doc_id").alias("id"))
+    return domain.unionByName(span).unionByName(size)
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(*) > 1")
+def r_repeated_keys(spark, sf):
+    return integrity.repeated(table(spark, sf, "events"), "user_id", "event_type")
+
+
+# -- streams -------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return base or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+
+
+def _events(spark, sf) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return stream.event_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT user_id, count(*) AS switches, count(*) % 2 = 1 AS is_open FROM events GROUP BY user_id")
+def r_stream_toggle(spark, sf):
+    """Whether each user's switch is open after all events."""
+    return stream.drained(stream.toggled(_events(spark, sf), "user_id"), _folder(spark), "complete")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def r_stream_seen(spark, sf):
+    return stream.drained(stream.seen_keys(_events(spark, sf), "user_id"), _folder(spark))
+
+
+@query("WITH f AS (SELECT date_trunc('day', ts)::TIMESTAMP AS frame, event_type, count(*) AS n, arg_max(value, (ts, value)) AS last FROM events GROUP BY 1, 2) SELECT * FROM f WHERE frame < (SELECT date_trunc('day', max(ts)) FROM events)")
+def r_stream_coalesced(spark, sf):
+    """Daily frames that have ended, by event type."""
+    got = stream.coalesced(_events(spark, sf), "event_type", "1 day", "0 seconds", "value")
+    return stream.drained(got, _folder(spark)).withColumn("frame", F.col("frame").cast("timestamp_ntz"))
+
+
+# -- beyond the reference ------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR) IS NOT TRUE AS new FROM (SELECT event_id, user_id, ts FROM events)) ")
+def e_sessions(spark, sf):
+    """Sessions of users: a gap of over an hour begins a new one. An extension."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    gap = F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 1 HOUR")
+    return rows.withColumn("_new", F.when(gap, 0).otherwise(1)).select("event_id", "user_id", F.sum("_new").over(w).alias("session"))

@@ -1 +1 @@
-
+"""Where rows come from and go to."""

@@ -1 +1 @@
-
+"""Event rules as Structured Streaming queries."""
