@@ -119,6 +119,27 @@ class Merger:
         return ids[order], np.searchsorted(of[order], np.arange(n + 1))
 
 
+def plain_words(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which words hold only ASCII but apostrophes and <, and the letters of Latin-1, which are NFC as they are."""
+    lead = data == 0xC3
+    after = np.concatenate(([False], lead[:-1]))
+    odd = (data >= 0x80) & ~lead & ~after
+    odd |= after & ((data == 0x97) | (data == 0xB7))
+    odd |= (data == 39) | (data == 60)
+    return ~np.logical_or.reduceat(odd, off[:-1])
+
+
+def cut_plain(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Plain words in lower case, and where their runs of letters, single digits and runs of other signs begin, with the end."""
+    after = np.concatenate(([False], data[:-1] == 0xC3))
+    upper = (data >= 65) & (data <= 90) | after & (data >= 0x80) & (data <= 0x9E)
+    data = data + upper.astype(np.uint8) * np.uint8(32)
+    kind = np.where((data >= 97) & (data <= 122) | (data >= 0x80), 0, np.where((data >= 48) & (data <= 57), 1, 2))
+    begin = np.concatenate(([True], (kind[1:] != kind[:-1]) | (kind[1:] == 1)))
+    begin[off[:-1]] = True
+    return data, np.append(np.flatnonzero(begin), len(data))
+
+
 class WordCodec:
     """Encodes words (runs of bytes between ASCII white space) as the library does with the file at `path`.
 
@@ -163,7 +184,7 @@ class WordCodec:
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
         data = np.frombuffer(b"".join(words), np.uint8).copy()
         off = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-        plain = self._plain(data, off)
+        plain = plain_words(data, off)
         size = np.diff(off)
         if plain.all():
             ids, at = self._encode_plain(data, off)
@@ -178,25 +199,10 @@ class WordCodec:
         out[np.repeat(plain, count)], out[np.repeat(~plain, count)] = ids, more
         return out, at
 
-    def _plain(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Which words hold only ASCII but apostrophes and <, and the letters of Latin-1, which are NFC as they are."""
-        lead = data == 0xC3
-        after = np.concatenate(([False], lead[:-1]))
-        odd = (data >= 0x80) & ~lead & ~after
-        odd |= after & ((data == 0x97) | (data == 0xB7))
-        odd |= (data == 39) | (data == 60)
-        return ~np.logical_or.reduceat(odd, off[:-1])
-
     def _encode_plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-        after = np.concatenate(([False], data[:-1] == 0xC3))
-        upper = (data >= 65) & (data <= 90) | after & (data >= 0x80) & (data <= 0x9E)
-        data = data + upper.astype(np.uint8) * 32
-        kind = np.where((data >= 97) & (data <= 122) | (data >= 0x80), 0, np.where((data >= 48) & (data <= 57), 1, 2))
-        begin = np.concatenate(([True], (kind[1:] != kind[:-1]) | (kind[1:] == 1)))
-        begin[off[:-1]] = True
-        begin = np.append(np.flatnonzero(begin), len(data))
+        data, begin = cut_plain(data, off)
         ids, at = self.merger.merge(data, begin)
         return ids, at[np.searchsorted(begin, off)]
 

@@ -28,7 +28,7 @@ _WINDOW = 1 << 20  # bytes covered by one run of prefix sums
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _rng = np.random.Generator(np.random.PCG64(20240611))
-_BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_BYTE_VALUE, _BYTE_VALUE_2 = (_rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1) for _ in range(2))
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -94,12 +94,13 @@ class Texts:
         self.first = np.searchsorted(self.start, self.off)
         return self
 
-    def word_hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of the words; lower: after A-Z became a-z."""
-        return self.hashes(self.start, self.end, lower)
+    def word_hashes(self, lower: bool = False, second: bool = False) -> np.ndarray:
+        """64-bit hashes of the words; lower: after A-Z became a-z; second: by another, independent function."""
+        return self.hashes(self.start, self.end, lower, second)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
         """64-bit hashes of byte ranges that follow one another."""
+        value = _BYTE_VALUE_2 if second else _BYTE_VALUE
         data = self.data
         if lower:
             data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * 32
@@ -116,13 +117,13 @@ class Texts:
                 continue
             part = np.empty(int(ends[j - 1]) - a + 1, U64)
             part[0] = 0
-            np.cumsum(_BYTE_VALUE[data[a:a + len(part) - 1]] * up[:len(part) - 1], out=part[1:])
+            np.cumsum(value[data[a:a + len(part) - 1]] * up[:len(part) - 1], out=part[1:])
             s, e = starts[k:j] - a, ends[k:j] - a
             out[k:j] = (part[e] - part[s]) * down[s]
             k = j
         out = mix(out + size.astype(U64) * U64(0xD6E8FEB86659FD93))
         for k in long:
-            digest = hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8).digest()
+            digest = hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8, key=b"2" if second else b"").digest()
             out[k] = np.frombuffer(digest, U64)[0]
         return out
 

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_codec import byte_characters, cut_plain, plain_words
 from .shared import partitions, shared_folder
-from .textkernel import pick, slices
+from .textkernel import Texts, pick, slices
 
 #: Ids in a shard; the document that crosses this ends it.
 SHARD_IDS = 1 << 21
@@ -172,55 +173,117 @@ class WaveletMatrix:
 class LibraryEncoder:
     """Ids of texts by the tokenizers library.
 
-    The file's tokenizer drops white space and never looks across it, so that
-    words are encoded apart; those met again come from a bounded memory.
+    The file's tokenizer drops white space and never looks across it, so that each
+    distinct word of a slice is encoded once, and words met before come from a
+    bounded memory, found by two 64-bit hashes.  Plain words are cut into pieces
+    here, as the library's rules cut them, and many are given to its model at once;
+    all others go through the whole library one by one.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.place: dict[bytes, int] = {}
-        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, new: list[bytes]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)))
-        self.ids = np.concatenate((self.ids, np.array([i for g in got for i in g], np.uint32)))
+        self.pieces = Tokenizer(self.library.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = self.library.model.end_of_word_suffix
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)  # ids that end a piece
+        self.last[[k for s, k in vocabulary.items() if s.endswith(suffix)]] = True
+        self.shown = {b: c for b, c in enumerate(byte_characters()) if b != 32}
+        self.one = self.two = np.zeros(0, np.uint64)  # hashes of the words in memory, ascending by the first
+        self.start = self.size = self.used = np.zeros(0, np.int64)  # their ids, and the slice that used them last
+        self.ids = np.zeros(0, np.uint32)
+        self.turn = 0
+
+    def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, and how many each has."""
+        data, begin = cut_plain(data, off)
+        blank = np.insert(data, begin[1:-1], 32).tobytes().decode("latin-1").translate(self.shown)
+        some = begin[:-1][::4000] + np.arange(len(begin) - 1)[::4000]  # where every 4000th piece begins, with blanks
+        got = self.pieces.encode_batch_fast([blank[a:b] for a, b in zip(some.tolist(), [*some[1:].tolist(), len(blank)])], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        ends = np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1))
+        if len(ends) != len(begin):
+            raise ValueError("pieces and ids don't match")
+        return ids, np.diff(ends[np.searchsorted(begin, off)])
+
+    def _encoded(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has."""
+        plain = plain_words(data, off)
+        size = np.diff(off)
+        ids = np.zeros(0, np.uint32)
+        count = np.zeros(len(size), np.int64)
+        if plain.any():
+            ids, count[plain] = self._plain(data[np.repeat(plain, size)], np.concatenate(([0], np.cumsum(size[plain]))))
+        if plain.all():
+            return ids, count
+        raw = data.tobytes()
+        others = [raw[off[k]:off[k + 1]].decode() for k in np.flatnonzero(~plain)]
+        got = [e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)]
+        count[~plain] = [len(g) for g in got]
+        out = np.empty(count.sum(), np.uint32)
+        out[np.repeat(plain, count)] = ids
+        out[np.repeat(~plain, count)] = [i for g in got for i in g]
+        return out, count
 
     def _forget(self) -> None:
-        """The older half goes, and long words."""
-        words = list(self.place)
-        half = len(words) // 2
-        keep = np.array([k >= half and len(w) <= KEPT_BYTES for k, w in enumerate(words)], bool)
-        size = np.diff(self.start)
-        self.ids = self.ids[np.repeat(keep, size)]
-        self.start = np.concatenate(([0], np.cumsum(size[keep]))).astype(np.int64)
-        kept = np.flatnonzero(keep).tolist()
-        self.place = {words[k]: i for i, k in enumerate(kept)}
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps the half of the words in memory that were used last."""
+        keep = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        if keep.sum() > 0.75 * len(keep):
+            keep = np.arange(len(keep)) % 2 == 0
+        size = self.size[keep]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.start[keep] - ends + size, size)]
+        self.one, self.two, self.used, self.size, self.start = self.one[keep], self.two[keep], self.used[keep], size, ends - size
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
-        if len(self.place) > KEPT_WORDS or len(self.ids) > 20 * KEPT_WORDS:
+        t = Texts(column).split()
+        if not len(t.start):
+            return np.zeros(0, np.uint32), np.zeros(t.n, np.int64)
+        self.turn += 1
+        if len(self.one) > KEPT_WORDS or len(self.ids) > 20 * KEPT_WORDS:
             self._forget()
-        words = [t.split() for t in texts]
-        flat = [w for ws in words for w in ws]
-        new = list(set(flat).difference(self.place))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        begin = self.start[at]
-        size = self.start[at + 1] - begin
+        one, two = t.word_hashes(), t.word_hashes(second=True)
+        order = np.argsort(one)
+        ranked = one[order]
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        which = np.empty(len(one), np.int64)
+        which[order] = np.cumsum(new) - 1
+        one, first = ranked[new], order[new]
+        same = two == two[first][which]
+        two = two[first]
+        if not same.all():  # two words with one hash: never in practice, but then the texts are encoded as they are
+            got = [e.ids for e in self.library.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+            return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+        at = np.searchsorted(self.one, one)
+        at[at == len(self.one)] = 0
+        known = (self.one[at] == one) & (self.two[at] == two) if len(self.one) else np.zeros(len(one), bool)
+        start, size = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        start[known], size[known] = self.start[at[known]], self.size[at[known]]
+        self.used[at[known]] = self.turn
+        new = np.flatnonzero(~known)
+        if len(new):
+            begin, length = t.start[first[new]], (t.end - t.start)[first[new]]
+            off = np.concatenate(([0], np.cumsum(length)))
+            got, count = self._encoded(t.data[np.arange(off[-1]) + np.repeat(begin - off[:-1], length)], off)
+            size[new] = count
+            start[new] = len(self.ids) + np.cumsum(count) - count
+            self.ids = np.concatenate((self.ids, got))
+            fresh = new[length <= KEPT_BYTES]
+            fresh = fresh[self.one[at[fresh]] != one[fresh]] if len(self.one) else fresh
+            order = np.argsort(np.concatenate((self.one, one[fresh])), kind="stable")
+            self.one, self.two, self.start, self.size, self.used = (
+                np.concatenate(pair)[order] for pair in ((self.one, one[fresh]), (self.two, two[fresh]), (self.start, start[fresh]), (self.size, size[fresh]), (self.used, np.full(len(fresh), self.turn)))
+            )
+        begin, size = start[which], size[which]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(begin - ends + size, size)]
-        last = np.cumsum([len(ws) for ws in words])
-        ends = np.concatenate(([0], ends))
-        return ids, np.diff(np.concatenate(([0], ends[last]))).astype(np.int64)
+        ids = self.ids[np.arange(int(ends[-1])) + np.repeat(begin - ends + size, size)]
+        return ids, np.diff(np.concatenate(([0], ends))[t.first])
 
 
 @functools.lru_cache(maxsize=1)
@@ -255,8 +318,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
 
         n = 0
         for batch in slices(batches):
-            texts = [t.encode() for t in batch.column("text").fill_null("").to_pylist()]
-            ids, count = encoder.encode(texts)
+            ids, count = encoder.encode(batch.column("text"))
             ends = np.cumsum(count)
             out = np.insert(ids, ends, end_id)  # an end id after each document
             for key, size, stop in zip(batch.column("doc_id").to_pylist(), (count + 1).tolist(), (ends + np.arange(1, len(ends) + 1)).tolist()):
