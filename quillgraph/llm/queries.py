@@ -12,6 +12,7 @@ from .decontamination import op2_decontamination
 from .jaccard_join import op3_jaccard_join
 from .quality_rules import op9_quality_rules
 from .quality_classifier import op4_quality_classifier
+from .sql import ORACLE_SQL
 from .substring_dedup import op6_substring_dedup
 from .token_counts import op8_token_counts
 from .token_output import op1_token_output
@@ -29,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
