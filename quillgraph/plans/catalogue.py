@@ -66,16 +66,18 @@ def r_ordinal_stagger(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "counter0", motion.stagger(F.col("counter0"), 120, 80).cast("long").alias("delay"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2 ORDER BY n_name LIMIT 1")
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 1")
 def r_first_or_none(spark, sf):
-    return listing.first_or_none(table(spark, sf, "nation").where("n_regionkey = 2").select("n_nationkey", "n_name"), "n_name")
+    """The oldest open order."""
+    return listing.first_or_none(table(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
 
 
-@query("SELECT r_regionkey, r_name FROM region WHERE r_name = (SELECT max(r_name) FROM region)")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
 def r_exactly_one(spark, sf):
-    regions = table(spark, sf, "region")
-    last = regions.agg(F.max("r_name").alias("r_name"))
-    return listing.exactly_one(regions.join(F.broadcast(last), "r_name")).select("r_regionkey", "r_name")
+    """The order with the largest key, which must be one row."""
+    orders = table(spark, sf, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("o_orderkey"))
+    return listing.exactly_one(orders.join(F.broadcast(last), "o_orderkey")).select("o_orderkey", "o_totalprice")
 
 
 # -- tree ----------------------------------------------------------------------
@@ -116,20 +118,26 @@ def r_child_count(spark, sf):
     return tree.child_counts(table(spark, sf, "nation"), table(spark, sf, "customer"), "n_nationkey", "c_nationkey")
 
 
-@query(_TREE + ", grown AS (SELECT path, row_number() OVER (ORDER BY path) AS k FROM nodes WHERE content_type = 'nation') SELECT path || lpad((1 + coalesce((SELECT max(right(c.path, 4)::INT) FROM nodes c WHERE c.content_type = 'nation' AND c.path[1:length(c.path) - 4] = grown.path), 0))::VARCHAR, 4, '0') AS path, 3 AS depth, 'page ' || path AS title FROM grown")
+def _lines(spark, sf) -> DataFrame:
+    """Orders and their lines as a tree: paths of 8 and 12 characters."""
+    step = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    orders = table(spark, sf, "orders").select(step("o_orderkey", 8).alias("path"), F.col("o_orderstatus").alias("content_type"))
+    return orders.unionByName(table(spark, sf, "lineitem").select(F.concat(step("l_orderkey", 8), step("l_linenumber", 4)).alias("path"), F.col("l_returnflag").alias("content_type")))
+
+
+@query("SELECT lpad(o_orderkey::VARCHAR, 8, '0') || lpad((1 + coalesce(n, 0))::VARCHAR, 4, '0') AS path, 2 AS depth, 'page ' || o_orderkey AS title FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def r_add_children(spark, sf):
-    """A new child under every nation, as its last child."""
-    nodes = _tree(spark, sf).where("content_type <> 'customer'").select("path", (F.length("path") / 4).cast("int").alias("depth"), F.lit(0).alias("numchild"), F.lit(None).cast("string").alias("title"))
-    new = nodes.where("depth = 2").select(F.col("path").alias("parent_path"), F.lit(1).alias("order"), F.concat(F.lit("page "), "path").alias("title"))
+    """A new line under every order, as its last child."""
+    nodes = _lines(spark, sf).select("path", F.when(F.length("path") == 8, 1).otherwise(2).alias("depth"), F.lit(0).alias("numchild"), F.lit(None).cast("string").alias("title"))
+    new = table(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("parent_path"), F.lit(1).alias("order"), F.concat(F.lit("page "), F.col("o_orderkey").cast("string")).alias("title"))
     return tree.add_children(nodes, new).where("title IS NOT NULL").select("path", "depth", "title")
 
 
-@query(_TREE + "SELECT c.path, c.content_type, p.content_type AS parent_type FROM nodes c JOIN nodes p ON c.path[1:length(c.path) - 4] = p.path WHERE c.content_type = 'nation' AND p.path <> '0001'")
+@query("SELECT lpad(l_orderkey::VARCHAR, 8, '0') || lpad(l_linenumber::VARCHAR, 4, '0') AS path, l_returnflag AS content_type, o_orderstatus AS parent_type FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND coalesce(o_orderstatus, '') <> 'F'")
 def r_type_violations(spark, sf):
-    """Nations may only lie under the region that is called `special`: that of path 0001."""
-    nodes = _tree(spark, sf).where("content_type <> 'customer'").withColumn("content_type", F.when(F.col("path") == "0001", "special").otherwise(F.col("content_type")))
-    rules = spark.createDataFrame([("nation", "special")], "content_type string, parent_type string")
-    return tree.type_violations(nodes.select("path", "content_type"), rules)
+    """Returned lines may only lie under finished orders."""
+    rules = spark.createDataFrame([("R", "F")], "content_type string, parent_type string")
+    return tree.type_violations(_lines(spark, sf), rules)
 
 
 # -- joins ---------------------------------------------------------------------

@@ -1,0 +1,235 @@
+"""Rules of the content graph on small rows, with the cases that the driver's tables don't hold."""
+
+import datetime as dt
+import html
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from quillgraph.functions import calendar, motion, text
+from quillgraph.operators import bodies, changes, integrity, links, listing, search, tree
+
+GOALS = ["goal-one", "goal-two", "goal-three"]
+
+
+def one(spark, column, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first().y
+
+
+@pytest.mark.parametrize("s", ["", "a&b", "<p class=\"x\">it's</p>", "&amp;", None])
+def test_html_escape(spark, s):
+    assert one(spark, text.html_escape, s) == (None if s is None else html.escape(s))
+
+
+@pytest.mark.parametrize("s,want", [(None, True), ("", True), (" \t\n", True), ("x", False), (" x ", False)])
+def test_blank(spark, s, want):
+    assert one(spark, text.is_blank, s) is want
+
+
+def test_words_and_acronym(spark):
+    assert one(spark, text.words, "  a\tbc \n d ") == ["a", "bc", "d"]
+    assert one(spark, text.words, " ") == []
+    assert one(spark, text.acronym_markup, "Tom & <Jerry") == "<b>T</b>om <b>&</b> <b><</b>Jerry"
+    assert one(spark, text.initials, "one two") == "ot"
+
+
+@pytest.mark.parametrize("s,want", [("true", True), ("YES", True), ("1", True), ("t", False), ("on", False), ("", False), (None, False)])
+def test_flag(spark, s, want):
+    assert one(spark, text.as_flag, s) is want
+
+
+def test_lists(spark):
+    assert one(spark, text.comma_list, " a, ,b\n,, c d ") == ["a", "b", "c d"]
+    assert one(spark, text.choice_list, "a,b\r\nc\n\n d") == ["a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("s,want", [("0.4", 0.4), ("0.4x", 0.4), (" .5", 0.5), ("-1.", -1.0), ("1e-2", 0.01), ("abc", 0.2), ("", 0.2), (None, 0.2)])
+def test_float(spark, s, want):
+    assert one(spark, lambda c: text.float_or(c, 0.2), s) == want
+
+
+@pytest.mark.parametrize("s,want", [("300ms", 300), ("0.3s", 300), (" 2s ", 2000), ("40", 40), ("0", 7), ("", 7), (None, 7), ("auto", 7), ("0ms", 0)])
+def test_duration(spark, s, want):
+    assert one(spark, lambda c: text.duration_ms(c, 7), s) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("s,want", [("/th/", "th"), ("/zh", "zh"), ("/th/a/b", "th"), ("/thai/", "en"), ("/", "en"), (None, "en"), ("/a/th/", "en")])
+def test_language(spark, s, want):
+    assert one(spark, text.language_of_path, s) == want
+
+
+@pytest.mark.parametrize("page,want", [(1, "archive/b/001.jpg"), (999, "archive/b/999.jpg"), (1234, "archive/b/1234.jpg")])
+def test_scan_path(spark, page, want):
+    assert one(spark, lambda c: text.scan_path(F.lit("b"), c), page, "bigint") == want
+    assert tuple(one(spark, text.scan_parts, want)) == ("b", page)
+    assert tuple(one(spark, text.scan_parts, "other/b/1.jpg")) == (None, None)
+
+
+def test_names(spark):
+    assert one(spark, text.field_name, " Your e-mail! ") == "your_e_mail"
+    assert tuple(one(spark, text.rendition, "fill-1920x1080 format-webp")) == ("fill", 1920, 1080, "webp")
+    assert one(spark, lambda c: text.hashed_name(c, F.lit("x")), "a.b.css").startswith("a.b.") and one(spark, text.has_thai, "กข")
+    assert not one(spark, text.has_thai, "abc")
+
+
+def layers(offset, height, count, top):
+    if count == 1:
+        return [top]
+    out = [0.0] * count
+    segment = height / count
+    t = offset / segment if segment else 0
+    if segment <= 0 or t <= 0:
+        out[0] = top
+    elif t >= count - 1:
+        out[-1] = top
+    else:
+        out[int(t)] = (1 - (t - int(t))) * top
+        out[int(t) + 1] = (t - int(t)) * top
+    return out
+
+
+@pytest.mark.parametrize("offset,height,count", [(0, 900, 3), (-5, 900, 3), (1, 900, 3), (300, 900, 3), (450, 900, 3), (600, 900, 3), (5000, 900, 3), (10, 0, 3), (10, 900, 1), (10, 900, 2)])
+def test_crossfade(spark, offset, height, count):
+    rows = spark.createDataFrame([(float(offset), float(height), count, k) for k in range(count)], "o double, h double, n int, k int")
+    got = rows.orderBy("k").select(motion.crossfade(F.col("o"), F.col("h"), F.col("n"), F.col("k"), 0.4).alias("y")).collect()
+    assert [r.y for r in got] == layers(offset, height, count, 0.4)
+
+
+def test_opacity(spark):
+    assert [one(spark, motion.opacity_text, v, "double") for v in (0.4, None, float("nan"))] == ["0.40", "0.00", "0.00"]
+    assert one(spark, lambda c: motion.clamped(c, 0, 1), 3.0, "double") == 1
+
+
+def test_recurrence(spark):
+    d = dt.date
+    rows = spark.createDataFrame([(1, d(2024, 1, 31), "monthly", d(2024, 5, 31)), (2, d(2024, 2, 29), "yearly", d(2029, 1, 1)), (3, d(2024, 1, 1), "weekly", d(2024, 1, 15)), (4, d(2024, 1, 1), "daily", d(2024, 1, 3)), (5, d(2024, 1, 1), None, None)], "id int, start date, repeat string, repeat_until date")
+    got = {}
+    for r in calendar.occurrences(rows).orderBy("id", "occurs").collect():
+        got.setdefault(r.id, []).append(r.occurs)
+    assert got == {1: [d(2024, 1, 31), d(2024, 3, 31), d(2024, 5, 31)], 2: [d(2024, 2, 29), d(2028, 2, 29)], 3: [d(2024, 1, k) for k in (1, 8, 15)], 4: [d(2024, 1, k) for k in (1, 2, 3)], 5: [d(2024, 1, 1)]}
+
+
+def test_live(spark):
+    rows = spark.createDataFrame([(None, None), (1, None), (2, None), (3, None), (None, 2), (None, 3), (1, 3)], "a int, b int")
+    assert [r.y for r in rows.select(calendar.is_live(F.lit(2), F.col("a"), F.col("b")).alias("y")).collect()] == [True, True, True, False, False, True, True]
+
+
+def test_tree(spark):
+    nodes = spark.createDataFrame([("0001",), ("00010001",), ("00010002",), ("000100020001",), ("0002",)], "path string")
+    assert {tuple(r) for r in tree.children(nodes, nodes).collect()} == {("0001", "00010001"), ("0001", "00010002"), ("00010002", "000100020001")}
+    got = {tuple(r) for r in tree.descendants(nodes, nodes, (4, 8, 12)).collect()}
+    assert got == {(a.path, b.path) for a in nodes.collect() for b in nodes.collect() if b.path.startswith(a.path) and a != b}
+
+
+def test_add_children(spark):
+    nodes = spark.createDataFrame([("0001", 1, 1, "root"), ("00010003", 2, 0, "home")], "path string, depth int, numchild int, title string")
+    new = spark.createDataFrame([("0001", 2, "b"), ("0001", 1, "a"), ("00010003", 1, "c"), ("0009", 1, "lost")], "parent_path string, `order` int, title string")
+    got = {r.title: (r.path, r.depth, r.numchild) for r in tree.add_children(nodes, new).collect()}
+    assert got == {"root": ("0001", 1, 3), "home": ("00010003", 2, 1), "a": ("00010004", 2, 0), "b": ("00010005", 2, 0), "c": ("000100030001", 3, 0)}
+
+
+def test_type_rules(spark):
+    nodes = spark.createDataFrame([("0001", "webpage"), ("00010001", "articleindex"), ("000100010001", "article"), ("00010002", "article"), ("0002", "article")], "path string, content_type string")
+    rules = spark.createDataFrame([("article", "articleindex")], "content_type string, parent_type string")
+    assert {r.path for r in tree.type_violations(nodes, rules).collect()} == {"00010002", "0002"}
+
+
+def test_orders(spark):
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, "2024"), (1, 3, "2025"), (1, 4, None)], "p int, id int, d string")
+    got = listing.top_per_parent(rows, "p", listing.newest_first("d", "id"), 3).orderBy("place").collect()
+    assert [r.id for r in got] == [4, 1, 3]
+    assert [r.id for r in listing.with_place(rows, "p", "d", "id").orderBy("counter0").collect()] == [2, 3, 1, 4]
+    assert listing.first_or_none(rows.where("false"), "id").collect() == []
+
+
+def test_exactly_one(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "x int")
+    assert [r.x for r in listing.exactly_one(rows.where("x = 1")).collect()] == [1]
+    for some in (rows, rows.where("false")):
+        with pytest.raises(PySparkException):
+            listing.exactly_one(some).collect()
+
+
+def test_lookup(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "k string")
+    entries = spark.createDataFrame([("a", 1)], "k string, v int")
+    assert links.looked_up(rows.where("k = 'a'"), entries, "k").first().v == 1
+    with pytest.raises(PySparkException):
+        links.looked_up(rows, entries, "k").collect()
+
+
+def test_links(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "id int, ref int")
+    gone = spark.createDataFrame([(10,), (10,)], "key int")
+    assert {tuple(r) for r in links.set_null(rows, gone, "ref", "key").collect()} == {(1, None), (2, 20), (3, None)}
+    assert {r.id for r in links.cascade(rows, gone, "ref", "key").collect()} == {2, 3}
+    assert {r.id for r in links.orphans(rows, gone, "ref", "key").collect()} == {2}
+    assert {r.ref: r.there for r in links.with_flag(rows, gone.withColumnRenamed("key", "ref"), "ref", "there").collect()} == {10: True, 20: False, None: False}
+    kids = spark.createDataFrame([(1, None, "c"), (1, 2, "b"), (1, 1, "a")], "p int, sort_order int, t string")
+    assert [x.t for x in links.nested(kids, "p", "sort_order", ["t"]).first()["items"]] == ["a", "b", "c"]
+
+
+BODY = "array<struct<type:string,value:string,id:string>>"
+
+
+@pytest.mark.parametrize("types,want", [(None, True), ([], True), (["html"], False), (["html", "row"], True), (["hero"], True), (["html", "cardgrid"], False)])
+def test_needs_reseed(spark, types, want):
+    body = None if types is None else [(t, "", "") for t in types]
+    assert one(spark, bodies.needs_reseed, body, BODY) is want
+
+
+def test_bodies(spark):
+    df = spark.createDataFrame([(1, [("html", "x", "i"), ("page", "7", "j"), ("card", "z", "k")])], f"id int, b {BODY}")
+    swapped = df.select(bodies.swapped(F.col("b"), "html", lambda v: F.concat(v, F.lit("!"))).alias("b")).first().b
+    assert [x.value for x in swapped] == ["x!", "7", "z"]
+    got = df.select(*[bodies.block_at(F.col("b"), k)["id"].alias(f"c{i}") for i, k in enumerate((0, 1, -1, 5))]).first()
+    assert tuple(got) == ("i", "j", "k", None)
+    assert [tuple(r) for r in bodies.references(df, "b", "id", ("page",)).collect()] == [(1, 1, "page", 7)]
+    assert df.select(bodies.merged(F.col("b")[0], value=F.lit("new")).alias("m")).first().m.value == "new"
+    raw = df.select("id", F.to_json("b").alias("raw"))
+    assert raw.select(bodies.parsed(F.col("raw")).alias("b")).first().b == df.first().b
+    assert [r.type for r in bodies.opened_up(raw, "id", "raw").orderBy("place").collect()] == ["html", "page", "card"]
+
+
+def test_get_or_create(spark):
+    have = spark.createDataFrame([("en",)], "language_code string")
+    want = spark.createDataFrame([("en",), ("th",), ("zh",), ("th",)], "language_code string")
+    rows, told = changes.get_or_create(have, want, "language_code")
+    assert {r.language_code for r in rows.collect()} == {"en", "th", "zh"} and rows.count() == 3
+    assert {r.language_code: r.created for r in told.collect()} == {"en": False, "th": True, "zh": True}
+    assert changes.get_or_create(rows, want, "language_code")[1].where("created").count() == 0
+
+
+def test_seed(spark):
+    old = spark.createDataFrame([("goal-one", "webpage", False, "told", "b1"), ("goal-two", "webpage", False, " ", "b2"), ("other", "webpage", True, "", "b3"), ("goal-four", "form", True, "", "b4")], "slug string, content_type string, needs_reseed boolean, description string, body string")
+    seed = spark.createDataFrame([(g, f"about {g}", "new") for g in [*GOALS, "goal-four"]], "slug string, description string, body string")
+    rows, told = changes.seeded(old, seed, "slug", ["body"])
+    assert {r.slug: r.action for r in told.collect()} == {"goal-one": "unchanged", "goal-two": "updated", "goal-three": "created", "goal-four": "skipped"}
+    assert {r.slug: r.body for r in rows.collect()} == {"goal-one": "b1", "goal-two": "new", "goal-three": "new", "other": "b3", "goal-four": "b4"}
+    assert tuple(changes.counters(told, ["created", "updated"]).first()) == (1, 1)
+    again = changes.seeded(rows, seed, "slug", ["body"])[1]
+    assert again.where("action IN ('created', 'updated')").count() == 0
+    forced = {r.slug: r.action for r in changes.seeded(rows, seed, "slug", ["body"], force=True)[1].collect()}
+    assert forced == {"goal-one": "updated", "goal-two": "updated", "goal-three": "updated", "goal-four": "skipped"}
+    needed = spark.createDataFrame([(g,) for g in GOALS], "slug string")
+    assert integrity.is_subset(needed, rows.select("slug")).first().ok and not integrity.is_subset(needed, old.select("slug")).first().ok
+
+
+def test_changes(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1), (3, None, 1)], "k int, v string, rev int")
+    assert {tuple(r) for r in changes.current(rows, "k", ["rev"], ["v"]).collect()} == {(1, "b"), (2, "c"), (3, None)}
+    assert changes.without(rows, F.col("v") == "a").count() == 3 and changes.emptied(rows).count() == 0
+    assert [r.v for r in changes.updated(rows, F.col("v") == "a", v=F.lit("z")).orderBy("k", "rev").collect()] == ["z", "b", "c", None]
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("m", 0.5), ("x", 1.5), (None, None)], "kind string, opacity double")
+    assert integrity.outside_domain(rows, "kind", ["m"]).count() == 1 and integrity.outside_range(rows, "opacity", 0, 1).count() == 1
+    assert integrity.too_long(rows, "kind", 0).count() == 2 and integrity.repeated(rows.union(rows), "kind").count() == 3
+
+
+def test_search(spark):
+    docs = spark.createDataFrame([(1, "The cat, the CAT"), (2, "a dog"), (3, None)], "id int, body string")
+    got = search.search(search.postings(docs, "id", "body"), "id", ["the", "Cat", "dog"])
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 4), (2, 1, 1)}
