@@ -12,10 +12,11 @@ only cost a comparison, as all finds are verified by content.
 
 With each symbol goes the span of words that its making depended on.  A window
 that holds the whole span of a symbol has that symbol wherever it occurs.  So each
-window names as its anchor the first such symbol of the highest round that has
-one, and equal windows have equal anchors.  Windows of a document with the same
-anchor are consecutive: a block.  (Below the rounds: the first change of word in
-the window; a window of one word repeated is its own anchor.)
+window takes as its anchor, among such symbols of the highest round that has any,
+the one whose name hashes lowest, and equal windows have equal anchors.  An anchor
+goes by the words of its span.  Consecutive windows with the same anchor are a
+block.  (Below the rounds: the first change of word in the window; a window of one
+word repeated is its own anchor.)
 
 Spark groups blocks by anchor.  Where whole blocks are equal, by a fingerprint of
 their words, later documents lose them as a whole; only the first of several
@@ -46,12 +47,45 @@ from .textkernel import U64, Texts, mix, pick, signed, slices, windows
 
 #: Words in a window.
 WINDOW = 50
-#: Rounds of recompression; after each, symbols are about a third longer.
-ROUNDS = 5
+#: Rounds of recompression; after each, symbols are about a third longer, and spans wider.
+ROUNDS = 4
 _RUN, _LEFT, _RIGHT, _LEVEL = U64(0x9FB21C651E98DF25), U64(0xA24BAED4963EE407), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 _ONE, _TWO = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
+def _salt(k: int) -> U64:
+    return U64(k * int(_LEVEL) & (1 << 64) - 1)
+
+
+def lowest(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Place of the first lowest value in each range, by tables over lengths 1, 2, 4 and so on; no range is empty."""
+    size = end - begin
+    out = np.empty(len(begin), np.int64)
+    best, width = np.arange(len(values)), 1
+    while True:
+        mine = np.flatnonzero((size >= width) & (size < 2 * width))
+        a, b = best[begin[mine]], best[end[mine] - width]
+        out[mine] = np.where(values[b] < values[a], b, a)
+        if not len(size) or 2 * width > size.max():
+            return out
+        a, b = best[:len(best) - width], best[width:]
+        best, width = np.where(values[b] < values[a], b, a), 2 * width
+
+
+def spans(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of words, each by two ranges of a power of two that cover it."""
+    size = end - begin
+    out = np.empty(len(begin), U64)
+    width = 1
+    while len(size) and width <= size.max():
+        mine = np.flatnonzero((size >= width) & (size < 2 * width))
+        if len(mine):
+            w = windows(h, width, _ONE)
+            out[mine] = mix(w[begin[mine]] * _LEFT + mix(w[end[mine] - width]) * _RIGHT + size[mine].astype(U64))
+        width *= 2
+    return out
+
+
 class Symbols:
     """Symbols of one round: name, first word, and the span of words [lo, hi) that decided it.
 
@@ -84,7 +118,7 @@ class Symbols:
 
     def _pairs(self, k: int, first: np.ndarray) -> Symbols:
         left, right, same = self._beside(first)
-        coin = (mix(self.name + U64(k) * _LEVEL) & U64(1)).astype(bool)  # True: right half
+        coin = (mix(self.name + _salt(k)) & U64(1)).astype(bool)  # True: right half
         joined = np.append(~coin[:-1] & coin[1:] & same[1:], False)
         keep = np.concatenate(([True], ~joined[:-1]))
         name = self.name.copy()
@@ -117,11 +151,12 @@ class Blocks:
         base, open_ = 0, inside
         for k in range(rounds, 0, -1):
             s = levels[k]
-            found = np.searchsorted(s.lo, open_)
-            found[found == len(s.lo)] = 0
-            good = (s.lo[found] >= open_) & (s.hi[found] <= open_ + width)
-            key[open_[good]] = mix(s.name[found[good]] + U64(k) * _LEVEL)
-            mark[open_[good]] = base + found[good]
+            begin, end = np.searchsorted(s.lo, open_), np.searchsorted(s.hi, open_ + width, "right")
+            good = end > begin
+            found = lowest(mix(s.name), begin[good], end[good])
+            used, place = np.unique(found, return_inverse=True)
+            key[open_[good]] = (spans(h, s.lo[used], s.hi[used]) + _salt(k))[place]
+            mark[open_[good]] = base + found
             base += len(s.lo)
             open_ = open_[~good]
         if len(open_):  # the first change of word
