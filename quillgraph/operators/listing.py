@@ -36,9 +36,6 @@ def first_or_none(rows: DataFrame, *order: str) -> DataFrame:
 
 def exactly_one(rows: DataFrame) -> DataFrame:
     """The only row; none or several are an error when the query runs."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    some = rows.limit(2).withColumn("_n", n)
-    checked = some.withColumn("_n", F.when(F.col("_n") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("more than one row")).cast("bigint")))
-    none = rows.sparkSession.range(1).join(rows.limit(1).select(F.lit(1).alias("_one")), F.lit(True), "left")
-    ok = none.where(F.when(F.col("_one").isNull(), F.raise_error(F.lit("no row")).cast("boolean")).otherwise(True)).select(F.col("_one"))
-    return checked.where("_n = 1").drop("_n").join(F.broadcast(ok), F.lit(True), "left_semi")
+    two = rows.limit(2).agg(F.collect_list(F.struct("*")).alias("_rows"))  # at most two rows
+    told = F.raise_error(F.concat(F.lit("expected one row, found "), F.when(F.size("_rows") == 0, "none").otherwise("several")))
+    return two.select(F.inline(F.when(F.size("_rows") == 1, F.col("_rows")).otherwise(told.cast(two.schema["_rows"].dataType))))
