@@ -36,10 +36,11 @@ def parsed(raw: Column) -> Column:
     return F.from_json(raw, "array<struct<type:string,value:string,id:string>>")
 
 
-def references(pages: DataFrame, body: str, key: str, kinds: tuple[str, ...]) -> DataFrame:
-    """One row per block of the kinds that refer to other rows: page, place, type and the id in their value."""
+def references(pages: DataFrame, body: str, key: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per block of the kinds that refer to other rows (None: all kinds): page, place, type and the id in their value."""
     rows = pages.select(key, F.posexplode(body).alias("place", "block"))
-    return rows.where(F.col("block.type").isin(*kinds)).select(key, "place", F.col("block.type").alias("type"), F.col("block.value").try_cast("bigint").alias("target"))
+    rows = rows if kinds is None else rows.where(F.col("block.type").isin(*kinds))
+    return rows.select(key, "place", F.col("block.type").alias("type"), F.col("block.value").try_cast("bigint").alias("target"))
 
 
 def opened_up(pages: DataFrame, key: str, raw: str) -> DataFrame:

@@ -248,8 +248,7 @@ def r_variant_blocks(spark, sf):
 def r_block_references(spark, sf):
     """References inside JSON values, resolved where their target exists."""
     body = F.array(F.struct(F.col("event_type").alias("type"), F.get_json_object("props", "$.k").alias("value")))
-    kinds = tuple(r[0] for r in table(spark, sf, "events").select("event_type").distinct().limit(100).collect())
-    refs = bodies.references(table(spark, sf, "events").select("event_id", body.alias("body")), "body", "event_id", kinds)
+    refs = bodies.references(table(spark, sf, "events").select("event_id", body.alias("body")), "body", "event_id")
     return refs.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("target"), "c_name"), "target", "left").select("event_id", F.col("type").alias("event_type"), "target", "c_name")
 
 
