@@ -1,9 +1,10 @@
 """Connected components of a graph given as rows of links.
 
-Each round first joins what a task sees by itself, then lets every vertex hang
-its larger neighbours, and next its smaller ones, on the smallest (the large-star
-and small-star steps of Kiveris et al., 2014).  No vertex's links are ever
-collected: the steps are a minimum per vertex and a join.
+Tasks first join what they see by themselves, over as few partitions as LINKS
+links for each allow; few links are done with that.  Then, in rounds, every vertex
+hangs its larger neighbours, and next its smaller ones, on the smallest (the
+large-star and small-star steps of Kiveris et al., 2014).  No vertex's links are
+ever collected: the steps are a minimum per vertex and a join.
 """
 
 from __future__ import annotations
@@ -18,31 +19,56 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
+#: Links that a task joins by itself.
+LINKS = 1_000_000
+
+
+def _joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vertex that isn't the smallest of those it can reach, and that one."""
+    ids, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = place[:len(u)], place[len(u):]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = np.minimum(new, new[new])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    k = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[k], ids[root[k]]
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the links of each batch among themselves: every vertex to the smallest it can reach."""
+    """Joins the links of a partition among themselves; passes on what it has after every LINKS links."""
+    u = v = np.zeros(0, np.int64)
+    held, size = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, place = np.unique(np.concatenate((batch.column(0).to_numpy(), batch.column(1).to_numpy())), return_inverse=True)
-        u, v = place[:batch.num_rows], place[batch.num_rows:]
-        root = np.arange(len(ids))
-        while True:
-            low = np.minimum(root[u], root[v])
-            new = root.copy()
-            np.minimum.at(new, root[u], low)
-            np.minimum.at(new, root[v], low)
-            new = np.minimum(new, new[new])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        k = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ids[root[k]])], ["u", "v"])
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size >= LINKS:
+            u, v = _joined(np.concatenate([u, *(h[0] for h in held)]), np.concatenate([v, *(h[1] for h in held)]))
+            held, size = [], 0
+            if len(u) > LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                u = v = np.zeros(0, np.int64)
+    if size:
+        u, v = _joined(np.concatenate([u, *(h[0] for h in held)]), np.concatenate([v, *(h[1] for h in held)]))
+    if len(u):
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """From links (u, v) of longs: (id, root) for every vertex that has a link to another; root is the smallest id."""
-    edges = stored(links.select("u", "v").where("u <> v").mapInArrow(_local, "u long, v long").distinct(), "links")  # u > v
+    rows = stored(links.select("u", "v").where("u <> v"), "links")
+    parts = max(1, -(-rows.count() // LINKS))
+    edges = stored(rows.coalesce(parts).mapInArrow(_local, "u long, v long"), "links")  # u > v
+    if parts == 1 and edges.count() <= LINKS:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    edges = edges.distinct()
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

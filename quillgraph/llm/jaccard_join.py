@@ -15,10 +15,10 @@ Any order gives the same result; this one keeps common passages out of prefixes.
 The result needs what hangs together, not every link, so a shingle with many
 groups is not turned into all their pairs.  The groups are read as a sorted
 stream in which the first few, the pivots, are paired with all others; what that
-leaves open is done in further rounds, each with eight times as many pivots, over
-those lists alone that still hold several components, and with pairs only between
-different components whose parity bitmaps (an exact upper bound of what they can
-share) allow the similarity.  The rounds end when no list is open, so that no link
+leaves open is done in further rounds with more pivots, over those lists alone that
+still hold several components, and with pairs only between different components
+whose parity bitmaps (an exact upper bound of what they can share) allow the
+similarity.  The rounds end when no list is open, so that no link
 between components is missed.
 
 Cases: null, empty and blank texts have no shingles and are linked with nothing;
@@ -31,11 +31,10 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -51,8 +50,8 @@ FREQUENT = 1 << 18
 FREQUENT_FROM = 9
 #: Bits of a shingle's hash that its count goes by.
 KEY_BITS = 36
-#: Pivots of a list in the first round; each later one has eight times as many.
-PIVOTS = 8
+#: Pivots of a list in the first round, the second, and each one after that.
+PIVOTS, FEW, MANY = 8, 64, 1 << 16
 #: Bits of a member's parity bitmap.
 BITMAP = 1024
 SIZE_MASK = (1 << 24) - 1
@@ -351,37 +350,48 @@ def _pivot_pairs(start: int, stop: int):
     """Pairs of a list's members number start to stop with all later ones, of other components, that could be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place = None, 0
-        pivots: list[tuple[int, int, int, np.ndarray]] = []
+        now, place, have = None, 0, 0
+        ids, roots, sizes, maps = _grown(None, 64)
         for batch in batches:
-            lists, ids, roots, sizes, maps = (c.to_pylist() for c in batch.columns)
-            found: list[tuple[int, int]] = []
-            for b, i, root, n, bitmap in zip(lists, ids, roots, sizes, maps):
-                if b != now:
-                    now, place, pivots, table = b, 0, [], None
-                bits = np.frombuffer(bitmap, np.uint64)
-                if pivots:
-                    if table is None:
-                        table = (np.array([p[0] for p in pivots]), np.array([p[1] for p in pivots]), np.array([p[2] for p in pivots]), np.stack([p[3] for p in pivots]))
-                    apart = np.bitwise_count(table[3] ^ bits).sum(axis=1, dtype=np.int64)
-                    shared = (table[2] + n - apart) // 2
-                    good = (table[1] != root) & near_size(table[2], np.int64(n)) & ((100 + PERCENT) * shared >= PERCENT * (table[2] + n))
-                    found += [(int(p), i) for p in table[0][good]]
+            lists, members, tops = (batch.column(k).to_numpy() for k in ("list", "id", "root"))
+            n_of = batch.column("size").to_numpy()
+            bits = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+            found: list[tuple[np.ndarray, int]] = []
+            for k in range(batch.num_rows):
+                if lists[k] != now:
+                    now, place, have = lists[k], 0, 0
+                if have:
+                    other = np.flatnonzero((roots[:have] != tops[k]) & near_size(sizes[:have], n_of[k]))
+                    apart = np.bitwise_count(maps[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                    total = sizes[other] + n_of[k]
+                    good = other[(100 + PERCENT) * ((total - apart) // 2) >= PERCENT * total]
+                    if len(good):
+                        found.append((ids[good], int(members[k])))
                 if start <= place < stop:
-                    pivots.append((i, root, n, bits))
-                    table = None
+                    if have == len(ids):
+                        ids, roots, sizes, maps = _grown((ids, roots, sizes, maps), 2 * have)
+                    ids[have], roots[have], sizes[have], maps[have] = members[k], tops[k], n_of[k], bits[k]
+                    have += 1
                 place += 1
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["u", "v"])
+                u = np.concatenate([f[0] for f in found])
+                v = np.repeat(np.array([f[1] for f in found]), [len(f[0]) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return run
 
 
+def _grown(old, size: int):
+    new = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros((size, BITMAP // 64), np.uint64)
+    for a, b in zip(old or (), new):
+        b[:len(a)] = a
+    return new
+
+
 def linked(texts: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """(id, root) of all classes that are similar to another, from pairs of groups and lists of groups."""
     spark = texts.sparkSession
-    order = F.row_number().over(_by("grp"))
-    placed = stored(classes.select("id", "grp", "n_shingles").withColumn("place", order), "classes")
+    placed = classes.select("id", "grp", "place")
     groups = placed.groupBy("grp").agg(F.max("place").alias("n"))
     own = groups.where("n > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
     pairs = found.where("NOT listed").select("a", "b").distinct().unionByName(own)
@@ -402,7 +412,7 @@ def linked(texts: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     members = stored(members.mapInArrow(_zipped, "id long, size long, bytes long, bitmap binary, blob binary"), "members")
     links = stored(verified(first, members), "links")
     roots = components(links)
-    start, stop = 0, PIVOTS * PIVOTS
+    start, stop = 0, FEW
     while True:
         labelled = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = labelled.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where(f"a <> b AND n > {start} + 1")
@@ -415,13 +425,7 @@ def linked(texts: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
         links = stored(links.unionByName(verified(more, members)), "links")
         roots = components(links)
         lists = lists.drop("root")
-        start, stop = stop, stop * 8
-
-
-def _by(group: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(group).orderBy("id")
+        start, stop = stop, stop + MANY
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -430,7 +434,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = frequent(texts)
     rows = stored(texts.mapInArrow(lambda it: _rows(it, often), "doc_id long, n_shingles long, one long, two long, grp long"), "sets")
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "one", "two", "grp").agg(F.min("doc_id").alias("id"))
-    classes = stored(classes, "classes")
+    classes = stored(classes.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("id"))), "classes")
     roots = linked(texts, classes, prefix_pairs(texts, often))
     names = classes.join(roots, "id", "left").select("n_shingles", "one", "two", "id", F.coalesce("root", "id").alias("root"))
     # rows that repeat a doc_id with other sets are one document, whose classes hang together

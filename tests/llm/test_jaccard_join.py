@@ -64,6 +64,8 @@ def near_copies(seed, n=60, edits=3):
 def test_near_copies(spark, monkeypatch, seed, pivots, often):
     monkeypatch.setattr(jj, "PIVOTS", pivots)
     monkeypatch.setattr(jj, "FREQUENT", often)
+    monkeypatch.setattr(jj, "FEW", 3)
+    monkeypatch.setattr(jj, "MANY", 20)
     texts = near_copies(seed) + HARD
     assert result(jj.near_duplicates(docs(spark, texts, extra=True))) == brute(list(enumerate(texts)))
 
@@ -94,7 +96,9 @@ def test_nulls_repeats_and_empty(spark):
     assert jj.near_duplicates(df.where("false")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("size", [1_000_000, 40])
+def test_components(spark, monkeypatch, size):
+    monkeypatch.setattr(components, "LINKS", size)
     rng = random.Random(6)
     links = [(k, k + 1) for k in range(0, 60)] + [(rng.randint(100, 300), rng.randint(100, 300)) for _ in range(150)] + [(1000, k) for k in range(1001, 1200)]
     root = {v: v for e in links for v in e}
