@@ -192,10 +192,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         ids = batch.column("doc_id").fill_null(0).to_numpy()
         tag = batch.column("tag").to_numpy()
         real = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[b.doc]
-        doc = b.doc[real]
+        order = np.flatnonzero(real)[np.lexsort((b.at[real], b.content[real], b.anchor[real], b.doc[real]))]
+        anchor, content, doc, n = b.anchor[order], b.content[order], b.doc[order], b.count[order]
+        at = (b.at[order] - t.first[doc]).astype(np.int32)
+        new = np.ones(len(order), bool)  # equal blocks of a document, as a period has many, are one row
+        new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (doc[1:] != doc[:-1]) | (n[1:] != n[:-1])
+        k = np.flatnonzero(new)
         yield pa.RecordBatch.from_arrays([
-            pa.array(signed(b.anchor[real])), pa.array(signed(b.content[real])), pa.array(ids[doc]), pa.array(tag[doc]),
-            pa.array((b.at[real] - t.first[doc]).astype(np.int32)), pa.array(b.count[real].astype(np.int32)),
+            pa.array(signed(anchor[k])), pa.array(signed(content[k])), pa.array(ids[doc[k]]), pa.array(tag[doc[k]]),
+            pa.ListArray.from_arrays(pa.array(np.append(k, len(order)).astype(np.int32)), pa.array(at)), pa.array(n[k].astype(np.int32)),
         ], ["anchor", "content", "doc_id", "tag", "at", "n"])
 
 
@@ -248,16 +253,22 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contents, docs = int(n_contents[-1]), bool(several[-1])
 
 
+def positions(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and number of each place in lists of (at, n), where at is a list of first words."""
+    parts = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    at = parts.field("at")
+    times = at.value_lengths().to_numpy()
+    return np.repeat(row, times), at.flatten().to_numpy().astype(np.int64), np.repeat(parts.field("n").to_numpy().astype(np.int64), times)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """128-bit fingerprints of the windows in the wanted blocks."""
     for batch in slices(batches):
         t = Texts(batch.column("text")).split()
         h = t.word_hashes()
         one, two = windows(h, width, _ONE), windows(mix(h), width, _TWO)
-        lists = batch.column("blocks")
-        parts = lists.flatten()
-        at, n = parts.field("at").to_numpy().astype(np.int64), parts.field("n").to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        doc, at, n = positions(batch.column("blocks"))
         begin = t.first[doc] + at
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -287,17 +298,17 @@ def _later(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 
 
 def repeated_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Spans of words to remove, overlapping as they may: doc_id, tag (hash of the text), at (word), n (words)."""
+    """Spans of words to remove, overlapping as they may: doc_id, tag (hash of the text), at (list of first words), n (words)."""
     spark = docs.sparkSession
     count = partitions(spark)
     texts = pick(docs, "doc_id", "text").withColumn("tag", F.hash("text"))
-    blocks = texts.mapInArrow(lambda it: _blocks(it, width), "anchor long, content long, doc_id long, tag int, at int, n int")
+    blocks = texts.mapInArrow(lambda it: _blocks(it, width), "anchor long, content long, doc_id long, tag int, at array<int>, n int")
     blocks = blocks.repartition(count, "anchor").sortWithinPartitions("anchor", "content", "doc_id")
-    found = stored(blocks.mapInArrow(_compared, "doc_id long, tag int, at int, n int, whole boolean"), "repeats")
+    found = stored(blocks.mapInArrow(_compared, "doc_id long, tag int, at array<int>, n int, whole boolean"), "repeats")
     open_ = found.where("NOT whole").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
     prints = texts.join(open_.hint("shuffle_hash"), ["doc_id", "tag"]).mapInArrow(lambda it: _fingerprints(it, width), "one long, two long, doc_id long, tag int, at int")
     prints = prints.repartition(count, "one", "two").sortWithinPartitions("one", "two", "doc_id")
-    single = prints.mapInArrow(lambda it: _later(it, width), "doc_id long, tag int, at int, n int")
+    single = prints.mapInArrow(lambda it: _later(it, width), "doc_id long, tag int, at int, n int").withColumn("at", F.array("at"))
     whole = found.where("whole").select("doc_id", "tag", "at", (F.col("n") + width - 1).alias("n"))
     return whole.unionByName(single)
 
@@ -310,12 +321,9 @@ def with_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 def removed_words(batch: pa.RecordBatch, t: Texts) -> np.ndarray:
     """Which words the spans of a batch cover."""
-    lists = batch.column("_spans").fill_null([])
-    parts = lists.flatten()
-    doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-    begin = t.first[doc] + parts.field("at").to_numpy().astype(np.int64)
-    n = len(t.start)
-    steps = np.bincount(begin, minlength=n + 1).astype(np.int64) - np.bincount(begin + parts.field("n").to_numpy(), minlength=n + 1)
+    doc, at, words = positions(batch.column("_spans"))
+    begin, n = t.first[doc] + at, len(t.start)
+    steps = np.bincount(begin, minlength=n + 1).astype(np.int64) - np.bincount(begin + words, minlength=n + 1)
     return np.cumsum(steps)[:n] > 0
 
 
