@@ -1,24 +1,16 @@
 """Benchmark decontamination: which documents hold a benchmark item, with edits.
 
-Words (A-Z as a-z) are the alphabet.  The CGK random walk (Chakraborty,
-Goldenberg, Koucky, 2016) reads a string and at each step writes the current word
-and stays or moves on, as a coin says that depends on step and word: strings at a
-small edit distance get outputs at a small Hamming distance, since the walks meet
-again after an edit.  Each repetition has its own coins and samples SAMPLED steps;
-an item and a window of its size are candidates when they wrote the same words at
-the sampled steps.  Windows begin, or for walks backwards end, at every word of
-every document.  Candidates are verified by the exact edit distance of characters
-(Myers' bit vectors) between the item and the best substring around the window.
-
-With REPETITIONS = 16 and 3 sampled steps an item of which a share p of the steps
-agrees is found with probability 1 - (1 - p**3)**16: always where it is copied,
-0.99 at p = 0.63.
-
-A walk is followed for all windows at once and given up at the first sampled step
-whose word no item wrote there, which finds the same candidates as hashing whole
-samples.  Candidates are then compared on the whole walk: fewer than AGREEING
-percent of equal steps are no match.  Items go to the tasks in blocks of bounded size, each against all
-documents.
+An item is held where a substring of the text is within PERCENT edits of
+characters (A-Z as a-z, white space as one space) for its length.  Every such place
+is found.  An item is cut into pieces of GRAM characters, fewer where it is short;
+each edit spoils one piece at most, so of s pieces s - k stay whole when k edits are
+allowed, and move by k places at most.  All texts are looked through for the pieces
+by a rolling hash; where s - k of an item's pieces lie within 2k places of where they
+belong, the exact edit distance (Myers' bit vectors) between the item and the best
+substring around decides.  Nothing is sampled, and items of all lengths are cut so
+that s - k is 1 at least.
+
+Items go to the tasks in blocks of bounded size, each against all documents.
 
 Cases: null and blank texts and items hold and match nothing; rows that repeat
 a doc_id give the smallest distance; repeated item_ids likewise; null ids are
@@ -29,28 +21,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import U64, Texts, pick, slices
+from .textkernel import SPACE, U64, Texts, pick, slices
 
 #: Edits allowed, in percent of the item's characters.
 PERCENT = 15
-REPETITIONS = 16
-SAMPLED = 3
-#: The first sampled step of long walks is before this.
-EARLY = 4
-#: Least share of the whole walk's steps, in percent, on which a candidate must agree with the item before it is verified.
-AGREEING = 35
+#: Characters of a piece at most: the most for which s - k grows with the length at 15 percent.
+GRAM = 5
+#: Pieces that must be found where so many are sure to stay whole; what is above that allows to leave out frequent pieces.
+LEAST = 7
+#: Characters of the pieces that are looked for around candidates before the exact distance.
+SHORT = 3
 #: Items that are sent to the tasks at once.
 BLOCK = 20_000
-#: Words beyond a document's end that a window may reach.
-OVERHANG = 8
-#: Words by which items are put in classes; a class samples that many steps at most, so that no walk leaves its window.
-STEPS = (1, 2, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+
+_FACTORS = np.random.Generator(np.random.PCG64(7919)).integers(1, 1 << 62, GRAM, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
 def plain(text: str) -> str:
@@ -58,158 +49,137 @@ def plain(text: str) -> str:
     return b" ".join((text or "").encode().lower().split()).decode()
 
 
-def coins(repetition: int) -> np.ndarray:
-    """An odd factor for each step: the coin of a word is the top bit of its hash times the factor."""
-    rng = np.random.Generator(np.random.PCG64(7919 * repetition + 1))
-    return rng.integers(1, 1 << 62, STEPS[-1], dtype=np.int64).astype(U64) * U64(2) + U64(1)
+def characters(t: Texts) -> tuple[str, np.ndarray]:
+    """All texts one after another, each made plain, and where each begins, and the end."""
+    data = t.data + ((t.data >= 65) & (t.data <= 90)).astype(np.uint8) * 32
+    kept = ~SPACE[data]
+    last = np.zeros(len(t.end), bool)
+    last[t.first[1:][np.diff(t.first) > 0] - 1] = True
+    gaps = t.end[~last]  # the byte after a word that isn't its text's last
+    kept[gaps], data[gaps] = True, 32
+    begins = kept & ((data & 0xC0) != 0x80)
+    off = np.concatenate(([0], np.cumsum(begins)))[t.off]
+    return data[kept].tobytes().decode(), off
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def sampled_steps(repetition: int, steps: int) -> list[int]:
-    """SAMPLED distinct steps, one from each part of the walk where it is long enough; the first is an early one, the same for all long walks."""
-    if steps < SAMPLED:
-        return list(range(steps))
-    early = int(np.random.Generator(np.random.PCG64(15485863 * repetition + 3)).integers(0, EARLY))
-    rng = np.random.Generator(np.random.PCG64(104729 * repetition + steps))
-    cut = [steps * k // SAMPLED for k in range(SAMPLED + 1)]
-    out = [int(rng.integers(a, b)) for a, b in zip(cut, cut[1:])]
-    return [early, *out[1:]] if cut[1] >= EARLY else out
+def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all runs of q characters."""
+    n = max(0, len(points) - q + 1)
+    wide = points.astype(U64)
+    out = np.zeros(n, U64)
+    for k in range(q):
+        out += wide[k:k + n] * _FACTORS[k]
+    return out
 
 
-def moved(h: np.ndarray, coin: U64) -> np.ndarray:
-    """Whether the walk moves on from words with these hashes."""
-    return (h * coin >> U64(63)).astype(np.int64)
+@dataclass
+class Pieces:
+    """Pieces of q characters: their hashes, and of each hash the items and offsets, from first[k] to first[k + 1]."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
+    shift: U64
+    coarse: np.ndarray
 
 
 class Items:
-    """Benchmark items and, for each repetition and class, the words that they wrote at the sampled steps."""
+    """Benchmark items and their pieces by size."""
 
     def __init__(self, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
         self.texts = [plain(r[1]) for r in rows]
         self.limit = [len(t) * PERCENT // 100 for t in self.texts]
-        t = Texts(pa.array(self.texts, pa.string())).split()
-        h = t.word_hashes()
-        self.words = np.diff(t.first)
-        self.vocabulary = np.unique(h)
-        wid = np.searchsorted(self.vocabulary, h) + 1  # 0: no word of any item
-        self.coarse = np.zeros(1 << 18, bool)
-        self.coarse[(self.vocabulary >> U64(46)).astype(np.int64)] = True
-        self.tables = []  # by repetition and first step: words that any class wrote there, and the classes
-        classes = np.array([max([s for s in STEPS if s <= n], default=0) for n in self.words])
-        for repetition in range(REPETITIONS):
-            of: dict[int, tuple[np.ndarray, list]] = {}
-            for steps in sorted(set(classes.tolist()) - {0}):
-                mine = np.flatnonzero(classes == steps)
-                at = t.first[mine + 1] - 1 if repetition % 2 else t.first[mine]
-                walk = self._walk(h, wid, at, repetition, steps)
-                sampled = sampled_steps(repetition, steps)
-                allowed = []
-                for k in sampled:
-                    ok = np.zeros(len(self.vocabulary) + 1, bool)
-                    ok[walk[k]] = True
-                    allowed.append(ok)
-                key = self.key([walk[k] for k in sampled])
-                order = np.argsort(key, kind="stable")
-                any_, group = of.setdefault(sampled[0], (np.zeros(len(self.vocabulary) + 1, bool), []))
-                any_ |= allowed[0]
-                group.append((steps, sampled, allowed, key[order], mine[order], walk[:, order]))
-            self.tables.append(of)
-
-    @staticmethod
-    def key(wrote: list[np.ndarray]) -> np.ndarray:
-        key = np.zeros(len(wrote[0]), np.int64)
-        for w in wrote:
-            key = key << 21 | w
-        return key
-
-    @staticmethod
-    def _walk(h, wid, at, repetition, steps) -> np.ndarray:
-        """Words written at all steps, by step and item."""
-        coin, wrote = coins(repetition), []
-        for k in range(steps):
-            wrote.append(wid[at])
-            if k < steps - 1:
-                at = at - moved(h[at], coin[k]) if repetition % 2 else at + moved(h[at], coin[k])
-        return np.array(wrote)
-
-    def candidates(self, t: Texts) -> set[tuple[int, int, int]]:
-        """(text, item, first word within the text) for every window that shares its samples with an item."""
-        n = len(t.start)
-        if not n or not len(self.vocabulary):
-            return set()
-        gap = OVERHANG
-        h = np.zeros(n + gap * (t.n + 1), U64)
-        doc = t.doc_of_words()
-        place = np.arange(n) + gap * (doc + 1)
-        h[place] = t.word_hashes(lower=True)
-        wid = np.zeros(len(h), np.int64)
-        maybe = np.flatnonzero(self.coarse[(h >> U64(46)).astype(np.int64)])
-        found = np.searchsorted(self.vocabulary, h[maybe])
-        found[found == len(self.vocabulary)] = 0
-        hit = self.vocabulary[found] == h[maybe]
-        wid[maybe[hit]] = found[hit] + 1
-        begin, end = t.first[:-1] + gap * np.arange(1, t.n + 1), t.first[1:] + gap * np.arange(1, t.n + 1)
-        out: set[tuple[int, int, int]] = set()
-        for repetition, groups in enumerate(self.tables):
-            back = repetition % 2
-            sign = -1 if back else 1
-            coin = coins(repetition)
-            for first, (any_, classes) in groups.items():
-                pos = place
-                for k in range(first):
-                    pos = pos + sign * moved(h[pos], coin[k])
-                some = np.flatnonzero(any_[wid[pos]])
-                if not len(some):
-                    continue
-                pos, start, of = pos[some], place[some], doc[some]
-                room = gap + (start - begin[of] + 1 if back else end[of] - start)
-                for steps, sampled, allowed, keys, items, walk in classes:
-                    ok = (room >= steps) & allowed[0][wid[pos]]
-                    now, origin, k = pos[ok], start[ok], first
-                    wrote = [wid[now]]
-                    for which in range(1, len(sampled)):
-                        while k < sampled[which]:
-                            now = now + sign * moved(h[now], coin[k])
-                            k += 1
-                        w = wid[now]
-                        ok = allowed[which][w]
-                        now, origin = now[ok], origin[ok]
-                        wrote = [x[ok] for x in (*wrote, w)]
-                    if not len(now):
-                        continue
-                    key = self.key(wrote)
-                    lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                    each = np.repeat(np.arange(len(lo)), hi - lo)
-                    if not len(each):
-                        continue
-                    which = np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
-                    origin = now = origin[each]
-                    same = np.zeros(len(each), np.int64)
-                    for k in range(steps):
-                        same += wid[now] == walk[k, which]
-                        if k < steps - 1:
-                            now = now + sign * moved(h[now], coin[k])
-                    good = 100 * same >= AGREEING * steps
-                    for o, item in zip(origin[good].tolist(), items[which[good]].tolist()):
-                        d = int(np.searchsorted(begin, o, "right")) - 1
-                        at = o - int(begin[d])
-                        out.add((d, item, at - int(self.words[item]) + 1 if back else at))
-        return out
-
-
-def substring_distance(pattern: str, text: str, most: int) -> int:
-    """Least edit distance between the pattern and a substring of the text; most + 1 if it is above `most`."""
+        self.size, self.most = np.array([len(t) for t in self.texts], np.int64), np.array(self.limit, np.int64)
+        self.whole = np.zeros(len(rows), np.int64)  # pieces that stay whole at least
+        by: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, (text, most) in enumerate(zip(self.texts, self.limit)):
+            if text:
+                q = min(GRAM, len(text) // (most + 1))
+                by.setdefault(q, []).append((gram_hashes(code_points(text), q), k))
+                self.whole[k] = len(text) // q - most
+        self.pieces = {}
+        for q, some in by.items():
+            grams, times = np.unique(np.concatenate([h for h, _ in some]), return_counts=True)
+            parts = []
+            for h, k in some:  # pieces that are frequent in items are left out, and as many fewer must be found
+                offset = np.arange(0, len(h), q)
+                usual = np.argsort(-times[np.searchsorted(grams, h[offset])], kind="stable")
+                spared = max(0, int(self.whole[k]) - LEAST)
+                offset = np.sort(offset[usual[spared:]])
+                self.whole[k] -= spared
+                parts.append((h[offset], offset, np.full(len(offset), k)))
+            h, offset, item = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            hashes, first = np.unique(h[order], return_index=True)
+            shift = U64(64 - min(26, max(18, len(hashes).bit_length() + 6)))
+            coarse = np.zeros(1 << (64 - int(shift)), bool)
+            coarse[(hashes >> shift).astype(np.int64)] = True
+            self.pieces[q] = Pieces(hashes, np.append(first, len(h)), item[order], offset[order], shift, coarse)
+        self.gap = 4 * int(self.size.max(initial=0)) + 16  # between texts, so that no item reaches from one to the next
+
+    def candidates(self, points: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first and last place) of all regions in which an item may be held, in order."""
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        reach = int(self.size.max(initial=0))
+        begins = off[:-1] + np.arange(len(off) - 1) * self.gap - reach
+        out: list[tuple[int, int, int, int]] = []
+        for q, p in self.pieces.items():
+            h = gram_hashes(points, q)
+            at = np.flatnonzero(p.coarse[(h >> p.shift).astype(np.int64)])
+            h = h[at]
+            found = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
+            same = p.hashes[found] == h
+            at, found = at[same], found[same]
+            many = p.first[found + 1] - p.first[found]
+            which = np.arange(int(many.sum())) + np.repeat(p.first[found] - np.cumsum(many) + many, many)
+            key = np.repeat(at + doc[at] * self.gap + reach, many) - p.offset[which]  # where the item would begin
+            key += p.item[which] << 40
+            key.sort()
+            item = key >> 40
+            end = np.arange(len(key)) + self.whole[item] - 1
+            some = np.flatnonzero(end < len(key))
+            some = some[key[end[some]] - key[some] <= 2 * self.most[item[some]]]
+            if not len(some):
+                continue
+            item, last = item[some], key[end[some]]
+            lo = last - self.most[item]
+            hi = key[some] + 2 * self.most[item] + self.size[item]
+            new = np.append(True, (lo[1:] > hi[:-1]) | (item[1:] != item[:-1]))
+            start = np.flatnonzero(new)
+            stop = np.append(start[1:], len(some)) - 1
+            item = item[start]
+            base = (item << 40) + reach
+            d = np.searchsorted(begins, key[some[start]] - base, "right") - 1
+            lo, hi = (x - base - d * self.gap for x in (lo[start], hi[stop]))
+            out += zip(d.tolist(), item.tolist(), lo.tolist(), hi.tolist())
+        return sorted(out)
+
+    def plausible(self, item: int, texts: str, lo: int, hi: int, begin: int, end: int) -> bool:
+        """Whether enough of the item's shorter pieces are near where they belong, if it begins k after lo at least and ends at hi at most."""
+        text, missing, q = self.texts[item], self.limit[item] + 1, SHORT
+        for at in range(0, len(text) - q + 1, q):
+            if texts.find(text[at:at + q], max(lo + at, begin), min(hi - len(text) + at + q, end)) < 0:
+                missing -= 1
+                if not missing:
+                    return False
+        return True
+
+
+def best_substring(pattern: str, text: str) -> tuple[int, int]:
+    """Least edit distance between the pattern and a substring of the text, and the end of the first such substring."""
     m = len(pattern)
-    if pattern in text:
-        return 0
-    if not m:
-        return 0
     where: dict[str, int] = {}
     for k, c in enumerate(pattern):
         where[c] = where.get(c, 0) | 1 << k
     full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, m
-    for c in text:
+    up, down, score, best, end = full, 0, m, m, 0
+    for at, c in enumerate(text, 1):
         eq = where.get(c, 0)
         x = eq | down
         diagonal = (((x & up) + up) ^ up) | x
@@ -218,30 +188,37 @@ def substring_distance(pattern: str, text: str, most: int) -> int:
             score += 1
         elif minus & top:
             score -= 1
-            best = min(best, score)
+            if score < best:
+                best, end = score, at
         plus, minus = plus << 1 & full, minus << 1 & full
         up, down = minus | ~(diagonal | plus) & full, plus & diagonal
-    return best if best <= most else most + 1
+    return best, end
+
+
+def substring_distance(pattern: str, text: str, most: int) -> int:
+    """Least edit distance between the pattern and a substring of the text; most + 1 if it is above `most`."""
+    if pattern in text:
+        return 0
+    return min(best_substring(pattern, text)[0], most + 1)
 
 
 def _found(items: Items, t: Texts) -> dict[tuple[int, int], tuple[int, int]]:
     """Least distance and first word of each item in each text (row of the slice) that holds it."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    done: dict[tuple[int, int], int] = {}
-    for d, item, at in sorted(items.candidates(t)):
-        n, most = int(items.words[item]), items.limit[item]
-        if best.get((d, item), (1,))[0] == 0 or at <= done.get((d, item), -1):
-            continue
-        slack = most // 4 + 2
-        a, b = int(t.first[d]), int(t.first[d + 1])
-        lo, hi = max(a, a + at - slack), min(b, a + at + n + slack)
-        done[d, item] = at + slack // 2  # what begins no later was in this region
-        if hi <= lo:
+    texts, off = characters(t)
+    for d, item, lo, hi in items.candidates(code_points(texts), off):
+        known, pattern = best.get((d, item), (items.limit[item] + 1, 0))[0], items.texts[item]
+        if not known or not items.plausible(item, texts, lo, hi, int(off[d]), int(off[d + 1])):
             continue
-        region = plain(t.raw[t.start[lo]:t.end[hi - 1]].decode())
-        found = substring_distance(items.texts[item], region, most)
-        if found <= most and found < best.get((d, item), (most + 1,))[0]:
-            best[d, item] = (found, max(0, at))
+        lo, hi = max(lo, int(off[d])), min(hi, int(off[d + 1]))
+        region = texts[lo:hi]
+        at = region.find(pattern)
+        found, end = (0, at + len(pattern)) if at >= 0 else best_substring(pattern, region)
+        if found < known:
+            if at < 0:
+                end, at = lo + end, best_substring(pattern[::-1], region[:end][::-1])[1]
+                at = end - at - lo
+            best[d, item] = (found, texts.count(" ", int(off[d]), lo + at))
     return best
 
 

@@ -91,3 +91,33 @@ def test_nulls_blanks_and_empty(spark):
     assert result(dc.leaks(df, bench)) == {(len(HARD), 4): 0}
     assert dc.leaks(df.where("false"), bench).count() == 0
     assert dc.leaks(df, bench.where("false")).count() == 0
+
+
+def spread(rng, text, edits):
+    """As many edits as that, evenly spread from end to end, so that few words stay."""
+    at = sorted({k * (len(text) - 1) // max(1, edits - 1) for k in range(edits)}, reverse=True)
+    for k in at:
+        text = text[:k] + rng.choice(["", "é", text[k] + "y"]) + text[k + 1:]
+    return text
+
+
+def test_every_copy_within_the_limit_is_found(spark):
+    """Edits up to PERCENT itself: spread over all of the item, all at its beginning or all at its end; items of 1 to 150 words."""
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefghéß", k=rng.randint(1, 9))) for _ in range(300)]
+    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([1, 2, 3, 4, 6, 9, 12, 14, 20, 40, 64, 70, 100, 150])]
+    texts = []
+    for _, item in items:
+        most = len(item) * dc.PERCENT // 100
+        for copy in (spread(rng, item, most), "z" * most + item[most:], item[:len(item) - most] + "z" * most, item[:len(item) // 2] + "q" * most + item[len(item) // 2:], spread(rng, item, most + 4)):
+            body = rng.choices(words, k=rng.randint(0, 60))
+            body.insert(rng.randint(0, len(body)), copy)
+            texts.append(rng.choice([" ", "\n", " \t "]).join(body))
+    want = brute(list(enumerate(texts)), items)
+    assert len(want) >= 4 * len(items)
+    found = dc.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert result(found) == want
+    for r in found.collect():  # the item begins at the word that is named
+        rest = " ".join(dc.plain(texts[r.doc_id]).split(" ")[r.at_word:])
+        item = dc.plain(items[r.item_id][1])
+        assert dc.substring_distance(item, rest[:2 * len(item) + 20], r.distance) == r.distance
