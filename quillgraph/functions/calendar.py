@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 RULES = ("daily", "weekly", "monthly", "yearly")
 
 
-def occurrences(events: DataFrame, start: str = "start", rule: str = "repeat", until: str = "repeat_until", most: int = 1000) -> DataFrame:
+def occurrences(events: DataFrame, start: str = "start", rule: str = "repeat", until: str = "repeat_until") -> DataFrame:
     """One row per occurrence, column `occurs` (date), up to `until`; events without a rule or end occur once.
 
     Months and years without that day are skipped, not moved to their last day.
-    most: occurrences after which an expansion ends; a recurrence is a definition that may have no end.
+    However far the end is, all occurrences before it are there.
     """
     begin, end = F.to_date(F.col(start)), F.to_date(F.coalesce(F.col(until), F.col(start)))
     months = F.months_between(F.last_day(end), begin).cast("int") + 1
@@ -21,7 +21,7 @@ def occurrences(events: DataFrame, start: str = "start", rule: str = "repeat", u
         F.when(F.col(rule) == "daily", F.date_diff(end, begin)).when(F.col(rule) == "weekly", F.floor(F.date_diff(end, begin) / 7))
         .when(F.col(rule) == "monthly", months).when(F.col(rule) == "yearly", F.floor(months / 12)).otherwise(0).cast("int")
     )
-    k = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(steps, F.lit(most)))))
+    k = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), steps)))
     rows = events.withColumn("_k", k)
     day = (
         F.when(F.col(rule) == "daily", F.date_add(begin, F.col("_k"))).when(F.col(rule) == "weekly", F.date_add(begin, F.col("_k") * 7))

@@ -384,6 +384,21 @@ def r_recur_monthly(spark, sf):
     return calendar.occurrences(rows).select("o_orderkey", "occurs")
 
 
+@query(
+    "WITH e AS (SELECT o_orderkey, o_orderkey % 4 AS rule, o_orderdate::DATE AS b FROM orders), "
+    "m AS (SELECT o_orderkey, b, (b + CASE rule WHEN 2 THEN to_months(k::INT) ELSE to_years(k::INT) END)::DATE AS occurs FROM e, range(240) r(k) WHERE rule > 1), "
+    "o AS (SELECT o_orderkey, b + k::INT AS occurs FROM e, range(1101) r(k) WHERE rule = 0 UNION ALL SELECT o_orderkey, b + 7 * k::INT FROM e, range(1029) r(k) WHERE rule = 1 "
+    "UNION ALL SELECT o_orderkey, occurs FROM m WHERE day(occurs) = day(b) AND occurs <= b + 7200) "
+    "SELECT o_orderkey, count(*) AS n, max(occurs) AS last, sum(occurs - DATE '1970-01-01')::BIGINT AS days FROM o GROUP BY o_orderkey"
+)
+def r_recur_all(spark, sf):
+    """Daily, weekly, monthly and yearly recurrences of all orders, for 1100 days (daily) or 7200: number, last date and sum of dates of each."""
+    kind, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
+    rule = F.element_at(F.array(*[F.lit(r) for r in calendar.RULES]), (kind + 1).cast("int"))
+    rows = table(spark, sf, "orders").select("o_orderkey", day.alias("start"), rule.alias("repeat"), F.date_add(day, F.when(kind == 0, 1100).otherwise(7200)).alias("repeat_until"))
+    return calendar.occurrences(rows).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("occurs").alias("last"), F.sum(F.unix_date("occurs")).alias("days"))
+
+
 @query("SELECT date_trunc('week', ts)::TIMESTAMP AS bucket, count(*) AS n FROM events GROUP BY 1")
 def r_calendar_buckets(spark, sf):
     return table(spark, sf, "events").groupBy(calendar.bucket(F.col("ts"), "week").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))

@@ -110,6 +110,13 @@ def test_recurrence(spark):
     assert got == {1: [d(2024, 1, 31), d(2024, 3, 31), d(2024, 5, 31)], 2: [d(2024, 2, 29), d(2028, 2, 29)], 3: [d(2024, 1, k) for k in (1, 8, 15)], 4: [d(2024, 1, k) for k in (1, 2, 3)], 5: [d(2024, 1, 1)]}
 
 
+def test_recurrence_beyond_a_thousand_steps(spark):
+    d = dt.date
+    rows = spark.createDataFrame([(1, d(2020, 1, 1), "daily", d(2022, 12, 31)), (2, d(2000, 1, 3), "weekly", d(2030, 1, 1)), (3, d(1900, 1, 15), "monthly", d(2000, 1, 15)), (4, d(100, 5, 5), "yearly", d(1200, 5, 4))], "id int, start date, repeat string, repeat_until date")
+    got = {r.id: (r.n, r.last) for r in calendar.occurrences(rows).groupBy("id").agg(F.count("*").alias("n"), F.max("occurs").alias("last")).collect()}
+    assert got == {1: (1096, d(2022, 12, 31)), 2: (1566, d(2029, 12, 31)), 3: (1201, d(2000, 1, 15)), 4: (1100, d(1199, 5, 5))}
+
+
 def test_live(spark):
     rows = spark.createDataFrame([(None, None), (1, None), (2, None), (3, None), (None, 2), (None, 3), (1, 3)], "a int, b int")
     assert [r.y for r in rows.select(calendar.is_live(F.lit(2), F.col("a"), F.col("b")).alias("y")).collect()] == [True, True, True, False, False, True, True]
