@@ -3,13 +3,13 @@
 URLs become small sets of tokens: parts of the host, first directory, file
 extension, names of the query, and so on.  On labelled pages Spark's FP-growth
 finds the token sets that go with a label; rules with enough support and
-confidence are kept, unless a rule with fewer tokens is as sure.  A page gets the
+confidence are kept, unless a rule with some of its tokens is as sure.  A page gets the
 verdict of the surest rule that its tokens fit, found by an inverted index from
 each rule's rarest token.  Given host and path rules come before, the longest first.
 
 A page is labelled by the row of `labels` whose doc_id is its page_id: bad when
-quality is 0 or toxic is 1.  The number of rules that go to the tasks is bounded by
-MAX_RULES, the surest ones.
+quality is 0 or toxic is 1.  All rules that are left go to the tasks: a page has ten
+tokens at most and so 1024 sets of them, so MIN_SUPPORT bounds their number.
 
 Cases: null urls and urls without :// have empty host and path and are allowed
 unless a mined rule says otherwise; null page_ids are returned as they are; labels
@@ -33,9 +33,8 @@ from .textkernel import pick
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.6
-#: A rule's confidence must be so many times the share of its label.
-MIN_LIFT = 1.5
-MAX_RULES = 10_000
+#: The odds of a rule's label must be so many times its odds among all labelled pages; a rule without exceptions always is.
+MIN_ODDS = 3
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,18 +82,14 @@ class Rule:
     support: float
 
 
-def pruned(rules: list[Rule]) -> list[Rule]:
-    """Without rules that a rule with some of the same tokens makes needless: same verdict and as sure."""
-    by: dict[frozenset[str], list[Rule]] = {}
-    kept = []
-    for rule in sorted(rules, key=lambda r: (len(r.tokens), sorted(r.tokens), r.verdict)):
-        subsets = [frozenset()]
-        for t in rule.tokens:
-            subsets += [s | {t} for s in subsets]
-        if not any(r.verdict == rule.verdict and r.confidence >= rule.confidence for s in subsets for r in by.get(s, ())):
-            by.setdefault(rule.tokens, []).append(rule)
-            kept.append(rule)
-    return kept
+def pruned(rules: DataFrame) -> DataFrame:
+    """Without rules (tokens, verdict, confidence, support) that a rule with some of the same tokens makes needless: same verdict and as sure."""
+    rules = rules.withColumn("tokens", F.array_sort("tokens"))
+    masks = F.explode(F.expr("sequence(1, greatest(1, shiftleft(1, size(tokens)) - 2))"))
+    parts = rules.where(F.size("tokens") > 1).select(F.col("tokens").alias("whole"), "verdict", F.col("confidence").alias("sure"), masks.alias("mask"))
+    parts = parts.withColumn("tokens", F.expr("filter(whole, (x, k) -> (shiftright(mask, k) & 1) = 1)"))
+    needless = parts.join(rules, ["tokens", "verdict"]).where("confidence >= sure").select(F.col("whole").alias("tokens"), "verdict")
+    return rules.join(needless, ["tokens", "verdict"], "left_anti")
 
 
 def mine(pages: DataFrame, labels: DataFrame) -> list[Rule]:
@@ -106,9 +101,10 @@ def mine(pages: DataFrame, labels: DataFrame) -> list[Rule]:
         return []
     model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(rows)
     found = model.associationRules.where(F.array_contains("consequent", "=block") | F.array_contains("consequent", "=allow"))
-    found = found.where((F.col("lift") >= MIN_LIFT) & (F.size("consequent") == 1))
-    top = found.orderBy(F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(MAX_RULES)
-    return pruned([Rule(frozenset(r.antecedent), r.consequent[0][1:], r.confidence, r.support) for r in top.collect()])
+    share = F.col("confidence") / F.col("lift")
+    surer = F.col("confidence") * (1 - share) >= MIN_ODDS * share * (1 - F.col("confidence"))
+    found = found.where(surer & (F.size("consequent") == 1)).select(F.col("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support")
+    return [Rule(frozenset(r.tokens), r.verdict, r.confidence, r.support) for r in pruned(found).collect()]
 
 
 class Index:

@@ -125,6 +125,23 @@ def test_op5_mines_rules(spark):
         assert not any(o is not r and o.verdict == r.verdict and o.tokens < r.tokens and o.confidence >= r.confidence for o in rules)
 
 
+def test_op5_mines_rules_at_any_share_of_labels(spark):
+    """Three quarters of the pages are one bad host's; a host that is always bad beside it is blocked too, and an allowed directory of the bad host is an exception."""
+    pages, labels = [], []
+    for k in range(800):
+        kind = k % 20
+        host, folder, bad = ("bad.one", "x", 1) if kind < 13 else ("bad.one", "docs", 0) if kind < 15 else ("evil.two", "x", 1) if kind < 17 else ("good.three", "x", 0)
+        pages.append((k, f"https://{host}/{folder}/{k}"))
+        labels.append((k, 1 - bad, 0))
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    got = by(uf.judged(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), "page_id")
+    assert all(got[k]["verdict"] == ("allow" if good else "block") for k, good, _ in labels)
+    for few in (0.9, 0.1):  # mostly bad, mostly good
+        lab = spark.createDataFrame([(k, int(k % 10 >= 10 * few), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+        some = spark.createDataFrame([(k, f"https://{'bad' if k % 10 < 10 * few else 'good'}.site/x/{k}") for k in range(400)], "page_id long, url string")
+        assert all(r["verdict"] == ("block" if "bad" in r["host"] else "allow") for r in by(uf.judged(some, lab), "page_id").values())
+
+
 def test_op5_index_as_scan():
     rng = random.Random(12)
     rules = [uf.Rule(frozenset(rng.sample("abcdefg", rng.randint(1, 3))), rng.choice(["allow", "block"]), rng.choice([0.6, 0.7, 0.9]), rng.choice([0.1, 0.2])) for _ in range(40)]
