@@ -3,14 +3,17 @@
 Two logistic classifiers see a document differently: one its text (hashed words
 and shares of repeats, capitals, marks and the like), the other only its metadata
 (language, source, length).  Over ROUNDS rounds both are fitted, calibrated on
-held-out labels (Platt), and each gives the documents of an unlabelled pool of
-which it is sure to the other as pseudo-labels.  At last both calibrated views are
+held-out labels (Platt), and each gives the unlabelled documents of which it is sure
+to the other as pseudo-labels.  At last both calibrated views are
 combined by a logistic fit on the held-out labels, and all documents are scored.
 
-Fitting takes a bounded sample: MAX_LABELLED labelled documents and MAX_POOL
-unlabelled ones, those with the smallest hashes of doc_id, and happens on the
-driver over their features.  Scoring is one pass over all whole texts without a
-shuffle; what goes to the tasks has a fixed size.
+Of labelled documents MAX_LABELLED are taken, those with the smallest hashes of
+doc_id among those that docs holds.  All unlabelled documents take part: their
+features are written once, and each round's sure ones are found, and fitted on, by
+sums over all of them that Spark's tasks make (a histogram of scores, then losses and
+gradients for L-BFGS).  A task finds a document's pseudo-labels from the views of the
+earlier rounds, so none are stored.  Scoring is one pass over all whole texts without
+a shuffle; what goes to the tasks has a fixed size.
 
 Cases: null and blank texts have no words and are scored by what is left; null
 metadata is a value of its own; labels that repeat a doc_id count by their mean,
@@ -21,6 +24,7 @@ all labels are 0; an empty table gives an empty result; extra columns are ignore
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,17 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .textkernel import SPACE, U64, Texts, mix, pick, slices, windows
 
-#: Most documents, labelled and not, that are used to fit the classifiers.
+#: Most labelled documents that are used to fit the classifiers.
 MAX_LABELLED = 8000
-MAX_POOL = 8000
 #: Rounds in which pseudo-labels are exchanged.
 ROUNDS = 3
 #: Calibrated probabilities from which a view is sure.
 SURE = 0.97
-#: Share of the pool that a view may label in a round, of each class.
+#: Share of the pool that a view may label in a round, of each class; equal scores go together.
 SHARE = 0.15
+#: Passes over the pool for a round's fit.
+PASSES = 12
+#: Bins of scores, from a logit of -30 to 30.
+BINS = 1 << 14
 #: Buckets of hashed words, and of hashed metadata.
 BUCKETS, META = 1 << 12, 1 << 8
 DENSE = 30
@@ -206,8 +214,105 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(self.slopes[0] * a + self.slopes[1] * b + self.shift)
 
 
-def co_train(text: Rows, meta: Rows, label: np.ndarray, fold: np.ndarray) -> CoTrained:
-    """label: 0, 1, or -1 for the pool; fold: True for labelled rows that are held out."""
+def bins_of(view: View, x: Rows) -> np.ndarray:
+    return ((np.clip(view.logit(x), -30, 30) + 30) * ((BINS - 1) / 60)).astype(np.int64)
+
+
+def pseudo_labels(x: tuple[Rows, Rows], history: list) -> list[np.ndarray]:
+    """What each view got from the other in all rounds, the first label counts; -1: nothing. history: views and, for each, the last bin of label 0 and first of 1."""
+    out = [np.full(len(x[0].at) - 1, -1), np.full(len(x[0].at) - 1, -1)]
+    for views, limits in history:
+        for k in (0, 1):
+            bins, (low, high) = bins_of(views[k], x[k]), limits[k]
+            mine = out[1 - k]
+            new = mine < 0
+            mine[new & (bins <= low)] = 0
+            mine[new & (bins >= high)] = 1
+    return out
+
+
+def histogram(x: tuple[Rows, Rows], views: tuple[View, View]) -> np.ndarray:
+    return np.concatenate([np.bincount(bins_of(v, r), minlength=BINS) for v, r in zip(views, x)]).astype(float)
+
+
+def limits_of(count: np.ndarray) -> tuple[int, int]:
+    """Last bin of label 0 and first of label 1 by SURE and SHARE."""
+    edge = math.log(SURE / (1 - SURE))
+    most = max(1, int(SHARE * count.sum()))
+    low = min(int((30 - edge) * ((BINS - 1) / 60)) - 1, int(np.searchsorted(np.cumsum(count), most)))
+    high = max(int((30 + edge) * ((BINS - 1) / 60)) + 1, BINS - 1 - int(np.searchsorted(np.cumsum(count[::-1]), most)))
+    return low, high
+
+
+def loss(view: View, x: Rows, y: np.ndarray, weight: float) -> np.ndarray:
+    """Loss, weight and number of rows, and the gradient, as sums."""
+    z = view.margin(x)
+    g = (sigmoid(z) - y) * weight
+    dense = (x.dense - view.mean) / view.scale
+    return np.concatenate(([weight * (np.logaddexp(0, z) - y * z).sum(), weight * len(y), len(y)], np.bincount(x.bucket, (g * x.weight)[x.row], len(view.w)), dense.T @ g, [g.sum()]))
+
+
+def pool_loss(x: tuple[Rows, Rows], views: tuple[View, View], history: list) -> np.ndarray:
+    got = pseudo_labels(x, history)
+    some = [np.flatnonzero(y >= 0) for y in got]
+    return np.concatenate([loss(v, r.take(k), y[k].astype(float), 0.5) for v, r, y, k in zip(views, x, got, some)])
+
+
+def lbfgs(f, x: np.ndarray, calls: int) -> np.ndarray:
+    """The best point that L-BFGS finds in so many calls of f, which gives value and gradient."""
+    value, grad = f(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    step = 1.0
+    calls -= 1
+    while calls > 0 and np.abs(grad).max() > 1e-7:
+        q, back = grad.copy(), []
+        for s, y in reversed(pairs):
+            back.append(s @ q / (s @ y))
+            q -= back[-1] * y
+        q *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1e-12, np.linalg.norm(grad))
+        for (s, y), a in zip(pairs, reversed(back)):
+            q += s * (a - y @ q / (s @ y))
+        new = x - step * q
+        got, slope = f(new)
+        calls -= 1
+        if got > value - 1e-4 * step * (q @ grad):
+            step /= 4
+            continue
+        if (new - x) @ (slope - grad) > 1e-12:
+            pairs = [*pairs[-7:], (new - x, slope - grad)]
+        x, value, grad, step = new, got, slope, 1.0
+    return x
+
+
+def refit(views: tuple[View, View], x: tuple[Rows, Rows], y: np.ndarray, sums, history: list) -> None:
+    """Fits both views anew, from where they are, on labelled rows x and on the pseudo-labels of the whole pool."""
+    sizes = [len(v.w) + len(v.d) + 1 for v in views]
+
+    def put(theta: np.ndarray) -> list[np.ndarray]:
+        parts = np.split(theta, [sizes[0]])
+        for v, part in zip(views, parts):
+            v.w, v.d, v.b = part[:len(v.w)], part[len(v.w):-1], float(part[-1])
+        return parts
+
+    def f(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = put(theta)
+        pool = np.split(sums(pool_loss, views, history), [3 + sizes[0]])
+        value, grads = 0.0, []
+        for v, r, part, other in zip(views, x, parts, pool):
+            total = loss(v, r, y, 1.0) + other
+            ridge = v.decay / total[2] * np.concatenate((np.ones(len(v.w)), np.full(len(v.d), 0.1), [0.0]))
+            value += total[0] / total[1] + (ridge * part * part).sum() / 2
+            grads.append(total[3:] / total[1] + ridge * part)
+        return value, np.concatenate(grads)
+
+    put(lbfgs(f, np.concatenate([np.concatenate((v.w, v.d, [v.b])) for v in views]), PASSES))
+
+
+def co_train(text: Rows, meta: Rows, label: np.ndarray, fold: np.ndarray, sums=None) -> CoTrained:
+    """label: 0, 1, or -1 for the pool; fold: True for labelled rows that are held out.
+
+    sums: gives the sum of function(rows of both views, *arguments) over a pool that is elsewhere.
+    """
     views = View(BUCKETS, DENSE, RIDGE), View(META, 0, RIDGE)
     known = label[label >= 0]
     if not len(known) or known.min() == known.max():
@@ -215,28 +320,27 @@ def co_train(text: Rows, meta: Rows, label: np.ndarray, fold: np.ndarray) -> CoT
     held = np.flatnonzero((label >= 0) & fold)
     if not len(held) or label[held].min() == label[held].max():
         held = np.flatnonzero(label >= 0)
-    pool = np.flatnonzero(label < 0)
+    if sums is None:
+        pool = np.flatnonzero(label < 0)
+        here = text.take(pool), meta.take(pool)
+        sums = lambda function, *arguments: function(here, *arguments)
     train = np.flatnonzero((label >= 0) & ~fold) if len(held) < len(known) else held
     if label[train].min() == label[train].max():
         train = held
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view got from the other
-    for turn in range(ROUNDS + 1):
-        for k, (view, x) in enumerate(zip(views, (text, meta))):
-            rows = np.concatenate((train, np.array(list(given[k]), np.int64)))
-            y = np.concatenate((label[train], np.array(list(given[k].values()), label.dtype)))
-            weight = np.concatenate((np.ones(len(train)), np.full(len(given[k]), 0.5)))
-            view.fit(x.take(rows), y.astype(float), weight)
-            view.calibrate(x.take(held), label[held])
-        if turn == ROUNDS or not len(pool):
+    x, test, y = (text.take(train), meta.take(train)), (text.take(held), meta.take(held)), label[train].astype(float)
+    history: list = []
+    for view, rows, of in zip(views, x, test):
+        view.fit(rows, y, np.ones(len(y)))
+        view.calibrate(of, label[held])
+    for _ in range(ROUNDS):
+        count = np.split(sums(histogram, views), 2)
+        if not count[0].sum():
             break
-        for k, (view, x) in enumerate(zip(views, (text, meta))):
-            p = view.probability(x.take(pool))
-            order = np.argsort(p, kind="stable")
-            most = max(1, int(SHARE * len(pool)))
-            for which, value in ((order[:most][p[order[:most]] <= 1 - SURE], 0), (order[-most:][p[order[-most:]] >= SURE], 1)):
-                for row in pool[which].tolist():
-                    given[1 - k].setdefault(row, value)
-    slopes, shift = platt(np.column_stack([v.logit(x.take(held)) for v, x in zip(views, (text, meta))]), label[held])
+        history.append((copy.deepcopy(views), [limits_of(c) for c in count]))
+        refit(views, x, y, sums, history)
+        for view, of in zip(views, test):
+            view.calibrate(of, label[held])
+    slopes, shift = platt(np.column_stack([v.logit(r) for v, r in zip(views, test)]), label[held])
     return CoTrained(*views, slopes, shift)
 
 
@@ -255,15 +359,53 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["doc_id", "label", "words", "dense", "meta"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each slice of documents as one row of bytes."""
+    for batch in slices(batches):
+        text, meta = rows_of(batch)
+        parts = (text.bucket.astype(np.int16), np.diff(text.at).astype(np.int32), text.dense, meta.bucket.astype(np.int16))
+        yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["words", "sizes", "dense", "meta"])
+
+
+def pool_sums(pool: DataFrame):
+    """See co_train; the pool's documents (doc_id, text, lang, source, n_chars) are read once."""
+    spark = pool.sparkSession
+    packed = stored(pool.mapInArrow(_packed, "words binary, sizes binary, dense binary, meta binary"), "pool-features")
+
+    def sums(function, *arguments) -> np.ndarray:
+        sent = spark.sparkContext.broadcast((function, arguments))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            function, arguments = sent.value
+            total = None
+            for batch in batches:
+                for words, sizes, dense, meta in zip(*(c.to_pylist() for c in batch.columns)):
+                    at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)))
+                    n = len(at) - 1
+                    text = Rows(np.frombuffer(words, np.int16).astype(np.int64), at, np.frombuffer(dense).reshape(n, DENSE))
+                    got = function((text, Rows(np.frombuffer(meta, np.int16).astype(np.int64), np.arange(n + 1) * 4, np.zeros((n, 0)))), *arguments)
+                    total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        empty = Rows(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, DENSE))), Rows(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 0)))
+        total = function(empty, *arguments)
+        parts = [bytes(r.sums) for r in packed.mapInArrow(run, "sums binary").collect()]
+        for part in sorted(parts):
+            total = total + np.frombuffer(part)
+        sent.unpersist()
+        return total
+
+    return sums
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Fits both views on the bounded sample."""
+    """Fits both views on the labelled sample and all unlabelled documents."""
     known = pick(labels, "doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    labelled = known.orderBy(*order).limit(MAX_LABELLED)
-    ids = pick(docs, "doc_id").where("doc_id IS NOT NULL")
-    pool = ids.join(known, "doc_id", "left_anti").distinct().orderBy(*order).limit(MAX_POOL).withColumn("label", F.lit(-1))
-    sample = labelled.unionByName(pool)  # MAX_LABELLED + MAX_POOL rows at most
-    columns = pick(docs, "doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(sample), "doc_id")
+    every = pick(docs, "doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL")
+    sample = known.join(every.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(MAX_LABELLED)
+    columns = every.join(F.broadcast(sample), "doc_id")
     got = columns.mapInArrow(_features, "doc_id long, label int, words array<int>, dense array<double>, meta array<int>").toArrow()
     got = got.sort_by("doc_id").combine_chunks()
     words = got.column("words").combine_chunks() if got.num_rows else None
@@ -275,8 +417,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     dense = np.array(got.column("dense").to_pylist(), float).reshape(n, DENSE)
     meta = np.array(got.column("meta").to_pylist(), np.int64).ravel()
     ids = got.column("doc_id").to_numpy()
+    label = got.column("label").to_numpy().astype(np.int64)
+    sums = pool_sums(every.join(known.select("doc_id"), "doc_id", "left_anti")) if label.min() < label.max() else None
     fold = mix(ids.astype(np.int64).view(U64) + U64(5)) % U64(4) == 0
-    return co_train(Rows(words.flatten().to_numpy().astype(np.int64), at, dense), Rows(meta, np.arange(n + 1) * 4, np.zeros((n, 0))), got.column("label").to_numpy().astype(np.int64), fold)
+    return co_train(Rows(words.flatten().to_numpy().astype(np.int64), at, dense), Rows(meta, np.arange(n + 1) * 4, np.zeros((n, 0))), label, fold, sums)
 
 
 def scored(docs: DataFrame, model: CoTrained) -> DataFrame:

@@ -44,6 +44,19 @@ def test_op4_pseudo_labels_cross_over(monkeypatch):
     assert ((score > 0.5) == (y == 1)).mean() == 1
 
 
+def test_op4_all_unlabelled_documents_take_part(spark, monkeypatch):
+    """The histogram that a round's limits come from counts all of them, and sums by tasks are those of one place; labels without documents use up no sample."""
+    n = 9000
+    df = docs(spark, [f"{'good plain' if k % 2 else 'BAD !!!'} text {k % 7}" for k in range(n)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)] + [(k, 0, 0) for k in range(10**6, 10**6 + 900)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(qc, "MAX_LABELLED", 100)
+    seen, whole = [], qc.limits_of
+    monkeypatch.setattr(qc, "limits_of", lambda count: seen.append(count.sum()) or whole(count))
+    got = by(qc.scored(df, qc.fit(df, labels)))
+    assert seen and set(seen) == {n - 100}
+    assert all(r["kept"] == bool(k % 2) for k, r in got.items())
+
+
 def test_op4_hard_cases(spark):
     df = docs(spark, HARD, extra=True)
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(3, 13)] + [(3, 1, None), (None, 1, 1), (5, None, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
