@@ -1,14 +1,31 @@
 """Benchmark decontamination: which documents hold a benchmark item, with edits.
 
 An item is held where a substring of the text is within PERCENT edits of
-characters (A-Z as a-z, white space as one space) for its length.  Every such place
-is found.  An item is cut into pieces of GRAM characters, fewer where it is short;
-each edit spoils one piece at most, so of s pieces s - k stay whole when k edits are
-allowed, and move by k places at most.  All texts are looked through for the pieces
-by a rolling hash; where s - k of an item's pieces lie within 2k places of where they
-belong, the exact edit distance (Myers' bit vectors) between the item and the best
-substring around decides.  Nothing is sampled, and items of all lengths are cut so
-that s - k is 1 at least.
+characters (A-Z as a-z, white space as one space) for its length.
+
+Candidates come from CGK walks, which map edit distance to Hamming distance.  A walk
+reads characters from where a window begins; coins for the step and the character
+decide whether its pointer goes on or stays, and at each step it writes down the GRAM
+characters at its pointer.  Two windows a few edits apart come in step again soon
+after each edit, so that they agree at many steps: at PERCENT edits still at about
+every sixth.  Windows begin at all words and are as long as the item: a walk crosses
+it from its first character to its last, in about twice as many steps.
+
+The steps that are compared, the LSH's samples, lie evenly over the whole walk; WALKS
+walks are the repetitions.  An item and a window that agree in NEED parts of the item,
+at alignments that the edits allow, are a candidate.  The exact edit distance (Myers'
+bit vectors) between the item and the best substring around decides, so that nothing is
+found that isn't there.
+
+Recall, against the exact distance of all substrings: 0.99 or more for random edits of 5,
+10 and 15 percent of the characters, for other words at both ends or at 10 percent of
+places, and for other characters in the first 15 percent, with items of 20 to 900 words
+(tests hold it at RECALL).  Lower where 15 percent edits lie evenly, one every six or
+seven characters, so that few samples stay whole: 0.5 to 0.7.
+
+Coins are the same every STEP steps, so that a block of steps is one lookup by the
+classes of the characters ahead, and 2, 4, 8 blocks are lookups of lookups: a sample
+costs one step, however far in the walk it is.
 
 Items go to the tasks in blocks of bounded size, each against all documents.
 
@@ -19,6 +36,7 @@ returned as they are; empty tables give an empty result; extra columns are ignor
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,20 +46,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import SPACE, U64, Texts, pick, slices
+from .textkernel import SPACE, U64, Texts, pick, slices, windows
 
 #: Edits allowed, in percent of the item's characters.
 PERCENT = 15
-#: Characters of a piece at most: the most for which s - k grows with the length at 15 percent.
-GRAM = 5
-#: Pieces that must be found where so many are sure to stay whole; what is above that allows to leave out frequent pieces.
-LEAST = 7
+#: Target: the share of copies within PERCENT random edits that must be found.
+RECALL = 0.95
+#: Walks over items of LONG characters or more; shorter ones, which give few samples, are walked over twice and four times as often.
+WALKS = 3
+LONG = 64
+#: Characters of a sample, and blocks of a walk between samples of an item of LONG characters; twice as many for twice the length.
+GRAM = 6
+DENSE = 2
+#: Parts of an item, and how many of them must have samples that agree.
+PARTS = 8
+NEED = 2
+#: Steps with coins of their own; a walk is made of blocks of so many steps.
+STEP = 8
+#: Words of an item at which its walks begin.
+STARTS = 4
+#: Windows begin at every character of a word from this one on, so that texts without spaces are looked through too.
+LONG_WORD = 12
 #: Characters of the pieces that are looked for around candidates before the exact distance.
-SHORT = 3
-#: Items that are sent to the tasks at once.
-BLOCK = 20_000
+SHORT = 4
+#: Items, and characters of items, that are sent to the tasks at once.
+BLOCK, BLOCK_CHARS = 20_000, 32_000_000
+#: Characters of texts that are walked over at once, so that tables of jumps stay in a core's cache; more where items are long.
+PART = 1 << 17
 
-_FACTORS = np.random.Generator(np.random.PCG64(7919)).integers(1, 1 << 62, GRAM, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_FACTOR, _CLASS = 0x9E3779B97F4A7C15, np.uint32(0x9E3779B1)
 
 
 def plain(text: str) -> str:
@@ -66,99 +99,210 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
-    """Hashes of all runs of q characters."""
-    n = max(0, len(points) - q + 1)
-    wide = points.astype(U64)
-    out = np.zeros(n, U64)
-    for k in range(q):
-        out += wide[k:k + n] * _FACTORS[k]
-    return out
-
-
-@dataclass
-class Pieces:
-    """Pieces of q characters: their hashes, and of each hash the items and offsets, from first[k] to first[k + 1]."""
-
-    hashes: np.ndarray
-    first: np.ndarray
-    item: np.ndarray
-    offset: np.ndarray
-    shift: U64
-    coarse: np.ndarray
+# -- walks ---------------------------------------------------------------------
+
+
+@functools.lru_cache(maxsize=None)
+def moves(walk: int) -> np.ndarray:
+    """How far a block of a walk goes, by the classes (two bits each) of the STEP characters ahead.
+
+    In each step two of the four classes go on by one and two stay; each class goes on in half of the steps.
+    """
+    rng = np.random.Generator(np.random.PCG64(7919 + walk))
+    coins = np.zeros((STEP, 4), np.int64)
+    while (coins.sum(axis=0) != STEP // 2).any():
+        coins = np.array([rng.permutation([0, 0, 1, 1]) for _ in range(STEP)])
+    ahead = np.arange(1 << (2 * STEP))
+    place = np.zeros(len(ahead), np.int64)
+    for coin in coins:
+        place += coin[(ahead >> (2 * place)) & 3]
+    return place.astype(np.int32)
+
+
+class Walks:
+    """Walks over the characters of texts, from any of them."""
+
+    def __init__(self, points: np.ndarray):
+        self.points, self.n = points, len(points)
+        code = ((points * _CLASS) >> np.uint32(30)).astype(np.uint16)
+        width = 1
+        while width < STEP:
+            code[:-width] |= code[width:] << np.uint16(2 * width)
+            width *= 2
+        self.ahead = code
+
+    def grams(self, q: int) -> np.ndarray:
+        """Hashes of all runs of q characters."""
+        return windows(self.points.astype(U64), q, _FACTOR)
+
+    def along(self, walk: int, start: np.ndarray, blocks: list[int]) -> Iterator[np.ndarray]:
+        """Where the walk's pointer is after so many blocks (ascending), from each start."""
+        jumps = [np.minimum(np.arange(self.n, dtype=np.int32) + moves(walk)[self.ahead], np.int32(self.n - 1))]
+        at, done = start, 0
+        for upto in blocks:
+            rest, k = upto - done, 0
+            while rest:
+                if rest & 1:
+                    at = jumps[k][at]
+                rest, k = rest >> 1, k + 1
+                if rest and k == len(jumps):
+                    jumps.append(jumps[-1][jumps[-1]])
+            done = upto
+            yield at
+
+
+def starts_of(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where windows begin; texts: where texts begin."""
+    ink = points != 32
+    first = np.concatenate((ink[:1], ink[1:] & ~ink[:-1]))
+    first[texts] = ink[texts]
+    begin = np.flatnonzero(first)
+    if not len(begin):
+        return begin
+    since = np.arange(len(points)) - begin[np.maximum(np.cumsum(first) - 1, 0)]
+    return np.flatnonzero(first | (ink & (since >= LONG_WORD)))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How items of some length are sampled: characters of a sample, blocks between samples, walks, and samples that must agree."""
+
+    gram: int
+    blocks: int
+    walks: int
+    need: int
+
+
+def plan_of(size: int) -> Plan:
+    if size >= LONG:
+        return Plan(GRAM, DENSE << ((size // LONG).bit_length() - 1), WALKS, NEED)
+    if 2 * size >= LONG:
+        return Plan(min(GRAM, 5), 1, 2 * WALKS, NEED)
+    return Plan(max(1, min(5, size // (size * PERCENT // 100 + 1))), 1, 4 * WALKS, 1)
+
+
+class Samples:
+    """Samples of items by length of gram: which items have which gram at which step of which walk."""
+
+    def __init__(self, gram: int, rows: list[tuple[np.ndarray, ...]]):
+        self.gram = gram
+        value, walk, block, item, offset = (np.concatenate(x) for x in zip(*rows))
+        self.values = np.unique(value)
+        self.steps = {int(w): np.unique(block[walk == w]).tolist() for w in np.unique(walk)}
+        self.width = int(block.max()) + 1
+        self.depth = int(walk.max()) + 1
+        key = (np.searchsorted(self.values, value) * self.depth + walk) * self.width + block
+        key, self.item, self.offset = np.unique(np.stack((key, item, offset)), axis=1)  # walks from two words of an item often meet
+        self.keys, first = np.unique(key, return_index=True)
+        self.first = np.append(first, len(key))
+        self.shift = U64(64 - min(26, max(18, len(self.values).bit_length() + 6)))
+        self.coarse = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.coarse[(self.values >> self.shift).astype(np.int64)] = True
+        self.marks = np.zeros(len(self.values) + 1, U64)  # by value, and none for the last: at which steps it is somewhere, modulo 64
+        np.bitwise_or.at(self.marks, self.keys // (self.depth * self.width), U64(1) << self._mark(self.keys % (self.depth * self.width)).astype(U64))
+
+    def _mark(self, step):
+        """step: number of walk and block."""
+        return (step // self.width * 21 + step % self.width) & 63
+
+    def number(self, walks: Walks) -> np.ndarray:
+        """Which of the values is at each character; -1: none."""
+        out = np.full(walks.n, -1, np.int32)
+        h = walks.grams(self.gram)
+        at = np.flatnonzero(self.coarse[(h >> self.shift).astype(np.int64)])
+        found = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)
+        same = self.values[found] == h[at]
+        out[at[same]] = found[same]
+        return out
+
+    def agreeing(self, walks: Walks, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, entry, place) of the samples that windows from start, in texts up to end, share with items."""
+        number = self.number(walks)
+        marks = self.marks[number]
+        for walk, blocks in self.steps.items():
+            for block, at in zip(blocks, walks.along(walk, start, blocks)):
+                step = walk * self.width + block
+                w = np.flatnonzero(marks[at] & U64(1 << self._mark(step)))
+                w = w[at[w] + self.gram <= end[w]]
+                key = number[at[w]].astype(np.int64) * (self.depth * self.width) + step
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                same = self.keys[found] == key
+                w, found = w[same], found[same]
+                many = self.first[found + 1] - self.first[found]
+                entry = np.arange(int(many.sum())) + np.repeat(self.first[found] - np.cumsum(many) + many, many)
+                w = np.repeat(w, many)
+                yield w, entry, at[w]
 
 
 class Items:
-    """Benchmark items and their pieces by size."""
+    """Benchmark items and the samples of their walks."""
 
     def __init__(self, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
         self.texts = [plain(r[1]) for r in rows]
         self.limit = [len(t) * PERCENT // 100 for t in self.texts]
         self.size, self.most = np.array([len(t) for t in self.texts], np.int64), np.array(self.limit, np.int64)
-        self.whole = np.zeros(len(rows), np.int64)  # pieces that stay whole at least
-        by: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for k, (text, most) in enumerate(zip(self.texts, self.limit)):
-            if text:
-                q = min(GRAM, len(text) // (most + 1))
-                by.setdefault(q, []).append((gram_hashes(code_points(text), q), k))
-                self.whole[k] = len(text) // q - most
-        self.pieces = {}
-        for q, some in by.items():
-            grams, times = np.unique(np.concatenate([h for h, _ in some]), return_counts=True)
-            parts = []
-            for h, k in some:  # pieces that are frequent in items are left out, and as many fewer must be found
-                offset = np.arange(0, len(h), q)
-                usual = np.argsort(-times[np.searchsorted(grams, h[offset])], kind="stable")
-                spared = max(0, int(self.whole[k]) - LEAST)
-                offset = np.sort(offset[usual[spared:]])
-                self.whole[k] -= spared
-                parts.append((h[offset], offset, np.full(len(offset), k)))
-            h, offset, item = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(h, kind="stable")
-            hashes, first = np.unique(h[order], return_index=True)
-            shift = U64(64 - min(26, max(18, len(hashes).bit_length() + 6)))
-            coarse = np.zeros(1 << (64 - int(shift)), bool)
-            coarse[(hashes >> shift).astype(np.int64)] = True
-            self.pieces[q] = Pieces(hashes, np.append(first, len(h)), item[order], offset[order], shift, coarse)
-        self.gap = 4 * int(self.size.max(initial=0)) + 16  # between texts, so that no item reaches from one to the next
+        plans = [plan_of(len(t)) for t in self.texts]
+        self.need = np.array([p.need for p in plans], np.int64)
+        self.longest = int(self.size.max(initial=0))
+        by: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for plan in sorted({p for p, t in zip(plans, self.texts) if t}, key=lambda p: (p.gram, p.blocks)):
+            by.setdefault(plan.gram, []).extend(self._walked(plan, [k for k, p in enumerate(plans) if p == plan and self.texts[k]]))
+        self.samples = [Samples(q, got) for q, got in by.items()]
+
+    def _walked(self, plan: Plan, which: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
+        gap = " " * (STEP * 2)
+        walks = Walks(code_points(gap.join(self.texts[k] for k in which) + gap))
+        begin = np.cumsum([0] + [len(self.texts[k]) + len(gap) for k in which[:-1]])
+        value = walks.grams(plan.gram)
+        blocks = list(range(0, 3 * self.longest // STEP + 1, plan.blocks))
+        for nth in range(STARTS):
+            offset = np.array([_word(self.texts[k], nth) for k in which])
+            for walk in range(plan.walks):
+                live = np.flatnonzero(offset >= 0)
+                for block, at in zip(blocks, walks.along(walk, (begin + offset)[live], blocks)):
+                    place = at - begin[live]
+                    inside = place + plan.gram <= self.size[which][live]
+                    if not inside.any():
+                        break
+                    n = int(inside.sum())
+                    yield value[at[inside]], np.full(n, walk), np.full(n, block), np.array(which)[live[inside]], place[inside]
 
     def candidates(self, points: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, first and last place) of all regions in which an item may be held, in order."""
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        reach = int(self.size.max(initial=0))
-        begins = off[:-1] + np.arange(len(off) - 1) * self.gap - reach
         out: list[tuple[int, int, int, int]] = []
-        for q, p in self.pieces.items():
-            h = gram_hashes(points, q)
-            at = np.flatnonzero(p.coarse[(h >> p.shift).astype(np.int64)])
-            h = h[at]
-            found = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
-            same = p.hashes[found] == h
-            at, found = at[same], found[same]
-            many = p.first[found + 1] - p.first[found]
-            which = np.arange(int(many.sum())) + np.repeat(p.first[found] - np.cumsum(many) + many, many)
-            key = np.repeat(at + doc[at] * self.gap + reach, many) - p.offset[which]  # where the item would begin
-            key += p.item[which] << 40
-            key.sort()
-            item = key >> 40
-            end = np.arange(len(key)) + self.whole[item] - 1
-            some = np.flatnonzero(end < len(key))
-            some = some[key[end[some]] - key[some] <= 2 * self.most[item[some]]]
-            if not len(some):
-                continue
-            item, last = item[some], key[end[some]]
-            lo = last - self.most[item]
-            hi = key[some] + 2 * self.most[item] + self.size[item]
-            new = np.append(True, (lo[1:] > hi[:-1]) | (item[1:] != item[:-1]))
-            start = np.flatnonzero(new)
-            stop = np.append(start[1:], len(some)) - 1
-            item = item[start]
-            base = (item << 40) + reach
-            d = np.searchsorted(begins, key[some[start]] - base, "right") - 1
-            lo, hi = (x - base - d * self.gap for x in (lo[start], hi[stop]))
-            out += zip(d.tolist(), item.tolist(), lo.tolist(), hi.tolist())
-        return sorted(out)
+        reach = 4 * self.longest + 64
+        size = max(PART, 4 * reach)
+        for begin in range(0, len(points), size):
+            walks = Walks(points[begin:begin + size + reach])
+            texts = off[np.searchsorted(off, begin):np.searchsorted(off, begin + walks.n)] - begin
+            start = starts_of(walks.points, texts).astype(np.int32)
+            start = start[start < size]
+            doc = np.searchsorted(off, start + begin, "right") - 1
+            for samples in self.samples:
+                out += self._regions(samples, walks, start, doc, off[doc + 1] - begin, begin)
+        return _merged(out)
+
+    def _regions(self, samples: Samples, walks: Walks, start: np.ndarray, doc: np.ndarray, end: np.ndarray, begin: int) -> list[tuple[int, int, int, int]]:
+        got = list(samples.agreeing(walks, start, end))
+        if not got:
+            return []
+        window, entry, place = (np.concatenate(x) for x in zip(*got))
+        item, offset = samples.item[entry], samples.offset[entry]
+        width = 8 * self.longest + 128
+        key = (window * len(self.ids) + item) * width + (place - offset - start[window] + width // 2)  # last: where the item would begin
+        part = offset * PARTS // self.size[item]
+        _, one = np.unique((key // width * PARTS + part) * 2 + (key % width - width // 2 < 0), return_index=True)
+        key = np.sort(key[one])
+        pair = key // width
+        item = pair % len(self.ids)
+        last = np.arange(len(key)) + self.need[item] - 1
+        some = np.flatnonzero(last < len(key))
+        some = some[(pair[last[some]] == pair[some]) & (key[last[some]] - key[some] <= 2 * self.most[item[some]])]
+        item, w = item[some], pair[some] // len(self.ids)
+        lo = key[last[some]] % width - width // 2 + start[w] + begin - self.most[item]
+        hi = key[some] % width - width // 2 + start[w] + begin + 2 * self.most[item] + self.size[item]
+        return list(zip(doc[w].tolist(), item.tolist(), lo.tolist(), hi.tolist()))
 
     def plausible(self, item: int, texts: str, lo: int, hi: int, begin: int, end: int) -> bool:
         """Whether enough of the item's shorter pieces are near where they belong, if it begins k after lo at least and ends at hi at most."""
@@ -171,6 +315,27 @@ class Items:
         return True
 
 
+def _word(text: str, nth: int) -> int:
+    """Where the item's nth word begins, in the first quarter of it; -1: nowhere."""
+    at = 0
+    for _ in range(nth):
+        at = text.find(" ", at) + 1
+        if not at or 4 * at > len(text):
+            return -1
+    return at
+
+
+def _merged(regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Regions of one text and item that overlap as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for d, item, lo, hi in sorted(set(regions)):
+        if out and out[-1][:2] == (d, item) and lo <= out[-1][3]:
+            out[-1] = (d, item, out[-1][2], max(hi, out[-1][3]))
+        else:
+            out.append((d, item, lo, hi))
+    return out
+
+
 def best_substring(pattern: str, text: str) -> tuple[int, int]:
     """Least edit distance between the pattern and a substring of the text, and the end of the first such substring."""
     m = len(pattern)
@@ -222,8 +387,14 @@ def _found(items: Items, t: Texts) -> dict[tuple[int, int], tuple[int, int]]:
     return best
 
 
-def _matches(batches: Iterator[pa.RecordBatch], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    items = Items(rows)
+@functools.lru_cache(maxsize=1)
+def items_of_worker(rows: tuple[tuple, ...]) -> Items:
+    """The same for all tasks that a Python worker runs."""
+    return Items(list(rows))
+
+
+def _matches(batches: Iterator[pa.RecordBatch], rows: tuple[tuple, ...]) -> Iterator[pa.RecordBatch]:
+    items = items_of_worker(rows)
     for batch in slices(batches):
         best = _found(items, Texts(batch.column("text")).split())
         keys = batch.column("doc_id").to_pylist()
@@ -233,13 +404,14 @@ def _matches(batches: Iterator[pa.RecordBatch], rows: list[tuple]) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "distance", "item_chars", "at_word"])
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The items, BLOCK or so at a time."""
-    items = pick(benchmark, "item_id", "text").where("text IS NOT NULL")
-    blocks = max(1, math.ceil(items.count() / BLOCK))
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[tuple, ...]]:
+    """The distinct items, BLOCK or so at a time."""
+    items = pick(benchmark, "item_id", "text").where("text IS NOT NULL").distinct()
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(count / BLOCK), math.ceil(size / BLOCK_CHARS))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield [tuple(r) for r in part.collect()]
+        yield tuple(sorted((tuple(r) for r in part.collect()), key=repr))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -254,8 +426,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
 
-    def clean(batches: Iterator[pa.RecordBatch], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows)
+    def clean(batches: Iterator[pa.RecordBatch], rows: tuple[tuple, ...]) -> Iterator[pa.RecordBatch]:
+        items = items_of_worker(rows)
         for batch in slices(batches):
             hit = np.zeros(batch.num_rows, bool)
             hit[[d for d, _ in _found(items, Texts(batch.column("text")).split())]] = True

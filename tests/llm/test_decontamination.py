@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -93,31 +94,72 @@ def test_nulls_blanks_and_empty(spark):
     assert dc.leaks(df, bench.where("false")).count() == 0
 
 
-def spread(rng, text, edits):
-    """As many edits as that, evenly spread from end to end, so that few words stay."""
-    at = sorted({k * (len(text) - 1) // max(1, edits - 1) for k in range(edits)}, reverse=True)
-    for k in at:
-        text = text[:k] + rng.choice(["", "é", text[k] + "y"]) + text[k + 1:]
+def other_words(rng, text, places):
+    """Words at these places (shares of the text) replaced by others of their length, more or less."""
+    parts = text.split(" ")
+    for at in places:
+        k = min(int(at * len(parts)), len(parts) - 1)
+        parts[k] = "".join(rng.choices("ijklmnop", k=max(1, len(parts[k]) + rng.randint(-1, 1))))
+    return " ".join(parts)
+
+
+def edited(rng, text, percent):
+    """Random insertions, deletions and replacements of characters."""
+    for _ in range(len(text) * percent // 100):
+        k = rng.randrange(len(text))
+        text = text[:k] + rng.choice(["", rng.choice("abcdefghé "), text[k] + rng.choice("abcdefghé ")]) + text[k + 1:]
     return text
 
 
-def test_every_copy_within_the_limit_is_found(spark):
-    """Edits up to PERCENT itself: spread over all of the item, all at its beginning or all at its end; items of 1 to 150 words."""
+EDITS = {
+    "5 percent": lambda rng, t: edited(rng, t, 5),
+    "10 percent": lambda rng, t: edited(rng, t, 10),
+    "15 percent": lambda rng, t: edited(rng, t, 15),
+    "words": lambda rng, t: other_words(rng, t, [rng.random() for _ in range(t.count(" ") // 10)]),
+    "both ends": lambda rng, t: other_words(rng, t, [k / (t.count(" ") + 1) for k in range(t.count(" ") // 17)] + [1 - k / (t.count(" ") + 1) for k in range(t.count(" ") // 17)]),
+    "beginning": lambda rng, t: "z" * (len(t) * 15 // 100) + t[len(t) * 15 // 100:],
+    "end": lambda rng, t: t[:len(t) - len(t) * 15 // 100] + "z" * (len(t) * 15 // 100),
+    "middle": lambda rng, t: t[:len(t) // 2] + "q" * (len(t) * 15 // 100) + t[len(t) // 2:],
+}
+
+
+@pytest.mark.parametrize("sizes", [(3, 4, 5, 6, 7, 8, 9, 10), (12, 14, 20, 40, 64), (70, 100, 150, 400, 900)])
+def test_recall_up_to_the_limit(spark, sizes):
+    """Of all copies that the exact distance accepts, every kind of edits and length; documents of up to 60,000 characters."""
     rng = random.Random(10)
     words = ["".join(rng.choices("abcdefghéß", k=rng.randint(1, 9))) for _ in range(300)]
-    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([1, 2, 3, 4, 6, 9, 12, 14, 20, 40, 64, 70, 100, 150])]
-    texts = []
+    items = [(k, " ".join(rng.choices(words, k=rng.choice(sizes)))) for k in range(40)]
+    texts, kinds = [], []
     for _, item in items:
-        most = len(item) * dc.PERCENT // 100
-        for copy in (spread(rng, item, most), "z" * most + item[most:], item[:len(item) - most] + "z" * most, item[:len(item) // 2] + "q" * most + item[len(item) // 2:], spread(rng, item, most + 4)):
-            body = rng.choices(words, k=rng.randint(0, 60))
-            body.insert(rng.randint(0, len(body)), copy)
+        for kind, edit in EDITS.items():
+            body = rng.choices(words, k=10_000 if not len(texts) % 97 else rng.randint(0, 60))
+            body.insert(rng.randint(0, len(body)), edit(rng, item))
             texts.append(rng.choice([" ", "\n", " \t "]).join(body))
-    want = brute(list(enumerate(texts)), items)
-    assert len(want) >= 4 * len(items)
+            kinds.append(kind)
     found = dc.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
-    assert result(found) == want
+    got = result(found)
+    want = {(k, k // len(EDITS)) for k in range(len(texts)) if dc.substring_distance(dc.plain(items[k // len(EDITS)][1]), dc.plain(texts[k]), 10_000) <= len(dc.plain(items[k // len(EDITS)][1])) * dc.PERCENT // 100}
+    assert len(want) >= 0.8 * len(texts)
+    for kind in EDITS:
+        all_of = {p for p in want if kinds[p[0]] == kind}
+        assert len(all_of & set(got)) >= 0.9 * len(all_of), kind
+    assert len(want & set(got)) >= dc.RECALL * len(want)
+    for (d, i), distance in got.items():
+        assert distance <= len(dc.plain(items[i][1])) * dc.PERCENT // 100
     for r in found.collect():  # the item begins at the word that is named
         rest = " ".join(dc.plain(texts[r.doc_id]).split(" ")[r.at_word:])
         item = dc.plain(items[r.item_id][1])
         assert dc.substring_distance(item, rest[:2 * len(item) + 20], r.distance) == r.distance
+
+
+def test_texts_without_spaces_and_repeated_items(spark, monkeypatch):
+    """Items glued into longer words are found; repeats of an item are one item."""
+    monkeypatch.setattr(dc, "PART", 1 << 9)
+    rng = random.Random(11)
+    signs = "日本語文章検査試験漢字平仮名片仮名読書"
+    items = [(k, "".join(rng.choices(signs, k=90))) for k in range(12)]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 3000))) + edited(rng, t, 8) + "".join(rng.choices(signs, k=200)) for _, t in items]
+    got = result(dc.leaks(docs(spark, texts), spark.createDataFrame(items * 50, "item_id long, text string")))
+    assert {(k, k) for k in range(12)} == set(got)
+    blocks = list(dc._blocks(spark.createDataFrame(items * 50, "item_id long, text string")))
+    assert [len(b) for b in blocks] == [12]
