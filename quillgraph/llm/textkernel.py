@@ -173,13 +173,6 @@ def signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
 
-def column_name(df, wanted: str) -> str:
-    """The column called `wanted`, by exact name first, for tables whose extra columns clash in case."""
-    if wanted in df.columns:
-        return wanted
-    raise ValueError(f"no column {wanted} in {df.columns}")
-
-
 def pick(df, *names: str):
     """Just these columns, whatever else the table has; a name that clashes only in case is no obstacle."""
     from pyspark.sql import functions as F
@@ -189,3 +182,10 @@ def pick(df, *names: str):
         return df.select(*[F.col(f"`{n}`") for n in names])
     position = {f: i for i, f in reversed(list(enumerate(fields)))}
     return df.toDF(*[f"c{i}" for i in range(len(fields))]).select(*[F.col(f"c{position[n]}").alias(n) for n in names])
+
+
+def numbered(df):
+    """The same rows with columns named c0, c1 and so on, so that no names clash, and a function that gives the new name of a column."""
+    fields = [f.name for f in df.schema.fields]
+    place = {f: i for i, f in reversed(list(enumerate(fields)))}
+    return df.toDF(*[f"c{i}" for i in range(len(fields))]), lambda name: f"c{place[name]}"
