@@ -19,9 +19,9 @@ found that isn't there.
 
 Recall, against the exact distance of all substrings: 0.99 or more for random edits of 5,
 10 and 15 percent of the characters, for other words at both ends or at 10 percent of
-places, and for other characters in the first 15 percent, with items of 20 to 900 words
+places, and for other characters in the first 15 percent, with items of 4 to 900 words
 (tests hold it at RECALL).  Lower where 15 percent edits lie evenly, one every six or
-seven characters, so that few samples stay whole: 0.5 to 0.7.
+seven characters, so that few samples stay whole: 0.3 to 0.6.
 
 Coins are the same every STEP steps, so that a block of steps is one lookup by the
 classes of the characters ahead, and 2, 4, 8 blocks are lookups of lookups: a sample
@@ -46,14 +46,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import SPACE, U64, Texts, pick, slices, windows
+from .textkernel import SPACE, U64, Texts, numbered, pick, slices, windows
 
 #: Edits allowed, in percent of the item's characters.
 PERCENT = 15
 #: Target: the share of copies within PERCENT random edits that must be found.
 RECALL = 0.95
 #: Walks over items of LONG characters or more; shorter ones, which give few samples, are walked over twice and four times as often.
-WALKS = 3
+WALKS = 2
 LONG = 64
 #: Characters of a sample, and blocks of a walk between samples of an item of LONG characters; twice as many for twice the length.
 GRAM = 6
@@ -426,16 +426,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
 
+    left, name = numbered(docs)
+    text = name("text")
+
     def clean(batches: Iterator[pa.RecordBatch], rows: tuple[tuple, ...]) -> Iterator[pa.RecordBatch]:
         items = items_of_worker(rows)
-        for batch in slices(batches):
+        for batch in slices(batches, text):
             hit = np.zeros(batch.num_rows, bool)
-            hit[[d for d, _ in _found(items, Texts(batch.column("text")).split())]] = True
+            hit[[d for d, _ in _found(items, Texts(batch.column(text)).split())]] = True
             yield batch.filter(pa.array(~hit))
 
     for rows in _blocks(benchmark):
-        docs = docs.mapInArrow(lambda it, rows=rows: clean(it, rows), docs.schema)
-    return docs
+        left = left.mapInArrow(lambda it, rows=rows: clean(it, rows), left.schema)
+    return left.toDF(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
