@@ -42,13 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, stored
-from .textkernel import U64, Texts, mix, pick, signed, slices, windows
+from .shared import hashed_side, partitions, stored
+from .textkernel import U64, Texts, mix, numbered, pick, signed, slices, windows
 
 #: Words in a window.
 WINDOW = 50
 #: Rounds of recompression; after each, symbols are about a third longer, and spans wider.
 ROUNDS = 4
+#: Bytes that a span takes in a join, at most.
+ROW_BYTES = 100
 _RUN, _LEFT, _RIGHT, _LEVEL = U64(0x9FB21C651E98DF25), U64(0xA24BAED4963EE407), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 _ONE, _TWO = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
@@ -297,31 +299,36 @@ def _later(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         last = (one[-1], two[-1], source[-1])
 
 
-def repeated_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Spans of words to remove, overlapping as they may: doc_id, tag (hash of the text), at (list of first words), n (words)."""
+def repeated_spans(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, int]:
+    """Spans of words to remove, overlapping as they may: doc_id, tag (hash of the text), at (list of first words), n (words); and their bytes at most."""
     spark = docs.sparkSession
     count = partitions(spark)
-    texts = pick(docs, "doc_id", "text").withColumn("tag", F.hash("text"))
-    blocks = texts.mapInArrow(lambda it: _blocks(it, width), "anchor long, content long, doc_id long, tag int, at array<int>, n int")
-    blocks = blocks.repartition(count, "anchor").sortWithinPartitions("anchor", "content", "doc_id")
-    found = stored(blocks.mapInArrow(_compared, "doc_id long, tag int, at array<int>, n int, whole boolean"), "repeats")
-    open_ = found.where("NOT whole").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
-    prints = texts.join(open_.hint("shuffle_hash"), ["doc_id", "tag"]).mapInArrow(lambda it: _fingerprints(it, width), "one long, two long, doc_id long, tag int, at int")
+    texts = pick(docs, "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").withColumn("tag", F.xxhash64("text"))
+    blocks = texts.mapInArrow(lambda it: _blocks(it, width), "anchor long, content long, doc_id long, tag long, at array<int>, n int")
+    blocks = blocks.repartition(count, "anchor").sortWithinPartitions("anchor", "content", "doc_id", "tag")
+    found = stored(blocks.mapInArrow(_compared, "doc_id long, tag long, at array<int>, n int, whole boolean"), "repeats")
+    rows, windows_ = found.agg(F.count("*"), F.coalesce(F.sum(F.when(~F.col("whole"), F.size("at") * F.col("n"))), F.lit(0))).first()
+    open_ = found.where("NOT whole").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "n")).alias("blocks"))  # a set: rows may repeat
+    prints = texts.join(hashed_side(open_, ROW_BYTES * rows), ["doc_id", "tag"]).mapInArrow(lambda it: _fingerprints(it, width), "one long, two long, doc_id long, tag long, at int")
     prints = prints.repartition(count, "one", "two").sortWithinPartitions("one", "two", "doc_id")
-    single = prints.mapInArrow(lambda it: _later(it, width), "doc_id long, tag int, at int, n int").withColumn("at", F.array("at"))
+    single = prints.mapInArrow(lambda it: _later(it, width), "doc_id long, tag long, at int, n int").withColumn("at", F.array("at"))
     whole = found.where("whole").select("doc_id", "tag", "at", (F.col("n") + width - 1).alias("n"))
-    return whole.unionByName(single)
+    return whole.unionByName(single), ROW_BYTES * (rows + windows_)
 
 
 def with_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """All rows and columns of docs, and array column _spans (null: none)."""
-    spans = repeated_spans(docs, width).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
-    return docs.withColumn("tag", F.hash("text")).join(spans.hint("shuffle_hash"), ["doc_id", "tag"], "left")
+    """All rows of docs, columns named as by numbered(), and array column spans (null: none)."""
+    found, size = repeated_spans(docs, width)
+    spans = found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    same, name = numbered(docs)
+    same = same.withColumn("tag", F.xxhash64(name("text")))
+    on = (same[name("doc_id")] == spans["doc_id"]) & (same["tag"] == spans["tag"])
+    return same.join(hashed_side(spans, size), on, "left").drop("tag", "doc_id")
 
 
 def removed_words(batch: pa.RecordBatch, t: Texts) -> np.ndarray:
     """Which words the spans of a batch cover."""
-    doc, at, words = positions(batch.column("_spans"))
+    doc, at, words = positions(batch.column("spans"))
     begin, n = t.first[doc] + at, len(t.start)
     steps = np.bincount(begin, minlength=n + 1).astype(np.int64) - np.bincount(begin + words, minlength=n + 1)
     return np.cumsum(steps)[:n] > 0
@@ -344,29 +351,32 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup_digests(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """Per document (columns doc_id, text): words, removed words, and the sha256 of what is kept, joined by one space."""
-    return with_spans(pick(docs, "doc_id", "text"), width).select("doc_id", "text", "_spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(pick(docs, "doc_id", "text"), width).toDF("doc_id", "text", "spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        t = Texts(batch.column("text")).split()
+def _cut(batches: Iterator[pa.RecordBatch], text: str, length: str | None) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, text):
+        t = Texts(batch.column(text)).split()
         gone = removed_words(batch, t)
-        out = batch.column("text").to_pylist()
-        for k in np.flatnonzero(batch.column("_spans").is_valid().to_numpy(zero_copy_only=False)):
+        out = batch.column(text).to_pylist()
+        for k in np.flatnonzero(batch.column("spans").is_valid().to_numpy(zero_copy_only=False)):
             i, j = t.first[k], t.first[k + 1]
             ends = np.append(t.start[i + 1:j], t.off[k + 1])  # a word goes with the white space after it
             keep = np.flatnonzero(~gone[i:j])
             pieces = [t.raw[t.off[k]:t.start[i]], *(t.raw[a:b] for a, b in zip(t.start[i:j][keep].tolist(), ends[keep].tolist()))]
             out[k] = b"".join(pieces).decode()
-        names = [n for n in batch.schema.names if n != "_spans"]
-        columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
-        yield pa.RecordBatch.from_arrays(columns, names)
-
-
-def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs with repeated words cut out of text, each with the white space after it; other columns as they are."""
-    got = with_spans(docs, width).select(*docs.columns, "_spans")
-    return got.mapInArrow(_cut, docs.schema)
+        made = {text: pa.array(out, pa.string())}
+        if length:
+            made[length] = pa.array([None if x is None else len(x) for x in out], pa.int64())
+        names = [n for n in batch.schema.names if n != "spans"]
+        yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in names], names)
+
+
+def substring_dedup(docs: DataFrame, width: int = WINDOW, length: str | None = None) -> DataFrame:
+    """docs with repeated words cut out of text, each with the white space after it; other columns as they are, but for `length`, a long column with the text's characters."""
+    same, name = numbered(docs)
+    text, chars = name("text"), name(length) if length else None
+    return with_spans(docs, width).mapInArrow(lambda it: _cut(it, text, chars), same.schema).toDF(*docs.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,16 @@ def test_cut_keeps_white_space(spark):
     shared = " ".join(f"w{k}" for k in range(50))
     got = by(sd.substring_dedup(docs(spark, [shared, f" a\n\tb {shared}\n c  d\n", None])))
     assert got[0]["text"] == shared and got[1]["text"] == " a\n\tb c  d\n" and got[2]["text"] is None
+
+
+def test_thousands_of_equal_rows(spark):
+    """Repeats of a row cost in proportion to their number, in both forms of the operator."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{k}" for k in range(61)]
+    base = docs(spark, [" ".join(words), "z " * 9 + " ".join(words)]).where("doc_id = 1").crossJoin(spark.range(5000).select(F.col("id").alias("Tag")))
+    df = base.unionByName(docs(spark, [" ".join(words)]).selectExpr("*", "0L AS Tag"))
+    got = sd.substring_dedup_digests(df).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 61, 0, 1), (1, 70, 61, 5000)]
+    cut = sd.substring_dedup(df, length="n_chars").groupBy("doc_id", "text", "n_chars").agg(F.countDistinct("Tag")).collect()
+    assert sorted(map(tuple, cut))[1] == (1, "z " * 9, 18, 5000)
