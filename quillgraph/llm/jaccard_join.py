@@ -16,7 +16,7 @@ The result needs what hangs together, not every link, so a shingle with many
 groups is not turned into all their pairs.  The groups are read as a sorted
 stream in which the first few, the pivots, are paired with all others; what that
 leaves open is done in further rounds with more pivots, over those lists alone that
-still hold several components, and with pairs only between different components
+still hold several components, dealt over tasks in cells of pivots and members, and with pairs only between different components
 whose parity bitmaps (an exact upper bound of what they can share) allow the
 similarity.  The rounds end when no list is open, so that no link
 between components is missed.
@@ -30,6 +30,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, stored
-from .textkernel import U64, Texts, mix, pick, signed, slices, windows
+from .shared import hashed_side, partitions, stored
+from .textkernel import U64, Texts, mix, numbered, pick, signed, slices, windows
 
 WORDS = 5
 #: Similarity in percent.
@@ -52,6 +53,8 @@ FREQUENT_FROM = 9
 KEY_BITS = 36
 #: Pivots of a list in the first round, the second, and each one after that.
 PIVOTS, FEW, MANY = 8, 64, 1 << 16
+#: Pivots and members of a list that meet in a task's cell, in mean: pivots, members in short rounds (in long ones as pivots).
+BLOCK, CHUNK = 4096, 1024
 #: Bits of a member's parity bitmap.
 BITMAP = 1024
 SIZE_MASK = (1 << 24) - 1
@@ -98,20 +101,25 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 # -- which shingles are frequent -----------------------------------------------
 
 
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second ones and so on: these compress better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
 def _packed(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Sorted keys of shingles as differences, compressed, one row for each key range and few million shingles."""
+    """Distinct keys of shingles, as differences, and their counts, compressed: one row for each key range and few million shingles."""
     held: list[np.ndarray] = []
     size = 0
 
     def rows() -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held))
+        keys, times = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
         width = -(-(1 << KEY_BITS) // ranges)
         cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * U64(width))
         part, blob, count = [], [], []
         for k in np.flatnonzero(np.diff(cut)):
             step = np.diff(keys[cut[k]:cut[k + 1]], prepend=U64(k * width)).astype("<u4" if width < 1 << 32 else "<u8")
-            plain = np.ascontiguousarray(step.view(np.uint8).reshape(len(step), -1).T).tobytes()
+            plain = planes(step) + planes(times[cut[k]:cut[k + 1]].astype("<u4"))
             part.append(int(k))
             blob.append(pa.compress(plain, "zstd", asbytes=True))
             count.append(len(step))
@@ -121,7 +129,7 @@ def _packed(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
         value, _ = shingles(Texts(batch.column("text")).split())
         held.append(value >> U64(64 - KEY_BITS))
         size += len(value)
-        if size >= 4_000_000:
+        if size >= max(4_000_000, 16 * ranges):
             yield rows()
             size = 0
     if size:
@@ -133,14 +141,18 @@ def _counts(ranges: int):
     kind = "<u4" if width < 1 << 32 else "<u8"
 
     def count(table: pa.Table) -> pa.Table:
-        keys = []
+        keys, times = [], []
+        size = np.dtype(kind).itemsize
         for part, n, blob in zip(table.column("part").to_pylist(), table.column("n").to_pylist(), table.column("keys")):
-            plain = pa.decompress(blob.as_buffer(), n * np.dtype(kind).itemsize, "zstd", asbytes=True)
-            step = np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(-1, n).T).view(kind).ravel()
+            plain = np.frombuffer(pa.decompress(blob.as_buffer(), n * (size + 4), "zstd", asbytes=True), np.uint8)
+            step, count = (np.ascontiguousarray(x.reshape(-1, n).T).view(k).ravel() for x, k in ((plain[:n * size], kind), (plain[n * size:], "<u4")))
             keys.append(np.cumsum(step.astype(U64)) + U64(part * width))
-        flat = np.sort(np.concatenate(keys))
+            times.append(count)
+        flat, times = np.concatenate(keys), np.concatenate(times)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
         begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        n = np.diff(np.append(begin, len(flat)))
+        n = np.add.reduceat(times[order].astype(np.int64), begin)
         often = n >= FREQUENT_FROM
         return pa.table({"key": pa.array(flat[begin[often]].astype(np.int64)), "n": pa.array(n[often])})
 
@@ -149,7 +161,7 @@ def _counts(ranges: int):
 
 def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys, ascending, and counts of the most frequent shingles: at most FREQUENT."""
-    ranges = min(1 << 14, 4 * partitions(texts.sparkSession))
+    ranges = min(1 << 20, 4 * partitions(texts.sparkSession))  # a task holds the keys of one
     packed = texts.select("text").mapInArrow(lambda it: _packed(it, ranges), "part int, n int, keys binary")
     counted = packed.groupBy("part").applyInArrow(_counts(ranges), "key long, n long")
     top = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
@@ -297,8 +309,17 @@ def prefix_pairs(texts: DataFrame, often) -> DataFrame:
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, with their parity bitmaps, so that little is moved."""
+    """Texts compressed, with their parity bitmaps, so that little is moved; of rows with equal id and text that a task meets, one."""
+    met: set[tuple[int, bytes]] = set()
     for batch in slices(batches):
+        fresh = np.zeros(batch.num_rows, bool)
+        for k, (key, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
+            told = (key, hashlib.blake2b(text.as_buffer() or b"", digest_size=8).digest())
+            fresh[k] = told not in met
+            met.add(told)
+        if len(met) > 500_000:
+            met.clear()
+        batch = batch.filter(pa.array(fresh))
         t = Texts(batch.column("text")).split()
         value, doc, at = sets(t)
         bits = np.zeros((t.n, BITMAP), np.uint8)
@@ -346,43 +367,72 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
 # -- rounds over long lists ----------------------------------------------------
 
 
-def _pivot_pairs(start: int, stop: int):
-    """Pairs of a list's members number start to stop with all later ones, of other components, that could be similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place, have = None, 0, 0
-        ids, roots, sizes, maps = _grown(None, 64)
-        for batch in batches:
-            lists, members, tops = (batch.column(k).to_numpy() for k in ("list", "id", "root"))
-            n_of = batch.column("size").to_numpy()
-            bits = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
-            found: list[tuple[np.ndarray, int]] = []
-            for k in range(batch.num_rows):
-                if lists[k] != now:
-                    now, place, have = lists[k], 0, 0
-                if have:
-                    other = np.flatnonzero((roots[:have] != tops[k]) & near_size(sizes[:have], n_of[k]))
-                    apart = np.bitwise_count(maps[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                    total = sizes[other] + n_of[k]
-                    good = other[(100 + PERCENT) * ((total - apart) // 2) >= PERCENT * total]
-                    if len(good):
-                        found.append((ids[good], int(members[k])))
-                if start <= place < stop:
-                    if have == len(ids):
-                        ids, roots, sizes, maps = _grown((ids, roots, sizes, maps), 2 * have)
-                    ids[have], roots[have], sizes[have], maps[have] = members[k], tops[k], n_of[k], bits[k]
-                    have += 1
-                place += 1
-            if found:
-                u = np.concatenate([f[0] for f in found])
-                v = np.repeat(np.array([f[1] for f in found]), [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    return run
+def dealt(rows: DataFrame, start: int, stop: int) -> DataFrame:
+    """Members of lists (list, n, id, root, size, bitmap) dealt to cells of bounded size, in which a list's pivots meet its members.
+
+    A member's place in its list, from 0 to its n, goes by a hash; pivots are those with a
+    place from start to stop.  A cell holds BLOCK or so of them and `chunk` or so
+    members with later places, so that a list of any length is dealt over many tasks.
+    """
+    chunk = max(CHUNK, min(BLOCK, stop - start))
+    place = F.pmod(F.xxhash64("list", "id"), F.lit(1 << 40)) * F.col("n") / float(1 << 40)
+    rows = rows.withColumn("place", place).where(F.col("place") >= start)
+    block = lambda x: F.floor((x - start) / BLOCK).cast("int")
+    blocks = F.least(block(F.least(F.col("n"), F.lit(stop)) - 1), block(F.col("place")))
+    members = rows.select("*", F.lit(False).alias("pivot"), F.explode(F.sequence(F.lit(0), blocks)).alias("block"), F.floor(F.col("place") / chunk).cast("int").alias("chunk"))
+    chunks = F.sequence(F.floor(F.col("place") / chunk).cast("int"), F.floor((F.col("n") - 1) / chunk).cast("int"))
+    pivots = rows.where(F.col("place") < stop).select("*", F.lit(True).alias("pivot"), block(F.col("place")).alias("block"), F.explode(chunks).alias("chunk"))
+    both = members.unionByName(pivots)
+    cell = ["list", "block", "chunk"]
+    return both.repartition(partitions(rows.sparkSession), *cell).sortWithinPartitions(*cell, F.desc("pivot"), "id")
+
+
+def _pivot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a cell's pivots with its members at later places, of other components, that could be similar."""
+    now, have = None, 0
+    ids, roots, sizes, places, maps = _grown(None, 64)
+    found: list[tuple[np.ndarray, int]] = []
+    held = 0
+
+    def pairs() -> pa.RecordBatch:
+        u = np.concatenate([f[0] for f in found])
+        v = np.repeat(np.array([f[1] for f in found]), [len(f[0]) for f in found])
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = list(zip(*(batch.column(k).to_pylist() for k in ("list", "block", "chunk"))))
+        members, tops, n_of, at = (batch.column(k).to_numpy() for k in ("id", "root", "size", "place"))
+        pivot = batch.column("pivot").to_pylist()
+        bits = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+        for k in range(batch.num_rows):
+            if cells[k] != now:
+                now, have = cells[k], 0
+            if pivot[k]:
+                if have == len(ids):
+                    ids, roots, sizes, places, maps = _grown((ids, roots, sizes, places, maps), 2 * have)
+                ids[have], roots[have], sizes[have], places[have], maps[have] = members[k], tops[k], n_of[k], at[k], bits[k]
+                have += 1
+            elif have:
+                earlier = (places[:have] < at[k]) | ((places[:have] == at[k]) & (ids[:have] < members[k]))
+                other = np.flatnonzero(earlier & (roots[:have] != tops[k]) & near_size(sizes[:have], n_of[k]))
+                apart = np.bitwise_count(maps[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                total = sizes[other] + n_of[k]
+                good = other[(100 + PERCENT) * ((total - apart) // 2) >= PERCENT * total]
+                if len(good):
+                    found.append((ids[good], int(members[k])))
+                    held += len(good)
+                    if held > 1 << 16:
+                        yield pairs()
+                        held = 0
+    if found:
+        yield pairs()
 
 
 def _grown(old, size: int):
-    new = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros((size, BITMAP // 64), np.uint64)
+    new = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros((size, BITMAP // 64), np.uint64)
     for a, b in zip(old or (), new):
         b[:len(a)] = a
     return new
@@ -408,23 +458,23 @@ def linked(texts: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     lists = lists.unionByName(with_big.select(key, F.col("a").alias("grp"))).unionByName(with_big.select(key, F.col("b").alias("grp"))).distinct()
     lists = stored(lists.join(placed, "grp").select("list", "id").distinct(), "lists")
     needed = first.select(F.col("u").alias("id")).union(first.select("v")).union(lists.select("id")).distinct()
-    members = texts.join(needed.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    needed = stored(needed.select(F.col("id").alias("doc_id")), "needed")
+    members = texts.join(hashed_side(needed, 100 * needed.count()), "doc_id", "left_semi")
     members = stored(members.mapInArrow(_zipped, "id long, size long, bytes long, bitmap binary, blob binary"), "members")
     links = stored(verified(first, members), "links")
     roots = components(links)
     start, stop = 0, FEW
     while True:
         labelled = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = labelled.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where(f"a <> b AND n > {start} + 1")
-        lists = stored(labelled.join(open_.select("list"), "list", "left_semi").select("list", "id", "root"), "lists")
+        open_ = labelled.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where(f"a <> b AND n > {start}")
+        lists = stored(labelled.join(open_.select("list", "n"), "list").select("list", "n", "id", "root"), "lists")
         if lists.isEmpty():
             return roots
-        rows = lists.join(members.select("id", "size", "bitmap"), "id").select("list", "id", "root", "size", "bitmap")
-        rows = rows.repartition(partitions(spark), "list").sortWithinPartitions("list", F.xxhash64("id"), "id")
-        more = rows.mapInArrow(_pivot_pairs(start, stop), "u long, v long").distinct()
+        rows = dealt(lists.join(members.select("id", "size", "bitmap"), "id"), start, stop)
+        more = rows.mapInArrow(_pivot_pairs, "u long, v long").distinct()
         links = stored(links.unionByName(verified(more, members)), "links")
         roots = components(links)
-        lists = lists.drop("root")
+        lists = lists.select("list", "id")
         start, stop = stop, stop + MANY
 
 
@@ -447,5 +497,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of the documents that links hold together, the one with the smallest doc_id, with all columns.
+
+    Of rows that repeat its doc_id one stays, by the hash of its text; rows with null doc_id are linked with nothing and all stay.
+    """
+    kept = stored(near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct(), "kept")
+    same, name = numbered(docs)
+    key, text = name("doc_id"), name("text")
+    rows = same.join(hashed_side(kept, 100 * kept.count()), same[key] == kept["doc_id"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), text))
+    one = rows.withColumn("nth", nth).where("nth = 1").drop("nth")
+    return one.unionByName(same.where(F.col(key).isNull())).toDF(*docs.columns)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

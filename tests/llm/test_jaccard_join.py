@@ -2,6 +2,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import components, jaccard_join as jj
 
@@ -113,3 +114,28 @@ def test_components(spark, monkeypatch, size):
         root[b] = a
     got = {r.id: r.root for r in components.components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()}
     assert {v: got.get(v, v) for v in root} == {v: find(v) for v in root}
+
+
+def test_thousands_of_equal_rows(spark):
+    """Rows that repeat two similar documents don't multiply."""
+    words = [f"w{k}" for k in range(60)]
+    df = docs(spark, [" ".join(words), " ".join(words[:58] + ["x", "y"])]).crossJoin(spark.range(2000).select("id"))
+    got = jj.near_duplicates(df).groupBy("doc_id", "n_shingles", "component_id").agg(F.count("*")).collect()
+    assert sorted(map(tuple, got)) == [(0, 56, 0, 2000), (1, 56, 0, 2000)]
+
+
+def test_cells_hold_every_pair_once(spark, monkeypatch):
+    """A long list's pivots and members meet once, in cells of bounded size."""
+    import numpy as np
+
+    monkeypatch.setattr(jj, "BLOCK", 32)
+    monkeypatch.setattr(jj, "CHUNK", 16)
+    n = 400
+    rows = spark.createDataFrame([(7, n, k, k, 50, bytes(jj.BITMAP // 8)) for k in range(n)], "list long, n long, id long, root long, size long, bitmap binary")
+    seen, cells = [], []
+    for start, stop in ((0, 64), (64, 64 + jj.MANY)):
+        dealt = jj.dealt(rows, start, stop)
+        cells += [r.n for r in dealt.groupBy("list", "block", "chunk").agg(F.count("*").alias("n")).collect()]
+        seen += [(r.u, r.v) for r in dealt.mapInArrow(jj._pivot_pairs, "u long, v long").collect()]
+    assert sorted(seen) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    assert max(cells) < 200 and np.mean(cells) > 10
