@@ -17,7 +17,8 @@ a shuffle; what goes to the tasks has a fixed size.
 
 Cases: null and blank texts have no words and are scored by what is left; null
 metadata is a value of its own; labels that repeat a doc_id count by their mean,
-null labels not at all; repeated rows get the same score; with no labels, or
+null labels not at all; of rows that repeat a labelled doc_id one is fitted, that with
+the least text; repeated rows get the same score; with no labels, or
 labels of one class, every document gets that class's share and is kept unless
 all labels are 0; an empty table gives an empty result; extra columns are ignored.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .textkernel import SPACE, U64, Texts, mix, pick, slices, windows
+from .textkernel import SPACE, U64, Texts, mix, numbered, pick, slices, windows
 
 #: Most labelled documents that are used to fit the classifiers.
 MAX_LABELLED = 8000
@@ -405,7 +406,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     every = pick(docs, "doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL")
     sample = known.join(every.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(MAX_LABELLED)
-    columns = every.join(F.broadcast(sample), "doc_id")
+    fields = ["text", "lang", "source", "n_chars"]
+    columns = every.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*fields)).alias("row")).select("doc_id", "label", "row.*")
     got = columns.mapInArrow(_features, "doc_id long, label int, words array<int>, dense array<double>, meta array<int>").toArrow()
     got = got.sort_by("doc_id").combine_chunks()
     words = got.column("words").combine_chunks() if got.num_rows else None
@@ -436,13 +438,15 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
 
 def filtered(docs: DataFrame, model: CoTrained) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    names = docs.columns
+    same, name = numbered(docs)
+    names = {c: name(c) for c in ("text", "lang", "source", "n_chars")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield batch.filter(pa.array(model.scores(*rows_of(batch))[2] >= KEEP_FROM))
+        for batch in slices(batches, names["text"]):
+            seen = pa.RecordBatch.from_arrays([batch.column(n) for n in names.values()], list(names))
+            yield batch.filter(pa.array(model.scores(*rows_of(seen))[2] >= KEEP_FROM))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return same.mapInArrow(run, same.schema).toDF(*docs.columns)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

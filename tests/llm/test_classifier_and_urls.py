@@ -171,3 +171,15 @@ def test_op5_empty(spark):
     lab = spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
     assert sorted(map(str, ((r.page_id, r.verdict) for r in uf.judged(p, lab.where("false")).collect()))) == ["(1, 'block')", "(None, 'allow')"]
     assert uf.judged(p.where("false"), lab).count() == 0
+
+
+def test_repeated_rows_of_labelled_documents_reach_the_driver_once(spark, sf, monkeypatch):
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    first = labels.agg({"doc_id": "min"}).first()[0]
+    many = docs_.unionByName(docs_.where(f"doc_id = {first}").crossJoin(spark.range(3000)).drop("id"))
+    sizes = []
+    real = qc.co_train
+    monkeypatch.setattr(qc, "co_train", lambda text, meta, label, *rest: sizes.append(len(label)) or real(text, meta, label, *rest))
+    qc.fit(many, labels)
+    assert sizes == [labels.join(docs_, "doc_id").select("doc_id").distinct().count()]
