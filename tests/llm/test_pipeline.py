@@ -105,3 +105,22 @@ def test_hard_rows(spark, sf):
             ids = [r.doc_id for r in got.collect()]
             assert len([k for k in ids if k is not None]) == len({k for k in ids if k is not None}) and ids.count(None) == 5
             assert all(a != b for a, b in combinations([k for k in ids if k is not None], 2))
+
+
+def test_extra_columns_with_clashing_names(spark, sf):
+    """Every stage leaves extra columns as they are, whatever they are called."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 4000")
+    extra = {"tag": "doc_id + 1", "_nth": "doc_id + 2", "_spans": "doc_id + 3", "spans": "doc_id + 4", "Text": "concat('x', doc_id)", "DOC_ID": "doc_id + 5", "nth": "doc_id + 6", "c0": "doc_id + 7", "part": "doc_id + 8"}
+    wide = df.selectExpr("*", *[f"{value} AS `{name}`" for name, value in extra.items()])
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns, name
+        rows = [dict(zip(got.columns, r)) for r in got.collect()]
+        assert rows
+        for r in rows:
+            k = r["doc_id"]
+            assert [r[c] for c in extra] == [k + 1, k + 2, k + 3, k + 4, f"x{k}", k + 5, k + 6, k + 7, k + 8], name
+        plain = {r.doc_id: r.text for r in stage(spark, df, sf).collect()}
+        assert {r["doc_id"]: r["text"] for r in rows} == plain, name
+    wide = stored(wide, "wide")
+    assert {r.doc_id: r.ids for r in cp.STAGES[-1][1](spark, wide, sf).collect()} == {r.doc_id: r.ids for r in cp.STAGES[-1][1](spark, df, sf).collect()}
