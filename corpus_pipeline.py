@@ -1,15 +1,18 @@
 """From documents to token ids: quality, near duplicates, repeated passages, benchmark leaks, encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
-kept; all but the last return the columns of documents.  SQL can't express the
+kept; all but the last return the columns of documents, and extra columns as they are,
+whatever their names.  Each stage's module states what becomes of nulls, blanks, repeats and
+empty tables: null or blank texts are scored, linked with nothing, cut nowhere and
+encoded as no ids; rows that repeat a doc_id become one in the second stage, rows with
+null doc_id all stay.  SQL can't express the
 trained classifier or the encoder, so run() has no SQL; tests hold each stage
 against a plain version of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import bpe_codec, decontamination, jaccard_join, quality_classifier, substring_dedup
 from quillgraph.llm.shared import stored
@@ -22,20 +25,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links hold together, the one with the smallest doc_id stays.
-
-    Of rows that repeat its doc_id one stays; rows with null doc_id are linked with nothing and all stay.
-    """
-    kept = jaccard_join.near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    one = rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """Of the documents that links hold together, the one with the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; the documents stay."""
-    return substring_dedup.substring_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return substring_dedup.substring_dedup(docs, length="n_chars")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
