@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 
@@ -14,7 +15,7 @@ def spark():
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-        .config("spark.driver.host", "127.0.0.1")
+        .config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-tests-", dir="/tmp"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
