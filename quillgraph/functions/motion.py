@@ -28,8 +28,14 @@ def crossfade(offset: Column, height: Column, count: Column, layer: Column, top:
     )
 
 
+def opacity_style(x: Column) -> Column:
+    """As a style sheet takes it: all decimals there are, none where there are none; null and not-a-number are 0."""
+    whole = F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)).cast("decimal(20,17)").cast("string")
+    return F.regexp_replace(whole, r"\.?0+$", "")
+
+
 def opacity_text(x: Column) -> Column:
-    """Two decimals; null and not-a-number are zero."""
+    """As a page template writes it, with two decimals; null and not-a-number are zero."""
     return F.format_string("%.2f", F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 

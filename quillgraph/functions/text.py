@@ -78,8 +78,14 @@ def duration_ms(s: Column, fallback: float) -> Column:
     return F.when(t == "", F.lit(float(fallback))).when(t.endswith("ms"), number).when(t.endswith("s"), number * 1000).otherwise(bare)
 
 
-def language_of_path(path: Column) -> Column:
-    found = F.regexp_extract(path, rf"^/({'|'.join(PREFIXED_LANGUAGES)})(/|$)", 1)
+def has_part(s: Column, part: str) -> Column:
+    """Whether a text has the part; null has none."""
+    return F.coalesce(F.contains(s, F.lit(part)), F.lit(False))
+
+
+def language_of_path(path: Column, languages=PREFIXED_LANGUAGES) -> Column:
+    """The language whose prefix a path begins with, else the default one."""
+    found = F.regexp_extract(path, rf"^/({'|'.join(languages)})(/|$)", 1)
     return or_default(found, DEFAULT_LANGUAGE)
 
 

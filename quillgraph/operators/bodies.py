@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blocks that older pages were made of. Fixed values.
-LEGACY_TYPES = ("hero", "text", "image", "quote")
+LEGACY_TYPES = ("sacred_hero", "section", "goals")
 
 
 def needs_reseed(body: Column, legacy: tuple[str, ...] = LEGACY_TYPES) -> Column:

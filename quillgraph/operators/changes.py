@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,43 @@ def seeded(existing: DataFrame, seed: DataFrame, key: str, columns: Sequence[str
     return out, both.where("_seed").select(key, F.col("_action").alias("action"))
 
 
+def bootstrap(existing: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """All rows after a load, and one row of what it did: created (number) and message. For dimensions of few rows."""
+    rows, told = get_or_create(existing, wanted, key)
+    names = F.array_join(F.sort_array(F.collect_list(F.when(F.col("created"), F.col(key).cast("string")))), ", ")
+    done = told.agg(F.count_if("created").alias("created"), names.alias("_names"))
+    return rows, done.select("created", F.when(F.col("created") > 0, F.concat(F.lit("created: "), "_names")).otherwise("nothing to create").alias("message"))
+
+
+def migrated(rows: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], applied: Collection[str] = ()) -> tuple[DataFrame, list[str]]:
+    """rows after the steps (name, function) that weren't applied before, in their order, and the names of all that are applied now."""
+    done = list(applied)
+    for name, step in steps:
+        if name not in done:
+            rows = step(rows)
+            done.append(name)
+    return rows, done
+
+
+def home_due(force: Column | bool, reseed: Column, show_subpages: Column, description: Column) -> Column:
+    """Whether a home page is seeded anew: forced, with an old body, showing subpages, or without description."""
+    force = force if isinstance(force, Column) else F.lit(force)
+    return force | F.coalesce(reseed, F.lit(False)) | F.coalesce(show_subpages, F.lit(False)) | is_blank(description)
+
+
+def home_seeded(home: DataFrame, body: Column, description: str, force: bool = False) -> DataFrame:
+    """Home pages (content_type, needs_reseed, show_subpages, description, body) after seeding, with `home_seeded`, 0 or 1.
+
+    A home page of another type than webpage is an error when the query runs.
+    """
+    wrong = F.raise_error("the root page must be a web page").cast("boolean")
+    due = F.when(F.coalesce(F.col("content_type") == "webpage", F.lit(False)), home_due(force, F.col("needs_reseed"), F.col("show_subpages"), F.col("description"))).otherwise(wrong)
+    rows = home.withColumn("_due", due)
+    take = F.col("_due")
+    new = {"body": body, "description": F.lit(description), "needs_reseed": F.lit(False), "show_subpages": F.lit(False)}
+    return rows.withColumns({c: F.when(take, v).otherwise(F.col(c)) for c, v in new.items()}).withColumn("home_seeded", take.cast("long")).drop("_due")
+
+
 def counters(actions: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row with the number of rows of each action."""
     return actions.agg(*[F.count_if(F.col("action") == n).alias(n) for n in names])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,13 @@ def repeated(rows: DataFrame, *key: str) -> DataFrame:
 def is_subset(needed: DataFrame, have: DataFrame) -> DataFrame:
     """One row, column ok: whether every row of needed is in have; both have the same columns."""
     return needed.join(have, needed.columns, "left_anti").agg((F.count("*") == 0).alias("ok"))
+
+
+def has_all(have: Column, needed: Sequence) -> Column:
+    """Whether an array has all of some values; a null array has none."""
+    return F.coalesce(F.size(F.array_except(F.array(*[F.lit(x) for x in needed]), have)) == 0, F.lit(not needed))
+
+
+def same_members(a: Column, b: Column) -> Column:
+    """Whether two arrays are equal as sets."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,11 +13,6 @@ def specific(base: DataFrame, subtype: DataFrame, key: str, pointer: str) -> Dat
     return base.join(subtype.withColumnRenamed(pointer, key), key)
 
 
-def ordered(children: DataFrame, *by: str) -> list[Column]:
-    """Order of a child collection: nulls last, the last column breaks ties."""
-    return [F.col(c).asc_nulls_last() for c in by]
-
-
 def nested(children: DataFrame, parent: str, order: str, fields: Sequence[str], into: str = "items") -> DataFrame:
     """One row per parent with its children as an array in order."""
     entry = F.struct(F.col(order).isNull().alias("_none"), order, *[f for f in fields if f != order])
@@ -71,3 +66,21 @@ def redirected(requests: DataFrame, redirects: DataFrame, missing: str = "404")
 def side_by_side(passages: DataFrame, reference: str, edition: str, text: str, editions: Sequence[str]) -> DataFrame:
     """One row per reference with a column of text for every edition."""
     return passages.groupBy(reference).pivot(edition, list(editions)).agg(F.min(text))
+
+
+def tagged(items: DataFrame, tags: DataFrame, key: str, wanted: str) -> DataFrame:
+    """Items with the tag (tags: key, tag), whatever its case."""
+    return items.join(tags.where(F.lower("tag") == wanted.lower()).select(key), key, "left_semi")
+
+
+def with_terms(items: DataFrame, terms: DataFrame, key: str, classifier: str, wanted: Sequence[str]) -> DataFrame:
+    """Items that a list filtered by a classifier shows: those with any of its wanted terms (terms: key, classifier, term); all items with none wanted."""
+    if not wanted:
+        return items
+    return items.join(terms.where((F.col("classifier") == classifier) & F.col("term").isin(*wanted)).select(key), key, "left_semi")
+
+
+def translated(rows: DataFrame, labels: DataFrame, label: str, language: str) -> DataFrame:
+    """rows with `label` in a language (labels: message, language, translation), as it is where there is no translation."""
+    known = labels.where(F.col("language") == language).select(F.col("message").alias(label), "translation")
+    return rows.join(known, label, "left").withColumn(label, F.coalesce("translation", label)).select(*rows.columns)

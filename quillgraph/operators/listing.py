@@ -31,7 +31,8 @@ def index_listing(pages: DataFrame, index: DataFrame, parent: str, date: str, ke
 
 
 def first_or_none(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.orderBy(*order).limit(1)
+    """The first row, nulls of the order last; the last column of the order breaks ties."""
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(1)
 
 
 def exactly_one(rows: DataFrame) -> DataFrame:

@@ -18,3 +18,11 @@ def search(index: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
     """(key, matched, score) of documents with any of the terms: how many of them, and the sum of counts."""
     hits = index.where(F.col("term").isin(*[t.lower() for t in terms]))
     return hits.groupBy(key).agg(F.count("*").alias("matched"), F.sum("tf").alias("score"))
+
+
+def search_texts(documents: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
+    """As search, for a single question without an index: other terms are left behind before rows are made of them."""
+    wanted = [t.lower() for t in terms]
+    found = F.explode(F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+"), lambda t: t.isin(*wanted)))
+    counts = documents.select(key, found.alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return counts.groupBy(key).agg(F.count("*").alias("matched"), F.sum("tf").alias("score"))

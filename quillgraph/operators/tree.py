@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP = 4  # characters of a step
+BASE = 36  # of the numbers that steps are: digits, then A to Z
 
 
 def parent_path(path: Column, step: Column | int = STEP) -> Column:
@@ -44,29 +47,41 @@ def child_counts(parents: DataFrame, children_: DataFrame, key: str, parent_key:
     return parents.select(key).join(count, key, "left").withColumn("numchild", F.coalesce("numchild", F.lit(0).cast("long")))
 
 
-def add_children(nodes: DataFrame, new: DataFrame) -> DataFrame:
+def step_text(number: Column, base: int = BASE) -> Column:
+    """A number as a step of STEP characters; one that doesn't fit is an error when the query runs."""
+    digits = F.conv(number.cast("string"), 10, base)
+    full = F.raise_error(F.concat(F.lit("no room for child number "), number.cast("string"))).cast("string")
+    return F.when(F.length(digits) > STEP, full).otherwise(F.lpad(digits, STEP, "0"))
+
+
+def add_children(nodes: DataFrame, new: DataFrame, base: int = BASE) -> DataFrame:
     """nodes (path, depth, numchild, ...) with `new` rows (parent_path, order, and the other columns of nodes) as their parents' last children.
 
-    New rows follow the last child there is, in their `order`.  Rows under a path
-    that is not there are left out.
+    New rows follow the last child there is, in their `order`; steps are numbers of the given base.
+    A parent has room for base ** STEP - 1 children; beyond that the query fails.  Rows
+    under a path that is not there are left out.
     """
-    last = nodes.groupBy(parent_path(F.col("path")).alias("parent_path")).agg(F.max(F.substring("path", -STEP, STEP).cast("int")).alias("_last"))
+    last = nodes.groupBy(parent_path(F.col("path")).alias("parent_path")).agg(F.conv(F.max(F.substring("path", -STEP, STEP)), base, 10).cast("long").alias("_last"))
     place = F.row_number().over(Window.partitionBy("parent_path").orderBy("order"))
     rows = new.withColumn("_nth", place).join(last, "parent_path", "left")
     rows = rows.join(nodes.select(F.col("path").alias("parent_path"), F.col("depth").alias("_depth")), "parent_path")
-    step = F.lpad((F.coalesce("_last", F.lit(0)) + F.col("_nth")).cast("string"), STEP, "0")
-    rows = rows.withColumn("path", F.concat("parent_path", step)).withColumn("depth", F.col("_depth") + 1).withColumn("numchild", F.lit(0).cast(nodes.schema["numchild"].dataType))
+    rows = rows.withColumn("path", F.concat("parent_path", step_text(F.coalesce("_last", F.lit(0)) + F.col("_nth"), base))).withColumn("depth", F.col("_depth") + 1).withColumn("numchild", F.lit(0).cast(nodes.schema["numchild"].dataType))
     grown = rows.groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("_new"))
     old = nodes.join(grown, "path", "left").withColumn("numchild", (F.col("numchild") + F.coalesce("_new", F.lit(0))).cast(nodes.schema["numchild"].dataType))
     return old.select(*nodes.columns).unionByName(rows.select(*nodes.columns))
 
 
-def type_violations(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Nodes (path, content_type) whose type may not lie under their parent's; rules: (content_type, parent_type) for limited types.
+def type_violations(nodes: DataFrame, rules: Mapping[str, Sequence[str]], step: Column | int = STEP) -> DataFrame:
+    """Nodes (path, content_type) whose type may not lie under their parent's; rules: the parents' types that each limited type may have.
 
-    Types that no rule names may lie anywhere.
+    Types without a rule may lie anywhere; a limited node without a parent breaks its
+    rule.  Rules are part of the plan: only nodes of limited types are looked at as children.
     """
-    parents = nodes.select(F.col("path").alias("_parent"), F.col("content_type").alias("parent_type"))
-    limited = nodes.join(rules.select("content_type").distinct(), "content_type", "left_semi")
-    pairs = limited.withColumn("_parent", parent_path(F.col("path"))).join(parents, "_parent", "left").drop("_parent")
-    return pairs.join(rules, ["content_type", "parent_type"], "left_anti").select("path", "content_type", "parent_type")
+    type_ = F.col("content_type")
+    parents = nodes.select(F.col("path").alias("_parent"), type_.alias("parent_type"))
+    limited = nodes.where(type_.isin(*rules)).withColumn("_parent", parent_path(F.col("path"), step))
+    fits = F.lit(False)
+    for kind, parent_types in rules.items():
+        fits = fits | ((type_ == kind) & F.col("parent_type").isin(*parent_types))
+    pairs = limited.join(parents, "_parent", "left")
+    return pairs.where(~F.coalesce(fits, F.lit(False))).select("path", "content_type", "parent_type")

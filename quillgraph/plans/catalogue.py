@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar, motion, text
+from ..functions import calendar, markup, motion, text
 from ..operators import bodies, changes, integrity, links, listing, search, tree
 from ..sources.tables import table
 from ..streaming import events as stream
@@ -136,8 +136,7 @@ def r_add_children(spark, sf):
 @query("SELECT lpad(l_orderkey::VARCHAR, 8, '0') || lpad(l_linenumber::VARCHAR, 4, '0') AS path, l_returnflag AS content_type, o_orderstatus AS parent_type FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND coalesce(o_orderstatus, '') <> 'F'")
 def r_type_violations(spark, sf):
     """Returned lines may only lie under finished orders."""
-    rules = spark.createDataFrame([("R", "F")], "content_type string, parent_type string")
-    return tree.type_violations(_lines(spark, sf), rules)
+    return tree.type_violations(_lines(spark, sf), {"R": ["F"]})
 
 
 # -- joins ---------------------------------------------------------------------
@@ -218,7 +217,9 @@ def _bodies(spark, sf) -> DataFrame:
 
 @query("SELECT conv_id, bool_or(role = 'system') AS reseed FROM conversations GROUP BY conv_id")
 def r_needs_reseed(spark, sf):
-    return _bodies(spark, sf).select("conv_id", bodies.needs_reseed(F.col("body"), ("system",)).alias("reseed"))
+    kind = F.when(F.col("role") == "system", "section").otherwise("html")  # what system turns stand for
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("type"), F.col("text").alias("value"))
+    return links.nested(rows, "conv_id", "turn", ["type", "value"], "body").select("conv_id", bodies.needs_reseed(F.col("body")).alias("reseed"))
 
 
 @query("SELECT conv_id, turn, role, CASE role WHEN 'assistant' THEN replace(text, 'a', '@') ELSE text END AS text FROM conversations")
@@ -297,6 +298,41 @@ def r_update_and_delete(spark, sf):
     return changes.updated(rows, F.col("c_acctbal") < 0, c_mktsegment=F.lit("OVERDRAWN")).select("c_custkey", "c_mktsegment")
 
 
+@query("SELECT c_custkey, c_mktsegment = 'BUILDING' OR c_acctbal < 0 OR c_nationkey = 3 AS seeded, CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 OR c_nationkey = 3 THEN 'new' WHEN c_nationkey = 3 THEN ' ' ELSE c_name END AS description FROM customer")
+def r_home_seed(spark, sf):
+    """Customers as home pages: an old body, shown subpages or a blank description are reasons to seed them."""
+    home = table(spark, sf, "customer").select(
+        "c_custkey", F.lit("webpage").alias("content_type"), (F.col("c_mktsegment") == "BUILDING").alias("needs_reseed"), (F.col("c_acctbal") < 0).alias("show_subpages"),
+        F.when(F.col("c_nationkey") == 3, " ").otherwise(F.col("c_name")).alias("description"), F.lit("old").alias("body"),
+    )
+    got = changes.home_seeded(home, F.lit("built"), "new")
+    return got.select("c_custkey", (F.col("home_seeded") == 1).alias("seeded"), "description")
+
+
+@query("SELECT CASE WHEN count(*) > 0 THEN 'created: ' || string_agg(n_name, ', ' ORDER BY n_name) ELSE 'nothing to create' END AS message, count(*) AS created FROM nation WHERE n_regionkey > 1")
+def r_bootstrap(spark, sf):
+    """A load of all nations where those of two regions are there."""
+    nations = table(spark, sf, "nation").select("n_name", "n_regionkey")
+    return changes.bootstrap(nations.where("n_regionkey <= 1"), nations, "n_name")[1]
+
+
+@query("SELECT c_custkey, c_acctbal + CASE WHEN c_nationkey < 12 THEN 1 ELSE 0 END AS balance, c_nationkey < 12 AS moved FROM customer")
+def r_migrated(spark, sf):
+    """Two steps in order, of which the first was applied before."""
+    steps = [
+        ("0001", lambda rows: rows.withColumn("c_acctbal", F.lit(0.0))),
+        ("0002", lambda rows: rows.withColumn("moved", F.col("c_nationkey") < 12)),
+        ("0003", lambda rows: rows.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("moved"), 1).otherwise(0))),
+    ]
+    rows = changes.migrated(table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), steps, ["0001"])[0]
+    return rows.select("c_custkey", F.col("c_acctbal").alias("balance"), "moved")
+
+
+@query("SELECT count(*) AS left_over FROM customer WHERE false")
+def r_emptied(spark, sf):
+    return changes.emptied(table(spark, sf, "customer")).agg(F.count("*").alias("left_over"))
+
+
 # -- sets ----------------------------------------------------------------------
 
 
@@ -304,14 +340,14 @@ def r_update_and_delete(spark, sf):
 def r_issubset(spark, sf):
     """Whether {F, O} is among each customer's statuses."""
     have = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("have"))
-    return have.select("o_custkey", (F.size(F.array_except(F.array(F.lit("F"), F.lit("O")), "have")) == 0).alias("ok"))
+    return have.select("o_custkey", integrity.has_all(F.col("have"), ["F", "O"]).alias("ok"))
 
 
 @query("SELECT lang, list_sort(list(DISTINCT source)) = list_sort(list(DISTINCT source) FILTER (doc_id % 2 = 0)) AS same FROM documents GROUP BY lang")
 def r_set_equality(spark, sf):
     even = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
-    got = table(spark, sf, "documents").groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("a"), F.sort_array(F.collect_set(even)).alias("b"))
-    return got.select("lang", (F.col("a") == F.col("b")).alias("same"))
+    got = table(spark, sf, "documents").groupBy("lang").agg(F.collect_set("source").alias("a"), F.collect_set(even).alias("b"))
+    return got.select("lang", integrity.same_members(F.col("a"), F.col("b")).alias("same"))
 
 
 # -- scalar functions ----------------------------------------------------------
@@ -337,10 +373,9 @@ def r_crossfade(spark, sf):
 
 @query("SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^/(fr|de)(/|$)', 1), ''), 'en') AS language FROM pages")
 def r_locale_prefix(spark, sf):
-    """The language prefix of each page's path; fr and de stand for the prefixed languages."""
+    """The language prefix of each page's path."""
     path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
-    found = text.language_of_path(F.regexp_replace(F.regexp_replace(path, "^/fr(/|$)", "/th$1"), "^/de(/|$)", "/zh$1"))
-    return table(spark, sf, "pages").select("page_id", F.when(found == "th", "fr").when(found == "zh", "de").otherwise(found).alias("language"))
+    return table(spark, sf, "pages").select("page_id", text.language_of_path(path, ("fr", "de")).alias("language"))
 
 
 @query("SELECT p_partkey, 'archive/' || p_brand || '/' || CASE WHEN length(p_partkey::VARCHAR) < 3 THEN lpad(p_partkey::VARCHAR, 3, '0') ELSE p_partkey::VARCHAR END || '.jpg' AS path, p_brand AS book, p_partkey AS page FROM part")
@@ -412,13 +447,82 @@ def r_live_window(spark, sf):
     return table(spark, sf, "orders").where(calendar.is_live(day, golive, expire)).select("o_orderkey")
 
 
+@query("SELECT p_partkey, replace(lower(p_name), ' ', '_') AS field, p_brand || '.' || md5(p_name)[1:12] || '.css' AS hashed, false AS thai, CASE WHEN p_size % 2 = 0 THEN 'fill' ELSE 'max' END AS operation, p_size::INT AS width, 90 AS height, 'webp' AS format FROM part")
+def r_names(spark, sf):
+    """Names of fields and files, and image specifications, made from parts."""
+    spec = F.concat(F.when(F.col("p_size") % 2 == 0, "fill").otherwise("max"), F.lit("-"), F.col("p_size").cast("string"), F.lit("x90 format-webp"))
+    rows = table(spark, sf, "part").select(
+        "p_partkey", text.field_name(F.col("p_name")).alias("field"), text.hashed_name(F.concat("p_brand", F.lit(".css")), F.col("p_name")).alias("hashed"),
+        text.has_thai(F.col("p_name")).alias("thai"), text.rendition(spec).alias("r"),
+    )
+    return rows.select("p_partkey", "field", "hashed", "thai", "r.operation", "r.width", "r.height", "r.format")
+
+
+@query("SELECT doc_id, 3 AS choices, contains(lower(source), '1') AS has_one, least(1.0, greatest(0.25, (doc_id % 10) / 4.0))::DOUBLE AS amount, CASE doc_id % 10 WHEN 0 THEN '0' WHEN 1 THEN '0.25' WHEN 2 THEN '0.5' WHEN 3 THEN '0.75' WHEN 4 THEN '1' ELSE '1.' || CASE doc_id % 10 WHEN 5 THEN '25' WHEN 6 THEN '5' WHEN 7 THEN '75' ELSE '' END END AS style FROM documents WHERE doc_id % 10 < 8")
+def r_choices(spark, sf):
+    """Choice lists, substring tests, clamped numbers and their texts."""
+    share = (F.col("doc_id") % 10) / 4
+    return table(spark, sf, "documents").where("doc_id % 10 < 8").select(
+        "doc_id", F.size(text.choice_list(F.concat(F.lit("a, "), "lang", F.lit("\r\n\nb,")))).alias("choices"), text.has_part(F.lower("source"), "1").alias("has_one"),
+        motion.clamped(share, 0.25, 1.0).alias("amount"), motion.opacity_style(share).alias("style"),
+    )
+
+
+@query("SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'asked' ELSE text END AS text FROM conversations")
+def r_merged(spark, sf):
+    """Fields of a struct replaced by given ones."""
+    block = F.struct("role", "text")
+    new = F.when(F.col("role") == "user", bodies.merged(block, text=F.lit("asked"))).otherwise(block)
+    return table(spark, sf, "conversations").select("conv_id", "turn", new.alias("b")).select("conv_id", "turn", "b.role", "b.text")
+
+
+@query("""SELECT p_partkey, md5('<div class="goal-detail">' || chr(10) || '  <h1 class="goal-detail-title">' || p_name || '</h1>' || chr(10) || '  <div class="goal-detail-body">' || chr(10)
+  || array_to_string(list_transform(string_split(p_type, ' '), lambda p: '    <p>' || p || '</p>'), chr(10)) || chr(10) || '  </div>' || chr(10) || '</div>') AS goal,
+  md5('<div class="home-section">' || chr(10) || '  <h2 class="home-section-title">Mission</h2>' || chr(10) || '  <p class="home-principle">' || p_name || '</p>' || chr(10) || '</div>') AS section,
+  '<p>' || p_type || '</p>' AS card FROM part""")
+def r_body_builders(spark, sf):
+    """Bodies built from parts: a goal's page, a section of a home page, a card."""
+    name, kind = F.col("p_name"), F.col("p_type")
+    card = markup.card(F.col("p_size").cast("string"), name, kind, F.col("p_partkey"), F.lit("Read more"))
+    return table(spark, sf, "part").select("p_partkey", F.md5(markup.goal_html(name, F.split(kind, " "))).alias("goal"), F.md5(markup.section_html("Mission", name)).alias("section"), card["description"].alias("card"))
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_brand) = lower((SELECT min(p_brand) FROM part))")
+def r_tagged(spark, sf):
+    """Parts with a tag, whatever its case."""
+    parts = table(spark, sf, "part")
+    brand = parts.agg(F.min("p_brand")).first()[0]
+    return links.tagged(parts.select("p_partkey"), parts.select("p_partkey", F.upper("p_brand").alias("tag")), "p_partkey", brand.swapcase())
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'de')")
+def r_classified(spark, sf):
+    """Documents that a list filtered by a classifier shows."""
+    terms = table(spark, sf, "documents").select("doc_id", F.lit("language").alias("classifier"), F.col("lang").alias("term"))
+    return links.with_terms(table(spark, sf, "documents").select("doc_id"), terms, "doc_id", "language", ["en", "de"])
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'building' WHEN 'MACHINERY' THEN 'machinery' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def r_translated_labels(spark, sf):
+    """Labels in another language where there is a translation."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    some = rows.select(F.col("c_mktsegment").alias("message")).distinct().where("message IN ('BUILDING', 'MACHINERY')")
+    labels = some.select("message", F.lit("xx").alias("language"), F.lower("message").alias("translation"))
+    return links.translated(rows, labels, "c_mktsegment", "xx")
+
+
 # -- search and reports --------------------------------------------------------
 
 
 @query("WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents) SELECT doc_id, count(DISTINCT term) AS matched, count(*) AS score FROM t WHERE term IN ('the', 'und', 'pas') GROUP BY doc_id")
 def r_token_tf(spark, sf):
-    index = search.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return search.search(index, "doc_id", ["The", "und", "pas"])
+    return search.search_texts(table(spark, sf, "documents"), "doc_id", "text", ["The", "und", "pas"])
+
+
+@query("WITH t AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+')) AS term FROM part) SELECT term, p_partkey, count(*) AS tf FROM t WHERE term <> '' GROUP BY term, p_partkey")
+def r_postings(spark, sf):
+    """The inverted index itself."""
+    return search.postings(table(spark, sf, "part"), "p_partkey", "p_name")
 
 
 @query("SELECT 'domain' AS rule, o_orderkey AS id FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'range', l_orderkey * 10 + l_linenumber FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.09 UNION ALL SELECT 'length', doc_id FROM documents WHERE length(text) > 5000")
@@ -439,6 +543,8 @@ def r_repeated_keys(spark, sf):
 
 def _folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return base or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
 
 
@@ -458,6 +564,19 @@ def r_stream_seen(spark, sf):
     return stream.drained(stream.seen_keys(_events(spark, sf), "user_id"), _folder(spark))
 
 
+@query("SELECT DISTINCT event_type, user_id FROM events")
+def r_stream_once(spark, sf):
+    """Each user's first event of a type, while the watermark holds it back."""
+    rows = _events(spark, sf).select("ts", "event_type", "user_id")
+    return stream.drained(stream.once_only(rows, ["event_type", "user_id"], "3650 days"), _folder(spark)).select("event_type", "user_id")
+
+
+@query("SELECT event_id FROM events WHERE value >= 12")
+def r_stream_revealed(spark, sf):
+    """Events of which enough is in sight."""
+    return stream.drained(stream.revealed(_events(spark, sf).select("event_id", (F.col("value") / 100).alias("share")), "share"), _folder(spark)).select("event_id")
+
+
 @query("WITH f AS (SELECT date_trunc('day', ts)::TIMESTAMP AS frame, event_type, count(*) AS n, arg_max(value, (ts, value)) AS last FROM events GROUP BY 1, 2) SELECT * FROM f WHERE frame < (SELECT date_trunc('day', max(ts)) FROM events)")
 def r_stream_coalesced(spark, sf):
     """Daily frames that have ended, by event type."""

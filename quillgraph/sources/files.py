@@ -9,7 +9,7 @@ from ..functions.text import scan_parts
 from ..operators.links import orphans
 
 #: Image formats that are served. Fixed values.
-IMAGE_EXTENSIONS = ("avif", "gif", "jpg", "jpeg", "png", "webp", "svg")
+IMAGE_EXTENSIONS = ("gif", "jpg", "jpeg", "png", "webp", "svg")
 
 
 def media(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
@@ -42,11 +42,16 @@ def checked_import(rows: DataFrame, parents: DataFrame, foreign: str, key: str)
     return good, bad
 
 
-def append_submissions(rows: DataFrame, folder: str) -> None:
-    """Form submissions, appended."""
+def append_rows(rows: DataFrame, folder: str) -> None:
+    """New rows of a table kept as files; what is there stays."""
     rows.write.mode("append").parquet(folder)
 
 
+def append_submissions(rows: DataFrame, folder: str, spam: str | None = None) -> None:
+    """Form submissions, appended; those that column `spam` marks are not kept."""
+    append_rows(rows if spam is None else rows.where(~F.coalesce(F.col(spam), F.lit(False))), folder)
+
+
 def export_submissions(spark: SparkSession, folder: str, path: str) -> None:
     """Form submissions as CSV."""
     spark.read.parquet(folder).write.option("header", True).csv(path)

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import html
+import json
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from quillgraph.functions import calendar, motion, text
+from quillgraph.functions import calendar, markup, motion, text
 from quillgraph.operators import bodies, changes, integrity, links, listing, search, tree
 
 GOALS = ["goal-one", "goal-two", "goal-three"]
@@ -98,6 +99,7 @@ def test_crossfade(spark, offset, height, count):
 
 def test_opacity(spark):
     assert [one(spark, motion.opacity_text, v, "double") for v in (0.4, None, float("nan"))] == ["0.40", "0.00", "0.00"]
+    assert [one(spark, motion.opacity_style, v, "double") for v in (0.4, 1.0, 0.0, 0.30000000000000004, 0.0625, None)] == ["0.4", "1", "0", "0.30000000000000004", "0.0625", "0"]
     assert one(spark, lambda c: motion.clamped(c, 0, 1), 3.0, "double") == 1
 
 
@@ -136,10 +138,21 @@ def test_add_children(spark):
     assert got == {"root": ("0001", 1, 3), "home": ("00010003", 2, 1), "a": ("00010004", 2, 0), "b": ("00010005", 2, 0), "c": ("000100030001", 3, 0)}
 
 
+def test_steps_beyond_decimal_digits(spark):
+    nodes = spark.createDataFrame([("0001", 1, 2, "root"), ("00010009", 2, 0, "nine"), ("0002", 1, 1, "full"), ("0002ZZZZ", 2, 0, "last"), ("0003", 1, 1, "ten"), ("0003000A", 2, 0, "a")], "path string, depth int, numchild int, title string")
+    new = spark.createDataFrame([("0001", 1, "x"), ("0001", 2, "y"), ("0003", 1, "z")], "parent_path string, `order` int, title string")
+    got = {r.title: r.path for r in tree.add_children(nodes, new).collect()}
+    assert (got["x"], got["y"], got["z"]) == ("0001000A", "0001000B", "0003000B")
+    with pytest.raises(PySparkException, match="no room"):
+        tree.add_children(nodes, spark.createDataFrame([("0002", 1, "w")], new.schema)).collect()
+    tens = spark.createDataFrame([("0001", 1, 1, "root"), ("00019999", 2, 0, "last")], nodes.schema)
+    with pytest.raises(PySparkException, match="no room"):
+        tree.add_children(tens, spark.createDataFrame([("0001", 1, "w")], new.schema), base=10).collect()
+
+
 def test_type_rules(spark):
     nodes = spark.createDataFrame([("0001", "webpage"), ("00010001", "articleindex"), ("000100010001", "article"), ("00010002", "article"), ("0002", "article")], "path string, content_type string")
-    rules = spark.createDataFrame([("article", "articleindex")], "content_type string, parent_type string")
-    assert {r.path for r in tree.type_violations(nodes, rules).collect()} == {"00010002", "0002"}
+    assert {(r.path, r.parent_type) for r in tree.type_violations(nodes, {"article": ["articleindex"]}).collect()} == {("00010002", "webpage"), ("0002", None)}
 
 
 def test_orders(spark):
@@ -148,6 +161,7 @@ def test_orders(spark):
     assert [r.id for r in got] == [4, 1, 3]
     assert [r.id for r in listing.with_place(rows, "p", "d", "id").orderBy("counter0").collect()] == [2, 3, 1, 4]
     assert listing.first_or_none(rows.where("false"), "id").collect() == []
+    assert listing.first_or_none(rows, "d", "id").first().id == 2
 
 
 def test_exactly_one(spark):
@@ -180,7 +194,7 @@ def test_links(spark):
 BODY = "array<struct<type:string,value:string,id:string>>"
 
 
-@pytest.mark.parametrize("types,want", [(None, True), ([], True), (["html"], False), (["html", "row"], True), (["hero"], True), (["html", "cardgrid"], False)])
+@pytest.mark.parametrize("types,want", [(None, True), ([], True), (["html"], False), (["html", "row"], True), (["sacred_hero"], True), (["section"], True), (["goals"], True), (["hero"], False), (["html", "cardgrid"], False)])
 def test_needs_reseed(spark, types, want):
     body = None if types is None else [(t, "", "") for t in types]
     assert one(spark, bodies.needs_reseed, body, BODY) is want
@@ -223,6 +237,59 @@ def test_seed(spark):
     assert integrity.is_subset(needed, rows.select("slug")).first().ok and not integrity.is_subset(needed, old.select("slug")).first().ok
 
 
+def test_home_seed(spark):
+    schema = "id int, content_type string, needs_reseed boolean, show_subpages boolean, description string, body string"
+    rows = [(1, "webpage", False, False, "told", "b"), (2, "webpage", True, False, "told", "b"), (3, "webpage", False, True, "told", "b"), (4, "webpage", None, None, " ", "b"), (5, "webpage", None, None, None, "b")]
+    home = spark.createDataFrame(rows, schema)
+    got = changes.home_seeded(home, F.lit("new"), "about")
+    assert {r.id: (r.home_seeded, r.body, r.description) for r in got.collect()} == {1: (0, "b", "told"), **{k: (1, "new", "about") for k in (2, 3, 4, 5)}}
+    assert changes.home_seeded(got.drop("home_seeded"), F.lit("new"), "about").where("home_seeded = 1").count() == 0
+    assert changes.home_seeded(home, F.lit("new"), "about", force=True).where("home_seeded = 1").count() == 5
+    with pytest.raises(PySparkException, match="root page"):
+        changes.home_seeded(home.unionByName(spark.createDataFrame([(6, "form", False, False, "x", "b")], schema)), F.lit("new"), "about").collect()
+
+
+def test_home_body_of_goals(spark):
+    """A home page is built of the goals' pages; a goal whose page was skipped is an error."""
+    goals = spark.createDataFrame([("1", g, f"about <{g}>", g) for g in GOALS], "number string, title string, abstract string, slug string")
+    pages = spark.createDataFrame([(g, k) for k, g in enumerate(GOALS)], "slug string, page_id int")
+    card = markup.card(F.col("number"), F.col("title"), F.col("abstract"), F.col("page_id"), F.lit("Read more"))
+    cards = lambda some: links.looked_up(goals, some, "slug").agg(F.sort_array(F.collect_list(F.struct("slug", card.alias("card")))).alias("c"))
+    grid = cards(pages).select(markup.card_grid(F.transform("c", lambda x: x["card"])).alias("b")).first().b
+    assert grid.type == "cardgrid" and json.loads(grid.value)["content"][0]["description"] == "<p>about &lt;goal-one&gt;</p>" and len(json.loads(grid.value)["content"]) == 3
+    with pytest.raises(PySparkException, match="no entry for slug"):
+        cards(pages.where("page_id > 0")).collect()
+    row = spark.range(1).select(
+        markup.goal_html(F.lit("A & B"), F.array(F.lit("x"), F.lit("<y>"))).alias("g"), markup.section_html("Mission", F.lit("m<br>")).alias("s"),
+        markup.cases_html(F.array(F.struct(F.lit("a.").alias("mark"), F.lit("z").alias("body")))).alias("c"), markup.html_block(F.lit("h")).alias("b"),
+    ).first()
+    assert row.g == '<div class="goal-detail">\n  <h1 class="goal-detail-title">A &amp; B</h1>\n  <div class="goal-detail-body">\n    <p>x</p>\n    <p>&lt;y&gt;</p>\n  </div>\n</div>'
+    assert row.s == '<div class="home-section">\n  <h2 class="home-section-title">Mission</h2>\n  <p class="home-principle">m<br></p>\n</div>'
+    assert row.c == '    <p class="home-case"><span class="home-case-mark">a.</span><br>\n    z</p>' and tuple(row.b) == ("html", "h")
+
+
+def test_bootstrap_and_migrations(spark):
+    have = spark.createDataFrame([("en",)], "language_code string")
+    want = spark.createDataFrame([("en",), ("th",), ("zh",)], "language_code string")
+    rows, told = changes.bootstrap(have, want, "language_code")
+    assert tuple(told.first()) == (2, "created: th, zh") and rows.count() == 3
+    assert tuple(changes.bootstrap(rows, want, "language_code")[1].first()) == (0, "nothing to create")
+    steps = [("a", lambda d: d.withColumn("x", F.lit(1))), ("b", lambda d: d.withColumn("x", F.col("x") + 1))]
+    got, done = changes.migrated(have, steps)
+    assert got.first().x == 2 and done == ["a", "b"] and changes.migrated(got, steps, done)[0].first().x == 2
+
+
+def test_tags_terms_and_labels(spark):
+    items = spark.createDataFrame([(1, "Title"), (2, "Other")], "id int, label string")
+    tags = spark.createDataFrame([(1, "Pali"), (1, "pALI"), (2, "Thai")], "id int, tag string")
+    assert [r.id for r in links.tagged(items, tags, "id", "PALI").collect()] == [1]
+    terms = spark.createDataFrame([(1, "kind", "book"), (2, "kind", "scan"), (2, "era", "book")], "id int, classifier string, term string")
+    assert [r.id for r in links.with_terms(items, terms, "id", "kind", ["book"]).collect()] == [1] and links.with_terms(items, terms, "id", "kind", []).count() == 2
+    labels = spark.createDataFrame([("Title", "xx", "Titel"), ("Other", "yy", "Autre")], "message string, language string, translation string")
+    assert {r.id: r.label for r in links.translated(items, labels, "label", "xx").collect()} == {1: "Titel", 2: "Other"}
+    assert one(spark, lambda c: text.has_part(c, "b"), "abc") is True and one(spark, lambda c: text.has_part(c, "b"), None) is False
+
+
 def test_changes(spark):
     rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1), (3, None, 1)], "k int, v string, rev int")
     assert {tuple(r) for r in changes.current(rows, "k", ["rev"], ["v"]).collect()} == {(1, "b"), (2, "c"), (3, None)}
@@ -240,3 +307,4 @@ def test_search(spark):
     docs = spark.createDataFrame([(1, "The cat, the CAT"), (2, "a dog"), (3, None)], "id int, body string")
     got = search.search(search.postings(docs, "id", "body"), "id", ["the", "Cat", "dog"])
     assert {tuple(r) for r in got.collect()} == {(1, 2, 4), (2, 1, 1)}
+    assert {tuple(r) for r in search.search_texts(docs, "id", "body", ["the", "Cat", "dog"]).collect()} == {(1, 2, 4), (2, 1, 1)}

@@ -46,6 +46,8 @@ def test_files(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(name.encode())
     assert files.images(spark, str(tmp_path)).count() == 4
+    (tmp_path / "img/b.avif").write_bytes(b"x")
+    assert files.images(spark, str(tmp_path)).count() == 4
     assert {(r.book, r.page) for r in files.scans(spark, str(tmp_path)).collect()} == {("b1", 1), ("b1", 1002)}
     assert bytes(files.media(spark, f"{tmp_path}/img").orderBy("path").first().content) == b"img/a.PNG"
 
