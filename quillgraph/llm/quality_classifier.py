@@ -8,7 +8,7 @@ to the other as pseudo-labels.  At last both calibrated views are
 combined by a logistic fit on the held-out labels, and all documents are scored.
 
 Of labelled documents MAX_LABELLED are taken, those with the smallest hashes of
-doc_id among those that docs holds.  All unlabelled documents take part: their
+doc_id among those that docs holds.  All other documents take part without a label: their
 features are written once, and each round's sure ones are found, and fitted on, by
 sums over all of them that Spark's tasks make (a histogram of scores, then losses and
 gradients for L-BFGS).  A task finds a document's pseudo-labels from the views of the
@@ -401,7 +401,7 @@ def pool_sums(pool: DataFrame):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Fits both views on the labelled sample and all unlabelled documents."""
+    """Fits both views on the labelled sample and, without labels, on all other documents."""
     known = pick(labels, "doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     every = pick(docs, "doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL")
@@ -420,7 +420,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     meta = np.array(got.column("meta").to_pylist(), np.int64).ravel()
     ids = got.column("doc_id").to_numpy()
     label = got.column("label").to_numpy().astype(np.int64)
-    sums = pool_sums(every.join(known.select("doc_id"), "doc_id", "left_anti")) if label.min() < label.max() else None
+    sums = pool_sums(every.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")) if label.min() < label.max() else None
     fold = mix(ids.astype(np.int64).view(U64) + U64(5)) % U64(4) == 0
     return co_train(Rows(words.flatten().to_numpy().astype(np.int64), at, dense), Rows(meta, np.arange(n + 1) * 4, np.zeros((n, 0))), label, fold, sums)
 
