@@ -322,6 +322,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             ends = np.cumsum(count)
             out = np.insert(ids, ends, end_id)  # an end id after each document
             for key, size, stop in zip(batch.column("doc_id").to_pylist(), (count + 1).tolist(), (ends + np.arange(1, len(ends) + 1)).tolist()):
+                if held and size >= shard_ids:  # it gets a shard of its own
+                    yield shard()
+                    n = 0
                 held.append(out[stop - size:stop])
                 keys.append(key)
                 sizes.append(size)
@@ -341,11 +344,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
-    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row per writing task
-    base, so_far = {}, 0
-    for row in totals:
-        base[row.part] = so_far
-        so_far += row.n
+    base = _bases(shards)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,6 +361,61 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _bases(shards: DataFrame) -> dict[int, int]:
+    """How many ids come before each writing task's."""
+    base, so_far = {}, 0
+    for row in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row per writing task
+        base[row.part] = so_far
+        so_far += row.n
+    return base
+
+
+def occurrences(spark: SparkSession, folder: str, ids: list[int]) -> DataFrame:
+    """Every occurrence of some ids, found in the files by rank and select without unpacking them: token_id, doc_id, start, at (place in the document), n_in_shard (count).
+
+    Shards in which an id doesn't occur cost one count each.
+    """
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
+    base = _bases(shards)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, _, start, _, keys, sizes, blob = (c[k] for c in batch.columns)
+                matrix = WaveletMatrix.load(blob.as_buffer().to_pybytes())
+                ends = np.cumsum(sizes.values.to_numpy(zero_copy_only=False))
+                for value in ids:
+                    count = matrix.count(value)
+                    if not count:
+                        continue
+                    at = np.array(matrix.occurrences(value), np.int64)
+                    doc = np.searchsorted(ends, at, "right")
+                    begin = ends[doc] - sizes.values.to_numpy(zero_copy_only=False)[doc]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(count, value, np.int64)), keys.values.take(pa.array(doc)), pa.array(begin + base[part.as_py()] + start.as_py()), pa.array(at - begin), pa.array(np.full(count, count, np.int64)),
+                    ], ["token_id", "doc_id", "start", "at", "n_in_shard"])
+
+    return shards.mapInArrow(find, "token_id long, doc_id long, start long, at long, n_in_shard long")
+
+
+def tokens_at(spark: SparkSession, folder: str, positions: DataFrame) -> DataFrame:
+    """The ids at positions (column position, from 0 over all documents), read by access: position, token_id. Positions beyond the end have no row."""
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
+    bases = spark.createDataFrame(sorted(_bases(shards).items()), "part int, base long")
+    spans = shards.join(F.broadcast(bases), "part").select("part", "seq", (F.col("base") + F.col("start_in_part")).alias("first"), "n_tokens")
+    spans = spans.select("part", "seq", "first", F.explode(F.sequence(F.floor(F.col("first") / SHARD_IDS), F.floor((F.col("first") + F.col("n_tokens") - 1) / SHARD_IDS))).alias("cell"), (F.col("first") + F.col("n_tokens")).alias("stop"))
+    asked = positions.select("position").where("position IS NOT NULL").withColumn("cell", F.floor(F.col("position") / SHARD_IDS))  # a join by equal cells, not by ranges
+    found = asked.join(spans, "cell").where("position >= first AND position < stop").groupBy("part", "seq", "first").agg(F.collect_set("position").alias("positions"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, first, wanted in zip(batch.column("wavelet"), batch.column("first").to_pylist(), batch.column("positions")):
+                at = np.sort(wanted.values.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(WaveletMatrix.load(blob.as_buffer().to_pybytes()).access(at - first))], ["position", "token_id"])
+
+    return shards.select("part", "seq", "wavelet").join(found, ["part", "seq"]).select("wavelet", "first", "positions").mapInArrow(read, "position long, token_id long")
+
+
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -130,3 +130,33 @@ def test_op1_small_shards_and_hard_cases(spark, word_library):
     folder = shared_folder(spark, "test-shards")
     token_output.write_shards(docs(spark, []), WORDS, folder)
     assert token_output.read_shards(spark, folder).count() == 0
+
+
+def test_lookups_from_shard_files(spark, sf, word_library):
+    """Counts, places and single ids read from the written files agree with the library's ids."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 3000")
+    folder = shared_folder(spark, "lookup")
+    token_output.write_shards(rows, WORDS, folder, shard_ids=3000)
+    assert spark.read.parquet(folder).count() > 4
+    flat, where = [], {}
+    for r in sorted(rows.collect(), key=lambda r: r.doc_id):
+        ids = word_library.encode(r.text, add_special_tokens=False).ids + [token_output.END_ID]
+        for k, i in enumerate(ids):
+            where.setdefault(i, []).append((r.doc_id, len(flat), k))  # the document's start and the place in it
+        flat += ids
+    often = sorted(where, key=lambda i: -len(where[i]))
+    some = [often[3], often[len(often) // 2], often[-1], max(flat) + 1, 1 << 20]
+    got = {}
+    for r in token_output.occurrences(spark, folder, some).collect():
+        got.setdefault(r.token_id, []).append((r.doc_id, r.start, r.at))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(where[i]) for i in some if i in where}
+    rng = random.Random(3)
+    asked = sorted(rng.sample(range(len(flat)), 300)) + [len(flat) - 1, len(flat), 10 * len(flat)]
+    found = token_output.tokens_at(spark, folder, spark.createDataFrame([(p,) for p in asked] + [(None,)], "position long"))
+    assert {r.position: r.token_id for r in found.collect()} == {p: flat[p] for p in asked if p < len(flat)}
+
+
+def test_a_large_document_has_its_own_shard(spark):
+    folder = shared_folder(spark, "large")
+    token_output.write_shards(docs(spark, ["a b", "word " * 500, "c"]).coalesce(1), WORDS, folder, shard_ids=100)
+    assert sorted(sorted(r.doc_ids) for r in spark.read.parquet(folder).collect() if 1 in r.doc_ids) == [[1]]
