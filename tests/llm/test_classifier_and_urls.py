@@ -183,3 +183,41 @@ def test_repeated_rows_of_labelled_documents_reach_the_driver_once(spark, sf, mo
     monkeypatch.setattr(qc, "co_train", lambda text, meta, label, *rest: sizes.append(len(label)) or real(text, meta, label, *rest))
     qc.fit(many, labels)
     assert sizes == [labels.join(docs_, "doc_id").select("doc_id").distinct().count()]
+
+
+def test_op4_scores_as_plain_sums(spark, sf):
+    """All documents' scores from the fitted weights, feature by feature."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    model = qc.fit(rows, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = by(qc.scored(rows, model))
+    table = rows.toArrow().combine_chunks().to_batches()[0]
+    text, meta = qc.rows_of(table)
+    for k, key in enumerate(table.column("doc_id").to_pylist()):
+        logits = []
+        for view, x in ((model.text, text), (model.meta, meta)):
+            words = x.bucket[x.at[k]:x.at[k + 1]].tolist()
+            z = sum(view.w[b] for b in words) / max(1, len(words)) ** 0.5 + view.b
+            z += sum((v - m) / s * d for v, m, s, d in zip(x.dense[k], view.mean, view.scale, view.d))
+            logits.append(view.slope * z + view.shift)
+        want = 1 / (1 + np.exp(-(model.slopes[0] * logits[0] + model.slopes[1] * logits[1] + model.shift)))
+        assert abs(got[key]["score"] - want) < 1e-9 and got[key]["kept"] == (want >= qc.KEEP_FROM)
+
+
+def test_op5_verdicts_as_a_scan_of_all_rules(spark):
+    """The final verdict of every page: the given rules, then the surest of all mined ones that fits."""
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    host, path = uf.host_of(uf.F.col("url")), uf.path_of(uf.F.col("url"))
+    rows = table.select("page_id", "url", uf.tokens(uf.F.coalesce("url", uf.F.lit("")), host, path).alias("tokens"))
+    mined = uf.mine(rows, labels)
+    assert mined
+    got = by(uf.op5_url_filter(spark, sf), "page_id")
+    kinds = set()
+    for r in rows.collect():
+        given = rule(*parts(r.url))
+        fit = [m for m in mined if m.tokens <= set(r.tokens)]
+        best = min(fit, key=lambda m: (-m.confidence, -m.support, m.verdict, sorted(m.tokens)), default=None)
+        want = given[1] if given else best.verdict if best else "allow"
+        kinds.add((given is None, best is None))
+        assert got[r.page_id]["verdict"] == want and got[r.page_id]["rule"] == (given and given[0])
+    assert len(kinds) > 1 and len(got) == table.count()
