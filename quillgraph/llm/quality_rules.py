@@ -4,7 +4,7 @@ For several lengths n, rolling hashes of all n-grams of a text's words are
 grouped within the text; the words of every n-gram that was there before are
 marked, and their characters are counted once each however many n-grams overlap.
 The same is done for whole lines.  A text passes when no share of its characters
-in repeats is above the limit for its length.
+in repeats is above the limit for that n; short texts have wider limits.
 
 Cases: null, empty and blank texts have no words and fail the base rule; texts
 are taken whole; repeated rows are judged one by one; an empty table gives an
@@ -32,12 +32,16 @@ SYMBOL[list(b"#*$%&|<>")] = 1
 class Limits:
     """Largest shares of word characters that may lie in repeats.
 
-    They allow a short document one repeated line, such as a title that comes
-    again at the end: that alone makes no text poor.
+    Texts under `short` words have wider limits, which allow them one repeated
+    line, such as a title that comes again at the end: that alone makes no text poor,
+    and its share is large only because the text is short.
     """
 
-    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.32, 6: 0.31, 7: 0.30, 8: 0.29, 9: 0.28, 10: 0.27})
-    lines: float = 0.30
+    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
+    lines: float = 0.20
+    short: int = 200
+    short_ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.32, 6: 0.31, 7: 0.30, 8: 0.29, 9: 0.28, 10: 0.27})
+    short_lines: float = 0.30
     min_words: int = 50
     max_repeat_words: int = 50  # percent of words in 3-word windows found twice
 
@@ -116,11 +120,12 @@ def judged(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
         dup_lines, line_chars = r.lines()
         repeat_words = r.per_doc(r.ngrams(3)[0])
         failed = (words < limits.min_words) | (100 * repeat_words > limits.max_repeat_words * words)
-        good = line_chars <= limits.lines * chars
+        brief = words < limits.short
+        good = line_chars <= np.where(brief, limits.short_lines, limits.lines) * chars
         worst = np.zeros(t.n)
         for n, most in limits.ngrams.items():
             share = r.per_doc(r.size * r.ngrams(n)[1]) / np.maximum(chars, 1)
-            good &= share <= most
+            good &= share <= np.where(brief, limits.short_ngrams[n], most)
             worst = np.maximum(worst, share)
         columns = {
             "doc_id": batch.column("doc_id"), "n_words": words, "word_chars": chars, "n_symbols": symbols[t.off[1:]] - symbols[t.off[:-1]],

@@ -50,7 +50,8 @@ g{n} AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, gram) AS times, r
   FROM (SELECT doc_id, k, array_to_string(w[k:k + {n - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS k FROM d WHERE len(w) >= {n}))),
 c{n} AS (SELECT doc_id, count(*) AS words, sum(length(w[k])) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(k, k + {n})) AS k FROM g{n} WHERE {'times > 1' if n == 3 else 'nth > 1'}) JOIN d USING (doc_id) GROUP BY doc_id)""")
     share = {n: f"coalesce(c{n}.chars, 0)::DOUBLE / greatest(b.word_chars, 1)" for n in limits.ngrams}
-    good = " AND ".join([f"coalesce(l.chars, 0) <= {limits.lines}::DOUBLE * b.word_chars", *(f"{share[n]} <= {most}::DOUBLE" for n, most in limits.ngrams.items())])
+    limit = lambda short, most: f"CASE WHEN b.n_words < {limits.short} THEN {short}::DOUBLE ELSE {most}::DOUBLE END"
+    good = " AND ".join([f"coalesce(l.chars, 0) <= {limit(limits.short_lines, limits.lines)} * b.word_chars", *(f"{share[n]} <= {limit(limits.short_ngrams[n], most)}" for n, most in limits.ngrams.items())])
     joins = " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in (3, *limits.ngrams))
     failed = f"(b.n_words < {limits.min_words} OR 100 * coalesce(c3.words, 0) > {limits.max_repeat_words} * b.n_words)"
     return f"""

@@ -39,8 +39,9 @@ def brute(text, limits):
             seen.add(line)
     r = len(repeats(words, 3)[0])
     failed = len(words) < 50 or 100 * r > 50 * len(words)
-    good = dup_chars <= limits.lines * chars
-    for n, most in limits.ngrams.items():
+    short = len(words) < limits.short
+    good = dup_chars <= (limits.short_lines if short else limits.lines) * chars
+    for n, most in (limits.short_ngrams if short else limits.ngrams).items():
         good &= sum(len(words[k]) for k in repeats(words, n)[1]) / max(chars, 1) <= most
     return {
         "n_words": len(words), "word_chars": chars, "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": dup,
@@ -65,6 +66,19 @@ def test_op9_hard_cases(spark):
     assert rules.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_op9_limits_by_length(spark):
+    """A line that comes again is nothing in a short text; the same share of a long one is rejected."""
+    def text(n):
+        lines = [" ".join(f"{k}.{j}" for j in range(12)) for k in range(n // 12)]
+        return "\n".join(lines + lines[: max(1, len(lines) // 6)])
+
+    texts = [text(72), text(180), text(240), text(2400), "\n".join(text(2400).split("\n")[:205])]
+    got = by(rules.quality_rules(docs(spark, texts)))
+    assert [got[k]["n_words"] < 200 for k in range(5)] == [True, False, False, False, False]
+    assert [got[k]["kept"] for k in range(5)] == [True, False, False, False, True]
+    same(got, dict(enumerate(texts)))
+
+
 def test_op9_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = by(rules.op9_quality_rules(spark, sf))
