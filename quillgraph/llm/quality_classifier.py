@@ -7,6 +7,11 @@ held-out labels (Platt), and each gives the unlabelled documents of which it is
 to the other as pseudo-labels.  At last both calibrated views are
 combined by a logistic fit on the held-out labels, and all documents are scored.
 
+This is done twice: for good quality, and for toxic documents, which are rejected
+however well they are written.  A few words make a document toxic, so that classifier's
+text view sees only words (hashed to WORDS) that stand out in toxic training documents:
+by a log odds ratio of MARK_Z standard errors, near copies together counted once.
+
 Of labelled documents MAX_LABELLED are taken, those with the smallest hashes of
 doc_id among those that docs holds.  All other documents take part without a label: their
 features are written once, and each round's sure ones are found, and fitted on, by
@@ -17,10 +22,10 @@ a shuffle; what goes to the tasks has a fixed size.
 
 Cases: null and blank texts have no words and are scored by what is left; null
 metadata is a value of its own; labels that repeat a doc_id count by their mean,
-null labels not at all; of rows that repeat a labelled doc_id one is fitted, that with
+null quality or toxic not at all; of rows that repeat a labelled doc_id one is fitted, that with
 the least text; repeated rows get the same score; with no labels, or
-labels of one class, every document gets that class's share and is kept unless
-all labels are 0; an empty table gives an empty result; extra columns are ignored.
+labels of one class, every document gets that class's share, and no document is rejected
+unless all labels have quality 0 or all are toxic; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,18 +61,25 @@ DENSE = 30
 #: Dense features that are shares of what shouldn't be frequent: capitals, exclamation marks, digits, signs, repeats.
 SHARES = [2, 3, 4, 5, 6, 7, 8, 9, 10]
 KEEP_FROM = 0.5
+TOXIC_FROM = 0.5
+#: Buckets of words among which marks of toxic documents are looked for, a multiple of BUCKETS; how far marks stand out, and the most of them.
+WORDS, MARK_Z, MARKS = 1 << 18, 5.0, 256
 #: Penalty on squared weights of buckets, in documents; dense features have a tenth.
 RIDGE = 3.0
 
 
-def text_features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets of each text (flat), where each text's begin, and dense features by text."""
+def distinct(bucket: np.ndarray, doc: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's different buckets (flat), and where each document's begin."""
+    key = np.sort(doc.astype(np.int64) * size + bucket.astype(np.int64))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    return key % size, np.searchsorted(key, np.arange(n + 1) * size)
+
+
+def text_features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word among WORDS, and dense features by text."""
     h, doc = t.word_hashes(), t.doc_of_words()
     n = np.diff(t.first).astype(float)
     lower = t.word_hashes(lower=True)
-    key = np.sort(doc.astype(np.int64) * BUCKETS + (lower % U64(BUCKETS)).astype(np.int64))
-    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
-    at = np.searchsorted(key, np.arange(t.n + 1) * BUCKETS)
 
     def share(values: np.ndarray, of: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(values, dtype=np.int64)))
@@ -80,7 +92,7 @@ def text_features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     order = np.lexsort((h, doc))
     first = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1]))) if len(h) else np.zeros(0, bool)
-    distinct = np.bincount(doc[order][first], minlength=t.n)
+    different = np.bincount(doc[order][first], minlength=t.n)
     w = windows(h, 3, 0xBF58476D1CE4E5B9)
     inside = np.flatnonzero(doc[:len(w)] == doc[2:]) if len(w) else np.zeros(0, np.int64)
     key3 = mix(w[inside] + (doc[inside].astype(U64) + U64(1)) * U64(0x94D049BB133111EB))
@@ -91,10 +103,10 @@ def text_features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     dense = np.stack([
         np.log1p(n), ink / np.maximum(n, 1) / 10, share((data >= 65) & (data <= 90), ink), share(data == 33, ink), share((data >= 48) & (data <= 57), ink),
         share(((data >= 33) & (data <= 47)) | ((data >= 58) & (data <= 64)) | ((data >= 91) & (data <= 96)) | ((data >= 123) & (data <= 126)), ink),
-        share(data >= 0x80, ink), share(same, n), 1 - distinct / np.maximum(n, 1), repeats / np.maximum(n, 1), share(data == 10, ink), (n == 0).astype(float),
+        share(data >= 0x80, ink), share(same, n), 1 - different / np.maximum(n, 1), repeats / np.maximum(n, 1), share(data == 10, ink), (n == 0).astype(float),
     ], axis=1)
     dense = np.column_stack((dense, np.sqrt(dense[:, SHARES]), np.minimum(10 * dense[:, SHARES], 1)))  # small shares tell much
-    return key % BUCKETS, at, dense
+    return (lower % U64(WORDS)).astype(np.int64), dense
 
 
 def metadata_features(lang: list, source: list, n_chars: list) -> np.ndarray:
@@ -197,6 +209,35 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return theta[:-1], float(theta[-1])
 
 
+def marks_of(words: Rows, toxic: np.ndarray) -> np.ndarray:
+    """Buckets of words that stand out in toxic documents; documents that agree in four minima of hashes count as one."""
+    size = np.diff(words.at)
+    some, copies = np.flatnonzero(size), np.zeros(len(size), U64)
+    for salt in range(1, 5):
+        if len(some):
+            copies[some] = mix(copies[some] ^ np.minimum.reduceat(mix(words.bucket.astype(U64) + U64(salt << 32)), words.at[some]))
+    _, group, times = np.unique(copies, return_inverse=True, return_counts=True)
+    count = 1 / times[group]
+    odds, error = np.zeros(WORDS), np.zeros(WORDS)
+    for sign, of in ((1, toxic == 1), (-1, toxic == 0)):
+        having = np.bincount(words.bucket, (count * of)[words.row], WORDS) + 0.5
+        lacking = np.maximum((count * of).sum() + 1 - having, 0.5)
+        odds += sign * np.log(having / lacking)
+        error += 1 / having + 1 / lacking
+    z = odds / np.sqrt(error)
+    best = np.lexsort((np.arange(WORDS), -z))[:MARKS]
+    return np.sort(best[z[best] >= MARK_Z])
+
+
+def marked(bucket: np.ndarray, doc: np.ndarray, dense: np.ndarray, marks: np.ndarray) -> Rows:
+    """The text view of toxic documents: which marks each has, and how many words."""
+    table = np.full(WORDS, -1, np.int16)
+    table[marks] = np.arange(len(marks))
+    found = table[bucket]
+    hit = np.flatnonzero(found >= 0)
+    return Rows(*distinct(found[hit], doc[hit], len(dense), MARKS), dense[:, :1])
+
+
 @dataclass
 class CoTrained:
     """Both views and how their logits are combined."""
@@ -309,15 +350,31 @@ def refit(views: tuple[View, View], x: tuple[Rows, Rows], y: np.ndarray, sums, h
     put(lbfgs(f, np.concatenate([np.concatenate((v.w, v.d, [v.b])) for v in views]), PASSES))
 
 
-def co_train(text: Rows, meta: Rows, label: np.ndarray, fold: np.ndarray, sums=None) -> CoTrained:
+@dataclass
+class Model:
+    """The classifiers of good quality and of toxic documents, and the buckets of the latter's words."""
+
+    quality: CoTrained
+    toxic: CoTrained
+    marks: np.ndarray
+
+    def scores(self, text: Rows, meta: Rows, marks: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return (*self.quality.scores(text, meta), self.toxic.scores(marks, meta)[2])
+
+    def keeps(self, score: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        return (score >= KEEP_FROM) & (toxic < TOXIC_FROM)
+
+
+def co_train(text: Rows, meta: Rows, label: np.ndarray, fold: np.ndarray, sums=None, buckets: int = BUCKETS, unlabelled: float = 1.0) -> CoTrained:
     """label: 0, 1, or -1 for the pool; fold: True for labelled rows that are held out.
 
     sums: gives the sum of function(rows of both views, *arguments) over a pool that is elsewhere.
+    unlabelled: the score of all documents where there are no labels.
     """
-    views = View(BUCKETS, DENSE, RIDGE), View(META, 0, RIDGE)
+    views = View(buckets, text.dense.shape[1], RIDGE), View(META, 0, RIDGE)
     known = label[label >= 0]
     if not len(known) or known.min() == known.max():
-        return CoTrained(*views, np.zeros(2), 0.0, float(known.mean()) if len(known) else 1.0)
+        return CoTrained(*views, np.zeros(2), 0.0, float(known.mean()) if len(known) else unlabelled)
     held = np.flatnonzero((label >= 0) & fold)
     if not len(held) or label[held].min() == label[held].max():
         held = np.flatnonzero(label >= 0)
@@ -345,98 +402,130 @@ def co_train(text: Rows, meta: Rows, label: np.ndarray, fold: np.ndarray, sums=N
     return CoTrained(*views, slopes, shift)
 
 
-def rows_of(batch: pa.RecordBatch) -> tuple[Rows, Rows]:
-    text = Rows(*text_features(Texts(batch.column("text")).split()))
+def rows_of(batch: pa.RecordBatch, marks: np.ndarray) -> tuple[Rows, Rows, Rows]:
+    """Both views of quality, text and metadata, and the text view of toxic documents."""
+    t = Texts(batch.column("text")).split()
+    words, dense = text_features(t)
+    doc = t.doc_of_words()
     buckets = metadata_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-    return text, Rows(buckets.ravel(), np.arange(len(buckets) + 1) * 4, np.zeros((len(buckets), 0)))
+    return Rows(*distinct(words % BUCKETS, doc, t.n, BUCKETS), dense), meta_rows(buckets), marked(words, doc, dense, marks)
+
+
+def meta_rows(buckets: np.ndarray) -> Rows:
+    n = buckets.size // 4
+    return Rows(buckets.ravel().astype(np.int64), np.arange(n + 1) * 4, np.zeros((n, 0)))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        text, meta = rows_of(batch)
-        lists = pa.ListArray.from_arrays(pa.array(text.at.astype(np.int32)), pa.array(text.bucket.astype(np.int32)))
+        t = Texts(batch.column("text")).split()
+        words, dense = text_features(t)
+        words, at = distinct(words, t.doc_of_words(), t.n, WORDS)
+        meta = metadata_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.astype(np.int32)))
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("label"), lists, pa.array(text.dense.tolist(), pa.list_(pa.float64())), pa.array(meta.bucket.reshape(-1, 4).tolist(), pa.list_(pa.int32())),
-        ], ["doc_id", "label", "words", "dense", "meta"])
+            batch.column("doc_id"), batch.column("good"), batch.column("toxic"), lists, pa.array(dense.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.int32())),
+        ], ["doc_id", "good", "toxic", "words", "dense", "meta"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The features of each slice of documents as one row of bytes."""
     for batch in slices(batches):
-        text, meta = rows_of(batch)
-        parts = (text.bucket.astype(np.int16), np.diff(text.at).astype(np.int32), text.dense, meta.bucket.astype(np.int16))
-        yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["words", "sizes", "dense", "meta"])
+        text, meta, few = rows_of(batch, marks)
+        parts = []
+        for view in (text, few):
+            parts += view.bucket.astype(np.int16), np.diff(view.at).astype(np.int32), view.dense
+        yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in (*parts, meta.bucket.astype(np.int16))], PACKED)
+
 
+PACKED = ["words", "sizes", "dense", "marks", "mark_sizes", "mark_dense", "meta"]
 
-def pool_sums(pool: DataFrame):
-    """See co_train; the pool's documents (doc_id, text, lang, source, n_chars) are read once."""
+
+def pool_sums(pool: DataFrame, marks: np.ndarray):
+    """See co_train, for both classifiers; the pool's documents (doc_id, text, lang, source, n_chars) are read once."""
     spark = pool.sparkSession
-    packed = stored(pool.mapInArrow(_packed, "words binary, sizes binary, dense binary, meta binary"), "pool-features")
-
-    def sums(function, *arguments) -> np.ndarray:
-        sent = spark.sparkContext.broadcast((function, arguments))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            function, arguments = sent.value
-            total = None
-            for batch in batches:
-                for words, sizes, dense, meta in zip(*(c.to_pylist() for c in batch.columns)):
-                    at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)))
-                    n = len(at) - 1
-                    text = Rows(np.frombuffer(words, np.int16).astype(np.int64), at, np.frombuffer(dense).reshape(n, DENSE))
-                    got = function((text, Rows(np.frombuffer(meta, np.int16).astype(np.int64), np.arange(n + 1) * 4, np.zeros((n, 0)))), *arguments)
-                    total = got if total is None else total + got
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-        empty = Rows(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, DENSE))), Rows(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 0)))
-        total = function(empty, *arguments)
-        parts = [bytes(r.sums) for r in packed.mapInArrow(run, "sums binary").collect()]
-        for part in sorted(parts):
-            total = total + np.frombuffer(part)
-        sent.unpersist()
-        return total
-
-    return sums
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Fits both views on the labelled sample and, without labels, on all other documents."""
-    known = pick(labels, "doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    packed = stored(pool.mapInArrow(lambda it: _packed(it, marks), ", ".join(f"{c} binary" for c in PACKED)), "pool-features")
+
+    def of(columns: list[str], width: int):
+        def sums(function, *arguments) -> np.ndarray:
+            sent = spark.sparkContext.broadcast((function, arguments))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                function, arguments = sent.value
+                total = None
+                for batch in batches:
+                    for words, sizes, dense, meta in zip(*(c.to_pylist() for c in batch.columns)):
+                        at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)))
+                        text = Rows(np.frombuffer(words, np.int16).astype(np.int64), at, np.frombuffer(dense).reshape(len(at) - 1, width))
+                        got = function((text, meta_rows(np.frombuffer(meta, np.int16))), *arguments)
+                        total = got if total is None else total + got
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+            total = function((no_rows(width), no_rows(0)), *arguments)
+            parts = [bytes(r.sums) for r in packed.select(*columns, "meta").mapInArrow(run, "sums binary").collect()]
+            for part in sorted(parts):
+                total = total + np.frombuffer(part)
+            sent.unpersist()
+            return total
+
+        return sums
+
+    return of(PACKED[:3], DENSE), of(PACKED[3:6], 1)
+
+
+def no_rows(dense: int) -> Rows:
+    return Rows(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, dense)))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits both classifiers on the labelled sample and, without labels, on all other documents."""
+    given = pick(labels, "doc_id", "quality", "toxic").where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
+    known = given.groupBy("doc_id").agg(*((F.avg(c) >= 0.5).cast("int").alias(name) for c, name in (("quality", "good"), ("toxic", "toxic"))))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     every = pick(docs, "doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL")
     sample = known.join(every.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(MAX_LABELLED)
     fields = ["text", "lang", "source", "n_chars"]
-    columns = every.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*fields)).alias("row")).select("doc_id", "label", "row.*")
-    got = columns.mapInArrow(_features, "doc_id long, label int, words array<int>, dense array<double>, meta array<int>").toArrow()
+    columns = every.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "good", "toxic").agg(F.min(F.struct(*fields)).alias("row")).select("doc_id", "good", "toxic", "row.*")
+    got = columns.mapInArrow(_features, "doc_id long, good int, toxic int, words array<int>, dense array<double>, meta array<int>").toArrow()
     got = got.sort_by("doc_id").combine_chunks()
-    words = got.column("words").combine_chunks() if got.num_rows else None
     n = got.num_rows
     if not n:
-        empty = np.zeros(0, np.int64)
-        return co_train(Rows(empty, np.zeros(1, np.int64), np.zeros((0, DENSE))), Rows(empty, np.zeros(1, np.int64), np.zeros((0, 0))), empty, np.zeros(0, bool))
-    at = np.concatenate(([0], np.cumsum(words.value_lengths().to_numpy()))).astype(np.int64)
-    dense = np.array(got.column("dense").to_pylist(), float).reshape(n, DENSE)
-    meta = np.array(got.column("meta").to_pylist(), np.int64).ravel()
-    ids = got.column("doc_id").to_numpy()
-    label = got.column("label").to_numpy().astype(np.int64)
-    sums = pool_sums(every.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")) if label.min() < label.max() else None
-    fold = mix(ids.astype(np.int64).view(U64) + U64(5)) % U64(4) == 0
-    return co_train(Rows(words.flatten().to_numpy().astype(np.int64), at, dense), Rows(meta, np.arange(n + 1) * 4, np.zeros((n, 0))), label, fold, sums)
-
-
-def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """Per document: doc_id, text_score, meta_score, score (probability of good quality), kept."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, bool)
+        return Model(co_train(no_rows(DENSE), no_rows(0), *nothing), co_train(no_rows(1), no_rows(0), *nothing, buckets=MARKS, unlabelled=0.0), np.zeros(0, np.int64))
+    lists = got.column("words").combine_chunks()
+    at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+    words = Rows(lists.flatten().to_numpy().astype(np.int64), at, np.array(got.column("dense").to_pylist(), float).reshape(n, DENSE))
+    meta = meta_rows(np.array(got.column("meta").to_pylist(), np.int64))
+    good, toxic = (got.column(c).fill_null(-1).to_numpy().astype(np.int64) for c in ("good", "toxic"))
+    fold = mix(got.column("doc_id").to_numpy().astype(np.int64).view(U64) + U64(5)) % U64(4) == 0
+    marks = marks_of(words, np.where(fold, -1, toxic))
+    sums = pool_sums(every.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), marks) if any(len({*y.tolist()} - {-1}) > 1 for y in (good, toxic)) else (None, None)
+    text = Rows(*distinct(words.bucket % BUCKETS, words.row, n, BUCKETS), words.dense), meta
+    few = marked(words.bucket, words.row, words.dense, marks), meta
+    return Model(
+        co_train(*labelled(text, good), *(x[good >= 0] for x in (good, fold)), sums[0]),
+        co_train(*labelled(few, toxic), *(x[toxic >= 0] for x in (toxic, fold)), sums[1], MARKS, 0.0),
+        marks,
+    )
+
+
+def labelled(views: tuple[Rows, Rows], label: np.ndarray) -> tuple[Rows, Rows]:
+    return views[0].take(np.flatnonzero(label >= 0)), views[1].take(np.flatnonzero(label >= 0))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """Per document: doc_id, text_score, meta_score, score (probability of good quality), toxic_score (of a toxic document), kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            a, b, both = model.scores(*rows_of(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= KEEP_FROM)], ["doc_id", "text_score", "meta_score", "score", "kept"])
+            *views, score, toxic = model.scores(*rows_of(batch, model.marks))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (*views, score, toxic, model.keeps(score, toxic)))], ["doc_id", "text_score", "meta_score", "score", "toxic_score", "kept"])
 
-    return pick(docs, "doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return pick(docs, "doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, toxic_score double, kept boolean")
 
 
-def filtered(docs: DataFrame, model: CoTrained) -> DataFrame:
+def filtered(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
     same, name = numbered(docs)
     names = {c: name(c) for c in ("text", "lang", "source", "n_chars")}
@@ -444,7 +533,7 @@ def filtered(docs: DataFrame, model: CoTrained) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, names["text"]):
             seen = pa.RecordBatch.from_arrays([batch.column(n) for n in names.values()], list(names))
-            yield batch.filter(pa.array(model.scores(*rows_of(seen))[2] >= KEEP_FROM))
+            yield batch.filter(pa.array(model.keeps(*model.scores(*rows_of(seen, model.marks))[2:])))
 
     return same.mapInArrow(run, same.schema).toDF(*docs.columns)
 

@@ -19,16 +19,45 @@ def test_op4_held_out(spark):
     got = by(qc.scored(table, model))
     assert len(got) == table.count()
     rows = labels.where("doc_id % 3 = 0").collect()
-    right = {q: [got[r.doc_id]["kept"] == bool(q) for r in rows if r.quality == q] for q in (0, 1)}
+    right = {q: [got[r.doc_id]["kept"] == bool(q) for r in rows if r.quality == q and not r.toxic] for q in (0, 1)}
     assert np.mean(right[1]) >= 0.97, np.mean(right[1])
     assert np.mean(right[0]) >= 0.8, np.mean(right[0])
 
 
+def test_op4_toxic_held_out(spark):
+    """Of held-out documents that toxic words mark nearly all are rejected, of good ones few; a fifth of the toxic labels has no such word."""
+    big = "/root/testdata/sf0.1"
+    table, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = by(qc.scored(table, qc.fit(table, labels.where("doc_id % 3 <> 0"))))
+    rows = labels.where("doc_id % 3 = 0").collect()
+    kept = {t: np.mean([got[r.doc_id]["kept"] for r in rows if r.quality == 1 and r.toxic == t]) for t in (0, 1)}
+    assert kept[0] >= 0.97 and kept[1] <= 0.5, kept
+
+
+def test_op4_toxic_words(spark):
+    """A few words in long texts, copies of one document, null toxic labels and labels of toxic alone."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(30, 300))) for _ in range(900)]
+    texts = [f"{t} {rng.choice(['vile', 'FOUL'])} end" if k % 5 == 0 else t for k, t in enumerate(texts)]
+    texts += [texts[5] + " copied"] * 200
+    labels = spark.createDataFrame([(k, None if k % 7 == 0 else 1, None if k % 11 == 0 else int(k % 5 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    df = docs(spark, texts)
+    model = qc.fit(df, labels)
+    assert 1 <= len(model.marks) < 20
+    got = by(qc.scored(df, model))
+    wrong = [k for k, t in enumerate(texts) if got[k]["kept"] == ("vile" in t or "FOUL" in t)]
+    assert len(wrong) <= 9, wrong
+    assert {r.doc_id for r in qc.filtered(df, model).collect()} == {k for k, r in got.items() if r["kept"]}
+    everything = qc.fit(df, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert qc.filtered(df, everything).count() == 0
+
+
 def test_op4_views_and_scores(spark, sf):
     got = by(qc.op4_quality_classifier(spark, sf))
     assert len(got) == 200
     for r in got.values():
-        assert 0 <= r["text_score"] <= 1 and 0 <= r["meta_score"] <= 1 and r["kept"] == (r["score"] >= qc.KEEP_FROM)
+        assert 0 <= r["text_score"] <= 1 and 0 <= r["meta_score"] <= 1 and r["kept"] == (r["score"] >= qc.KEEP_FROM and r["toxic_score"] < qc.TOXIC_FROM)
 
 
 def test_op4_pseudo_labels_cross_over(monkeypatch):
@@ -182,25 +211,28 @@ def test_repeated_rows_of_labelled_documents_reach_the_driver_once(spark, sf, mo
     real = qc.co_train
     monkeypatch.setattr(qc, "co_train", lambda text, meta, label, *rest: sizes.append(len(label)) or real(text, meta, label, *rest))
     qc.fit(many, labels)
-    assert sizes == [labels.join(docs_, "doc_id").select("doc_id").distinct().count()]
+    assert sizes == [labels.join(docs_, "doc_id").select("doc_id").distinct().count()] * 2
 
 
 def test_op4_scores_as_plain_sums(spark, sf):
     """All documents' scores from the fitted weights, feature by feature."""
     rows = spark.read.parquet(f"{sf}/documents.parquet")
-    model = qc.fit(rows, spark.read.parquet(f"{sf}/labels.parquet"))
-    got = by(qc.scored(rows, model))
+    both = qc.fit(rows, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = by(qc.scored(rows, both))
     table = rows.toArrow().combine_chunks().to_batches()[0]
-    text, meta = qc.rows_of(table)
+    text, meta, marks = qc.rows_of(table, both.marks)
     for k, key in enumerate(table.column("doc_id").to_pylist()):
-        logits = []
-        for view, x in ((model.text, text), (model.meta, meta)):
-            words = x.bucket[x.at[k]:x.at[k + 1]].tolist()
-            z = sum(view.w[b] for b in words) / max(1, len(words)) ** 0.5 + view.b
-            z += sum((v - m) / s * d for v, m, s, d in zip(x.dense[k], view.mean, view.scale, view.d))
-            logits.append(view.slope * z + view.shift)
-        want = 1 / (1 + np.exp(-(model.slopes[0] * logits[0] + model.slopes[1] * logits[1] + model.shift)))
-        assert abs(got[key]["score"] - want) < 1e-9 and got[key]["kept"] == (want >= qc.KEEP_FROM)
+        scores = []
+        for model, first in ((both.quality, text), (both.toxic, marks)):
+            logits = []
+            for view, x in ((model.text, first), (model.meta, meta)):
+                words = x.bucket[x.at[k]:x.at[k + 1]].tolist()
+                z = sum(view.w[b] for b in words) / max(1, len(words)) ** 0.5 + view.b
+                z += sum((v - m) / s * d for v, m, s, d in zip(x.dense[k], view.mean, view.scale, view.d))
+                logits.append(view.slope * z + view.shift)
+            scores.append(1 / (1 + np.exp(-(model.slopes[0] * logits[0] + model.slopes[1] * logits[1] + model.shift))))
+        assert abs(got[key]["score"] - scores[0]) < 1e-9 and abs(got[key]["toxic_score"] - scores[1]) < 1e-9
+        assert got[key]["kept"] == (scores[0] >= qc.KEEP_FROM and scores[1] < qc.TOXIC_FROM)
 
 
 def test_op5_verdicts_as_a_scan_of_all_rules(spark):
