@@ -36,8 +36,8 @@ def words(s: Column) -> Column:
 
 
 def acronym_markup(s: Column) -> Column:
-    """Every word with its first character in bold, the rest escaped, joined by one space."""
-    return F.array_join(F.transform(words(s), lambda w: F.concat(F.lit("<b>"), F.substring(w, 1, 1), F.lit("</b>"), html_escape(F.substr(w, F.lit(2))))), " ")
+    """Every word with its first character in a span, the rest escaped, joined by one space."""
+    return F.array_join(F.transform(words(s), lambda w: F.concat(F.lit('<span class="acronym-letter">'), F.substring(w, 1, 1), F.lit("</span>"), html_escape(F.substr(w, F.lit(2))))), " ")
 
 
 def initials(s: Column) -> Column:
@@ -64,6 +64,11 @@ def or_default(s: Column, default: Column | str) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), default if isinstance(default, Column) else F.lit(default))
 
 
+def is_given(x: Column) -> Column:
+    """Whether a template shows a value: not null, empty, zero or false."""
+    return F.coalesce(~x.cast("string").isin("", "0", "0.0", "false"), F.lit(False))
+
+
 def float_or(s: Column, fallback: float) -> Column:
     """The number that a text begins with, else the fallback."""
     number = F.regexp_extract(s, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1)

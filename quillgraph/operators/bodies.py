@@ -31,6 +31,12 @@ def merged(left: Column, **fields: Column) -> Column:
     return left
 
 
+def appended(body: Column, *more: Column) -> Column:
+    """Arrays one behind the other; a null array has no entries."""
+    empty = F.filter(F.coalesce(body, *more), lambda _: F.lit(False))
+    return F.concat(*[F.coalesce(x, empty) for x in (body, *more)])
+
+
 def parsed(raw: Column) -> Column:
     """A body of JSON text as array of (type, value as JSON text, id)."""
     return F.from_json(raw, "array<struct<type:string,value:string,id:string>>")

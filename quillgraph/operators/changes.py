@@ -88,6 +88,18 @@ def counters(actions: DataFrame, names: Sequence[str]) -> DataFrame:
     return actions.agg(*[F.count_if(F.col("action") == n).alias(n) for n in names])
 
 
+def any_counted(counted: DataFrame, name: str) -> DataFrame:
+    """One row, column name: whether the counter of that name is above zero."""
+    return counted.select((F.coalesce(F.col(name), F.lit(0)) > 0).alias(name))
+
+
+def published(revisions: DataFrame, new: DataFrame, key: str, number: str) -> DataFrame:
+    """All revisions with new ones (without `number`, one per key) behind the last of their key; the first of a key has number 1."""
+    last = revisions.groupBy(key).agg(F.max(number).alias("_last"))
+    rows = new.join(last, key, "left").withColumn(number, (F.coalesce("_last", F.lit(0)) + 1).cast(revisions.schema[number].dataType))
+    return revisions.unionByName(rows.select(*revisions.columns))
+
+
 def current(revisions: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """The last revision of each key, without a sort: the fields at the largest order."""
     last = F.max_by(F.struct(*fields), F.struct(*order)).alias("_last")

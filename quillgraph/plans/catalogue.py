@@ -237,6 +237,14 @@ def r_block_positions(spark, sf):
     return _bodies(spark, sf).select("conv_id", F.size(body).cast("long").alias("blocks"), at(0).alias("first_type"), at(-1).alias("last_type"), at(5).alias("sixth_type"))
 
 
+@query("SELECT conv_id, 2 * count(*) + 1 AS blocks, max_by(role, turn) AS last_type FROM conversations GROUP BY conv_id")
+def r_appended(spark, sf):
+    """Each body with a block and itself behind it."""
+    extra = F.array(F.struct(F.lit("html").alias("type"), F.lit("end").alias("value")))
+    got = _bodies(spark, sf).select("conv_id", bodies.appended(F.col("body"), extra, F.col("body")).alias("body"))
+    return got.select("conv_id", F.size("body").cast("long").alias("blocks"), bodies.block_at(F.col("body"), -1)["type"].alias("last_type"))
+
+
 @query("SELECT conv_id, turn AS place, role AS type, length(text) AS chars FROM conversations")
 def r_variant_blocks(spark, sf):
     """Bodies as JSON text, opened as variants."""
@@ -286,6 +294,22 @@ def r_get_or_create_anti(spark, sf):
     return changes.get_or_create(have, table(spark, sf, "customer").select("c_custkey"), "c_custkey")[1].where("created").select("c_custkey")
 
 
+@query("SELECT user_id, count(*) AS revisions, arg_max(event_type, n) AS event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events UNION ALL SELECT user_id, 'published', count(*) + 1 FROM events GROUP BY user_id) GROUP BY user_id")
+def r_published(spark, sf):
+    """Events as numbered revisions of users, and one more of each user."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    old = table(spark, sf, "events").select("user_id", "event_type", place.alias("n"))
+    new = old.select("user_id").distinct().withColumn("event_type", F.lit("published"))
+    got = changes.published(old, new, "user_id", "n")
+    return got.groupBy("user_id").agg(F.count("*").alias("revisions"), F.max_by("event_type", "n").alias("event_type"))
+
+
+@query("SELECT count(*) FILTER (l.doc_id IS NULL) > 0 AS created FROM documents LEFT JOIN labels l USING (doc_id)")
+def r_seeded_any(spark, sf):
+    """Whether a seed made any row."""
+    return changes.any_counted(r_seed_counters(spark, sf), "created")
+
+
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def r_latest_revision(spark, sf):
     return changes.current(table(spark, sf, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type"])
@@ -458,13 +482,13 @@ def r_names(spark, sf):
     return rows.select("p_partkey", "field", "hashed", "thai", "r.operation", "r.width", "r.height", "r.format")
 
 
-@query("SELECT doc_id, 3 AS choices, contains(lower(source), '1') AS has_one, least(1.0, greatest(0.25, (doc_id % 10) / 4.0))::DOUBLE AS amount, CASE doc_id % 10 WHEN 0 THEN '0' WHEN 1 THEN '0.25' WHEN 2 THEN '0.5' WHEN 3 THEN '0.75' WHEN 4 THEN '1' ELSE '1.' || CASE doc_id % 10 WHEN 5 THEN '25' WHEN 6 THEN '5' WHEN 7 THEN '75' ELSE '' END END AS style FROM documents WHERE doc_id % 10 < 8")
+@query("SELECT doc_id, 3 AS choices, contains(lower(source), '1') AS has_one, least(1.0, greatest(0.25, (doc_id % 10) / 4.0))::DOUBLE AS amount, ((doc_id % 10) // 4)::VARCHAR || CASE doc_id % 10 % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END AS style, doc_id % 10 > 0 AS given FROM documents")
 def r_choices(spark, sf):
-    """Choice lists, substring tests, clamped numbers and their texts."""
-    share = (F.col("doc_id") % 10) / 4
-    return table(spark, sf, "documents").where("doc_id % 10 < 8").select(
+    """Choice lists, substring tests, clamped numbers and their texts, guards."""
+    place = F.col("doc_id") % 10
+    return table(spark, sf, "documents").select(
         "doc_id", F.size(text.choice_list(F.concat(F.lit("a, "), "lang", F.lit("\r\n\nb,")))).alias("choices"), text.has_part(F.lower("source"), "1").alias("has_one"),
-        motion.clamped(share, 0.25, 1.0).alias("amount"), motion.opacity_style(share).alias("style"),
+        motion.clamped(place / 4, 0.25, 1.0).alias("amount"), motion.opacity_style(place / 4).alias("style"), text.is_given(place).alias("given"),
     )
 
 
@@ -479,12 +503,18 @@ def r_merged(spark, sf):
 @query("""SELECT p_partkey, md5('<div class="goal-detail">' || chr(10) || '  <h1 class="goal-detail-title">' || p_name || '</h1>' || chr(10) || '  <div class="goal-detail-body">' || chr(10)
   || array_to_string(list_transform(string_split(p_type, ' '), lambda p: '    <p>' || p || '</p>'), chr(10)) || chr(10) || '  </div>' || chr(10) || '</div>') AS goal,
   md5('<div class="home-section">' || chr(10) || '  <h2 class="home-section-title">Mission</h2>' || chr(10) || '  <p class="home-principle">' || p_name || '</p>' || chr(10) || '</div>') AS section,
-  '<p>' || p_type || '</p>' AS card FROM part""")
+  '<p>' || p_type || '</p>' AS card,
+  md5('<span class="acronym-letter">' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1:1] || '</span>' || w[2:]), ' <span class="acronym-letter">')) AS acronym,
+  md5('<p class="home-principle">' || p_name || chr(10) || '      <span class="home-cases-toggle"') AS lead FROM part""")
 def r_body_builders(spark, sf):
     """Bodies built from parts: a goal's page, a section of a home page, a card."""
     name, kind = F.col("p_name"), F.col("p_type")
     card = markup.card(F.col("p_size").cast("string"), name, kind, F.col("p_partkey"), F.lit("Read more"))
-    return table(spark, sf, "part").select("p_partkey", F.md5(markup.goal_html(name, F.split(kind, " "))).alias("goal"), F.md5(markup.section_html("Mission", name)).alias("section"), card["description"].alias("card"))
+    cases = F.array(F.struct(F.col("p_brand").alias("mark"), kind.alias("body")))
+    return table(spark, sf, "part").select(
+        "p_partkey", F.md5(markup.goal_html(name, F.split(kind, " "))).alias("goal"), F.md5(markup.section_html("Mission", name)).alias("section"), card["description"].alias("card"),
+        F.md5(F.regexp_extract(markup.hero_html(F.col("p_brand"), F.lit("T"), name), r'--acronym">(.*)</p>', 1)).alias("acronym"), F.md5(F.regexp_extract(markup.principle_html("P", name, cases), r'(?s)(<p class="home-principle">.*toggle")', 1)).alias("lead"),
+    )
 
 
 @query("SELECT p_partkey FROM part WHERE lower(p_brand) = lower((SELECT min(p_brand) FROM part))")

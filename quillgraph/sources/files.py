@@ -60,3 +60,10 @@ def export_submissions(spark: SparkSession, folder: str, path: str) -> None:
 def snapshot(rows: DataFrame, folder: str, day: str) -> None:
     """A day's copy; writing a day again replaces that day's copy only."""
     rows.write.mode("overwrite").parquet(f"{folder}/day={day}")
+
+
+def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The copy of the last day there is."""
+    days = spark.read.option("recursiveFileLookup", "false").parquet(folder)
+    last = days.agg(F.max("day")).first()[0]
+    return days.where(F.col("day") == F.lit(last)).drop("day")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,12 @@ def revealed(events: DataFrame, share: str, threshold: float = 0.12) -> DataFram
     return events.where(F.col(share) >= threshold)
 
 
+def share_in_sight(top: Column, height: Column, view: Column, margin: float = 0.08) -> Column:
+    """How much of an item is in sight (0 to 1): its top from the view's upper edge, its height, the view's height without the margin at its lower edge."""
+    seen = F.least(top + height, view * (1 - margin)) - F.greatest(top, F.lit(0.0))
+    return F.greatest(F.lit(0.0), seen) / F.nullif(height, F.lit(0.0))
+
+
 def toggled(events: DataFrame, key: str) -> DataFrame:
     """Per key the number of switches so far and whether it is open: open after an odd number."""
     return events.groupBy(key).agg(F.count("*").alias("switches")).withColumn("is_open", F.col("switches") % 2 == 1)

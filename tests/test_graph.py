@@ -31,7 +31,7 @@ def test_blank(spark, s, want):
 def test_words_and_acronym(spark):
     assert one(spark, text.words, "  a\tbc \n d ") == ["a", "bc", "d"]
     assert one(spark, text.words, " ") == []
-    assert one(spark, text.acronym_markup, "Tom & <Jerry") == "<b>T</b>om <b>&</b> <b><</b>Jerry"
+    assert one(spark, text.acronym_markup, "Tom & <Jerry") == "<span class=\"acronym-letter\">T</span>om <span class=\"acronym-letter\">&</span> <span class=\"acronym-letter\"><</span>Jerry"
     assert one(spark, text.initials, "one two") == "ot"
 
 
@@ -268,6 +268,46 @@ def test_home_body_of_goals(spark):
     assert row.c == '    <p class="home-case"><span class="home-case-mark">a.</span><br>\n    z</p>' and tuple(row.b) == ("html", "h")
 
 
+def test_home_page(spark):
+    cases = F.array(F.struct(F.lit("a.").alias("mark"), F.lit("z").alias("body")))
+    card = markup.card(F.lit("1"), F.lit("t"), F.lit("x & y"), F.lit(7), F.lit("More"))
+    body = markup.home_body(markup.hero_html(F.lit("Name"), F.lit("N"), F.lit("Now & <then")), markup.section_html("Mission", F.lit("m")), markup.principle_html("Principle", F.lit("p"), cases), F.array(card))
+    got = spark.range(1).select(body.alias("b")).first().b
+    assert [b.type for b in got] == ["html"] * 4 + ["cardgrid"]
+    letter = lambda x: f'<span class="acronym-letter">{x}</span>'
+    assert got[0].value == (
+        '<div class="home-hero">\n  <p class="home-fullname home-reveal home-reveal--up" style="--reveal-delay:0ms">Name</p>\n'
+        '  <h1 class="home-title home-reveal home-reveal--up" style="--reveal-delay:0ms">N</h1>\n'
+        '  <div class="home-title-divider home-reveal home-reveal--up" style="--reveal-delay:0ms" aria-hidden="true"></div>\n'
+        '  <div class="home-acronym home-reveal home-reveal--up" style="--reveal-delay:0ms">\n'
+        f'    <p class="home-eyebrow home-eyebrow--acronym">{letter("N")}ow {letter("&")} {letter("<")}then</p>\n  </div>\n</div>'
+    )
+    assert got[2].value == (
+        '<div class="home-section">\n  <h2 class="home-section-title">Principle</h2>\n  <div class="home-cases-fold">\n    <p class="home-principle">p\n'
+        '      <span class="home-cases-toggle" role="button" tabindex="0" aria-expanded="false">\n        <span class="home-cases-more" aria-hidden="true">&hellip;</span>\n      </span>\n'
+        '    </p>\n    <div class="home-cases home-cases-body">\n    <p class="home-case"><span class="home-case-mark">a.</span><br>\n    z</p>\n    </div>\n  </div>\n</div>'
+    )
+    assert got[3].value == '<div class="home-section home-section--goals">\n  <h2 class="home-section-title">Goals</h2>\n</div>'
+    none = {"custom_template": "", "custom_css_class": "", "custom_id": ""}
+    link = {"settings": none | {"ga_tracking_event_category": "", "ga_tracking_event_label": ""}, "page_link": 7, "doc_link": None, "other_link": "", "button_title": "More", "button_style": "btn-link", "button_size": ""}
+    one_card = {"settings": none | {"custom_css_class": "home-goal-card"}, "image": None, "title": "t", "subtitle": "1", "description": "<p>x &amp; y</p>", "links": [link]}
+    assert json.loads(got[4].value) == {"settings": none | {"custom_css_class": "home-goals"}, "fluid": True, "content": [one_card]}
+
+
+def test_guards_and_lists(spark):
+    assert [one(spark, text.is_given, x) for x in ("", None, "a", 0, 3, False, True, 0.0)] == [False, False, True, False, True, False, True, False]
+    rows = spark.createDataFrame([([1], [2, 3]), (None, [4]), (None, None)], "a array<int>, b array<int>")
+    assert [r.c for r in rows.select(bodies.appended(F.col("a"), F.col("b")).alias("c")).collect()] == [[1, 2, 3], [4], None]
+
+
+def test_publishing(spark):
+    old = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 5)], "k int, v string, rev int")
+    got = changes.published(old, spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string"), "k", "rev")
+    assert {tuple(r) for r in changes.current(got, "k", ["rev"], ["v", "rev"]).collect()} == {(1, "x", 3), (2, "c", 5), (3, "y", 1)} and got.count() == 5
+    told = changes.counters(spark.createDataFrame([("created",)], "action string"), ["created", "updated"])
+    assert changes.any_counted(told, "created").first()[0] is True and changes.any_counted(told, "updated").first()[0] is False
+
+
 def test_bootstrap_and_migrations(spark):
     have = spark.createDataFrame([("en",)], "language_code string")
     want = spark.createDataFrame([("en",), ("th",), ("zh",)], "language_code string")

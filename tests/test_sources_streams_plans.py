@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.plans import catalogue
 from quillgraph.sources import database, files
@@ -70,6 +71,8 @@ def test_forms_and_snapshots(spark, tmp_path):
     files.export_submissions(spark, str(tmp_path / "forms"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     assert spark.read.parquet(str(tmp_path / "snap")).count() == 1
+    files.snapshot(literal(spark, [(2, "y"), (3, "z")], "id int, body string"), str(tmp_path / "snap"), "2024-01-02")
+    assert sorted(r.id for r in files.latest_snapshot(spark, str(tmp_path / "snap")).collect()) == [2, 3]
 
 
 def test_database_url():
@@ -80,6 +83,12 @@ def test_database_url():
         database.jdbc_options("sqlite:///x")
 
 
+def test_share_in_sight(spark):
+    rows = spark.createDataFrame([(900.0, 100.0), (915.0, 100.0), (-50.0, 100.0), (2000.0, 100.0), (0.0, 0.0)], "top double, height double")
+    got = [r.s for r in rows.select(stream.share_in_sight(F.col("top"), F.col("height"), F.lit(1000.0)).alias("s")).collect()]
+    assert got[:4] == pytest.approx([0.2, 0.05, 0.5, 0.0]) and got[4] is None
+
+
 def at(minute, second=0):
     return dt.datetime(2024, 1, 1, 0, minute, second)
 
