@@ -8,7 +8,7 @@ a pair of neighbours becomes one when a coin thrown by name sends the left one t
 the left half of the alphabet and the right one to the right half.  Names are
 64-bit fingerprints of what they stand for, so that all tasks give equal strings
 equal names without a dictionary that grows with the corpus; a clash of names can
-only cost a comparison, as all finds are verified by content.
+only cost a comparison, as finds are verified by fingerprints of all their words.
 
 With each symbol goes the span of words that its making depended on.  A window
 that holds the whole span of a symbol has that symbol wherever it occurs.  So each
@@ -265,11 +265,10 @@ def positions(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """128-bit fingerprints of the windows in the wanted blocks."""
+    """128-bit fingerprints of the windows in the wanted blocks: two of 64 bits, over independent hashes of the words."""
     for batch in slices(batches):
         t = Texts(batch.column("text")).split()
-        h = t.word_hashes()
-        one, two = windows(h, width, _ONE), windows(mix(h), width, _TWO)
+        one, two = windows(t.word_hashes(), width, _ONE), windows(t.word_hashes(second=True), width, _TWO)
         doc, at, n = positions(batch.column("blocks"))
         begin = t.first[doc] + at
         ends = np.cumsum(n)

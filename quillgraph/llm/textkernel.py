@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once; a longer document is handled alone.
 SLICE_BYTES = 2 << 20
-#: Words up to this many bytes are hashed by prefix sums, longer ones alone.
-LONG_WORD = 1 << 16
+#: Ranges up to this many bytes are hashed by prefix sums, longer ones by blake2b: a polynomial modulo
+#: 2^64 has known clashes from 1,024 bytes on, whatever its base (the Thue-Morse word and its complement).
+SHORT = 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -99,7 +100,7 @@ class Texts:
         return self.hashes(self.start, self.end, lower, second)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
-        """64-bit hashes of byte ranges that follow one another."""
+        """64-bit hashes of byte ranges that follow one another; second: by another, independent function."""
         value = _BYTE_VALUE_2 if second else _BYTE_VALUE
         data = self.data
         if lower:
@@ -107,7 +108,7 @@ class Texts:
         up, down = _tables()
         out = np.zeros(len(starts), U64)
         size = ends - starts
-        long = np.flatnonzero(size > LONG_WORD)
+        long = np.flatnonzero(size > SHORT)
         k, n = 0, len(out)
         while k < n:
             a = int(starts[k])
@@ -122,9 +123,11 @@ class Texts:
             out[k:j] = (part[e] - part[s]) * down[s]
             k = j
         out = mix(out + size.astype(U64) * U64(0xD6E8FEB86659FD93))
-        for k in long:
-            digest = hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8, key=b"2" if second else b"").digest()
-            out[k] = np.frombuffer(digest, U64)[0]
+        if len(long):
+            raw = memoryview(data)
+            key = b"2" if second else b"1"
+            digests = [hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            out[long] = np.frombuffer(b"".join(digests), U64)
         return out
 
     def doc_of_words(self) -> np.ndarray:
