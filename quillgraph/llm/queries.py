@@ -12,6 +12,7 @@ from .decontamination import op2_decontamination
 from .jaccard_join import op3_jaccard_join
 from .quality_rules import op9_quality_rules
 from .quality_classifier import op4_quality_classifier
+from .source_mix import op11_source_mix
 from .sql import ORACLE_SQL
 from .substring_dedup import op6_substring_dedup
 from .token_counts import op8_token_counts
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_source_mix": op11_source_mix,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

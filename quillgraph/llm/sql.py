@@ -6,7 +6,7 @@ share a shingle, all windows, all n-grams.
 
 from __future__ import annotations
 
-from . import chat_format
+from . import chat_format, source_mix
 from .quality_rules import Limits
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -86,9 +86,37 @@ FROM c GROUP BY conv_id
 """
 
 
+def mixing() -> str:
+    """Rounds of resharing what is over, until no target is above its stop; then copies by rate and draw."""
+    weights = f"[{', '.join(map(str, source_mix.WEIGHTS))}]"
+    n, most = len(source_mix.WEIGHTS), source_mix.MOST
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, text, len({_WORDS.format(text="coalesce(text, '')")})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, {weights}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {n})::INT + 1]::BIGINT AS w FROM d GROUP BY source),
+r(round, source, source_size, w, stopped) AS (
+  SELECT 0, source, source_size, w, false FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, w, stopped OR fresh FROM (
+    SELECT *, bool_or(fresh) OVER () AS more FROM (
+      SELECT *, NOT stopped AND w::HUGEINT * left_ > {most} * source_size::HUGEINT * open_ AS fresh FROM (
+        SELECT *, sum(source_size) OVER () - coalesce(sum({most} * source_size) FILTER (stopped) OVER (), 0) AS left_, sum(w) FILTER (NOT stopped) OVER () AS open_ FROM r))) WHERE more),
+last AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum({most} * source_size) FILTER (stopped) OVER (), 0) AS left_, sum(w) FILTER (NOT stopped) OVER () AS open_
+  FROM r WHERE round = (SELECT max(round) FROM r)),
+t AS (SELECT source, source_size, CASE WHEN stopped THEN ({most} * source_size)::DOUBLE ELSE (w * left_)::DOUBLE / open_::DOUBLE END AS target FROM last),
+c AS (
+  SELECT d.*, t.source_size, t.target, coalesce(t.target / nullif(t.source_size::DOUBLE, 0), 0) AS rate,
+    ('0x' || substr(md5('{source_mix.SEED} ' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 13))::BIGINT / {float(1 << 52)!r} AS draw
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, size * copies AS taken, source, rate, copies
+FROM (SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
+"""
+
+
 ORACLE_SQL = {
     "op3_jaccard_join": JACCARD_JOIN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op9_quality_rules": quality_rules(),
     "op10_chat_format": chat_digests(),
+    "op11_source_mix": mixing(),
 }
