@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op7_bpe_codec
 from .chat_format import op10_chat_format
+from .conversation_trie import op13_conversation_trie
 from .decontamination import op2_decontamination
 from .jaccard_join import op3_jaccard_join
 from .quality_rules import op9_quality_rules
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
     "op11_source_mix": op11_source_mix,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -113,10 +113,42 @@ FROM (SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0
 """
 
 
+CONVERSATION_TRIE = """
+WITH RECURSIVE crc_step(i, c, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) AS x(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_step WHERE k = 8),
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[((xor(c, b)) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), crc_table),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, sha256(length(role) || ':' || role || text) AS digest, strlen(text) AS bytes
+  FROM (SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
+    UNION ALL SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h)),
+reached AS (
+  SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key, bytes FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+last AS (SELECT conv_id, max(depth) AS n FROM reached GROUP BY conv_id),
+nodes AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+  FROM reached JOIN last USING (conv_id) GROUP BY depth, key),
+children AS (SELECT left(key, 64 * (depth - 1)) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+subtrees AS (
+  SELECT left(key, 64 * k) AS key, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM nodes LEFT JOIN children USING (key)) GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s USING (key) LEFT JOIN children c USING (key) LEFT JOIN nodes p ON n.depth > 0 AND p.key = left(n.key, 64 * (n.depth - 1))
+"""
+
+
 ORACLE_SQL = {
     "op3_jaccard_join": JACCARD_JOIN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op9_quality_rules": quality_rules(),
     "op10_chat_format": chat_digests(),
     "op11_source_mix": mixing(),
+    "op13_conversation_trie": CONVERSATION_TRIE,
 }
