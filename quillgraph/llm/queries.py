@@ -10,6 +10,7 @@ from .bpe_codec import op7_bpe_codec
 from .chat_format import op10_chat_format
 from .conversation_trie import op13_conversation_trie
 from .decontamination import op2_decontamination
+from .filter_audit import op12_filter_audit
 from .jaccard_join import op3_jaccard_join
 from .quality_rules import op9_quality_rules
 from .quality_classifier import op4_quality_classifier
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
     "op11_source_mix": op11_source_mix,
+    "op12_filter_audit": op12_filter_audit,
     "op13_conversation_trie": op13_conversation_trie,
 }
 

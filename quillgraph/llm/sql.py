@@ -144,11 +144,39 @@ FROM nodes n JOIN subtrees s USING (key) LEFT JOIN children c USING (key) LEFT J
 """
 
 
+FILTER_AUDIT = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, {_WORDS.format(text="text")} AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS failed
+  FROM w LEFT JOIN l USING (doc_id)),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || f FROM o, f WHERE NOT contains(filter_order, f)),
+s AS (SELECT filter_order, step, filter_order[step] AS f, left(filter_order, step - 1) AS before FROM o, range(1, 6) AS x(step) WHERE length(filter_order) = 5),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, failed),
+r AS (
+  SELECT part, filter_order, step, f, n, good, toxic, failed = f AS alone, contains(failed, f) AS fails,
+    length(translate(failed, before, '')) < length(failed) AS earlier
+  FROM c, s),
+steps AS (
+  SELECT part, filter_order, step::INT AS step, f, coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM steps
+"""
+
+
 ORACLE_SQL = {
     "op3_jaccard_join": JACCARD_JOIN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op9_quality_rules": quality_rules(),
     "op10_chat_format": chat_digests(),
     "op11_source_mix": mixing(),
+    "op12_filter_audit": FILTER_AUDIT,
     "op13_conversation_trie": CONVERSATION_TRIE,
 }
