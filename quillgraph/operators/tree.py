@@ -58,15 +58,19 @@ def add_children(nodes: DataFrame, new: DataFrame, base: int = BASE) -> DataFram
     """nodes (path, depth, numchild, ...) with `new` rows (parent_path, order, and the other columns of nodes) as their parents' last children.
 
     New rows follow the last child there is, in their `order`; steps are numbers of the given base.
-    A parent has room for base ** STEP - 1 children; beyond that the query fails.  Rows
-    under a path that is not there are left out.
+    A parent has room for base ** STEP - 1 children; beyond that the query fails, and so it does
+    for a row under a path that is not there.  Only nodes under the parents of new rows are grouped.
     """
-    last = nodes.groupBy(parent_path(F.col("path")).alias("parent_path")).agg(F.conv(F.max(F.substring("path", -STEP, STEP)), base, 10).cast("long").alias("_last"))
+    parents = new.select("parent_path").distinct()
+    siblings = nodes.select(parent_path(F.col("path")).alias("parent_path"), F.substring("path", -STEP, STEP).alias("_step")).join(parents, "parent_path", "left_semi")
+    last = siblings.groupBy("parent_path").agg(F.max(F.conv("_step", base, 10).cast("long")).alias("_last"))
     place = F.row_number().over(Window.partitionBy("parent_path").orderBy("order"))
     rows = new.withColumn("_nth", place).join(last, "parent_path", "left")
-    rows = rows.join(nodes.select(F.col("path").alias("parent_path"), F.col("depth").alias("_depth")), "parent_path")
-    rows = rows.withColumn("path", F.concat("parent_path", step_text(F.coalesce("_last", F.lit(0)) + F.col("_nth"), base))).withColumn("depth", F.col("_depth") + 1).withColumn("numchild", F.lit(0).cast(nodes.schema["numchild"].dataType))
-    grown = rows.groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("_new"))
+    rows = rows.join(nodes.select(F.col("path").alias("parent_path"), F.col("depth").alias("_depth")), "parent_path", "left")
+    missing = F.raise_error(F.concat(F.lit("no parent at path "), F.coalesce("parent_path", F.lit("null")))).cast("int")
+    rows = rows.withColumn("path", F.concat("parent_path", step_text(F.coalesce("_last", F.lit(0)) + F.col("_nth"), base)))
+    rows = rows.withColumn("depth", (F.when(F.col("_depth").isNull(), missing).otherwise(F.col("_depth")) + 1).cast(nodes.schema["depth"].dataType)).withColumn("numchild", F.lit(0).cast(nodes.schema["numchild"].dataType))
+    grown = new.groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("_new"))
     old = nodes.join(grown, "path", "left").withColumn("numchild", (F.col("numchild") + F.coalesce("_new", F.lit(0))).cast(nodes.schema["numchild"].dataType))
     return old.select(*nodes.columns).unionByName(rows.select(*nodes.columns))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, markup, motion, text
-from ..operators import bodies, changes, integrity, links, listing, search, tree
+from ..operators import bodies, changes, integrity, links, listing, references, search, seeding, tree
 from ..sources.tables import table
 from ..streaming import events as stream
 
@@ -261,6 +261,53 @@ def r_block_references(spark, sf):
     return refs.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("target"), "c_name"), "target", "left").select("event_id", F.col("type").alias("event_type"), "target", "c_name")
 
 
+def _nested_bodies(spark, sf) -> DataFrame:
+    """Customers as pages whose bodies hold a card per order: finished ones in a grid, open ones in a column of a row, pending ones two rows deep."""
+    link = F.struct(F.lit("Links").alias("type"), F.struct(F.col("o_orderkey").alias("page_link"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey")).alias("doc_link"), F.lit("").alias("other_link")).alias("value"))
+    card = F.struct(F.lit("card").alias("type"), F.struct(F.col("o_orderpriority").alias("title"), F.array(link).alias("links")).alias("value"))
+    cards = lambda status: F.transform(F.sort_array(F.collect_list(F.when(F.col("o_orderstatus") == status, F.struct("o_orderkey", card.alias("card"))))), lambda x: x["card"])
+    holder = lambda kind, inside: F.struct(F.lit(kind).alias("type"), F.struct(inside.alias("content")).alias("value"))
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(cards("F").alias("f"), cards("O").alias("o"), cards("P").alias("p"))
+    row = lambda inside: holder("row", F.array(holder("column", inside)))
+    blocks = (holder("cardgrid", F.col("f")), row(F.col("o")), row(F.array(row(F.col("p")))), F.struct(F.lit("reusable_content").alias("type"), F.struct(F.col("o_custkey").alias("content")).alias("value")), F.struct(F.lit("carousel").alias("type"), F.col("o_custkey").alias("value")))
+    return rows.select("o_custkey", F.concat(F.lit("["), F.concat_ws(",", *[F.to_json(b) for b in blocks]), F.lit("]")).alias("body"))
+
+
+_NESTED_SQL = """
+WITH RECURSIVE cards AS (
+  SELECT o_custkey, o_orderstatus, to_json(list(json_object('type', 'card', 'value', json_object('title', o_orderpriority, 'links', json_array(json_object('type', 'Links', 'value',
+    json_object('page_link', o_orderkey, 'doc_link', CASE WHEN o_orderkey % 7 = 0 THEN o_custkey END, 'other_link', ''))))) ORDER BY o_orderkey)) AS cards FROM orders GROUP BY o_custkey, o_orderstatus),
+bodies AS (
+  SELECT o_custkey, json_array(json_object('type', 'cardgrid', 'value', json_object('content', coalesce(any_value(cards) FILTER (o_orderstatus = 'F'), '[]'::JSON))),
+    json_object('type', 'row', 'value', json_object('content', json_array(json_object('type', 'column', 'value', json_object('content', coalesce(any_value(cards) FILTER (o_orderstatus = 'O'), '[]'::JSON)))))),
+    json_object('type', 'row', 'value', json_object('content', json_array(json_object('type', 'column', 'value', json_object('content', json_array(
+      json_object('type', 'row', 'value', json_object('content', json_array(json_object('type', 'column', 'value', json_object('content', coalesce(any_value(cards) FILTER (o_orderstatus = 'P'), '[]'::JSON)))))))))))),
+    json_object('type', 'reusable_content', 'value', json_object('content', o_custkey)), json_object('type', 'carousel', 'value', o_custkey)) AS body FROM cards GROUP BY o_custkey),
+walk(o_custkey, path, field, value) AS (
+  SELECT o_custkey, '', NULL::VARCHAR, body FROM bodies
+  UNION ALL
+  SELECT w.o_custkey, w.path || CASE WHEN w.path = '' THEN '' ELSE '.' END || e.key, CASE WHEN e.key = 'value' THEN w.value->>'type' WHEN json_type(w.value) = 'ARRAY' THEN w.field ELSE e.key END, e.value
+  FROM walk w, json_each(w.value) e WHERE json_type(w.value) IN ('ARRAY', 'OBJECT')),
+refs AS (
+  SELECT o_custkey, path, field, CASE field WHEN 'page_link' THEN 'page' WHEN 'doc_link' THEN 'document' ELSE 'snippet' END AS kind, value::BIGINT AS target
+  FROM walk WHERE field IN ('page_link', 'doc_link', 'content', 'carousel') AND json_type(value) IN ('UBIGINT', 'BIGINT'))
+"""
+
+
+@query(_NESTED_SQL + "SELECT * FROM refs")
+def r_nested_references(spark, sf):
+    """References at any depth of bodies."""
+    return references.nested_references(_nested_bodies(spark, sf), "o_custkey", "body")
+
+
+@query(_NESTED_SQL + "SELECT * FROM refs r WHERE kind = 'page' AND NOT EXISTS (FROM orders o WHERE o.o_orderkey = r.target AND o_totalprice < 100000) OR kind = 'document' AND NOT EXISTS (FROM part WHERE p_partkey = r.target)")
+def r_orphaned_references(spark, sf):
+    """References inside bodies to orders that count as deleted, or to parts that aren't there."""
+    refs = references.nested_references(_nested_bodies(spark, sf), "o_custkey", "body")
+    there = table(spark, sf, "orders").where("o_totalprice < 100000").select(F.col("o_orderkey").alias("id"))
+    return references.orphaned(refs, {"page": there, "document": table(spark, sf, "part").select(F.col("p_partkey").alias("id"))})
+
+
 # -- changes -------------------------------------------------------------------
 
 
@@ -356,6 +403,112 @@ def r_migrated(spark, sf):
 def r_emptied(spark, sf):
     return changes.emptied(table(spark, sf, "customer")).agg(F.count("*").alias("left_over"))
 
+_SEED_SQL = """
+WITH b36 AS (SELECT '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS d),
+base AS (
+  SELECT r_regionkey::BIGINT AS page_id, NULL AS parent, r_regionkey + 1 AS nth, 1 AS depth, r_name AS slug, 'site' AS content_type, NULL AS body, r_name AS description, false AS shown FROM region
+  UNION ALL SELECT 100 + n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 2, n_name, 'webpage', 'html:kept', n_name, n_nationkey % 3 = 0 FROM nation
+  UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 3, 'c' || c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'article' ELSE 'webpage' END,
+    CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'section:old' ELSE 'html:kept' END, CASE WHEN c_custkey % 5 = 0 THEN '  ' ELSE c_name END, false FROM customer),
+goals AS (
+  SELECT 100 + s_nationkey AS home, s_suppkey AS o, 's' || s_suppkey AS slug, s_suppkey::VARCHAR AS number, s_name AS title, 'of ' || s_nationkey AS abstract, 'R&D <' || s_suppkey || '>' AS second FROM supplier
+  UNION ALL SELECT 100 + c_nationkey, 1000000000 + c_custkey, 'c' || c_custkey, c_custkey::VARCHAR, c_name, c_mktsegment, 'R&D <' || c_custkey || '>' FROM customer WHERE c_acctbal < 0 AND (c_custkey % 11 <> 0 OR c_nationkey % 3 <> 0)),
+planned AS (
+  SELECT g.*, b.page_id AS old_id, CASE WHEN b.page_id IS NULL THEN 'created' WHEN b.content_type <> 'webpage' THEN 'skipped' WHEN b.body IN ('', 'section:old') OR trim(b.description) = '' THEN 'updated' ELSE 'unchanged' END AS action
+  FROM goals g LEFT JOIN base b ON b.parent = g.home AND b.slug = g.slug AND b.depth = 3),
+todo AS (
+  SELECT *, CASE WHEN action = 'created' THEN (SELECT max(page_id) FROM base) + sum((action = 'created')::INT) OVER (ORDER BY n_regionkey, n_nth, o, slug) ELSE old_id END AS page_id,
+    (SELECT count(*) FROM base WHERE parent = home AND depth = 3) + sum((action = 'created')::INT) OVER (PARTITION BY home ORDER BY o, slug) AS nth
+  FROM planned JOIN (SELECT 100 + n_nationkey AS home, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n_nth FROM nation) USING (home)),
+escaped AS (SELECT x, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS y FROM (SELECT DISTINCT unnest([title, second, abstract]) AS x FROM goals)),
+told AS (SELECT t.*, a.y AS title_, b.y AS second_, c.y AS abstract_ FROM todo t JOIN escaped a ON a.x = t.title JOIN escaped b ON b.x = t.second JOIN escaped c ON c.x = t.abstract),
+goal_body AS (SELECT page_id, home, o, slug, nth, action, title, 'html:<div class="goal-detail">' || chr(10) || '  <h1 class="goal-detail-title">' || title_ || '</h1>' || chr(10) || '  <div class="goal-detail-body">' || chr(10)
+  || '    <p>' || title_ || '</p>' || chr(10) || '    <p>' || second_ || '</p>' || chr(10) || '  </div>' || chr(10) || '</div>' AS body FROM told),
+home_body AS (
+  SELECT b.page_id, 'html:hero|html:mission|html:principle|html:<div class="home-section home-section--goals">' || chr(10) || '  <h2 class="home-section-title">Goals</h2>' || chr(10) || '</div>|cardgrid:'
+    || json_object('settings', json_object('custom_template', '', 'custom_css_class', 'home-goals', 'custom_id', ''), 'fluid', true, 'content', coalesce(to_json(list(json_object(
+      'settings', json_object('custom_template', '', 'custom_css_class', 'home-goal-card', 'custom_id', ''), 'image', NULL, 'title', t.title, 'subtitle', t.number, 'description', '<p>' || t.abstract_ || '</p>',
+      'links', json_array(json_object('settings', json_object('custom_template', '', 'custom_css_class', '', 'custom_id', '', 'ga_tracking_event_category', '', 'ga_tracking_event_label', ''),
+        'page_link', t.page_id::BIGINT, 'doc_link', NULL, 'other_link', '', 'button_title', 'More', 'button_style', 'btn-link', 'button_size', ''))) ORDER BY t.o, t.slug) FILTER (t.page_id IS NOT NULL)), '[]'::JSON))::VARCHAR AS body
+  FROM base b LEFT JOIN told t ON t.home = b.page_id WHERE b.depth = 2 AND b.shown GROUP BY b.page_id),
+step AS (SELECT n, d[n // 46656 % 36 + 1] || d[n // 1296 % 36 + 1] || d[n // 36 % 36 + 1] || d[n % 36 + 1] AS s FROM range(1, (SELECT max(nth)::BIGINT + 1 FROM (SELECT nth FROM base UNION ALL SELECT nth FROM todo))) AS x(n), b36),
+"""
+
+
+def _site(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, homes and goals: regions are sites, nations homes, customers pages; goals are suppliers, which have no page yet, and customers in debt."""
+
+    def page(name, key, parent, slug, kind, body, description, shown, depth, page_id):
+        nth = F.row_number().over(Window.partitionBy(parent).orderBy(key)) if parent else F.col(key) + 1
+        return table(spark, sf, name).select(
+            "*", page_id.cast("long").alias("page_id"), tree.step_text(nth).alias("_step"), F.lit(depth).alias("depth"), slug.alias("slug"), slug.alias("title"), kind.alias("content_type"),
+            F.lit("old").alias("template"), body.alias("body"), description.alias("description"), shown.alias("show_subpages"),
+        )
+
+    block = lambda kind, value: F.array(F.struct(F.lit(kind).alias("type"), F.lit(value).alias("value")))
+    blocks, c = "array<struct<type:string,value:string>>", F.col("c_custkey")
+    body = F.when(c % 3 == 0, F.array().cast(blocks)).when(c % 3 == 1, block("section", "old")).otherwise(block("html", "kept"))
+    regions = page("region", "r_regionkey", None, F.col("r_name"), F.lit("site"), F.lit(None).cast(blocks), F.col("r_name"), F.lit(False), 1, F.col("r_regionkey")).withColumn("path", F.col("_step"))
+    nations = page("nation", "n_nationkey", "n_regionkey", F.col("n_name"), F.lit("webpage"), block("html", "kept"), F.col("n_name"), F.col("n_nationkey") % 3 == 0, 2, F.col("n_nationkey") + 100)
+    nations = nations.join(regions.select(F.col("r_regionkey").alias("n_regionkey"), F.col("path").alias("_up")), "n_regionkey").withColumn("path", F.concat("_up", "_step"))
+    homes = nations.select("path", "n_nationkey")
+    customers = page("customer", "c_custkey", "c_nationkey", F.concat(F.lit("c"), c), F.when(c % 11 == 0, "article").otherwise("webpage"), body, F.when(c % 5 == 0, "  ").otherwise(F.col("c_name")), F.lit(False), 3, c + 1000)
+    customers = customers.join(homes.select(F.col("n_nationkey").alias("c_nationkey"), F.col("path").alias("_up")), "c_nationkey").withColumn("path", F.concat("_up", "_step"))
+    columns = ["page_id", "path", "depth", "slug", "title", "content_type", "template", "body", "description", "show_subpages"]
+    pages = regions.select(columns).unionByName(nations.select(columns)).unionByName(customers.select(columns))
+    counts = pages.groupBy(tree.parent_path(F.col("path")).alias("path")).agg(F.count("*").alias("numchild"))
+    pages = pages.join(counts, "path", "left").withColumn("numchild", F.coalesce("numchild", F.lit(0)).cast("long"))
+
+    def goal(rows, nation, order, key, prefix, title, abstract):
+        rows = rows.join(homes.select(F.col("n_nationkey").alias(nation), F.col("path").alias("home_path")), nation)
+        number = F.col(key).cast("string")
+        return rows.select(
+            "home_path", order.cast("long").alias("order"), F.concat(F.lit(prefix), number).alias("slug"), number.alias("number"), F.col(title).alias("title"), abstract.alias("abstract"),
+            F.array(F.col(title), F.concat(F.lit("R&D <"), number, F.lit(">"))).alias("paragraphs"), F.lit("More").alias("link_label"), F.concat(F.lit("About "), F.col(title)).alias("description"),
+        )
+
+    owing = table(spark, sf, "customer").where((F.col("c_acctbal") < 0) & ((c % 11 != 0) | (F.col("c_nationkey") % 3 != 0)))
+    goals = goal(table(spark, sf, "supplier"), "s_nationkey", F.col("s_suppkey"), "s_suppkey", "s", "s_name", F.concat(F.lit("of "), F.col("s_nationkey").cast("string")))
+    return pages, homes.select("path"), goals.unionByName(goal(owing, "c_nationkey", c + 1_000_000_000, "c_custkey", "c", "c_name", F.col("c_mktsegment")))
+
+
+def _seeded(spark, sf) -> seeding.Seeded:
+    pages, homes, goals = _site(spark, sf)
+    revisions = pages.where("page_id % 2 = 0").select("page_id", F.lit(1).cast("long").alias("number"), "body")
+    return seeding.seed_sites(pages, revisions, homes, goals, [F.lit("hero"), F.lit("mission"), F.lit("principle")], "all goals", "goal.html", "home.html")
+
+
+def _body_text(body):
+    return F.md5(F.array_join(F.transform(body, lambda b: F.concat(b["type"], F.lit(":"), b["value"])), "|"))
+
+
+@query(_SEED_SQL + """nodes AS (
+  SELECT b.page_id, b.parent, b.nth, b.depth, b.slug, b.slug AS title, b.content_type, coalesce(g.body, h.body, b.body) AS body, CASE WHEN h.body IS NOT NULL THEN 'home.html' WHEN g.body IS NOT NULL THEN 'goal.html' ELSE 'old' END AS template,
+    CASE WHEN h.body IS NOT NULL THEN 'all goals' WHEN g.body IS NOT NULL THEN 'About ' || g.title ELSE b.description END AS description, b.shown AND h.body IS NULL AS show_subpages
+  FROM base b LEFT JOIN home_body h USING (page_id) LEFT JOIN (FROM goal_body WHERE action = 'updated') g USING (page_id)
+  UNION ALL SELECT page_id::BIGINT, home, nth::BIGINT, 3, slug, title, 'webpage', body, 'goal.html', 'About ' || title, false FROM goal_body WHERE action = 'created'),
+p AS (SELECT n.*, s FROM nodes n JOIN step ON step.n = n.nth)
+SELECT p.page_id, coalesce(up2.s, '') || coalesce(up.s, '') || p.s AS path, p.depth, p.slug, p.title, p.content_type, p.template, md5(p.body) AS body, p.description, p.show_subpages,
+  (SELECT count(*) FROM nodes c WHERE c.parent = p.page_id AND c.depth = p.depth + 1) AS numchild
+FROM p LEFT JOIN p up ON up.page_id = p.parent AND up.depth = p.depth - 1 LEFT JOIN p up2 ON up2.page_id = up.parent AND up2.depth = p.depth - 2""")
+def r_seed_pages(spark, sf):
+    """All pages after the homes of all nations have been seeded."""
+    return _seeded(spark, sf).pages.withColumn("body", _body_text(F.col("body")))
+
+
+@query(_SEED_SQL + """shown AS (SELECT page_id, body FROM goal_body WHERE action IN ('created', 'updated') UNION ALL SELECT page_id, body FROM home_body)
+SELECT page_id, 1::BIGINT AS number, md5(body) AS body FROM base WHERE page_id % 2 = 0
+UNION ALL SELECT page_id::BIGINT, CASE WHEN page_id % 2 = 0 AND page_id IN (SELECT page_id FROM base) THEN 2 ELSE 1 END, md5(body) FROM shown""")
+def r_seed_revisions(spark, sf):
+    """Revisions of the pages that seeding made or changed, behind those there were."""
+    return _seeded(spark, sf).revisions.withColumn("body", _body_text(F.col("body")))
+
+
+@query(_SEED_SQL + "nothing AS (SELECT 1) SELECT count(*) FILTER (action = 'created') AS goals_created, count(*) FILTER (action = 'updated') AS goals_updated, (SELECT count(*) FROM home_body) AS home_seeded FROM todo")
+def r_seed_stats(spark, sf):
+    """How many goals were created and updated, and how many homes seeded."""
+    return _seeded(spark, sf).stats
+
 
 # -- sets ----------------------------------------------------------------------
 

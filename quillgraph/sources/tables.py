@@ -1,7 +1,9 @@
-"""Tables of a data folder, and rows from literals."""
+"""Tables of a data folder, rows from literals, and rows kept in the folder that a cluster shares."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,3 +16,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def literal(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """Rows that a program states, with a declared schema."""
     return spark.createDataFrame(list(rows), schema)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset, a local session gets a folder of its own and a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read again: without lineage, and there when executors are lost."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
