@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, markup, motion, text
-from ..operators import bodies, changes, integrity, links, listing, references, search, seeding, tree
-from ..sources.tables import table
+from ..operators import bodies, changes, integrity, links, listing, ranked, references, search, seeding, tree
+from ..sources.tables import shared_path, table
 from ..streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -708,6 +708,26 @@ def r_postings(spark, sf):
     return search.postings(table(spark, sf, "part"), "p_partkey", "p_name")
 
 
+def _bm25_sql(table_: str, key: str, text: str, terms: str, k: int) -> str:
+    """BM25 of all documents, by its formula."""
+    return f"""
+WITH t AS (SELECT {key} AS key, list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS terms FROM {table_}),
+n AS (SELECT count(*)::DOUBLE AS n, greatest(1.0, sum(len(terms)) / count(*)::DOUBLE) AS mean FROM t),
+tf AS (SELECT key, len(terms)::DOUBLE AS length, term, count(*)::DOUBLE AS tf FROM (SELECT key, terms, unnest(terms) AS term FROM t) WHERE term IN ({terms}) GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+parts AS (SELECT key, round(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9)::DECIMAL(18, 9) AS part FROM tf JOIN df USING (term), n),
+scored AS (SELECT key, count(*) AS matched, sum(part)::DOUBLE AS score FROM parts GROUP BY key)
+SELECT row_number() OVER (ORDER BY score DESC, key) AS place, key, matched, score FROM scored QUALIFY place <= {k}"""
+
+
+@query(_bm25_sql("documents", "doc_id", "text", "'the', 'und', 'pas', 'nicht', 'tion'", 100))
+def r_ranked_search(spark, sf):
+    """The hundred best documents for a question, from a stored index."""
+    folder = shared_path(spark, "index")
+    ranked.write_index(table(spark, sf, "documents"), "doc_id", "text", folder)
+    return ranked.search_index(spark, folder, ["The", "und", "pas", "nicht", "tion"], 100)
+
+
 @query("SELECT 'domain' AS rule, o_orderkey AS id FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'range', l_orderkey * 10 + l_linenumber FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.09 UNION ALL SELECT 'length', doc_id FROM documents WHERE length(text) > 5000")
 def r_integrity(spark, sf):
     domain = integrity.outside_domain(table(spark, sf, "orders"), "o_orderstatus", ["F", "O"]).select(F.lit("domain").alias("rule"), F.col("o_orderkey").alias("id"))
