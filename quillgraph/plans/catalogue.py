@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, markup, motion, text
-from ..operators import bodies, changes, integrity, links, listing, ranked, references, search, seeding, tree
+from ..operators import alignment, bodies, changes, integrity, links, listing, ranked, references, search, seeding, tree
 from ..sources.tables import shared_path, table
 from ..streaming import events as stream
 
@@ -206,6 +206,46 @@ def r_side_by_side(spark, sf):
     return links.side_by_side(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_orderpriority", ["F", "O", "P"])
 
 
+_CONTENTS_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY left(text, 40) ORDER BY doc_id) AS other, string_split_regex(text, '[.\\n]+') AS p FROM documents),
+pairs AS (SELECT a.doc_id, a.other, a.p AS l, b.p AS r FROM d a JOIN d b ON b.doc_id = a.other),
+l AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS place FROM pairs),
+r AS (SELECT doc_id, unnest(r) AS text, unnest(range(len(r))) AS place FROM pairs),
+once AS (
+  SELECT x.doc_id, x.place AS a, y.place AS b FROM (SELECT doc_id, text, any_value(place) AS place FROM l GROUP BY ALL HAVING count(*) = 1) x
+  JOIN (SELECT doc_id, text, any_value(place) AS place FROM r GROUP BY ALL HAVING count(*) = 1) y USING (doc_id, text)),
+seq AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM once GROUP BY doc_id),
+len_(doc_id, a, b, lens) AS (
+  SELECT doc_id, a, b, []::BIGINT[] FROM seq
+  UNION ALL
+  SELECT doc_id, a, b, list_append(lens, 1 + coalesce(list_max(list_filter(lens, lambda x, j: b[j] < b[len(lens) + 1])), 0)) FROM len_ WHERE len(lens) < len(b)),
+full_ AS (SELECT * FROM len_ WHERE len(lens) = len(b)),
+back(doc_id, a, b, lens, i) AS (
+  SELECT doc_id, a, b, lens, len(lens) - list_position(list_reverse(lens), list_max(lens)) + 1 FROM full_
+  UNION ALL
+  SELECT doc_id, a, b, lens, list_max(list_filter(range(1, i), lambda j: lens[j] = lens[i] - 1)) FROM back WHERE lens[i] > 1),
+kept AS (SELECT doc_id, a[i] AS a, b[i] AS b FROM back),
+ln AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap ORDER BY place) - (gap > 0)::INT AS nth FROM (SELECT l.doc_id, place, count(k.a) OVER (PARTITION BY l.doc_id ORDER BY place) AS gap FROM l LEFT JOIN kept k ON k.doc_id = l.doc_id AND k.a = place)),
+rn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap ORDER BY place) - (gap > 0)::INT AS nth FROM (SELECT r.doc_id, place, count(k.b) OVER (PARTITION BY r.doc_id ORDER BY place) AS gap FROM r LEFT JOIN kept k ON k.doc_id = r.doc_id AND k.b = place))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY gap, nth) AS line, ln.place AS left_place, rn.place AS right_place,
+  CASE WHEN rn.place IS NULL THEN 'left' WHEN ln.place IS NULL THEN 'right' WHEN nth = 0 THEN 'anchor' ELSE 'filled' END AS how
+FROM ln FULL JOIN rn USING (doc_id, gap, nth)
+"""
+
+
+@query(_CONTENTS_SQL)
+def r_master_contents(spark, sf):
+    """Sentences of each document beside those of the next one that begins alike."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    alike = Window.partitionBy(F.left("text", F.lit(40))).orderBy("doc_id")
+    works = documents.select("doc_id", F.lag("doc_id").over(alike).alias("earlier"), F.lead("doc_id").over(alike).alias("later"))
+    passages = documents.select("doc_id", F.posexplode(F.split("text", "[.\\n]+")).alias("place", "text"))
+    left = passages.join(works.where("later IS NOT NULL").select("doc_id"), "doc_id")
+    right = passages.join(works.where("earlier IS NOT NULL").select("doc_id", "earlier"), "doc_id").select(F.col("earlier").alias("doc_id"), "place", "text")
+    return alignment.aligned(left, right, ["doc_id"], "place", "text")
+
+
+
 # -- bodies --------------------------------------------------------------------
 
 
