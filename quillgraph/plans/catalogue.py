@@ -8,6 +8,7 @@ conversations are bodies of blocks; documents and labels are rows and their seed
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from ..functions import calendar, markup, motion, text
 from ..operators import alignment, bodies, changes, integrity, links, listing, ranked, references, search, seeding, tree
 from ..sources.tables import shared_path, table
 from ..streaming import events as stream
+from ..streaming import keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -827,6 +829,16 @@ def r_stream_coalesced(spark, sf):
     return stream.drained(got, _folder(spark)).withColumn("frame", F.col("frame").cast("timestamp_ntz"))
 
 
+@query("""WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER w < INTERVAL 6 HOUR) IS NOT TRUE AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS opened, (max(ts) + INTERVAL 6 HOUR)::TIMESTAMP AS closed, count(*) AS switches, count(*) % 2 = 1 AS left_open FROM s GROUP BY user_id, nth HAVING max(ts) + INTERVAL 7 HOUR <= (SELECT max(ts) FROM events)""")
+def r_stream_switches(spark, sf):
+    """Each use of a user's switch, which closes by itself after six hours; events may be an hour late."""
+    uses = keyed.idle_switches(_events(spark, sf).select("ts", "user_id"), "user_id", dt.timedelta(hours=6), "1 hour")
+    got = keyed.run_into(uses, shared_path(spark, "switches"), "uses")
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened", "closed")})
+
+
 # -- beyond the reference ------------------------------------------------------
 
 
