@@ -113,12 +113,17 @@ def field_name(label: Column) -> Column:
 
 
 def rendition(spec: Column) -> Column:
-    """Struct of operation, width, height and format of an image spec like `fill-1920x1080 format-webp`."""
+    """Struct of operation, width, height and format of an image spec like `fill-1920x1080 format-webp`, `width-400` or `scale-50`.
+
+    With width, height and scale stands one number: the width, the height, or per cent of both, and the other field is null.
+    """
+    number = lambda pattern: F.regexp_extract(spec, pattern, 1).try_cast("int")
+    both, width, height, scale = r"\b(?:fill|max|min)-", r"\bwidth-(\d+)\b", r"\bheight-(\d+)\b", r"\bscale-(\d+)\b"
     return F.struct(
-        F.nullif(F.regexp_extract(spec, r"(fill|max|min|width|height|scale)-", 1), F.lit("")).alias("operation"),
-        F.regexp_extract(spec, r"-(\d+)x\d+", 1).try_cast("int").alias("width"),
-        F.regexp_extract(spec, r"-\d+x(\d+)", 1).try_cast("int").alias("height"),
-        F.nullif(F.regexp_extract(spec, r"format-(\w+)", 1), F.lit("")).alias("format"),
+        F.nullif(F.regexp_extract(spec, r"\b(fill|max|min|width|height|scale|original)\b", 1), F.lit("")).alias("operation"),
+        F.coalesce(number(both + r"(\d+)x\d+"), number(width), number(scale)).alias("width"),
+        F.coalesce(number(both + r"\d+x(\d+)"), number(height), number(scale)).alias("height"),
+        F.nullif(F.regexp_extract(spec, r"\bformat-(\w+)", 1), F.lit("")).alias("format"),
     )
 
 

@@ -29,9 +29,9 @@ def seed_action(exists: Column, right_type: Column, force: Column | bool, reseed
 def seeded(existing: DataFrame, seed: DataFrame, key: str, columns: Sequence[str], force: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows after seeding, and (key, action).
 
-    existing: key, content_type, needs_reseed, description and `columns`; seed: key,
+    existing: key, content_type, needs_reseed, description, `columns` and others; seed: key,
     description and `columns`, whose rows are of type webpage.  Where the action is
-    created or updated the seed's columns and description are taken.
+    created or updated the seed's columns and description are taken; the others stay, and are null in created rows.
     """
     fields = ["description", *[c for c in columns if c != "description"]]
     new = seed.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_seed"))
@@ -42,6 +42,7 @@ def seeded(existing: DataFrame, seed: DataFrame, key: str, columns: Sequence[str
     out = both.select(
         key, F.when(F.col("_action") == "created", "webpage").otherwise(F.col("content_type")).alias("content_type"),
         F.when(take, False).otherwise(F.col("needs_reseed")).alias("needs_reseed"), *[F.when(take, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in fields],
+        *[c for c in existing.columns if c not in {key, "content_type", "needs_reseed", *fields}],
     )
     return out, both.where("_seed").select(key, F.col("_action").alias("action"))
 

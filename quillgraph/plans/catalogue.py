@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, markup, motion, text
 from ..operators import alignment, bodies, changes, integrity, links, listing, ranked, references, search, seeding, tree
-from ..sources.tables import shared_path, table
+from ..sources.tables import shared_path, table, written
 from ..streaming import events as stream
 from ..streaming import keyed
 
@@ -441,9 +441,14 @@ def r_migrated(spark, sf):
     return rows.select("c_custkey", F.col("c_acctbal").alias("balance"), "moved")
 
 
-@query("SELECT count(*) AS left_over FROM customer WHERE false")
+@query("SELECT count(*) AS there, 0::BIGINT AS left_over, count(*) FILTER (c_acctbal < 0) AS loaded FROM customer")
 def r_emptied(spark, sf):
-    return changes.emptied(table(spark, sf, "customer")).agg(F.count("*").alias("left_over"))
+    """A stored table that is emptied and loaded again: its rows before, after the deletion and after the load."""
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    rows = written(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "emptied")
+    left = written(changes.emptied(rows), "emptied")
+    loaded = written(left.unionByName(rows.where("c_acctbal < 0")), "emptied")
+    return count(rows, "there").select("there", count(left, "left_over").scalar().alias("left_over"), count(loaded, "loaded").scalar().alias("loaded"))
 
 _SEED_SQL = """
 WITH b36 AS (SELECT '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS d),
@@ -638,19 +643,39 @@ def r_recur_monthly(spark, sf):
     return calendar.occurrences(rows).select("o_orderkey", "occurs")
 
 
-@query(
+_RECUR_SQL = (
     "WITH e AS (SELECT o_orderkey, o_orderkey % 4 AS rule, o_orderdate::DATE AS b FROM orders), "
     "m AS (SELECT o_orderkey, b, (b + CASE rule WHEN 2 THEN to_months(k::INT) ELSE to_years(k::INT) END)::DATE AS occurs FROM e, range(240) r(k) WHERE rule > 1), "
     "o AS (SELECT o_orderkey, b + k::INT AS occurs FROM e, range(1101) r(k) WHERE rule = 0 UNION ALL SELECT o_orderkey, b + 7 * k::INT FROM e, range(1029) r(k) WHERE rule = 1 "
     "UNION ALL SELECT o_orderkey, occurs FROM m WHERE day(occurs) = day(b) AND occurs <= b + 7200) "
-    "SELECT o_orderkey, count(*) AS n, max(occurs) AS last, sum(occurs - DATE '1970-01-01')::BIGINT AS days FROM o GROUP BY o_orderkey"
 )
-def r_recur_all(spark, sf):
-    """Daily, weekly, monthly and yearly recurrences of all orders, for 1100 days (daily) or 7200: number, last date and sum of dates of each."""
+
+
+def _recurring(spark, sf) -> DataFrame:
+    """Orders as events that recur daily for 1100 days, or weekly, monthly or yearly for 7200."""
     kind, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
     rule = F.element_at(F.array(*[F.lit(r) for r in calendar.RULES]), (kind + 1).cast("int"))
-    rows = table(spark, sf, "orders").select("o_orderkey", day.alias("start"), rule.alias("repeat"), F.date_add(day, F.when(kind == 0, 1100).otherwise(7200)).alias("repeat_until"))
-    return calendar.occurrences(rows).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("occurs").alias("last"), F.sum(F.unix_date("occurs")).alias("days"))
+    return table(spark, sf, "orders").select("o_orderkey", day.alias("start"), rule.alias("repeat"), F.date_add(day, F.when(kind == 0, 1100).otherwise(7200)).alias("repeat_until"))
+
+
+@query(_RECUR_SQL + "SELECT o_orderkey, count(*) AS n, max(occurs) AS last, sum(occurs - DATE '1970-01-01')::BIGINT AS days FROM o GROUP BY o_orderkey")
+def r_recur_all(spark, sf):
+    """Daily, weekly, monthly and yearly recurrences of all orders, for 1100 days (daily) or 7200: number, last date and sum of dates of each."""
+    return calendar.occurrence_totals(_recurring(spark, sf)).select("o_orderkey", "n", "last", "days")
+
+
+@query(_RECUR_SQL + "SELECT o_orderkey, occurs FROM o WHERE occurs BETWEEN DATE '1998-02-01' AND DATE '1998-03-01'")
+def r_calendar_month(spark, sf):
+    """A month's view, with the day behind it, of the recurrences of all orders."""
+    low, high = F.lit("1998-02-01").cast("date"), F.lit("1998-03-01").cast("date")
+    return calendar.occurrences_between(_recurring(spark, sf), low, high).select("o_orderkey", "occurs")
+
+
+@query(_RECUR_SQL + "SELECT r.o_orderkey, view, count(occurs) AS n, max(occurs) AS last, coalesce(sum(occurs - DATE '1970-01-01'), 0)::BIGINT AS days FROM (SELECT o_orderkey, unnest([1995, 2000]) AS view FROM orders) r LEFT JOIN o ON o.o_orderkey = r.o_orderkey AND year(occurs) = view GROUP BY ALL")
+def r_calendar_years(spark, sf):
+    """How often each order's recurrence falls in two years, the last time, and the sum of days."""
+    rows = _recurring(spark, sf).withColumn("view", F.explode(F.array(F.lit(1995), F.lit(2000))))
+    return calendar.occurrence_totals(rows, F.make_date("view", F.lit(1), F.lit(1)), F.make_date("view", F.lit(12), F.lit(31))).select("o_orderkey", "view", "n", "last", "days")
 
 
 @query("SELECT date_trunc('week', ts)::TIMESTAMP AS bucket, count(*) AS n FROM events GROUP BY 1")
@@ -666,23 +691,26 @@ def r_live_window(spark, sf):
     return table(spark, sf, "orders").where(calendar.is_live(day, golive, expire)).select("o_orderkey")
 
 
-@query("SELECT p_partkey, replace(lower(p_name), ' ', '_') AS field, p_brand || '.' || md5(p_name)[1:12] || '.css' AS hashed, false AS thai, CASE WHEN p_size % 2 = 0 THEN 'fill' ELSE 'max' END AS operation, p_size::INT AS width, 90 AS height, 'webp' AS format FROM part")
+@query("SELECT p_partkey, replace(lower(p_name), ' ', '_') AS field, p_brand || '.' || md5(p_name)[1:12] || '.css' AS hashed, p_size % 3 = 0 AS thai, CASE p_size % 5 WHEN 0 THEN 'fill' WHEN 1 THEN 'max' WHEN 2 THEN 'width' WHEN 3 THEN 'height' ELSE 'scale' END AS operation, CASE WHEN p_size % 5 <> 3 THEN p_size END::INT AS width, CASE p_size % 5 WHEN 2 THEN NULL WHEN 3 THEN p_size WHEN 4 THEN p_size ELSE 90 END::INT AS height, CASE WHEN p_size % 2 = 0 THEN 'webp' END AS format FROM part")
 def r_names(spark, sf):
     """Names of fields and files, and image specifications, made from parts."""
-    spec = F.concat(F.when(F.col("p_size") % 2 == 0, "fill").otherwise("max"), F.lit("-"), F.col("p_size").cast("string"), F.lit("x90 format-webp"))
+    size = F.col("p_size")
+    operation = F.element_at(F.array(*[F.lit(x) for x in ("fill", "max", "width", "height", "scale")]), (size % 5 + 1).cast("int"))
+    spec = F.concat(operation, F.lit("-"), size.cast("string"), F.when(size % 5 < 2, "x90").otherwise(""), F.when(size % 2 == 0, " format-webp").otherwise(""))
+    title = F.when(size % 3 == 0, F.concat("p_name", F.lit(" ก"))).otherwise(F.col("p_name"))
     rows = table(spark, sf, "part").select(
         "p_partkey", text.field_name(F.col("p_name")).alias("field"), text.hashed_name(F.concat("p_brand", F.lit(".css")), F.col("p_name")).alias("hashed"),
-        text.has_thai(F.col("p_name")).alias("thai"), text.rendition(spec).alias("r"),
+        text.has_thai(title).alias("thai"), text.rendition(spec).alias("r"),
     )
     return rows.select("p_partkey", "field", "hashed", "thai", "r.operation", "r.width", "r.height", "r.format")
 
 
-@query("SELECT doc_id, 3 AS choices, contains(lower(source), '1') AS has_one, least(1.0, greatest(0.25, (doc_id % 10) / 4.0))::DOUBLE AS amount, ((doc_id % 10) // 4)::VARCHAR || CASE doc_id % 10 % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END AS style, doc_id % 10 > 0 AS given FROM documents")
+@query("SELECT doc_id, 3 + (doc_id % 2 = 0)::INT + 2 * (doc_id % 5 = 0)::INT AS choices, contains(lower(source), '1') AS has_one, least(1.0, greatest(0.25, (doc_id % 10) / 4.0))::DOUBLE AS amount, ((doc_id % 10) // 4)::VARCHAR || CASE doc_id % 10 % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END AS style, doc_id % 10 > 0 AS given FROM documents")
 def r_choices(spark, sf):
     """Choice lists, substring tests, clamped numbers and their texts, guards."""
     place = F.col("doc_id") % 10
     return table(spark, sf, "documents").select(
-        "doc_id", F.size(text.choice_list(F.concat(F.lit("a, "), "lang", F.lit("\r\n\nb,")))).alias("choices"), text.has_part(F.lower("source"), "1").alias("has_one"),
+        "doc_id", F.size(text.choice_list(F.concat(F.lit("a, "), "lang", F.lit("\r\n\nb,"), F.when(F.col("doc_id") % 2 == 0, " c ").otherwise(" "), F.when(F.col("doc_id") % 5 == 0, ",d\n e").otherwise(",")))).alias("choices"), text.has_part(F.lower("source"), "1").alias("has_one"),
         motion.clamped(place / 4, 0.25, 1.0).alias("amount"), motion.opacity_style(place / 4).alias("style"), text.is_given(place).alias("given"),
     )
 
@@ -816,10 +844,11 @@ def r_stream_once(spark, sf):
     return stream.drained(stream.once_only(rows, ["event_type", "user_id"], "3650 days"), _folder(spark)).select("event_type", "user_id")
 
 
-@query("SELECT event_id FROM events WHERE value >= 12")
+@query("SELECT event_id, greatest(0.0, least(value * 10 + 100, 460.0) - value * 10) / 100 AS share FROM events WHERE greatest(0.0, least(value * 10 + 100, 460.0) - value * 10) / 100 >= 0.12")
 def r_stream_revealed(spark, sf):
-    """Events of which enough is in sight."""
-    return stream.drained(stream.revealed(_events(spark, sf).select("event_id", (F.col("value") / 100).alias("share")), "share"), _folder(spark)).select("event_id")
+    """Events as items of height 100 in a view of 500, of which enough is in sight above its margin."""
+    share = stream.share_in_sight(F.col("value") * 10, F.lit(100.0), F.lit(500.0)).alias("share")
+    return stream.drained(stream.revealed(_events(spark, sf).select("event_id", share), "share"), _folder(spark)).select("event_id", "share")
 
 
 @query("WITH f AS (SELECT date_trunc('day', ts)::TIMESTAMP AS frame, event_type, count(*) AS n, arg_max(value, (ts, value)) AS last FROM events GROUP BY 1, 2) SELECT * FROM f WHERE frame < (SELECT date_trunc('day', max(ts)) FROM events)")

@@ -133,9 +133,11 @@ def test_tree(spark):
 
 def test_add_children(spark):
     nodes = spark.createDataFrame([("0001", 1, 1, "root"), ("00010003", 2, 0, "home")], "path string, depth int, numchild int, title string")
-    new = spark.createDataFrame([("0001", 2, "b"), ("0001", 1, "a"), ("00010003", 1, "c"), ("0009", 1, "lost")], "parent_path string, `order` int, title string")
+    new = spark.createDataFrame([("0001", 2, "b"), ("0001", 1, "a"), ("00010003", 1, "c")], "parent_path string, `order` int, title string")
     got = {r.title: (r.path, r.depth, r.numchild) for r in tree.add_children(nodes, new).collect()}
     assert got == {"root": ("0001", 1, 3), "home": ("00010003", 2, 1), "a": ("00010004", 2, 0), "b": ("00010005", 2, 0), "c": ("000100030001", 3, 0)}
+    with pytest.raises(PySparkException, match="no parent at path 0009"):
+        tree.add_children(nodes, spark.createDataFrame([("0009", 1, "lost")], new.schema)).collect()
 
 
 def test_steps_beyond_decimal_digits(spark):

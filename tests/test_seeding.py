@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from quillgraph.operators import references, seeding, tree
+from quillgraph.operators import references, seeding
 
 BLOCKS = "array<struct<type:string,value:string>>"
 PAGES = f"page_id long, path string, depth int, numchild int, slug string, title string, content_type string, template string, body {BLOCKS}, description string, show_subpages boolean, opacity double"
@@ -146,11 +146,3 @@ def test_pages_of_other_types(spark):
     for site in ([page(2, "00010001", "home", "article")], [page(1, "0001", "root")]):
         with pytest.raises(PySparkException, match="no web page at 00010001"):
             stats(run(*frames(spark, site, ()), goals))
-
-
-def test_children_of_a_missing_parent(spark):
-    nodes = spark.createDataFrame([("0001", 1, 0)], "path string, depth int, numchild int")
-    new = spark.createDataFrame([("0001", 1), ("0009", 1)], "parent_path string, `order` int")
-    assert sorted(r.path for r in tree.add_children(nodes, new.where("parent_path = '0001'")).collect()) == ["0001", "00010001"]
-    with pytest.raises(PySparkException, match="no parent at path 0009"):
-        tree.add_children(nodes, new).collect()
