@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, markup, motion, text
 from ..operators import alignment, bodies, changes, integrity, links, listing, ranked, references, search, seeding, tree
+from ..sources import backups
 from ..sources.tables import shared_path, table, written
 from ..streaming import events as stream
 from ..streaming import keyed
@@ -557,6 +558,26 @@ def r_seed_stats(spark, sf):
     return _seeded(spark, sf).stats
 
 
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders),
+d AS (SELECT '2024-01-01' AS day, * FROM a WHERE o_orderstatus <> 'P' UNION ALL SELECT '2024-01-02', o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END, o_totalprice FROM a
+  UNION ALL SELECT '2024-01-04', o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END, o_totalprice FROM a WHERE o_custkey % 10 > 0)
+SELECT *, CASE day WHEN '2024-01-01' THEN (SELECT count(*) FROM a WHERE o_orderstatus <> 'P') WHEN '2024-01-02' THEN (SELECT count(*) FROM a WHERE o_orderstatus = 'P') ELSE (SELECT count(*) FROM a WHERE o_custkey % 10 = 0) END AS written FROM d""")
+def r_restored_days(spark, sf):
+    """Orders restored to three of four days of backups, with the rows that each day wrote: all, new ones, and those that were gone; on the third day nothing changed."""
+    folder = shared_path(spark, "backups")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    done = orders.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")))
+    days = {"2024-01-01": orders.where("o_orderstatus <> 'P'"), "2024-01-02": done, "2024-01-03": done, "2024-01-04": done.where("o_custkey % 10 > 0")}
+    for day, rows in days.items():
+        backups.back_up(rows, folder, day, ["o_orderkey"])
+    out = None
+    for day in ("2024-01-01", "2024-01-02", "2024-01-04"):
+        wrote = spark.read.parquet(f"{folder}/day={day}").agg(F.count("*")).scalar()
+        rows = backups.restored(spark, folder, day, ["o_orderkey"]).select(F.lit(day).alias("day"), "*", wrote.alias("written"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # -- sets ----------------------------------------------------------------------
 
 
