@@ -16,7 +16,8 @@ Of labelled documents MAX_LABELLED are taken, those with the smallest hashes of
 doc_id among those that docs holds.  All other documents take part without a label: their
 features are written once, and each round's sure ones are found, and fitted on, by
 sums over all of them that Spark's tasks make (a histogram of scores, then losses and
-gradients for L-BFGS).  A task finds a document's pseudo-labels from the views of the
+gradients for L-BFGS), for both classifiers in the same pass.  Sums of many tasks are added up in further tasks,
+so that the driver gets MEET vectors at most.  A task finds a document's pseudo-labels from the views of the
 earlier rounds, so none are stored.  Scoring is one pass over all whole texts without
 a shuffle; what goes to the tasks has a fixed size.
 
@@ -32,6 +33,8 @@ from __future__ import annotations
 
 import copy
 import math
+import queue
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,6 +56,8 @@ SURE = 0.97
 SHARE = 0.15
 #: Passes over the pool for a round's fit.
 PASSES = 12
+#: Tasks whose sums meet in one, and the most whose sums the driver gets.
+MEET = 64
 #: Bins of scores, from a logit of -30 to 30.
 BINS = 1 << 14
 #: Buckets of hashed words, and of hashed metadata.
@@ -441,37 +446,101 @@ def _packed(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa
 PACKED = ["words", "sizes", "dense", "marks", "mark_sizes", "mark_dense", "meta"]
 
 
-def pool_sums(pool: DataFrame, marks: np.ndarray):
-    """See co_train, for both classifiers; the pool's documents (doc_id, text, lang, source, n_chars) are read once."""
-    spark = pool.sparkSession
-    packed = stored(pool.mapInArrow(lambda it: _packed(it, marks), ", ".join(f"{c} binary" for c in PACKED)), "pool-features")
+def together(fits: list, answer) -> list:
+    """Results of functions that each get `sums` (see co_train); what all that aren't done ask for at a time, answer(requests by place) gives at once."""
+    asked: queue.Queue = queue.Queue()
+    told: list[queue.Queue] = [queue.Queue() for _ in fits]
 
-    def of(columns: list[str], width: int):
+    def run(k: int) -> None:
         def sums(function, *arguments) -> np.ndarray:
-            sent = spark.sparkContext.broadcast((function, arguments))
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                function, arguments = sent.value
-                total = None
-                for batch in batches:
-                    for words, sizes, dense, meta in zip(*(c.to_pylist() for c in batch.columns)):
-                        at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)))
-                        text = Rows(np.frombuffer(words, np.int16).astype(np.int64), at, np.frombuffer(dense).reshape(len(at) - 1, width))
-                        got = function((text, meta_rows(np.frombuffer(meta, np.int16))), *arguments)
-                        total = got if total is None else total + got
-                if total is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-            total = function((no_rows(width), no_rows(0)), *arguments)
-            parts = [bytes(r.sums) for r in packed.select(*columns, "meta").mapInArrow(run, "sums binary").collect()]
-            for part in sorted(parts):
-                total = total + np.frombuffer(part)
-            sent.unpersist()
-            return total
-
-        return sums
-
-    return of(PACKED[:3], DENSE), of(PACKED[3:6], 1)
+            asked.put((k, (function, arguments), None))
+            got = told[k].get()
+            if got is None:
+                raise RuntimeError("the pass over the pool failed")
+            return got
+
+        try:
+            asked.put((k, None, (fits[k](sums), None)))
+        except BaseException as e:  # raised again where the results are waited for
+            asked.put((k, None, (None, e)))
+
+    for k in range(len(fits)):
+        threading.Thread(target=run, args=(k,), daemon=True).start()
+    open_, requests, results = set(range(len(fits))), {}, [None] * len(fits)
+    try:
+        while open_:
+            k, request, done = asked.get()
+            if done:
+                open_.remove(k)
+                results[k], error = done
+                if error:
+                    raise error
+            else:
+                requests[k] = request
+            if requests and len(requests) == len(open_):
+                for k, got in answer(dict(requests)).items():
+                    del requests[k]
+                    told[k].put(got)
+    finally:
+        for k in open_:
+            told[k].put(None)
+    return results
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the sum of all."""
+    parts = sorted(x for batch in batches for x in batch.column("sums").to_pylist())  # in one order, that reruns agree; MEET or so
+    if parts:
+        total = np.frombuffer(parts[0])
+        for part in parts[1:]:
+            total = total + np.frombuffer(part)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+def pool_sums(pool: DataFrame, marks: np.ndarray, meet: int = MEET):
+    """Function for `together` for the classifiers of quality (0) and toxic documents (1).
+
+    The features of the pool's documents (doc_id, text, lang, source, n_chars) are written once; each pass
+    reads what is asked of them, for both at once, and adds up: in each task, then among `meet` tasks
+    and so on, until the driver gets `meet` rows at most, however many tasks there are.
+    """
+    spark = pool.sparkSession
+    packed = stored(pool.mapInArrow(lambda it: _packed(it, marks), ", ".join(f"{c} binary" for c in PACKED)), "pool-features")
+    tasks = packed.rdd.getNumPartitions()
+    views = {0: (PACKED[:3], DENSE), 1: (PACKED[3:6], 1)}
+
+    def answer(requests: dict) -> dict:
+        sent = spark.sparkContext.broadcast(requests)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+                for n in range(batch.num_rows):
+                    meta = meta_rows(np.frombuffer(columns["meta"][n], np.int16))
+                    got = []
+                    for k, (function, arguments) in sent.value.items():
+                        (words, sizes, dense), width = views[k]
+                        at = np.concatenate(([0], np.cumsum(np.frombuffer(columns[sizes][n], np.int32), dtype=np.int64)))
+                        text = Rows(np.frombuffer(columns[words][n], np.int16).astype(np.int64), at, np.frombuffer(columns[dense][n]).reshape(len(at) - 1, width))
+                        got.append(function((text, meta), *arguments))
+                    got = np.concatenate(got)
+                    total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        parts, count = packed.select(*[c for k in requests for c in views[k][0]], "meta").mapInArrow(run, "sums binary"), tasks
+        while count > meet:
+            count = -(-count // meet)
+            parts = parts.repartition(count).mapInArrow(_added, "sums binary")
+        nothing = {k: function((no_rows(views[k][1]), no_rows(0)), *arguments) for k, (function, arguments) in requests.items()}
+        total = np.concatenate(list(nothing.values()))
+        for part in sorted(bytes(r.sums) for r in parts.collect()):
+            total = total + np.frombuffer(part)
+        sent.unpersist()
+        return dict(zip(nothing, np.split(total, np.cumsum([len(x) for x in nothing.values()])[:-1])))
+
+    return answer
 
 
 def no_rows(dense: int) -> Rows:
@@ -500,14 +569,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     good, toxic = (got.column(c).fill_null(-1).to_numpy().astype(np.int64) for c in ("good", "toxic"))
     fold = mix(got.column("doc_id").to_numpy().astype(np.int64).view(U64) + U64(5)) % U64(4) == 0
     marks = marks_of(words, np.where(fold, -1, toxic))
-    sums = pool_sums(every.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), marks) if any(len({*y.tolist()} - {-1}) > 1 for y in (good, toxic)) else (None, None)
     text = Rows(*distinct(words.bucket % BUCKETS, words.row, n, BUCKETS), words.dense), meta
     few = marked(words.bucket, words.row, words.dense, marks), meta
-    return Model(
-        co_train(*labelled(text, good), *(x[good >= 0] for x in (good, fold)), sums[0]),
-        co_train(*labelled(few, toxic), *(x[toxic >= 0] for x in (toxic, fold)), sums[1], MARKS, 0.0),
-        marks,
-    )
+    fits = [
+        lambda sums: co_train(*labelled(text, good), *(x[good >= 0] for x in (good, fold)), sums),
+        lambda sums: co_train(*labelled(few, toxic), *(x[toxic >= 0] for x in (toxic, fold)), sums, MARKS, 0.0),
+    ]
+    if not any(len({*y.tolist()} - {-1}) > 1 for y in (good, toxic)):
+        return Model(*(f(None) for f in fits), marks)
+    return Model(*together(fits, pool_sums(every.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), marks)), marks)
 
 
 def labelled(views: tuple[Rows, Rows], label: np.ndarray) -> tuple[Rows, Rows]:

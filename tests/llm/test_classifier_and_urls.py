@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from quillgraph.llm import quality_classifier as qc
 from quillgraph.llm import url_filter as uf
@@ -253,3 +254,49 @@ def test_op5_verdicts_as_a_scan_of_all_rules(spark):
         kinds.add((given is None, best is None))
         assert got[r.page_id]["verdict"] == want and got[r.page_id]["rule"] == (given and given[0])
     assert len(kinds) > 1 and len(got) == table.count()
+
+
+def test_sums_of_many_tasks_meet_in_few(spark, sf, monkeypatch):
+    """200 tasks: the driver gets MEET rows at most, both classifiers are fitted in the same passes, and the result is that of few tasks."""
+    frame = type(spark.range(0))
+    collected, passes = [], []
+    real, real_answer = frame.collect, qc.pool_sums
+
+    def collect(self):
+        out = real(self)
+        if self.columns == ["sums"]:
+            collected.append((len(out), sum(len(r.sums) for r in out)))
+        return out
+
+    rows, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    stored = qc.stored
+    monkeypatch.setattr(frame, "collect", collect)
+    monkeypatch.setattr(qc, "stored", lambda df, name: stored(df.repartition(200), name))
+
+    def counted(pool, marks):
+        answer = real_answer(pool, marks, 7)
+        return lambda requests: passes.append(len(requests)) or answer(requests)
+
+    monkeypatch.setattr(qc, "pool_sums", counted)
+    few = by(qc.scored(rows, qc.fit(rows.coalesce(1), labels)))
+    assert len(collected) == len(passes) <= qc.ROUNDS * (qc.PASSES + 1) and max(n for n, _ in collected) <= 7
+    assert max(size for _, size in collected) < 7 * 8 * (2 * qc.BINS * 2 + 8) and 2 in passes
+    monkeypatch.setattr(qc, "stored", stored)
+    monkeypatch.setattr(qc, "pool_sums", real_answer)
+    want = by(qc.scored(rows, qc.fit(rows, labels)))
+    assert all(abs(few[k]["score"] - want[k]["score"]) < 1e-4 and few[k]["kept"] == want[k]["kept"] for k in want)
+
+
+def test_fits_that_end_apart_or_fail():
+    asked = []
+
+    def answer(requests):
+        asked.append(sorted(requests))
+        return {k: np.array([function(*arguments)]) for k, (function, arguments) in requests.items()}
+
+    fits = [lambda sums: float(sums(abs, -3)[0]), lambda sums: [float(sums(max, k, 1)[0]) for k in range(3)], lambda sums: "none"]
+    assert qc.together(fits, answer) == [3.0, [1.0, 1.0, 2.0], "none"] and asked == [[0, 1], [1], [1]]
+    with pytest.raises(ZeroDivisionError):
+        qc.together([fits[1], lambda sums: 1 / 0], answer)
+    with pytest.raises(KeyError):
+        qc.together(fits[:2], lambda requests: {}["x"])
