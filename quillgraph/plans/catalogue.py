@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, markup, motion, text
 from ..operators import alignment, bodies, changes, integrity, links, listing, ranked, references, search, seeding, tree
-from ..sources import backups
+from ..sources import backups, imports
 from ..sources.tables import shared_path, table, written
 from ..streaming import events as stream
 from ..streaming import keyed
@@ -578,6 +578,32 @@ def r_restored_days(spark, sf):
     return out
 
 
+@query("""WITH n AS (SELECT n_nationkey, CASE WHEN n_regionkey = 3 THEN 'n_regionkey: no region 3' END AS reason FROM nation),
+c AS (SELECT c_custkey, CASE WHEN c_custkey % 97 = 5 THEN 'no row' WHEN reason IS NOT NULL THEN 'c_nationkey: no nation ' || c_nationkey || ', it was set aside' END AS reason FROM customer JOIN n ON n_nationkey = c_nationkey),
+o AS (SELECT o_orderkey, CASE WHEN reason IS NOT NULL THEN 'o_custkey: no customer ' || o_custkey || ', it was set aside' END AS reason FROM orders LEFT JOIN c ON c_custkey = o_custkey)
+SELECT 'nation' AS name, n_nationkey::BIGINT AS id, reason FROM n WHERE reason IS NOT NULL UNION ALL SELECT 'customer', c_custkey, reason FROM c WHERE reason IS NOT NULL UNION ALL SELECT 'orders', o_orderkey, reason FROM o WHERE reason IS NOT NULL""")
+def r_catalogue_import(spark, sf):
+    """What an import of regions, nations, customers and orders from CSV sets aside when a region is missing and some lines of customers are broken."""
+    folder = shared_path(spark, "catalogue")
+    broken = F.when(F.col("c_custkey") % 97 == 5, "?").otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey")
+    files = {
+        "region": table(spark, sf, "region").where("r_regionkey <> 3").select("r_regionkey", "r_name"), "nation": table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name"),
+        "customer": table(spark, sf, "customer").select("c_custkey", broken, "c_name"), "orders": table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"),
+    }
+    kinds = {
+        "region": ("r_regionkey int, r_name string", "r_regionkey", {}), "nation": ("n_nationkey int, n_regionkey int, n_name string", "n_nationkey", {"n_regionkey": "region"}),
+        "customer": ("c_custkey long, c_nationkey int, c_name string", "c_custkey", {"c_nationkey": "nation"}), "orders": ("o_orderkey long, o_custkey long, o_orderstatus string", "o_orderkey", {"o_custkey": "customer"}),
+    }
+    for name, rows in files.items():
+        rows.write.option("header", True).csv(f"{folder}/{name}")
+    got = imports.import_tables(spark, [imports.Table(name, f"{folder}/{name}", *kinds[name]) for name in reversed(kinds)])
+    out = None
+    for name, (_, key, _) in kinds.items():
+        aside = got[name].aside.select(F.lit(name).alias("name"), F.col(key).cast("long").alias("id"), "reason")
+        out = aside if out is None else out.unionByName(aside)
+    return out
+
+
 # -- sets ----------------------------------------------------------------------
 
 
