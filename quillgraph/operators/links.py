@@ -69,8 +69,20 @@ def side_by_side(passages: DataFrame, reference: str, edition: str, text: str, e
 
 
 def tagged(items: DataFrame, tags: DataFrame, key: str, wanted: str) -> DataFrame:
-    """Items with the tag (tags: key, tag), whatever its case."""
-    return items.join(tags.where(F.lower("tag") == wanted.lower()).select(key), key, "left_semi")
+    """Items with the tag (tags: key, tag), whatever its case, in any script."""
+    return items.join(tags.where(F.collate("tag", "UTF8_LCASE") == F.lit(wanted)).select(key), key, "left_semi")
+
+
+def same_tags(tags: DataFrame, others: DataFrame, tag: str) -> DataFrame:
+    """Pairs of tags (columns `tag` and `other`) that are the same but for case; the join compares by collation, on both sides by Spark."""
+    plain = lambda rows, name: rows.select(F.collate(F.col(tag), "UTF8_LCASE").alias("_key"), F.col(tag).alias(name)).distinct()
+    return plain(tags, "tag").join(plain(others, "other"), "_key").select("tag", "other")
+
+
+def clashing_tags(tags: DataFrame, tag: str) -> DataFrame:
+    """Tags that are there in several writings: the least of them, and how many there are."""
+    rows = tags.where(F.col(tag).isNotNull()).select(tag).distinct().groupBy(F.collate(F.col(tag), "UTF8_LCASE").alias("_key"))
+    return rows.agg(F.min(tag).alias("tag"), F.count("*").alias("writings")).where("writings > 1").select("tag", "writings")
 
 
 def with_terms(items: DataFrame, terms: DataFrame, key: str, classifier: str, wanted: Sequence[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, markup, motion, text
 from ..operators import alignment, bodies, changes, integrity, links, listing, ranked, references, search, seeding, tree
-from ..sources import backups, imports
+from ..sources import backups, imports, registry
 from ..sources.tables import shared_path, table, written
 from ..streaming import events as stream
 from ..streaming import keyed
@@ -604,6 +604,24 @@ def r_catalogue_import(spark, sf):
     return out
 
 
+@query("""WITH p AS (SELECT DISTINCT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) + 1 AS page FROM events),
+b AS (SELECT *, coalesce(lag(page) OVER (PARTITION BY user_id ORDER BY page), 0) AS before FROM p)
+SELECT user_id, before + 1 AS first, page - 1 AS last FROM b WHERE page > before + 1""")
+def r_missing_pages(spark, sf):
+    """Ranges of days without events of a user, as pages that are missing from a book."""
+    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1
+    return registry.missing_pages(table(spark, sf, "events").select("user_id", day.alias("page")), "user_id", "page")
+
+
+@query("""WITH p AS (SELECT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) + 1 AS page, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT *, page - row_number() OVER (PARTITION BY user_id ORDER BY page) AS run FROM p)
+SELECT user_id, min(page) AS first, max(page) AS last, sum(n)::BIGINT AS scans FROM r GROUP BY user_id, run""")
+def r_page_runs(spark, sf):
+    """Runs of days with events of a user."""
+    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1
+    return registry.page_runs(table(spark, sf, "events").select("user_id", day.alias("page")), "user_id", "page")
+
+
 # -- sets ----------------------------------------------------------------------
 
 
@@ -811,6 +829,15 @@ def r_translated_labels(spark, sf):
     return links.translated(rows, labels, "c_mktsegment", "xx")
 
 
+@query("""WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand || ' é') WHEN p_partkey % 3 = 1 THEN p_brand || ' É' ELSE p_brand || ' e' END AS tag FROM part)
+SELECT min(tag) AS tag, count(*) AS writings FROM t GROUP BY lower(tag) HAVING count(*) > 1""")
+def r_clashing_tags(spark, sf):
+    """Brands as tags, with letters beyond ASCII, that are written in several ways."""
+    k, brand = F.col("p_partkey") % 3, F.col("p_brand")
+    tag = F.when(k == 0, F.upper(F.concat(brand, F.lit(" é")))).when(k == 1, F.concat(brand, F.lit(" É"))).otherwise(F.concat(brand, F.lit(" e")))
+    return links.clashing_tags(table(spark, sf, "part").select(tag.alias("tag")), "tag")
+
+
 # -- search and reports --------------------------------------------------------
 
 
