@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Partitions of the index, and documents in a block (a power of two).
 BUCKETS = 64
 BLOCK_BITS = 10
@@ -47,6 +49,7 @@ def write_index(documents: DataFrame, key: str, text: str, folder: str) -> None:
     entry = F.struct(F.col("key").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("at"), "tf", "length")
     blocks = counts.groupBy("term", F.shiftright("key", BLOCK_BITS).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
     part = lambda name: F.transform("entries", lambda x: x[name]).alias(name)
+    blocks = written(blocks, "blocks")  # dealing by range looks at them twice
     packed = blocks.select(_bucket(F.col("term")).alias("bucket"), "term", "block", F.size("entries").alias("n"), "max_tf", "min_length", part("at"), part("tf"), part("length"))
     packed = packed.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
     packed.write.partitionBy("bucket").parquet(f"{folder}/postings")
