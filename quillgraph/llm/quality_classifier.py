@@ -450,19 +450,23 @@ def together(fits: list, answer) -> list:
     """Results of functions that each get `sums` (see co_train); what all that aren't done ask for at a time, answer(requests by place) gives at once."""
     asked: queue.Queue = queue.Queue()
     told: list[queue.Queue] = [queue.Queue() for _ in fits]
+    turn = threading.Lock()  # one works at a time, so that what they need for it isn't there twice
 
     def run(k: int) -> None:
         def sums(function, *arguments) -> np.ndarray:
             asked.put((k, (function, arguments), None))
+            turn.release()
             got = told[k].get()
+            turn.acquire()
             if got is None:
                 raise RuntimeError("the pass over the pool failed")
             return got
 
-        try:
-            asked.put((k, None, (fits[k](sums), None)))
-        except BaseException as e:  # raised again where the results are waited for
-            asked.put((k, None, (None, e)))
+        with turn:
+            try:
+                asked.put((k, None, (fits[k](sums), None)))
+            except BaseException as e:  # raised again where the results are waited for
+                asked.put((k, None, (None, e)))
 
     for k in range(len(fits)):
         threading.Thread(target=run, args=(k,), daemon=True).start()
@@ -571,6 +575,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = marks_of(words, np.where(fold, -1, toxic))
     text = Rows(*distinct(words.bucket % BUCKETS, words.row, n, BUCKETS), words.dense), meta
     few = marked(words.bucket, words.row, words.dense, marks), meta
+    del got, lists, words  # the driver has little room
     fits = [
         lambda sums: co_train(*labelled(text, good), *(x[good >= 0] for x in (good, fold)), sums),
         lambda sums: co_train(*labelled(few, toxic), *(x[toxic >= 0] for x in (toxic, fold)), sums, MARKS, 0.0),
