@@ -20,14 +20,15 @@ found that isn't there.
 Recall, against the exact distance of all substrings: 0.99 or more for random edits of 5,
 10 and 15 percent of the characters, for other words at both ends or at 10 percent of
 places, and for other characters in the first 15 percent, with items of 4 to 900 words
-(tests hold it at RECALL).  Lower where 15 percent edits lie evenly, one every six or
-seven characters, so that few samples stay whole: 0.3 to 0.6.
+(tests hold it at RECALL).  Lower where the most edits lie evenly, as then few samples
+stay whole: with one edit every eight characters 0.93 or more, every seven 0.8 to 0.9.
 
 Coins are the same every STEP steps, so that a block of steps is one lookup by the
 classes of the characters ahead, and 2, 4, 8 blocks are lookups of lookups: a sample
 costs one step, however far in the walk it is.
 
-Items go to the tasks in blocks of bounded size, each against all documents.
+Items go to the tasks in blocks of bounded size, each against all documents; what a block
+finds is written before the block after the next is read, so that the driver holds two at most.
 
 Cases: null and blank texts and items hold and match nothing; rows that repeat
 a doc_id give the smallest distance; repeated item_ids likewise; null ids are
@@ -38,7 +39,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .textkernel import SPACE, U64, Texts, numbered, pick, slices, windows
 
 #: Edits allowed, in percent of the item's characters.
@@ -56,7 +58,7 @@ RECALL = 0.95
 WALKS = 2
 LONG = 64
 #: Characters of a sample, and blocks of a walk between samples of an item of LONG characters; twice as many for twice the length.
-GRAM = 6
+GRAM = 5
 DENSE = 2
 #: Parts of an item, and how many of them must have samples that agree.
 PARTS = 8
@@ -69,6 +71,9 @@ STARTS = 4
 LONG_WORD = 12
 #: Characters of the pieces that are looked for around candidates before the exact distance.
 SHORT = 4
+#: Such pieces that are looked for in one step, characters of a cell of the text, and cells that a piece is looked for in.
+AT_ONCE = 8
+CELL, CELLS = 64, 3
 #: Items, and characters of items, that are sent to the tasks at once.
 BLOCK, BLOCK_CHARS = 20_000, 32_000_000
 #: Characters of texts that are walked over at once, so that tables of jumps stay in a core's cache; more where items are long.
@@ -177,7 +182,7 @@ def plan_of(size: int) -> Plan:
     if size >= LONG:
         return Plan(GRAM, DENSE << ((size // LONG).bit_length() - 1), WALKS, NEED)
     if 2 * size >= LONG:
-        return Plan(min(GRAM, 5), 1, 2 * WALKS, NEED)
+        return Plan(GRAM, 1, 2 * WALKS, NEED)
     return Plan(max(1, min(5, size // (size * PERCENT // 100 + 1))), 1, 4 * WALKS, 1)
 
 
@@ -198,12 +203,13 @@ class Samples:
         self.shift = U64(64 - min(26, max(18, len(self.values).bit_length() + 6)))
         self.coarse = np.zeros(1 << (64 - int(self.shift)), bool)
         self.coarse[(self.values >> self.shift).astype(np.int64)] = True
-        self.marks = np.zeros(len(self.values) + 1, U64)  # by value, and none for the last: at which steps it is somewhere, modulo 64
-        np.bitwise_or.at(self.marks, self.keys // (self.depth * self.width), U64(1) << self._mark(self.keys % (self.depth * self.width)).astype(U64))
-
-    def _mark(self, step):
-        """step: number of walk and block."""
-        return (step // self.width * 21 + step % self.width) & 63
+        self.marks = {}  # by walk and value, and none for the last value: at which of the walk's steps it is somewhere, modulo 64
+        value, step = np.divmod(self.keys, self.depth * self.width)
+        for walk, blocks in self.steps.items():
+            of = step // self.width == walk
+            nth = np.searchsorted(blocks, step[of] % self.width) & 63
+            self.marks[walk] = np.zeros(len(self.values) + 1, U64)
+            np.bitwise_or.at(self.marks[walk], value[of], U64(1) << nth.astype(U64))
 
     def number(self, walks: Walks) -> np.ndarray:
         """Which of the values is at each character; -1: none."""
@@ -218,11 +224,11 @@ class Samples:
     def agreeing(self, walks: Walks, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window, entry, place) of the samples that windows from start, in texts up to end, share with items."""
         number = self.number(walks)
-        marks = self.marks[number]
         for walk, blocks in self.steps.items():
-            for block, at in zip(blocks, walks.along(walk, start, blocks)):
+            marks = self.marks[walk][number]
+            for nth, (block, at) in enumerate(zip(blocks, walks.along(walk, start, blocks))):
                 step = walk * self.width + block
-                w = np.flatnonzero(marks[at] & U64(1 << self._mark(step)))
+                w = np.flatnonzero(marks[at] & U64(1 << (nth & 63)))
                 w = w[at[w] + self.gram <= end[w]]
                 key = number[at[w]].astype(np.int64) * (self.depth * self.width) + step
                 found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -249,6 +255,8 @@ class Items:
         for plan in sorted({p for p, t in zip(plans, self.texts) if t}, key=lambda p: (p.gram, p.blocks)):
             by.setdefault(plan.gram, []).extend(self._walked(plan, [k for k, p in enumerate(plans) if p == plan and self.texts[k]]))
         self.samples = [Samples(q, got) for q, got in by.items()]
+        self.first = np.concatenate(([0], np.cumsum(self.size)))  # pieces by item and place
+        self.pieces, self.piece = np.unique(windows(code_points("".join(self.texts) + " " * SHORT).astype(U64), SHORT, _FACTOR), return_inverse=True)
 
     def _walked(self, plan: Plan, which: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
         gap = " " * (STEP * 2)
@@ -268,9 +276,9 @@ class Items:
                     n = int(inside.sum())
                     yield value[at[inside]], np.full(n, walk), np.full(n, block), np.array(which)[live[inside]], place[inside]
 
-    def candidates(self, points: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item, first and last place) of all regions in which an item may be held, in order."""
-        out: list[tuple[int, int, int, int]] = []
+    def candidates(self, points: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows of text, item, first and last place: all regions in which an item may be held, in order."""
+        out = [np.zeros((0, 4), np.int64)]
         reach = 4 * self.longest + 64
         size = max(PART, 4 * reach)
         for begin in range(0, len(points), size):
@@ -280,13 +288,13 @@ class Items:
             start = start[start < size]
             doc = np.searchsorted(off, start + begin, "right") - 1
             for samples in self.samples:
-                out += self._regions(samples, walks, start, doc, off[doc + 1] - begin, begin)
-        return _merged(out)
+                out.append(self._regions(samples, walks, start, doc, off[doc + 1] - begin, begin))
+        return _merged(np.concatenate(out))
 
-    def _regions(self, samples: Samples, walks: Walks, start: np.ndarray, doc: np.ndarray, end: np.ndarray, begin: int) -> list[tuple[int, int, int, int]]:
+    def _regions(self, samples: Samples, walks: Walks, start: np.ndarray, doc: np.ndarray, end: np.ndarray, begin: int) -> np.ndarray:
         got = list(samples.agreeing(walks, start, end))
         if not got:
-            return []
+            return np.zeros((0, 4), np.int64)
         window, entry, place = (np.concatenate(x) for x in zip(*got))
         item, offset = samples.item[entry], samples.offset[entry]
         width = 8 * self.longest + 128
@@ -298,21 +306,76 @@ class Items:
         item = pair % len(self.ids)
         last = np.arange(len(key)) + self.need[item] - 1
         some = np.flatnonzero(last < len(key))
-        some = some[(pair[last[some]] == pair[some]) & (key[last[some]] - key[some] <= 2 * self.most[item[some]])]
+        some = some[(pair[last[some]] == pair[some]) & (key[last[some]] - key[some] <= self.most[item[some]])]
         item, w = item[some], pair[some] // len(self.ids)
         lo = key[last[some]] % width - width // 2 + start[w] + begin - self.most[item]
         hi = key[some] % width - width // 2 + start[w] + begin + 2 * self.most[item] + self.size[item]
-        return list(zip(doc[w].tolist(), item.tolist(), lo.tolist(), hi.tolist()))
-
-    def plausible(self, item: int, texts: str, lo: int, hi: int, begin: int, end: int) -> bool:
-        """Whether enough of the item's shorter pieces are near where they belong, if it begins k after lo at least and ends at hi at most."""
-        text, missing, q = self.texts[item], self.limit[item] + 1, SHORT
-        for at in range(0, len(text) - q + 1, q):
-            if texts.find(text[at:at + q], max(lo + at, begin), min(hi - len(text) + at + q, end)) < 0:
-                missing -= 1
-                if not missing:
-                    return False
-        return True
+        return np.stack((doc[w], item, lo, hi), axis=1)
+
+    def plausible(self, points: np.ndarray, off: np.ndarray, regions: np.ndarray) -> np.ndarray:
+        """The regions that have enough of their item's pieces near where they belong.
+
+        Pieces are looked for by cells of the text first, which may show one that isn't
+        there, then by their exact places around the regions that are left.
+        """
+        value = windows(points.astype(U64), SHORT, _FACTOR)
+        for look in (self._by_cell, self._by_place):
+            if len(regions):
+                text, _, lo, hi = regions.T
+                near = np.zeros(len(points) + 1, np.int32)
+                np.add.at(near, np.maximum(lo, off[text]), 1)
+                np.add.at(near, np.minimum(hi, off[text + 1]), -1)
+                at = np.flatnonzero(np.cumsum(near)[:len(value)] > 0)
+                regions = regions[self._enough(regions, off, look(at, value[at], len(points)))]
+        return regions
+
+    def _by_cell(self, at: np.ndarray, value: np.ndarray, size: int) -> Callable[..., np.ndarray]:
+        """Whether a piece begins in a range of places, by CELL characters and ten bits of its hash; ranges over more than CELLS cells always have it."""
+        table = np.zeros((size // CELL + 1) * 128, np.uint8)
+        slot = (value & U64(1023)).astype(np.int64)
+        np.bitwise_or.at(table, at // CELL * 128 + (slot >> 3), np.uint8(1) << (slot & 7).astype(np.uint8))
+        slots = (self.pieces & U64(1023)).astype(np.int64)
+
+        def found(piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            slot, cell, last = slots[piece], np.maximum(lo, 0) // CELL, np.maximum(hi, 0) // CELL
+            byte, bit = slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8)
+            out = last - cell >= CELLS
+            for k in range(CELLS):
+                out |= (table[np.minimum(cell + k, last) * 128 + byte] & bit) != 0
+            return out
+
+        return found
+
+    def _by_place(self, at: np.ndarray, value: np.ndarray, size: int) -> Callable[..., np.ndarray]:
+        """The same, exactly."""
+        known = np.minimum(np.searchsorted(self.pieces, value), len(self.pieces) - 1)
+        same = self.pieces[known] == value
+        places = np.append(np.sort(known[same] * (size + 1) + at[same]), np.iinfo(np.int64).max)
+        return lambda piece, lo, hi: places[np.searchsorted(places, piece * (size + 1) + lo)] <= piece * (size + 1) + hi
+
+    def _enough(self, regions: np.ndarray, off: np.ndarray, found: Callable[..., np.ndarray]) -> np.ndarray:
+        """Which regions have enough pieces; found: whether pieces begin in a range of places, both ends included.
+
+        An edit spoils one piece at most of those that begin at the same remainder by
+        SHORT, so that all but the limit of them must be there, for each remainder.
+        """
+        text, item, lo, hi = regions.T
+        most, size = self.most[item], self.size[item]
+        lowest, highest = off[text], np.minimum(hi, off[text + 1]) - SHORT
+        alive, longest = np.arange(len(regions)), int(size.max())
+        for remainder in range(SHORT):
+            bad = np.zeros(len(regions), np.int64)
+            for begin in range(remainder, longest, SHORT * AT_ONCE):
+                at = begin + SHORT * np.arange(AT_ONCE)
+                there = at + SHORT <= size[alive, None]
+                piece = self.piece[np.where(there, self.first[item[alive], None] + at, 0)]
+                earliest = np.maximum(lo[alive, None] + at, lowest[alive, None])
+                latest = np.minimum((hi - size - most)[alive, None] + at, highest[alive, None])
+                bad[alive] += (there & ~found(piece, earliest, latest)).sum(axis=1)
+                alive = alive[bad[alive] <= most[alive]]
+                if not len(alive):
+                    return alive
+        return alive
 
 
 def _word(text: str, nth: int) -> int:
@@ -325,15 +388,17 @@ def _word(text: str, nth: int) -> int:
     return at
 
 
-def _merged(regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Regions of one text and item that overlap as one."""
-    out: list[tuple[int, int, int, int]] = []
-    for d, item, lo, hi in sorted(set(regions)):
-        if out and out[-1][:2] == (d, item) and lo <= out[-1][3]:
-            out[-1] = (d, item, out[-1][2], max(hi, out[-1][3]))
-        else:
-            out.append((d, item, lo, hi))
-    return out
+def _merged(regions: np.ndarray) -> np.ndarray:
+    """Regions of one text and item that overlap as one, in order."""
+    if not len(regions):
+        return regions
+    text, item, lo, hi = regions = regions[np.lexsort(regions.T[::-1])].T
+    new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]))
+    group, base = np.cumsum(new), int(lo.min())
+    far = int(hi.max()) - base + 1
+    reach = np.maximum.accumulate(hi - base + group * far) - group * far + base
+    begins = np.flatnonzero(new | np.append(True, lo[1:] > reach[:-1]))
+    return np.stack((text[begins], item[begins], lo[begins], reach[np.append(begins[1:], len(lo)) - 1]), axis=1)
 
 
 def best_substring(pattern: str, text: str) -> tuple[int, int]:
@@ -371,9 +436,11 @@ def _found(items: Items, t: Texts) -> dict[tuple[int, int], tuple[int, int]]:
     """Least distance and first word of each item in each text (row of the slice) that holds it."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
     texts, off = characters(t)
-    for d, item, lo, hi in items.candidates(code_points(texts), off):
+    points = code_points(texts)
+    regions = items.candidates(points, off)
+    for d, item, lo, hi in items.plausible(points, off, regions).tolist():
         known, pattern = best.get((d, item), (items.limit[item] + 1, 0))[0], items.texts[item]
-        if not known or not items.plausible(item, texts, lo, hi, int(off[d]), int(off[d + 1])):
+        if not known:
             continue
         lo, hi = max(lo, int(off[d])), min(hi, int(off[d + 1]))
         region = texts[lo:hi]
@@ -409,18 +476,22 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[tuple, ...]]:
     items = pick(benchmark, "item_id", "text").where("text IS NOT NULL").distinct()
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, math.ceil(count / BLOCK), math.ceil(size / BLOCK_CHARS))
+    if blocks > 1:
+        items = stored(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).repartitionByRange("block").sortWithinPartitions("block"), "benchmark-items")
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        part = items if blocks == 1 else items.where(F.col("block") == k).drop("block")
         yield tuple(sorted((tuple(r) for r in part.collect()), key=repr))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document (doc_id, text) and benchmark item (item_id, text) that it holds: doc_id, item_id, distance, item_chars, at_word."""
-    texts, out = pick(docs, "doc_id", "text"), None
+    texts, out = pick(docs, "doc_id", "text"), []
     for rows in _blocks(benchmark):
-        found = texts.mapInArrow(lambda it, rows=rows: _matches(it, rows), "doc_id long, item_id long, distance int, item_chars int, at_word int")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.min("item_chars").alias("item_chars"), F.min_by("at_word", F.struct("distance", "at_word")).alias("at_word"))
+        if out:
+            out[-1] = stored(out[-1], "leaks")
+        out.append(texts.mapInArrow(lambda it, rows=rows: _matches(it, rows), "doc_id long, item_id long, distance int, item_chars int, at_word int"))
+    found = functools.reduce(DataFrame.unionByName, out)
+    return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.min("item_chars").alias("item_chars"), F.min_by("at_word", F.struct("distance", "at_word")).alias("at_word"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -436,7 +507,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             hit[[d for d, _ in _found(items, Texts(batch.column(text)).split())]] = True
             yield batch.filter(pa.array(~hit))
 
-    for rows in _blocks(benchmark):
+    for nth, rows in enumerate(_blocks(benchmark)):
+        if nth:
+            left = stored(left, "decontaminated")
         left = left.mapInArrow(lambda it, rows=rows: clean(it, rows), left.schema)
     return left.toDF(*docs.columns)
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -163,3 +165,62 @@ def test_texts_without_spaces_and_repeated_items(spark, monkeypatch):
     assert {(k, k) for k in range(12)} == set(got)
     blocks = list(dc._blocks(spark.createDataFrame(items * 50, "item_id long, text string")))
     assert [len(b) for b in blocks] == [12]
+
+
+def evenly(text, every, how):
+    """An edit at each so many characters."""
+    change = {"replaced": lambda c: "z" if c != "z" else "q", "inserted": lambda c: c + "z", "deleted": lambda c: ""}[how]
+    return "".join(change(c) if k % every == every - 1 else c for k, c in enumerate(text))
+
+
+@pytest.mark.parametrize("every, least", [(10, 0.95), (8, 0.9), (7, 0.7)])
+def test_recall_of_even_edits(every, least):
+    """Edits that lie evenly leave the fewest samples whole; every seventh character is the most that the limit allows."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshrdlucmfw", k=rng.randint(2, 9))) for _ in range(400)]
+    items = dc.Items([(k, " ".join(rng.choices(words, k=rng.randint(12, 70)))) for k in range(100)])
+    for how in ("replaced", "inserted", "deleted"):
+        texts = [" ".join(rng.choices(words, k=20)) + " " + evenly(t, every, how) + " and after" for t in items.texts]
+        held = [k for k, t in enumerate(texts) if dc.substring_distance(items.texts[k], t, items.limit[k]) <= items.limit[k]]
+        assert len(held) >= 90
+        got = dc._found(items, dc.Texts(pa.array(texts)).split())
+        assert sum((k, k) in got for k in held) >= least * len(held), how
+
+
+def test_blocks_of_items_find_what_one_block_finds(spark, monkeypatch):
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    items = [(k, " ".join(rng.choices(words, k=12))) for k in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs(spark, [f"before {t} after" for _, t in items] + HARD, extra=True)
+    whole, left = result(dc.leaks(df, bench)), sorted(r[0] for r in dc.decontaminated(df, bench).collect())
+    monkeypatch.setattr(dc, "BLOCK", 2)
+    assert len(list(dc._blocks(bench))) == 5
+    assert result(dc.leaks(df, bench)) == whole == {(k, k): 0 for k in range(9)}
+    assert sorted(r[0] for r in dc.decontaminated(df, bench).collect()) == left == list(range(9, 9 + len(HARD)))
+
+
+def test_regions_and_pieces_as_one_by_one():
+    """Overlapping regions of a text and item become one; pieces found by place are those that str.find finds."""
+    rng = random.Random(14)
+    regions = [(rng.randint(0, 2), rng.randint(0, 2), lo := rng.randint(-20, 60), lo + rng.randint(0, 12)) for _ in range(60)]
+    want = []
+    for d, i, lo, hi in sorted(regions):
+        if want and want[-1][:2] == (d, i) and lo <= want[-1][3]:
+            want[-1] = (d, i, want[-1][2], max(hi, want[-1][3]))
+        else:
+            want.append((d, i, lo, hi))
+    assert [tuple(r) for r in dc._merged(np.array(regions)).tolist()] == want
+    items = dc.Items([(0, "abcabdabcdda")])
+    text = "".join(rng.choices("abcd", k=400))
+    value = dc.windows(dc.code_points(text).astype(np.uint64), dc.SHORT, dc._FACTOR)
+    at = np.arange(len(value))
+    exact, cells = items._by_place(at, value, len(text)), items._by_cell(at, value, len(text))
+    for k in range(len("abcabdabcdda") - dc.SHORT + 1):
+        piece = "abcabdabcdda"[k:k + dc.SHORT]
+        for lo in range(0, 380, 7):
+            for hi in (lo - 1, lo, lo + 9, len(text) - dc.SHORT):
+                there = 0 <= text.find(piece, lo, max(hi + dc.SHORT, 0)) if hi >= lo else False
+                ask = np.array([items.piece[k]]), np.array([lo]), np.array([hi])
+                assert exact(*ask)[0] == there
+                assert cells(*ask)[0] or not there
