@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.operators import ranked
 
@@ -88,3 +90,38 @@ def test_no_documents_and_no_terms(spark, tmp_path):
     folder = str(tmp_path / "index")
     ranked.write_index(spark.createDataFrame([], "id int, text string"), "id", "text", folder)
     assert ranked.search_index(spark, folder, ["a"], 5).count() == ranked.search_index(spark, folder, [], 5).count() == 0
+
+
+def test_each_text_is_read_once_and_its_postings_move_in_blocks(spark, corpus, tmp_path):
+    """Neither totals nor the dealing of blocks over files read texts again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    documents = spark.createDataFrame(corpus, "id int, text string").withColumn("text", F.udf(seen, "string")("text"))
+    ranked.write_index(documents, "id", "text", str(tmp_path / "index"))
+    assert read.value == sum(key is not None for key, _ in corpus)
+    totals = spark.read.parquet(str(tmp_path / "index" / "totals")).collect()
+    kept = [re.split(r"[^\w]+|_", (text or "").lower()) for key, text in corpus if key is not None]
+    assert [tuple(r) for r in totals] == [(len(kept), sum(t != "" for d in kept for t in d))]
+
+
+@pytest.mark.parametrize("bits,most,sizes", [(2, 1 << 20, [7]), (4, 1, [1, 90]), (10, 60, [13]), (0, 5, [400])])
+def test_postings_by_block(bits, most, sizes):
+    """However documents come in batches, and where a block is too long for one go; documents of equal key and length count as one."""
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(-30, 90), rng.choices(WORDS, k=rng.choice([0, 1, 5, 5, 30]))) for _ in range(120))
+    batches, at = [], 0
+    while at < len(rows):
+        part = rows[at:(at := at + rng.choice(sizes))]
+        batches += [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([t for _, t in part], pa.list_(pa.string()))], ["key", "terms"])]
+    want = Counter((t, key, len(terms)) for key, terms in rows for t in terms)
+    got, places = Counter(), []
+    for row in (r for b in ranked._by_block(iter([batches[0].slice(0, 0), *batches]), bits, most) for r in b.to_pylist()):
+        places.append((row["term"], row["block"]))
+        assert row["n"] == len(row["at"]) and row["max_tf"] == max(row["tf"]) and row["min_length"] == min(row["length"]) and row["total"] == sum(row["tf"])
+        for at, tf, length in zip(row["at"], row["tf"], row["length"], strict=True):
+            got[row["term"], (row["block"] << bits) + at, length] += tf
+    assert got == want and (most < 100 or len(places) == len(set(places)))
