@@ -31,18 +31,22 @@ LEVELS = 4
 
 def _open(value: Column) -> Column:
     """Whether a variant is an object or an array."""
-    return F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)<"), F.lit(False))
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull() | F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
 def _deeper(rows: DataFrame, fields: Mapping[str, str]) -> DataFrame:
-    """rows (id, path, field, value, open) with every open value replaced by what it holds; the others stay, and so does what may be a reference."""
-    outside = rows.withColumnsRenamed({"path": "_path", "field": "_field", "value": "_value", "open": "_open"})
-    parts = outside.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.when(F.col("_open"), F.col("_value")).outer()))
+    """rows (id, path, field, value, target) without a target replaced by what their values hold; those with one stay.
+
+    What a value holds goes on with its block's type and not with the block itself, which would be copied for each of its parts.
+    """
+    outside = rows.select("id", F.col("path").alias("_path"), F.col("field").alias("_field"), F.col("target").alias("_target"), F.try_variant_get("value", "$.type", "string").alias("_type"), F.when(F.col("target").isNull(), F.col("value")).alias("_value"))
+    parts = outside.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_value").outer()))
+    opened = F.col("key").isNotNull() | F.col("pos").isNotNull()
     step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-    own = F.when(F.col("key") == "value", F.coalesce(F.try_variant_get("_value", "$.type", "string"), F.lit("value"))).otherwise(F.coalesce(F.col("key"), F.col("_field")))
-    at = lambda inner, outer: F.when(F.col("_open"), inner).otherwise(F.col(outer))
-    found = parts.select("id", at(F.concat_ws(".", F.col("_path"), step), "_path").alias("path"), at(own, "_field").alias("field"), at(F.col("value"), "_value").alias("value"))
-    return found.withColumn("open", _open(F.col("value"))).where(F.col("open") | (F.col("value").isNotNull() & F.col("field").isin(*fields)))
+    own = F.when(F.col("key") == "value", F.coalesce(F.col("_type"), F.lit("value"))).otherwise(F.coalesce(F.col("key"), F.col("_field")))
+    found = parts.where(opened | F.col("_target").isNotNull()).select("id", F.when(opened, F.concat_ws(".", F.col("_path"), step)).otherwise(F.col("_path")).alias("path"), F.when(opened, own).otherwise(F.col("_field")).alias("field"), "value", "_target")
+    own_target = F.when(F.col("field").isin(*fields), F.try_variant_get("value", "$", "bigint"))
+    return found.select("id", "path", "field", "value", F.coalesce(F.col("_target"), own_target).alias("target"))
 
 
 def nested_references(pages: DataFrame, key: str, body: str, fields: Mapping[str, str] = FIELDS, levels: int = LEVELS) -> DataFrame:
@@ -55,23 +59,22 @@ def nested_references(pages: DataFrame, key: str, body: str, fields: Mapping[str
     however deep bodies are, and what has been opened isn't opened again.  Null bodies and such as
     are no JSON have no references; pages of equal keys are looked at one by one.
     """
-    rows = pages.select(F.col(key).alias("id"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("field"), F.try_parse_json(F.col(body)).alias("value"))
-    rows = rows.withColumn("open", _open(F.col("value"))).where("open")
+    rows = pages.select(F.col(key).alias("id"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("field"), F.try_parse_json(F.col(body)).alias("value"), F.lit(None).cast("bigint").alias("target"))
     found = []
     while True:
         for _ in range(levels):
             rows = _deeper(rows, fields)
-        rows = written(rows, "references")
-        found.append(rows.where("NOT open"))
-        rows = rows.where("open")
+        rows = rows.select("id", "path", "field", F.when(F.col("target").isNull() & _open(F.col("value")), F.col("value")).alias("value"), "target")
+        rows = written(rows.where("value IS NOT NULL OR target IS NOT NULL"), "references")
+        found.append(rows.where("target IS NOT NULL"))
+        rows = rows.where("target IS NULL")
         if rows.isEmpty():
             break
     leaves = found[0]
     for more in found[1:]:
         leaves = leaves.unionByName(more)
     kind = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
-    out = leaves.select(F.col("id").alias(key), "path", "field", kind[F.col("field")].alias("kind"), F.try_variant_get("value", "$", "bigint").alias("target"))
-    return out.where("target IS NOT NULL")
+    return leaves.select(F.col("id").alias(key), "path", "field", kind[F.col("field")].alias("kind"), "target")
 
 
 def orphaned(references: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:

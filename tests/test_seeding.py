@@ -1,6 +1,7 @@
 """References at any depth, and the whole seed with a second run."""
 
 import json
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import references, seeding
 
+from .test_plans import plan
+
 BLOCKS = "array<struct<type:string,value:string>>"
 PAGES = f"page_id long, path string, depth int, numchild int, slug string, title string, content_type string, template string, body {BLOCKS}, description string, show_subpages boolean, opacity double"
 GOALS = "home_path string, `order` int, slug string, number string, title string, abstract string, paragraphs array<string>, link_label string, description string"
@@ -146,3 +149,19 @@ def test_pages_of_other_types(spark):
     for site in ([page(2, "00010001", "home", "article")], [page(1, "0001", "root")]):
         with pytest.raises(PySparkException, match="no web page at 00010001"):
             stats(run(*frames(spark, site, ()), goals))
+
+
+def test_parts_of_a_block_go_on_without_it(spark):
+    """A list of n cards isn't copied n times: what is opened is no column of what it holds."""
+    rows = spark.createDataFrame([(1, BODIES[8])], "id long, body string")
+    empty = {"path": F.lit(None).cast("string"), "field": F.lit(None).cast("string"), "target": F.lit(None).cast("bigint"), "open": F.lit(True), "value": F.try_parse_json("body")}
+    text = plan(references._deeper(rows.select("id", *[v.alias(k) for k, v in empty.items()]), references.FIELDS))
+    carried = re.findall(r"Arguments: variant_explode\(.*?\), \[(.*?)\]", text)
+    assert carried and all("_type" in c and "value" not in c for c in carried)
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_texts_that_look_open(spark, levels):
+    bodies = [{"page": ["{}", "[1]", "{", " 7 ", {}, [], True, 2.0, None, [[]], {"page": {"content": [5]}}], "image": '{"page": 1}'}]
+    got = references.nested_references(spark.createDataFrame([(1, json.dumps(bodies))], "page long, body string"), "page", "body", levels=levels)
+    assert sorted((r.path, r.kind, r.target) for r in got.collect()) == [("0.page.10.page.content.0", "snippet", 5), ("0.page.3", "page", 7), ("0.page.6", "page", 1), ("0.page.7", "page", 2)]
