@@ -306,11 +306,13 @@ def r_block_references(spark, sf):
 
 def _nested_bodies(spark, sf) -> DataFrame:
     """Customers as pages whose bodies hold a card per order: finished ones in a grid, open ones in a column of a row, pending ones two rows deep."""
-    link = F.struct(F.lit("Links").alias("type"), F.struct(F.col("o_orderkey").alias("page_link"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey")).alias("doc_link"), F.lit("").alias("other_link")).alias("value"))
-    card = F.struct(F.lit("card").alias("type"), F.struct(F.col("o_orderpriority").alias("title"), F.array(link).alias("links")).alias("value"))
-    cards = lambda status: F.transform(F.sort_array(F.collect_list(F.when(F.col("o_orderstatus") == status, F.struct("o_orderkey", card.alias("card"))))), lambda x: x["card"])
+    link = lambda x: F.struct(F.lit("Links").alias("type"), F.struct(x["o_orderkey"].alias("page_link"), F.when(x["o_orderkey"] % 7 == 0, F.col("o_custkey")).alias("doc_link"), F.lit("").alias("other_link")).alias("value"))
+    card = lambda x: F.struct(F.lit("card").alias("type"), F.struct(x["o_orderpriority"].alias("title"), F.array(link(x)).alias("links")).alias("value"))
+    cards = lambda status: F.transform(F.filter("orders", lambda x: x["o_orderstatus"] == status), card)
     holder = lambda kind, inside: F.struct(F.lit(kind).alias("type"), F.struct(inside.alias("content")).alias("value"))
-    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(cards("F").alias("f"), cards("O").alias("o"), cards("P").alias("p"))
+    # orders meet as plain rows; cards are made of them afterwards
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus"))).alias("orders"))
+    rows = rows.select("o_custkey", cards("F").alias("f"), cards("O").alias("o"), cards("P").alias("p"))
     row = lambda inside: holder("row", F.array(holder("column", inside)))
     blocks = (holder("cardgrid", F.col("f")), row(F.col("o")), row(F.array(row(F.col("p")))), F.struct(F.lit("reusable_content").alias("type"), F.struct(F.col("o_custkey").alias("content")).alias("value")), F.struct(F.lit("carousel").alias("type"), F.col("o_custkey").alias("value")))
     return rows.select("o_custkey", F.concat(F.lit("["), F.concat_ws(",", *[F.to_json(b) for b in blocks]), F.lit("]")).alias("body"))

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillgraph.operators import references, seeding
+from quillgraph.plans import catalogue
 
 from .test_plans import plan
 
@@ -165,3 +166,10 @@ def test_texts_that_look_open(spark, levels):
     bodies = [{"page": ["{}", "[1]", "{", " 7 ", {}, [], True, 2.0, None, [[]], {"page": {"content": [5]}}], "image": '{"page": 1}'}]
     got = references.nested_references(spark.createDataFrame([(1, json.dumps(bodies))], "page long, body string"), "page", "body", levels=levels)
     assert sorted((r.path, r.kind, r.target) for r in got.collect()) == [("0.page.10.page.content.0", "snippet", 5), ("0.page.3", "page", 7), ("0.page.6", "page", 1), ("0.page.7", "page", 2)]
+
+
+def test_orders_meet_once_and_without_cards(spark, sf):
+    """One list of plain rows per customer is moved; cards are made of it behind the shuffle."""
+    text = plan(catalogue._nested_bodies(spark, sf))
+    lists = {x for x in re.findall(r"partial_collect_list\((.*?)\)", text)}
+    assert len(lists) == 1 and "card" not in lists.pop()
