@@ -65,6 +65,8 @@ PARTS = 8
 NEED = 2
 #: Steps with coins of their own; a walk is made of blocks of so many steps.
 STEP = 8
+#: Samples after which windows that have left their text are let go.
+TOGETHER = 8
 #: Words of an item at which its walks begin.
 STARTS = 4
 #: Windows begin at every character of a word from this one on, so that texts without spaces are looked through too.
@@ -129,6 +131,7 @@ class Walks:
 
     def __init__(self, points: np.ndarray):
         self.points, self.n = points, len(points)
+        self.jumps: tuple[int, list[np.ndarray]] = (-1, [])  # of the walk that was asked for last
         code = ((points * _CLASS) >> np.uint32(30)).astype(np.uint16)
         width = 1
         while width < STEP:
@@ -142,7 +145,9 @@ class Walks:
 
     def along(self, walk: int, start: np.ndarray, blocks: list[int]) -> Iterator[np.ndarray]:
         """Where the walk's pointer is after so many blocks (ascending), from each start."""
-        jumps = [np.minimum(np.arange(self.n, dtype=np.int32) + moves(walk)[self.ahead], np.int32(self.n - 1))]
+        if self.jumps[0] != walk:
+            self.jumps = walk, [np.minimum(np.arange(self.n, dtype=np.int32) + moves(walk)[self.ahead], np.int32(self.n - 1))]
+        jumps = self.jumps[1]
         at, done = start, 0
         for upto in blocks:
             rest, k = upto - done, 0
@@ -196,7 +201,7 @@ class Samples:
         self.steps = {int(w): np.unique(block[walk == w]).tolist() for w in np.unique(walk)}
         self.width = int(block.max()) + 1
         self.depth = int(walk.max()) + 1
-        key = (np.searchsorted(self.values, value) * self.depth + walk) * self.width + block
+        key = (walk * self.width + block) * len(self.values) + np.searchsorted(self.values, value)
         key, self.item, self.offset = np.unique(np.stack((key, item, offset)), axis=1)  # walks from two words of an item often meet
         self.keys, first = np.unique(key, return_index=True)
         self.first = np.append(first, len(key))
@@ -204,7 +209,9 @@ class Samples:
         self.coarse = np.zeros(1 << (64 - int(self.shift)), bool)
         self.coarse[(self.values >> self.shift).astype(np.int64)] = True
         self.marks = {}  # by walk and value, and none for the last value: at which of the walk's steps it is somewhere, modulo 64
-        value, step = np.divmod(self.keys, self.depth * self.width)
+        step, value = np.divmod(self.keys, len(self.values))
+        begin = np.searchsorted(step, np.arange(self.depth * self.width + 1))
+        self.at_step, self.number_of = begin, value.astype(np.int32)  # a step's keys by value are few, and stay in a core's cache
         for walk, blocks in self.steps.items():
             of = step // self.width == walk
             nth = np.searchsorted(blocks, step[of] % self.width) & 63
@@ -226,18 +233,25 @@ class Samples:
         number = self.number(walks)
         for walk, blocks in self.steps.items():
             marks = self.marks[walk][number]
-            for nth, (block, at) in enumerate(zip(blocks, walks.along(walk, start, blocks))):
-                step = walk * self.width + block
-                w = np.flatnonzero(marks[at] & U64(1 << (nth & 63)))
-                w = w[at[w] + self.gram <= end[w]]
-                key = number[at[w]].astype(np.int64) * (self.depth * self.width) + step
-                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                same = self.keys[found] == key
-                w, found = w[same], found[same]
-                many = self.first[found + 1] - self.first[found]
-                entry = np.arange(int(many.sum())) + np.repeat(self.first[found] - np.cumsum(many) + many, many)
-                w = np.repeat(w, many)
-                yield w, entry, at[w]
+            window, at, upto, done = np.arange(len(start)), start, end, 0
+            for first in range(0, len(blocks), TOGETHER):
+                part = blocks[first:first + TOGETHER]
+                for nth, (block, at) in enumerate(zip(part, walks.along(walk, at, [b - done for b in part])), first):
+                    step = walk * self.width + block
+                    w = np.flatnonzero(marks[at] & U64(1 << (nth & 63)))
+                    w = w[at[w] + self.gram <= upto[w]]
+                    begin, number_of = self.at_step[step], self.number_of[self.at_step[step]:self.at_step[step + 1]]
+                    key = number[at[w]]
+                    found = np.minimum(np.searchsorted(number_of, key), len(number_of) - 1)
+                    same = number_of[found] == key
+                    w, found = w[same], found[same] + begin
+                    many = self.first[found + 1] - self.first[found]
+                    entry = np.arange(int(many.sum())) + np.repeat(self.first[found] - np.cumsum(many) + many, many)
+                    w = np.repeat(w, many)
+                    yield window[w], entry, at[w]
+                done = part[-1]
+                live = np.flatnonzero(at + self.gram <= upto)  # pointers never go back
+                window, at, upto = window[live], at[live], upto[live]
 
 
 class Items:

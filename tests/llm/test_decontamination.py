@@ -224,3 +224,34 @@ def test_regions_and_pieces_as_one_by_one():
                 ask = np.array([items.piece[k]]), np.array([lo]), np.array([hi])
                 assert exact(*ask)[0] == there
                 assert cells(*ask)[0] or not there
+
+
+@pytest.mark.parametrize("together", [1, 3, 10_000])
+def test_windows_that_left_their_text_are_let_go(monkeypatch, together):
+    """The same samples agree however often windows are let go, and pointers beyond their text aren't moved on."""
+    rng = random.Random(15)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(80)]
+    items = dc.Items([(k, " ".join(rng.choices(words, k=rng.choice([4, 9, 30, 200])))) for k in range(30)])
+    texts = [" ".join(rng.choices(words, k=20)) + " " + t[:300] for t in items.texts]
+    points, off = dc.code_points(" ".join(texts)), np.cumsum([0] + [len(t) + 1 for t in texts])
+    start = dc.starts_of(points, off[:-1]).astype(np.int32)
+    end = np.minimum(off[np.searchsorted(off, start, "right")], len(points))
+    moved, along = [], dc.Walks.along
+    monkeypatch.setattr(dc.Walks, "along", lambda self, walk, at, blocks: moved.append(len(at)) or along(self, walk, at, blocks))
+    monkeypatch.setattr(dc, "TOGETHER", together, raising=False)
+    for samples in items.samples:
+        moved.clear()
+        got = {t for w, e, p in samples.agreeing(dc.Walks(points), start, end) for t in zip(w.tolist(), e.tolist(), p.tolist())}
+        assert together > 1000 or min(moved) < len(start) / 2 or max(map(len, samples.steps.values())) < 9
+        want, walks = set(), dc.Walks(points)
+        value = walks.grams(samples.gram)
+        table = {}
+        for key, lo, hi in zip(samples.keys.tolist(), samples.first[:-1].tolist(), samples.first[1:].tolist()):
+            step, number = divmod(key, len(samples.values))
+            table[step, int(samples.values[number])] = range(lo, hi)
+        for walk, blocks in samples.steps.items():
+            for block, at in zip(blocks, along(walks, walk, start, blocks)):
+                for w, p in enumerate(at.tolist()):
+                    if p + samples.gram <= end[w]:
+                        want |= {(w, e, p) for e in table.get((walk * samples.width + block, int(value[p])), ())}
+        assert got == want and want
