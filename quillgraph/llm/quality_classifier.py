@@ -71,6 +71,8 @@ TOXIC_FROM = 0.5
 WORDS, MARK_Z, MARKS = 1 << 18, 5.0, 256
 #: Penalty on squared weights of buckets, in documents; dense features have a tenth.
 RIDGE = 3.0
+#: Buckets of rows that are worked on at once, so that what is computed in between stays small beside the driver's memory.
+FLAT = 1 << 17
 
 
 def distinct(bucket: np.ndarray, doc: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,29 +138,49 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with FLAT buckets or so, at least one row each; at: where each row's buckets begin, and the end."""
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + FLAT, "right")) - 1)
+        yield a, b
+        a = b
+
+
 @dataclass
 class Rows:
-    """Features of one view: buckets of each row (flat) with weights, and dense ones."""
+    """Features of one view: buckets of each row (flat, of any integer type) with weights, and dense ones."""
 
     bucket: np.ndarray
     at: np.ndarray
     dense: np.ndarray
 
     def __post_init__(self):
-        size = np.diff(self.at)
-        self.row = np.repeat(np.arange(len(size)), size)
-        self.weight = 1 / np.sqrt(np.maximum(size, 1))
+        self.size = np.diff(self.at)
+        self.weight = 1 / np.sqrt(np.maximum(self.size, 1))
 
     def take(self, rows: np.ndarray) -> Rows:
-        size = np.diff(self.at)[rows]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = np.arange(total) + np.repeat(self.at[:-1][rows] - ends + size, size)
-        return Rows(self.bucket[flat], np.concatenate(([0], ends)), self.dense[rows])
+        size, begin = self.size[rows], self.at[:-1][rows]
+        at = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(int(at[-1]), self.bucket.dtype)
+        for a, b in runs(at):
+            out[at[a]:at[b]] = self.bucket[np.arange(at[a], at[b]) + np.repeat(begin[a:b] - at[a:b], size[a:b])]
+        return Rows(out, at, self.dense[rows])
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(w[self.bucket])))
-        return (total[self.at[1:]] - total[self.at[:-1]]) * self.weight
+        out = np.empty(len(self.size))
+        for a, b in runs(self.at):
+            at = self.at[a:b + 1] - self.at[a]
+            total = np.concatenate(([0.0], np.cumsum(w[self.bucket[self.at[a]:self.at[b]]])))
+            out[a:b] = total[at[1:]] - total[at[:-1]]
+        return out * self.weight
+
+    def by_bucket(self, value: np.ndarray, buckets: int) -> np.ndarray:
+        """The sum of the values of the rows that have each bucket."""
+        out = np.zeros(buckets)
+        for a, b in runs(self.at):
+            out += np.bincount(self.bucket[self.at[a]:self.at[b]], np.repeat(value[a:b], self.size[a:b]), buckets)
+        return out
 
 
 class View:
@@ -182,7 +204,7 @@ class View:
         for k in range(1, steps + 1):
             g = (sigmoid(x.times(theta[0]) + dense @ theta[1] + theta[2]) - y) * weight
             ridge = self.decay / len(y)
-            grads = [np.bincount(x.bucket, (g * x.weight)[x.row], len(self.w)) + ridge * theta[0], dense.T @ g + 0.1 * ridge * theta[1], np.array([g.sum()])]
+            grads = [x.by_bucket(g * x.weight, len(self.w)) + ridge * theta[0], dense.T @ g + 0.1 * ridge * theta[1], np.array([g.sum()])]
             for j, grad in enumerate(grads):
                 first[j] = 0.9 * first[j] + 0.1 * grad
                 second[j] = 0.99 * second[j] + 0.01 * grad * grad
@@ -216,16 +238,17 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def marks_of(words: Rows, toxic: np.ndarray) -> np.ndarray:
     """Buckets of words that stand out in toxic documents; documents that agree in four minima of hashes count as one."""
-    size = np.diff(words.at)
-    some, copies = np.flatnonzero(size), np.zeros(len(size), U64)
-    for salt in range(1, 5):
-        if len(some):
-            copies[some] = mix(copies[some] ^ np.minimum.reduceat(mix(words.bucket.astype(U64) + U64(salt << 32)), words.at[some]))
+    copies = np.zeros(len(words.size), U64)
+    for a, b in runs(words.at):
+        some, bucket = a + np.flatnonzero(words.size[a:b]), words.bucket[words.at[a]:words.at[b]].astype(U64)
+        for salt in range(1, 5):
+            if len(some):
+                copies[some] = mix(copies[some] ^ np.minimum.reduceat(mix(bucket + U64(salt << 32)), words.at[some] - words.at[a]))
     _, group, times = np.unique(copies, return_inverse=True, return_counts=True)
     count = 1 / times[group]
     odds, error = np.zeros(WORDS), np.zeros(WORDS)
     for sign, of in ((1, toxic == 1), (-1, toxic == 0)):
-        having = np.bincount(words.bucket, (count * of)[words.row], WORDS) + 0.5
+        having = words.by_bucket(count * of, WORDS) + 0.5
         lacking = np.maximum((count * of).sum() + 1 - having, 0.5)
         odds += sign * np.log(having / lacking)
         error += 1 / having + 1 / lacking
@@ -243,6 +266,16 @@ def marked(bucket: np.ndarray, doc: np.ndarray, dense: np.ndarray, marks: np.nda
     return Rows(*distinct(found[hit], doc[hit], len(dense), MARKS), dense[:, :1])
 
 
+def text_views(words: Rows, marks: np.ndarray) -> tuple[Rows, Rows]:
+    """The text views of quality and of toxic documents, by the words among WORDS of each."""
+    parts: tuple[list[Rows], list[Rows]] = [], []
+    for a, b in runs(words.at):
+        bucket, doc, dense = words.bucket[words.at[a]:words.at[b]], np.repeat(np.arange(b - a), words.size[a:b]), words.dense[a:b]
+        for own, view in zip(parts, (Rows(*distinct(bucket % BUCKETS, doc, b - a, BUCKETS), dense), marked(bucket, doc, dense, marks))):
+            own.append(Rows(view.bucket.astype(np.int16), view.at, view.dense))
+    return tuple(Rows(np.concatenate([r.bucket for r in own]), np.concatenate(([0], np.cumsum(np.concatenate([r.size for r in own])))), np.concatenate([r.dense for r in own])) for own in parts)
+
+
 @dataclass
 class CoTrained:
     """Both views and how their logits are combined."""
@@ -296,7 +329,7 @@ def loss(view: View, x: Rows, y: np.ndarray, weight: float) -> np.ndarray:
     z = view.margin(x)
     g = (sigmoid(z) - y) * weight
     dense = (x.dense - view.mean) / view.scale
-    return np.concatenate(([weight * (np.logaddexp(0, z) - y * z).sum(), weight * len(y), len(y)], np.bincount(x.bucket, (g * x.weight)[x.row], len(view.w)), dense.T @ g, [g.sum()]))
+    return np.concatenate(([weight * (np.logaddexp(0, z) - y * z).sum(), weight * len(y), len(y)], x.by_bucket(g * x.weight, len(view.w)), dense.T @ g, [g.sum()]))
 
 
 def pool_loss(x: tuple[Rows, Rows], views: tuple[View, View], history: list) -> np.ndarray:
@@ -566,16 +599,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not n:
         nothing = np.zeros(0, np.int64), np.zeros(0, bool)
         return Model(co_train(no_rows(DENSE), no_rows(0), *nothing), co_train(no_rows(1), no_rows(0), *nothing, buckets=MARKS, unlabelled=0.0), np.zeros(0, np.int64))
-    lists = got.column("words").combine_chunks()
+    lists, dense, meta = (got.column(c).combine_chunks() for c in ("words", "dense", "meta"))
     at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
-    words = Rows(lists.flatten().to_numpy().astype(np.int64), at, np.array(got.column("dense").to_pylist(), float).reshape(n, DENSE))
-    meta = meta_rows(np.array(got.column("meta").to_pylist(), np.int64))
+    words, meta = Rows(lists.flatten().to_numpy(), at, dense.flatten().to_numpy().reshape(n, DENSE).copy()), meta_rows(meta.flatten().to_numpy().copy())
     good, toxic = (got.column(c).fill_null(-1).to_numpy().astype(np.int64) for c in ("good", "toxic"))
     fold = mix(got.column("doc_id").to_numpy().astype(np.int64).view(U64) + U64(5)) % U64(4) == 0
     marks = marks_of(words, np.where(fold, -1, toxic))
-    text = Rows(*distinct(words.bucket % BUCKETS, words.row, n, BUCKETS), words.dense), meta
-    few = marked(words.bucket, words.row, words.dense, marks), meta
-    del got, lists, words  # the driver has little room
+    text, few = ((view, meta) for view in text_views(words, marks))
+    del got, lists, dense, words  # the driver has little room
+    pa.default_memory_pool().release_unused()
     fits = [
         lambda sums: co_train(*labelled(text, good), *(x[good >= 0] for x in (good, fold)), sums),
         lambda sums: co_train(*labelled(few, toxic), *(x[toxic >= 0] for x in (toxic, fold)), sums, MARKS, 0.0),

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -74,6 +75,49 @@ def test_op4_pseudo_labels_cross_over(monkeypatch):
     assert ((score > 0.5) == (y == 1)).mean() == 1
 
 
+def test_op4_fits_in_pieces(monkeypatch):
+    """Runs of rows give what all rows at once give; rows without buckets and longer than a run among them."""
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, 30, 400)
+    size[[0, 7, 399]] = 0, 500, 0
+    at, dense = np.concatenate(([0], np.cumsum(size))), rng.random((400, qc.DENSE))
+    words, w = rng.integers(0, qc.WORDS, at[-1]), rng.random(qc.WORDS)
+    x, toxic, some = qc.Rows(words.astype(np.int32), at, dense), rng.integers(-1, 2, 400), np.flatnonzero(rng.random(400) < 0.5)
+    plain = [words[a:b] for a, b in zip(at, at[1:])]
+    marks = np.unique(words[::100])
+    whole = qc.marks_of(x, toxic)
+    monkeypatch.setattr(qc, "FLAT", 100)
+    assert np.allclose(x.times(w), [w[p].sum() / max(1, len(p)) ** 0.5 for p in plain])
+    assert np.allclose(x.by_bucket(np.arange(400.0), qc.WORDS), np.bincount(words, np.repeat(np.arange(400.0), size), qc.WORDS))
+    taken = x.take(some)
+    assert taken.bucket.tolist() == [k for i in some for k in plain[i]] and np.diff(taken.at).tolist() == size[some].tolist() and (taken.dense == dense[some]).all()
+    assert qc.marks_of(x, toxic).tolist() == whole.tolist()
+    text, few = qc.text_views(x, marks)
+    assert [text.bucket[a:b].tolist() for a, b in zip(text.at, text.at[1:])] == [sorted({k % qc.BUCKETS for k in p.tolist()}) for p in plain]
+    assert [marks[few.bucket[a:b]].tolist() for a, b in zip(few.at, few.at[1:])] == [sorted(set(p.tolist()) & set(marks.tolist())) for p in plain]
+    nothing = qc.no_rows(qc.DENSE)
+    assert not len(nothing.times(w)) and not nothing.by_bucket(np.zeros(0), 5).any() and not len(nothing.take(np.zeros(0, np.int64)).dense)
+
+
+def test_op4_driver_memory():
+    """A fit on 8,000 documents of 200 words each takes little memory beside its rows."""
+    rng = np.random.default_rng(5)
+    n, each = 8000, 200
+    x = qc.Rows(rng.integers(0, qc.BUCKETS, n * each).astype(np.int16), np.arange(n + 1) * each, rng.random((n, qc.DENSE)))
+    view, y = qc.View(qc.BUCKETS, qc.DENSE, qc.RIDGE), rng.integers(0, 2, n).astype(float)
+    for work in (lambda: view.fit(x, y, np.ones(n), 3), lambda: qc.loss(view, x, y, 1.0), lambda: qc.marks_of(x, y)):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 24e6, most
+    tracemalloc.start()
+    same = x.take(np.arange(n))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(same.bucket) == n * each and most < 16e6, most
+
+
 def test_op4_all_unlabelled_documents_take_part(spark, monkeypatch):
     """The histogram that a round's limits come from counts all of them, and sums by tasks are those of one place; labels without documents use up no sample."""
     n = 9000
