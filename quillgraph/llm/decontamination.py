@@ -38,6 +38,7 @@ returned as they are; empty tables give an empty result; extra columns are ignor
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -76,6 +77,8 @@ SHORT = 4
 #: Such pieces that are looked for in one step, characters of a cell of the text, and cells that a piece is looked for in.
 AT_ONCE = 8
 CELL, CELLS = 64, 3
+#: Cells whose pieces are put down at once, and the most entries of a table of samples by step and value.
+PACK, TABLE = 1024, 1 << 22
 #: Items, and characters of items, that are sent to the tasks at once.
 BLOCK, BLOCK_CHARS = 20_000, 32_000_000
 #: Characters of texts that are walked over at once, so that tables of jumps stay in a core's cache; more where items are long.
@@ -146,17 +149,17 @@ class Walks:
     def along(self, walk: int, start: np.ndarray, blocks: list[int]) -> Iterator[np.ndarray]:
         """Where the walk's pointer is after so many blocks (ascending), from each start."""
         if self.jumps[0] != walk:
-            self.jumps = walk, [np.minimum(np.arange(self.n, dtype=np.int32) + moves(walk)[self.ahead], np.int32(self.n - 1))]
+            self.jumps = walk, [np.minimum(np.arange(self.n) + moves(walk)[self.ahead], self.n - 1)]
         jumps = self.jumps[1]
         at, done = start, 0
         for upto in blocks:
             rest, k = upto - done, 0
             while rest:
                 if rest & 1:
-                    at = jumps[k][at]
+                    at = jumps[k].take(at, mode="clip")  # all are inside; this is numpy's fastest way
                 rest, k = rest >> 1, k + 1
                 if rest and k == len(jumps):
-                    jumps.append(jumps[-1][jumps[-1]])
+                    jumps.append(jumps[-1].take(jumps[-1], mode="clip"))
             done = upto
             yield at
 
@@ -205,13 +208,18 @@ class Samples:
         key, self.item, self.offset = np.unique(np.stack((key, item, offset)), axis=1)  # walks from two words of an item often meet
         self.keys, first = np.unique(key, return_index=True)
         self.first = np.append(first, len(key))
-        self.shift = U64(64 - min(26, max(18, len(self.values).bit_length() + 6)))
-        self.coarse = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.coarse[(self.values >> self.shift).astype(np.int64)] = True
+        bits = min(22, len(self.values).bit_length() + 3)
+        self.shift = U64(64 - bits)
+        self.first_of = np.searchsorted((self.values >> self.shift).astype(np.int64), np.arange((1 << bits) + 1)).astype(np.int32)  # values by their leading bits
+        self.alike = int(np.diff(self.first_of).max())
         self.marks = {}  # by walk and value, and none for the last value: at which of the walk's steps it is somewhere, modulo 64
         step, value = np.divmod(self.keys, len(self.values))
         begin = np.searchsorted(step, np.arange(self.depth * self.width + 1))
         self.at_step, self.number_of = begin, value.astype(np.int32)  # a step's keys by value are few, and stay in a core's cache
+        self.table = None  # of keys by step and value, where it isn't too large
+        if self.depth * self.width * len(self.values) <= TABLE:
+            self.table = np.zeros(self.depth * self.width * len(self.values), np.int32)
+            self.table[self.keys] = np.arange(1, len(self.keys) + 1)
         for walk, blocks in self.steps.items():
             of = step // self.width == walk
             nth = np.searchsorted(blocks, step[of] % self.width) & 63
@@ -222,33 +230,48 @@ class Samples:
         """Which of the values is at each character; -1: none."""
         out = np.full(walks.n, -1, np.int32)
         h = walks.grams(self.gram)
-        at = np.flatnonzero(self.coarse[(h >> self.shift).astype(np.int64)])
-        found = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)
-        same = self.values[found] == h[at]
-        out[at[same]] = found[same]
+        lead = (h >> self.shift).astype(np.int64)
+        begin, many = self.first_of[lead], self.first_of[lead + 1]
+        many -= begin
+        at = np.flatnonzero(many > 0)
+        for k in range(self.alike):
+            found = begin[at] + np.int32(k)
+            same = self.values[found] == h[at]
+            out[at[same]] = found[same]
+            at = at[~same & (many[at] > k + 1)]
         return out
 
+    def _keys(self, step: int, value: np.ndarray) -> np.ndarray:
+        """Which key has the step and each value; -1: none."""
+        if self.table is not None:
+            return self.table[step * len(self.values):(step + 1) * len(self.values)].take(value) - 1
+        begin, of_step = self.at_step[step], self.number_of[self.at_step[step]:self.at_step[step + 1]]
+        found = np.minimum(np.searchsorted(of_step, value), len(of_step) - 1)
+        return np.where(of_step[found] == value, found + begin, -1)
+
     def agreeing(self, walks: Walks, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window, entry, place) of the samples that windows from start, in texts up to end, share with items."""
         number = self.number(walks)
         for walk, blocks in self.steps.items():
             marks = self.marks[walk][number]
-            window, at, upto, done = np.arange(len(start)), start, end, 0
+            window, at, upto, done, eight = np.arange(len(start)), start, end, 0, -1
             for first in range(0, len(blocks), TOGETHER):
                 part = blocks[first:first + TOGETHER]
                 for nth, (block, at) in enumerate(zip(part, walks.along(walk, at, [b - done for b in part])), first):
                     step = walk * self.width + block
-                    w = np.flatnonzero(marks[at] & U64(1 << (nth & 63)))
-                    w = w[at[w] + self.gram <= upto[w]]
-                    begin, number_of = self.at_step[step], self.number_of[self.at_step[step]:self.at_step[step + 1]]
-                    key = number[at[w]]
-                    found = np.minimum(np.searchsorted(number_of, key), len(number_of) - 1)
-                    same = number_of[found] == key
-                    w, found = w[same], found[same] + begin
+                    if (nth & 63) >> 3 != eight:
+                        eight = (nth & 63) >> 3
+                        some = (marks >> U64(8 * eight)).astype(np.uint8)
+                    w = np.flatnonzero((some.take(at, mode="clip") & np.uint8(1 << (nth & 7))) != 0)
+                    there = at[w]
+                    inside = there + self.gram <= upto[w]
+                    w, there = w[inside], there[inside]
+                    found = self._keys(step, number[there])
+                    same = found >= 0
+                    w, there, found = w[same], there[same], found[same]
                     many = self.first[found + 1] - self.first[found]
                     entry = np.arange(int(many.sum())) + np.repeat(self.first[found] - np.cumsum(many) + many, many)
-                    w = np.repeat(w, many)
-                    yield window[w], entry, at[w]
+                    yield np.repeat(window[w], many), entry, np.repeat(there, many)
                 done = part[-1]
                 live = np.flatnonzero(at + self.gram <= upto)  # pointers never go back
                 window, at, upto = window[live], at[live], upto[live]
@@ -281,8 +304,8 @@ class Items:
         for nth in range(STARTS):
             offset = np.array([_word(self.texts[k], nth) for k in which])
             for walk in range(plan.walks):
-                live = np.flatnonzero(offset >= 0)
-                for block, at in zip(blocks, walks.along(walk, (begin + offset)[live], blocks)):
+                live, steps = np.flatnonzero(offset >= 0), blocks[walk > 0:]  # where they begin all walks have the same sample
+                for block, at in zip(steps, walks.along(walk, (begin + offset)[live], steps)):
                     place = at - begin[live]
                     inside = place + plan.gram <= self.size[which][live]
                     if not inside.any():
@@ -298,9 +321,9 @@ class Items:
         for begin in range(0, len(points), size):
             walks = Walks(points[begin:begin + size + reach])
             texts = off[np.searchsorted(off, begin):np.searchsorted(off, begin + walks.n)] - begin
-            start = starts_of(walks.points, texts).astype(np.int32)
+            start = starts_of(walks.points, texts)
             start = start[start < size]
-            doc = np.searchsorted(off, start + begin, "right") - 1
+            doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start + begin, off)))
             for samples in self.samples:
                 out.append(self._regions(samples, walks, start, doc, off[doc + 1] - begin, begin))
         return _merged(np.concatenate(out))
@@ -310,7 +333,10 @@ class Items:
         if not got:
             return np.zeros((0, 4), np.int64)
         window, entry, place = (np.concatenate(x) for x in zip(*got))
-        item, offset = samples.item[entry], samples.offset[entry]
+        item = samples.item[entry]
+        slot = (window * len(self.ids) + item) & ((1 << min(22, (4 * len(item)).bit_length())) - 1)
+        enough = np.bincount(slot)[slot] >= self.need[item]  # others agree with their item in too few samples
+        window, item, offset, place = window[enough], item[enough], samples.offset[entry[enough]], place[enough]
         width = 8 * self.longest + 128
         key = (window * len(self.ids) + item) * width + (place - offset - start[window] + width // 2)  # last: where the item would begin
         part = offset * PARTS // self.size[item]
@@ -333,21 +359,25 @@ class Items:
         there, then by their exact places around the regions that are left.
         """
         value = windows(points.astype(U64), SHORT, _FACTOR)
-        for look in (self._by_cell, self._by_place):
+        for look, remainders in ((self._by_cell, 1), (self._by_place, SHORT)):
             if len(regions):
                 text, _, lo, hi = regions.T
                 near = np.zeros(len(points) + 1, np.int32)
                 np.add.at(near, np.maximum(lo, off[text]), 1)
                 np.add.at(near, np.minimum(hi, off[text + 1]), -1)
                 at = np.flatnonzero(np.cumsum(near)[:len(value)] > 0)
-                regions = regions[self._enough(regions, off, look(at, value[at], len(points)))]
+                regions = regions[self._enough(regions, off, look(at, value[at], len(points)), remainders)]
         return regions
 
     def _by_cell(self, at: np.ndarray, value: np.ndarray, size: int) -> Callable[..., np.ndarray]:
         """Whether a piece begins in a range of places, by CELL characters and ten bits of its hash; ranges over more than CELLS cells always have it."""
-        table = np.zeros((size // CELL + 1) * 128, np.uint8)
-        slot = (value & U64(1023)).astype(np.int64)
-        np.bitwise_or.at(table, at // CELL * 128 + (slot >> 3), np.uint8(1) << (slot & 7).astype(np.uint8))
+        table = np.zeros((size // (CELL * PACK) + 1) * PACK * 128, np.uint8)
+        slot = (value & U64(1023)).astype(np.int64) + (at // CELL << 10)
+        ends = np.searchsorted(at, np.arange(0, size + CELL * PACK, CELL * PACK)).tolist()
+        for k, (a, b) in enumerate(zip(ends, ends[1:])):
+            there = np.zeros(PACK << 10, bool)
+            there[slot[a:b] - (k * PACK << 10)] = True
+            table[k * PACK * 128:(k + 1) * PACK * 128] = np.packbits(there, bitorder="little")
         slots = (self.pieces & U64(1023)).astype(np.int64)
 
         def found(piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -367,17 +397,17 @@ class Items:
         places = np.append(np.sort(known[same] * (size + 1) + at[same]), np.iinfo(np.int64).max)
         return lambda piece, lo, hi: places[np.searchsorted(places, piece * (size + 1) + lo)] <= piece * (size + 1) + hi
 
-    def _enough(self, regions: np.ndarray, off: np.ndarray, found: Callable[..., np.ndarray]) -> np.ndarray:
+    def _enough(self, regions: np.ndarray, off: np.ndarray, found: Callable[..., np.ndarray], remainders: int) -> np.ndarray:
         """Which regions have enough pieces; found: whether pieces begin in a range of places, both ends included.
 
         An edit spoils one piece at most of those that begin at the same remainder by
-        SHORT, so that all but the limit of them must be there, for each remainder.
+        SHORT, so that all but the limit of them must be there, for each remainder (the first few are looked at).
         """
         text, item, lo, hi = regions.T
         most, size = self.most[item], self.size[item]
         lowest, highest = off[text], np.minimum(hi, off[text + 1]) - SHORT
         alive, longest = np.arange(len(regions)), int(size.max())
-        for remainder in range(SHORT):
+        for remainder in range(remainders):
             bad = np.zeros(len(regions), np.int64)
             for begin in range(remainder, longest, SHORT * AT_ONCE):
                 at = begin + SHORT * np.arange(AT_ONCE)
@@ -423,11 +453,10 @@ def best_substring(pattern: str, text: str) -> tuple[int, int]:
         where[c] = where.get(c, 0) | 1 << k
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score, best, end = full, 0, m, m, 0
-    for at, c in enumerate(text, 1):
-        eq = where.get(c, 0)
+    for at, eq in enumerate(map(where.get, text, itertools.repeat(0)), 1):
         x = eq | down
         diagonal = (((x & up) + up) ^ up) | x
-        plus, minus = down | ~(diagonal | up) & full, up & diagonal
+        plus, minus = down | ~(diagonal | up), up & diagonal
         if plus & top:
             score += 1
         elif minus & top:
@@ -462,7 +491,8 @@ def _found(items: Items, t: Texts) -> dict[tuple[int, int], tuple[int, int]]:
         found, end = (0, at + len(pattern)) if at >= 0 else best_substring(pattern, region)
         if found < known:
             if at < 0:
-                end, at = lo + end, best_substring(pattern[::-1], region[:end][::-1])[1]
+                last = region[max(0, end - len(pattern) - found):end]  # no better substring ends before, so that all of the best end here
+                end, at = lo + end, best_substring(pattern[::-1], last[::-1])[1]
                 at = end - at - lo
             best[d, item] = (found, texts.count(" ", int(off[d]), lo + at))
     return best

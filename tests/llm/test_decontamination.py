@@ -255,3 +255,20 @@ def test_windows_that_left_their_text_are_let_go(monkeypatch, together):
                     if p + samples.gram <= end[w]:
                         want |= {(w, e, p) for e in table.get((walk * samples.width + block, int(value[p])), ())}
         assert got == want and want
+
+
+def test_samples_by_table_and_search(monkeypatch):
+    """A table of samples gives the keys that a search gives, values of equal leading bits are told apart, and the sample where walks begin is there once."""
+    rng = random.Random(16)
+    items = [(k, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(rng.choice([4, 9, 60])))) for k in range(40)]
+    tables = dc.Items(items).samples
+    monkeypatch.setattr(dc, "TABLE", 0)
+    walks = dc.Walks(dc.code_points(" ".join(t for _, t in items)))
+    for one, other in zip(tables, dc.Items(items).samples):
+        assert one.table is not None and other.table is None
+        assert all(0 not in blocks for walk, blocks in one.steps.items() if walk)
+        known, grams = {v: k for k, v in enumerate(one.values.tolist())}, walks.grams(one.gram)
+        assert one.number(walks)[:len(grams)].tolist() == [known.get(v, -1) for v in grams.tolist()]
+        value = np.arange(len(one.values))
+        for step in range(one.depth * one.width):
+            assert one._keys(step, value).tolist() == other._keys(step, value).tolist() if (one.keys // len(value) == step).any() else True
