@@ -253,31 +253,31 @@ def folded(bitmap: bytes, size: int) -> bytes:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], often) -> Iterator[pa.RecordBatch]:
-    order = Order(often)
-    for batch in slices(batches):
-        p = Prefixes(Texts(batch.column("text")).split(), order)
-        maps = pa.array(bitmaps(p.value, p.value_doc, p.value_at), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.size), pa.array(signed(p.one)), pa.array(signed(p.two)), pa.array(signed(p.group)), maps], ["doc_id", "n_shingles", "one", "two", "grp", "bitmap"])
-
-
-def _prefix_rows(batches: Iterator[pa.RecordBatch], often) -> Iterator[pa.RecordBatch]:
-    """Shingle and group of each prefix, once for each group that the task met not long ago."""
+    """What is kept of each text, and its prefix, once for each group that the task met not long ago."""
     met: set[int] = set()
     order = Order(often)
     for batch in slices(batches):
         p = Prefixes(Texts(batch.column("text")).split(), order)
         fresh = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (p.size > 0)
-        for k, g in enumerate(p.group.tolist()):
-            if g in met:
-                fresh[k] = False
-            elif fresh[k]:
+        plain, prefix = p.token.tobytes(), []
+        for g, new, a, b in zip(p.group.tolist(), fresh.tolist(), (8 * p.at[:-1]).tolist(), (8 * p.at[1:]).tolist()):
+            prefix.append(plain[a:b] if new and g not in met else None)
+            if new:
                 met.add(g)
         if len(met) > 200_000:
             met.clear()
-        take = fresh[p.doc]
-        token, group = p.token[take], p.group[p.doc[take]]
+        maps = pa.array(bitmaps(p.value, p.value_doc, p.value_at), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.size), pa.array(signed(p.one)), pa.array(signed(p.two)), pa.array(signed(p.group)), maps, pa.array(prefix, pa.binary())], ["doc_id", "n_shingles", "one", "two", "grp", "bitmap", "prefix"])
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle and group of each prefix."""
+    for batch in batches:
+        prefixes = batch.column("prefix").to_pylist()
+        token = np.frombuffer(b"".join(prefixes), np.int64)
+        group = np.repeat(batch.column("grp").to_numpy(), [len(x) // 8 for x in prefixes])
         for k in range(0, len(token), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(token[k:k + (1 << 17)])), pa.array(signed(group[k:k + (1 << 17)]))], ["token", "grp"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[k:k + (1 << 17)]), pa.array(group[k:k + (1 << 17)])], ["token", "grp"])
 
 
 def near_size(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -349,9 +349,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, last = int(total[-1]), final
 
 
-def prefix_pairs(texts: DataFrame, often) -> DataFrame:
-    rows = texts.mapInArrow(lambda it: _prefix_rows(it, often), "token long, grp long")
-    rows = rows.repartition(partitions(texts.sparkSession), "token").sortWithinPartitions("token", "grp")
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    rows = sets.where("prefix IS NOT NULL").select("grp", "prefix").mapInArrow(_prefix_rows, "token long, grp long")
+    rows = rows.repartition(partitions(sets.sparkSession), "token").sortWithinPartitions("token", "grp")
     return stored(rows.mapInArrow(_pairs, "a long, b long, listed boolean"), "prefix-pairs")
 
 
@@ -561,15 +561,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document (columns doc_id, text): doc_id, n_shingles, component_id."""
     texts = pick(docs, "doc_id", "text")
     often = frequent(texts)
-    rows = stored(texts.mapInArrow(lambda it: _rows(it, often), "doc_id long, n_shingles long, one long, two long, grp long, bitmap binary"), "sets")
+    rows = stored(texts.mapInArrow(lambda it: _rows(it, often), "doc_id long, n_shingles long, one long, two long, grp long, bitmap binary, prefix binary"), "sets")
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "one", "two", "grp").agg(F.min("doc_id").alias("id"), F.first("bitmap").alias("bitmap"))
     classes = stored(classes.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("id"))), "classes")
-    roots = linked(texts, classes, prefix_pairs(texts, often))
+    roots = linked(texts, classes, prefix_pairs(rows))
     names = classes.join(roots, "id", "left").select("n_shingles", "one", "two", "id", F.coalesce("root", "id").alias("root"))
     # rows that repeat a doc_id with other sets are one document, whose classes hang together
     links = rows.where("n_shingles > 0").join(names, ["n_shingles", "one", "two"]).select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
     again = links.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b")
-    out = rows.drop("bitmap").join(names, ["n_shingles", "one", "two"], "left")
+    out = rows.drop("bitmap", "prefix").join(names, ["n_shingles", "one", "two"], "left")
     if not again.isEmpty():
         merged = components(links.unionByName(names.select(F.col("id").alias("u"), F.col("root").alias("v"))))
         out = out.join(merged.select(F.col("id").alias("doc_id"), F.col("root").alias("merged")), "doc_id", "left").withColumn("root", F.coalesce("merged", "root"))
